@@ -5,7 +5,9 @@ from __future__ import annotations
 from .bpe import op1_bpe
 from .exact import OP3_SQL, op3_exact
 from .packing import op7_pack
+from .toxicity import op10_toxicity
 from .urls import op8_urls
+from .vectors import op2_embeddings
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_exact": op3_exact, "op7_pack": op7_pack, "op8_urls": op8_urls}
+QUERIES = {"op1_bpe": op1_bpe, "op2_embeddings": op2_embeddings, "op3_exact": op3_exact, "op7_pack": op7_pack, "op8_urls": op8_urls, "op10_toxicity": op10_toxicity}
 ORACLES = {"op3_exact": OP3_SQL}
