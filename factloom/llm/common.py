@@ -27,10 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Writes df to the shared folder and reads it again: a short lineage that survives lost executors."""
+def cut(df: DataFrame, name: str = "cut", by: str | None = None) -> DataFrame:
+    """Writes df to the shared folder, in a folder for each value of `by`, and reads it again: a short lineage that survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

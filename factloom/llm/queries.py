@@ -7,10 +7,11 @@ from .exact import OP3_SQL, op3_exact
 from .lines import OP5_SQL, op5_lines
 from .near import op6_near
 from .packing import op7_pack
+from .ppm import op4_ppm
 from .suffixes import op9_repeats
 from .toxicity import op10_toxicity
 from .urls import op8_urls
 from .vectors import op2_embeddings
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_embeddings": op2_embeddings, "op3_exact": op3_exact, "op5_lines": op5_lines, "op6_near": op6_near, "op7_pack": op7_pack, "op8_urls": op8_urls, "op9_repeats": op9_repeats, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_bpe": op1_bpe, "op2_embeddings": op2_embeddings, "op3_exact": op3_exact, "op4_ppm": op4_ppm, "op5_lines": op5_lines, "op6_near": op6_near, "op7_pack": op7_pack, "op8_urls": op8_urls, "op9_repeats": op9_repeats, "op10_toxicity": op10_toxicity}
 ORACLES = {"op3_exact": OP3_SQL, "op5_lines": OP5_SQL}
