@@ -9,6 +9,7 @@ A logistic regression over these counts, fitted on the same bounded sample of tr
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 
@@ -149,16 +150,19 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool]]:
     rate = toxic / total
 
     def best(df: DataFrame, least: int):
-        n, k = F.countDistinct("id"), F.countDistinct(F.when(F.col("toxic") == 1, F.col("id")))
-        z = (F.col("k") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-        return df.groupBy("w").agg(n.alias("n"), k.alias("k")).where((F.col("k") >= least) & (F.col("k") >= 0.8 * F.col("n"))).withColumn("z", z).where("z > 4").orderBy(F.desc("z"), "w").limit(ENTRIES).collect()
+        """By the log-likelihood ratio of the toxic share among the entry's documents; chance finds one above the bound in e**2 tables like this."""
+        counts = cut(df.groupBy("w").agg(F.countDistinct("id").alias("n"), F.countDistinct(F.when(F.col("toxic") == 1, F.col("id"))).alias("k")), "entries")
+        bound = math.log(max(1, counts.count())) + 2
+        n, k = F.col("n"), F.col("k")
+        ratio = k * F.log(k / (n * rate)) + F.when(n > k, (n - k) * F.log((n - k) / (n * (1 - rate)))).otherwise(0.0)
+        return counts.where((k >= least) & (k >= 0.8 * n)).withColumn("g", ratio).where(F.col("g") > bound).orderBy(F.desc("g"), "w").limit(ENTRIES).collect()
 
     whole = best(words, 3)
     # A stem is open when it has several distinct endings among toxic documents.
     stems = words.withColumn("k", F.explode(F.sequence(F.lit(STEM[0]), F.lit(STEM[1])))).where(F.length("w") > F.col("k")).select("id", "toxic", "w", F.expr("substring(w, 1, k)").alias("p"))
     endings = {r.p for r in stems.where("toxic = 1").groupBy("p").agg(F.countDistinct("w").alias("n")).where("n >= 5").orderBy(F.desc("n"), "p").limit(50_000).collect()}
     opened: list[str] = []
-    for r in sorted((r for r in best(stems.select("id", "toxic", F.col("p").alias("w")), 5) if r.w in endings), key=lambda r: (len(r.w), -r.z)):
+    for r in sorted((r for r in best(stems.select("id", "toxic", F.col("p").alias("w")), 5) if r.w in endings), key=lambda r: (len(r.w), -r.g)):
         if not any(r.w.startswith(p) for p in opened):
             opened.append(r.w)
     return [(p, True) for p in opened] + [(r.w, False) for r in whole if not any(r.w.startswith(p) for p in opened)]
