@@ -11,7 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm.common import cut, table
 from factloom.llm.exact import drop_copies
+from factloom.llm.near import drop_near
 from factloom.llm.packing import pack
+from factloom.llm.suffixes import without_repeats
+from factloom.llm.toxicity import keep_clean
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't predicted toxic, by a model learned from the labels of these documents."""
+    return keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,12 +27,22 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_copies(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates, the row of smallest doc_id stays."""
+    return drop_near(docs)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that stand twice in what is left go from the texts; n_chars follows. Documents stay, if need be with empty text."""
+    return without_repeats(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a packed sequence."""
     return pack(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup), ("packing", packing)]
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("packing", packing)]
 
 #: Learned scores, alignment and tokenising are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
