@@ -5,12 +5,13 @@ prefixes are as long as the repeats asked for. For repeats of LENGTH bytes, that
 Here the suffixes are sampled and the symbols are long, so that four passes over few rows do the same exactly:
 
 * Each window of LENGTH bytes chooses one anchor, its leftmost k-mer of smallest hash. Equal windows choose alike, so
-  every repeat is seen at anchors, about one for 190 bytes. An anchor's window is given by its offset d to the
+  every repeat is seen at anchors, about one for 150 bytes. An anchor's window is given by its offset d to the
   left of the anchor; all bytes that the windows of a range of offsets share are that range's common prefix.
 * Shards give, for every anchor, the symbol of the present depth; equal ones are counted in the shard first. Merging
   them splits each block by the next symbol. Blocks of one suffix have no repeat and leave.
-* Offsets are refined from all of them to 56, 8 and 1: in a block that shares even the union of a range's
-  windows, all windows of the range repeat; otherwise the range is split again. At width 1 the shared prefix is a window.
+* Offsets are refined from all of an anchor's to ranges of 44, 4 and 1: in a block that shares even the union of a
+  range's windows, all windows of the range repeat; otherwise the range is split again. At width 1 the shared prefix
+  is a window.
 
 Symbols are 64-bit digests; a repeat needs two of them, with different bases, to agree.
 """
@@ -28,9 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, shared_dir, slices, table
 
-LENGTH, KMER = 400, 32
-WIDTHS = (56, 8, 1)
-TOP = 392
+LENGTH, KMER = 400, 96
+TOP, WIDTHS = 308, (44, 4, 1)
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _rng = np.random.default_rng(19_970_303)
 LETTERS = _rng.integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,7 +70,7 @@ class Digests:
         return mixed((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
-def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """(place, digest, smallest and largest offset) of the anchors that the windows of `data` choose."""
     parts = []
     for begin in range(0, max(0, len(data) - length + 1), STRETCH):
@@ -106,13 +106,15 @@ def as_bytes(text: str | None) -> np.ndarray:
 
 def _anchored(batches):
     for batch in slices(batches):
-        found = {k: [] for k in ("n", "sha", "a", "k", "lo", "hi")}
+        found = {k: [] for k in ("n", "sha", "a", "i", "u", "lo", "hi")}
         for text in batch.column(2).to_pylist():
             data = as_bytes(text)
             place, digest, low, high = anchors(data)
-            for name, value in zip(found, (len(data), hashlib.sha256(data).hexdigest(), place.astype("i8"), digest.view("i8"), low.astype("i2"), high.astype("i2"))):
+            union = Digests(data, 1).of(place - high, place - low + LENGTH) if len(place) else digest
+            union = mixed(union ^ (low << 16 | high).astype(np.uint64))
+            for name, value in zip(found, (len(data), hashlib.sha256(data).hexdigest(), place.astype("i4"), digest.view("i8"), union.view("i8"), low.astype("i2"), high.astype("i2"))):
                 found[name].append(value)
-        arrays = [pa.array(found["n"], pa.int64()), pa.array(found["sha"]), pa.array(found["a"], pa.list_(pa.int64())), pa.array(found["k"], pa.list_(pa.int64())), pa.array(found["lo"], pa.list_(pa.int16())), pa.array(found["hi"], pa.list_(pa.int16()))]
+        arrays = [pa.array(found["n"], pa.int64()), pa.array(found["sha"]), pa.array(found["a"], pa.list_(pa.int32())), pa.array(found["i"], pa.list_(pa.int64())), pa.array(found["u"], pa.list_(pa.int64())), pa.array(found["lo"], pa.list_(pa.int16())), pa.array(found["hi"], pa.list_(pa.int16()))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *arrays], ["id", "th", "given", *found])
 
 
@@ -141,7 +143,8 @@ def _refined(width: int, parent: int):
                 own = mixed(a.astype(np.uint64) + np.uint64(batch.column("id")[at].as_py() * int(MIX) % 2**64))
                 for column, value in zip(out, (np.full(len(a), batch.column("id")[at].as_py()), np.full(len(a), batch.column("th")[at].as_py()), a, low, high, base, (shared + salt).view("i8"), np.where(inside, union + salt, own).view("i8"))):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, "i8"), pa.int64()) for c in out], names)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.int16(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(c) if c else np.zeros(0, "i8")).astype(k.to_pandas_dtype()), k) for c, k in zip(out, kinds)], names)
 
     return work
 
@@ -178,14 +181,26 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wit
     # Rows without an id are told apart by their text.
     key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.lit("no id"), text_col))
     texts = docs.select(key.alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"), F.col(id_col).cast("long").alias("given"))
-    start = cut(texts.mapInArrow(_anchored, "id long, th long, given long, n long, sha string, a array<long>, k array<long>, lo array<smallint>, hi array<smallint>"), "anchors")
-    spread = start.select("id", "th", F.explode(F.arrays_zip("a", "k", "lo", "hi")).alias("x")).select("id", "th", "x.*")
-    twice = spread.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
-    nodes = cut(spread.join(twice.hint("merge"), "k").select("id", "th", "a", "lo", "hi", F.lit(0).cast("long").alias("base")), "blocks")
+    start = cut(texts.mapInArrow(_anchored, "id long, th long, given long, n long, sha string, a array<int>, i array<long>, u array<long>, lo array<smallint>, hi array<smallint>"), "anchors")
+    found = []
+
+    def judged(rows: DataFrame, width: int, base) -> DataFrame:
+        """One round of the merge. Keeps what isn't settled, and spans of what repeats."""
+        one = F.xxhash64("id", "th", "a")
+        both = rows.groupBy("i", "u").agg(F.count("*").alias("cu"), F.min(one).alias("one"))
+        shared = both.groupBy("i").agg(F.sum("cu").alias("ci"), F.count("*").alias("cases")).where("ci > 1").select("i", "cases")
+        blocks = both.join(shared.hint("merge"), "i")
+        columns = ["id", "th", "a", "lo", "hi", base.alias("base"), (F.col("cu") > 1).alias("all"), ((F.col("cases") > 1) & (one == F.col("one"))).alias("witness")]
+        out = cut(rows.join(blocks.hint("merge"), ["i", "u"]).select(*columns), "blocks")
+        found.append(out.where("all").select("id", "th", (F.col("a") - F.least("hi", F.col("base") + width - 1)).cast("int").alias("start"), (F.col("a") - F.greatest("lo", "base") + LENGTH).cast("int").alias("end")))
+        # Of suffixes that are settled, one of each kind goes on where others of its block aren't.
+        return out.where("not all or witness").drop("all", "witness")
+
+    nodes = judged(start.select("id", "th", F.explode(F.arrays_zip("a", "i", "u", "lo", "hi")).alias("x")).select("id", "th", "x.*"), TOP, F.lit(0).cast("smallint"))
 
     # The texts in question, bucketed by id: each pass reads them in place, and only the blocks move.
     name = "texts_" + uuid.uuid4().hex
-    asked = nodes.select("id", "th").distinct()
+    asked = nodes.select("id", "th").union(found[0].select("id", "th")).distinct()
     texts.drop("given").join(asked.hint("merge"), ["id", "th"]).repartition(parts, "id").write.bucketBy(parts, "id").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     kept = spark.table(name)
 
@@ -193,17 +208,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wit
         lists = rows.groupBy("id", "th").agg(*(F.collect_list(c).alias(c) for c in columns)).repartition(parts, "id")
         return kept.join(lists.hint("merge"), ["id", "th"]).select("id", "th", "t", *columns)
 
-    found, parent = [], TOP
+    parent = TOP
     for width in WIDTHS:
-        rows = cut(pass_over(nodes, ["a", "lo", "hi", "base"]).mapInArrow(_refined(width, parent), "id long, th long, a long, lo long, hi long, base long, i long, u long"), "symbols")
-        both = rows.groupBy("i", "u").agg(F.count("*").alias("cu"), F.min(F.struct("id", "th", "a")).alias("one"))
-        shared = both.groupBy("i").agg(F.sum("cu").alias("ci"), F.count("*").alias("cases")).where("ci > 1").select("i", "cases")
-        blocks = both.join(shared.hint("merge"), "i")
-        judged = cut(rows.join(blocks.hint("merge"), ["i", "u"]).select("id", "th", "a", "lo", "hi", "base", (F.col("cu") > 1).alias("all"), ((F.col("cases") > 1) & (F.struct("id", "th", "a") == F.col("one"))).alias("witness")), "judged")
-        done = judged.where("all")
-        found.append(done.select("id", "th", (F.col("a") - F.least("hi", F.col("base") + width - 1)).alias("start"), (F.col("a") - F.greatest("lo", "base") + LENGTH).alias("end")))
-        # Of suffixes that are settled, one of each kind goes on where others of its block aren't.
-        nodes, parent = judged.where("not all or witness").drop("all", "witness"), width
+        rows = cut(pass_over(nodes, ["a", "lo", "hi", "base"]).mapInArrow(_refined(width, parent), "id long, th long, a int, lo smallint, hi smallint, base smallint, i long, u long"), "symbols")
+        nodes, parent = judged(rows, width, F.col("base")), width
     spans = found[0]
     for more in found[1:]:
         spans = spans.union(more)
