@@ -8,15 +8,16 @@ sequences get sequences whose sizes are the powers of two of their count, so tha
 
 from __future__ import annotations
 
+import gc
 import heapq
-import json
+import re
+import unicodedata
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark import TaskContext
 
@@ -25,7 +26,14 @@ from .common import slices, table
 TOKENIZER, END_ID, CAPACITY = "word_bpe_49k.json", 1, 2048
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Tokens of a block that is packed at once, and words whose ids a worker keeps.
-BLOCK_TOKENS, KEPT_WORDS = 1 << 21, 500_000
+BLOCK_TOKENS, KEPT_WORDS = 1 << 21, 800_000
+
+
+#: Texts of Latin letters, without the characters that PLAIN takes (such as other digits, and white space that Python has
+#: alone), are cut into words here and their words' ids kept; other texts go to the library as they are.
+LATIN = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff\u0100-\u017f"
+PLAIN = re.compile("[^\0-\x1b\x20-\xb1\xb4-\xb8\xba-\xbb\xbf-\u012f\u0131-\u017f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]")
+PLAIN_WORDS = re.compile(f"[{LATIN}]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^{LATIN}0-9\\s]+").findall
 
 
 class Words:
@@ -36,27 +44,46 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        with open(path) as file:
-            parts = json.load(file)["pre_tokenizer"]["pretokenizers"]
-        self.find = regex.compile(parts[0]["pattern"]["Regex"]).findall
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        #: Ids of words met lately, and of those met before them.
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not text:
             return b""
-        found, kept = self.find(text.lower() if text.isascii() else self.tokenizer.normalizer.normalize_str(text)), self.kept
-        try:
-            return b"".join(map(kept.__getitem__, found))
-        except KeyError:
-            pass
+        if PLAIN.search(text) is None and unicodedata.is_normalized("NFC", text):
+            found = PLAIN_WORDS(text.lower())
+        else:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        kept = self.kept
         if len(kept) > KEPT_WORDS:
-            kept.clear()
-        new = [w for w in dict.fromkeys(found) if w not in kept]
-        for word, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            kept[word] = np.array(coded.ids, "<u4").tobytes()
+            self.older, self.kept = kept, {}
+            kept = self.kept
+        if new := set(found).difference(kept):
+            if again := [w for w in new if w in self.older]:
+                new.difference_update(again)
+                kept.update(zip(again, map(self.older.__getitem__, again)))
+            if new:
+                self.learn(list(new))
         return b"".join(map(kept.__getitem__, found))
 
+    def learn(self, new: list[str]) -> None:
+        """All new words in one call: white space parts them, and a word's last token is marked as its end."""
+        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+        ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(ends) == len(new):
+            data, at = ids.tobytes(), 0
+            for word, end in zip(new, ends.tolist()):
+                self.kept[word] = data[at:end]
+                at = end
+        else:
+            for word in new:
+                self.kept[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
 
 @lru_cache(maxsize=2)
 def words(path: str) -> Words:
@@ -109,6 +136,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                 yield pa.RecordBatch.from_arrays(columns, fields)
             base += len(made)
 
+        gc.disable()  # the kept tables hold no cycles
         fields, id_type = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens"] + ["ids"] * ids, None
         for batch in slices(batches):
             id_type = batch.schema.field(0).type
