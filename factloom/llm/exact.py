@@ -33,7 +33,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # Sort-merge at any size: the groups grow with the data, so they are never broadcast.
     members = cut(texts.join(groups.hint("merge"), "h").select("id", "h", "t", "keep_id"), "members")
     # The text of a group's first row: one of the rows that have the smallest id.
-    first = members.where(F.col("id") == F.col("keep_id")).groupBy("h").agg(F.min("t").alias("first"))
+    # Written out, so that the join after it stands alone and a large group's rows can be split.
+    first = cut(members.where(F.col("id") == F.col("keep_id")).groupBy("h").agg(F.min("t").alias("first")), "first")
     compared = cut(members.join(first.hint("merge"), "h", "left").select("id", "h", "keep_id", F.coalesce(F.col("t") == F.col("first"), F.lit(False)).alias("same"), F.when(F.coalesce(F.col("t") != F.col("first"), F.lit(True)), F.col("t")).alias("other")), "compared")
     equal = compared.where("same").groupBy("h").agg(F.min("keep_id").alias("keep_id"), F.count("*").alias("group_size")).withColumn("other", F.lit(None).cast("string"))
     others = compared.where("not same").groupBy("h", "other").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
