@@ -42,8 +42,8 @@ def comparability() -> Column:
 
 def prepared(facts: DataFrame) -> DataFrame:
     raw = F.concat_ws(" ", "subject", "predicate")
-    out = facts.withColumns({"entity": effective("canonical_subject", "subject"), "claim": effective("canonical_predicate", "predicate"), "eff_unit": effective_unit(), "comparability": comparability(), "missing": missing()})
-    return out.withColumns({"raw_tokens": tokens(raw), "raw_content": content_tokens(raw), "claim_content": content_tokens(F.concat_ws(" ", "entity", "claim")), "subject_content": content_tokens(F.col("entity"))})
+    out = settled(facts, {"entity": effective("canonical_subject", "subject"), "claim": effective("canonical_predicate", "predicate"), "eff_unit": effective_unit(), "comparability": comparability(), "missing": missing()})
+    return settled(out, {"raw_tokens": tokens(raw), "raw_content": content_tokens(raw), "claim_content": content_tokens(F.concat_ws(" ", "entity", "claim")), "subject_content": content_tokens(F.col("entity"))})
 
 
 def side(facts: DataFrame, name: str) -> DataFrame:
@@ -144,15 +144,23 @@ def confidence() -> Column:
     )
 
 
+def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns that are computed once, however often later ones refer to them.
+
+    Neighbouring projections are merged by the optimizer and their expressions copied into every use; a one-element
+    explode between them stops that at no cost."""
+    return df.select("*", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_s")).select(*df.columns, "_s.*")
+
+
 def compared(pairs: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Adds all predicates of a pair: d_*, numeric_verdict, matches and the reason against a contradiction."""
-    out = pairs.withColumns({f"d_{n}": c for n, c in dimensions().items()} | {"numeric_verdict": numeric_verdict(tolerance), "strong_match": strong_match(), "claim_similarity": jaccard(*both("claim_content")), "semantic_overlap": semantic_overlap(), "claims_comparable": jaccard(*both("raw_content")) >= OVERLAP_FROM})
-    return out.withColumns({"incompatible": of_verdict("INCOMPATIBLE"), "unknown": of_verdict("UNKNOWN"), "weak_match": weak_match(), "grounded": (F.col("numeric_verdict") != "INCOMPARABLE") | same_claim(), "blocked_reason": blocked_reason()})
+    out = settled(pairs, {f"d_{n}": c for n, c in dimensions().items()} | {"numeric_verdict": numeric_verdict(tolerance), "strong_match": strong_match(), "claim_similarity": jaccard(*both("claim_content")), "semantic_overlap": semantic_overlap(), "claims_comparable": jaccard(*both("raw_content")) >= OVERLAP_FROM})
+    return settled(out, {"incompatible": of_verdict("INCOMPATIBLE"), "unknown": of_verdict("UNKNOWN"), "weak_match": weak_match(), "grounded": (F.col("numeric_verdict") != "INCOMPARABLE") | same_claim(), "blocked_reason": blocked_reason()})
 
 
 def classified(pairs: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Adds rule_id, relationship_type, confidence and needs_llm to compared pairs."""
-    out = compared(pairs, tolerance).withColumn("rule_id", rule())
+    out = settled(compared(pairs, tolerance), {"rule_id": rule()})
     types = F.create_map(*(F.lit(x) for r, (t, _) in RULES.items() for x in (r, t)))
     asks = [r for r, (_, ask) in RULES.items() if ask]
     return out.withColumns({"relationship_type": F.try_element_at(types, F.col("rule_id")), "confidence": confidence(), "needs_llm": F.col("rule_id").isin(*asks)})
