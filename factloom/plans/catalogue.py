@@ -1,4 +1,6 @@
 """All queries over the reference's operators, by name, with their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from factloom.plans import documents, pairs, values
+
+QUERIES: dict = {**documents.QUERIES, **values.QUERIES, **pairs.QUERIES}
+ORACLES: dict = {**documents.ORACLES, **values.ORACLES, **pairs.ORACLES}

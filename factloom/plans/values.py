@@ -85,11 +85,11 @@ _MAG = "|".join(sorted(num.SUFFIXES, key=lambda s: (-len(s), s)))
 # RE2 has no lookaround: a word is bounded by what it takes in, and stripping is repeated for words that share a bound.
 _STRIPPED = rf"nullif(regexp_replace(regexp_replace(' ' || list_aggregate(list_filter(string_split(regexp_replace(unit, '([^A-Za-z0-9]+)', chr(1) || '\1' || chr(1), 'g'), chr(1)), lambda w: NOT regexp_full_match(w, '(?i)({_MAG})s?')), 'string_agg', '') || ' ', '\s+', ' ', 'g'), '^[ \t,;:.]+|[ \t,;:.]+$', '', 'g'), '')"
 _UNITS = rf"""{_KIND},
-u1 AS (SELECT *, CASE WHEN kind = 'TEXT' THEN NULL ELSE x END AS n, {_tokens("unit")} AS ut, {_tokens("value_text")} AS vt, lower(coalesce(unit, '')) AS low, lower(coalesce(unit, '') || ' ' || coalesce(value_text, '')) AS both FROM kind),
+u1 AS (SELECT *, CASE WHEN kind = 'TEXT' THEN NULL ELSE x END AS n, {_tokens("unit")} AS ut, {_tokens("value_text")} AS vt, lower(coalesce(unit, '')) AS low, lower(coalesce(unit, '') || ' ' || coalesce(value_text, '')) AS pair FROM kind),
 u2 AS (SELECT *, n * CASE WHEN regexp_matches(coalesce(value_text, ''), '(?i)(^|[^A-Za-z])({_MAG})s?($|[^A-Za-z0-9])') THEN 1e0 ELSE coalesce({lookup(_first("ut", num.SUFFIXES), num.SUFFIXES)}, 1e0) END AS value,
   {lookup(f"coalesce({_first('ut', num.CURRENCIES)}, {_first('vt', num.CURRENCIES)})", num.CURRENCIES)} AS cur, {lookup(_first("ut", num.MASSES), num.MASSES)} AS mass,
   coalesce({_first("ut", num.UNKNOWN_CURRENCIES)}, {_first("vt", num.UNKNOWN_CURRENCIES)}) AS odd, {_first("ut", num.UNKNOWN_UNITS)} AS measure, {_STRIPPED} AS bare FROM u1),
-u AS (SELECT *, CASE WHEN n IS NULL THEN 0 WHEN kind = 'PERCENTAGE' THEN CASE WHEN regexp_matches(both, '(^|[^a-z0-9])(percentage points?|pp)($|[^a-z0-9])') THEN 1 WHEN regexp_matches(both, '(^|[^a-z0-9])(basis points?|bps?)($|[^a-z0-9])') THEN 2 ELSE 3 END
+u AS (SELECT *, CASE WHEN n IS NULL THEN 0 WHEN kind = 'PERCENTAGE' THEN CASE WHEN regexp_matches(pair, '(^|[^a-z0-9])(percentage points?|pp)($|[^a-z0-9])') THEN 1 WHEN regexp_matches(pair, '(^|[^a-z0-9])(basis points?|bps?)($|[^a-z0-9])') THEN 2 ELSE 3 END
   WHEN regexp_matches(low, '(^|[^a-z0-9])(percentage points?|pp)($|[^a-z0-9])') THEN 4 WHEN regexp_matches(low, '(^|[^a-z0-9])(basis points?|bps?)($|[^a-z0-9])') THEN 5 WHEN regexp_full_match(trim(low), '%|per ?cent(?:age)?|percent(?:age)?') THEN 6
   WHEN cur IS NOT NULL THEN 7 WHEN mass IS NOT NULL THEN 8 WHEN odd IS NOT NULL THEN 9 WHEN list_has_any(ut, ['t', 'ton', 'tons']) THEN 10 WHEN measure IS NOT NULL THEN 11
   WHEN (list_has_any(ut, {listed(num.INDIAN_SCALES)}) OR list_has_any(vt, {listed(num.INDIAN_SCALES)})) AND bare IS NULL THEN 12 ELSE 13 END AS c FROM u2),
