@@ -271,13 +271,14 @@ def search_hybrid(spark, sf_dir):
 
 
 #: Evidence of facts: one unit each, and one that is nowhere stored.
-_EVIDENCE_IDS = F.array(F.concat(F.lit("ev-"), F.col("fact_id")), F.lit("ev-nowhere"))
+def _evidence_ids():
+    return F.array(F.concat(F.lit("ev-"), F.col("fact_id")), F.lit("ev-nowhere"))
 
 
 @query(_REL + ", " + _HITS.removeprefix("WITH ").removeprefix(_FACTS).lstrip(",") + """, e AS (SELECT relationship_id, fact_a_id AS fact_id FROM rel UNION ALL SELECT relationship_id, fact_b_id FROM rel), g AS (SELECT fact_id, string_agg(relationship_id, ',' ORDER BY relationship_id) AS r FROM e GROUP BY fact_id)
 SELECT hits.fact_id, round(score, 6) AS score, match_kind, document_id, 'ev-' || hits.fact_id AS evidence, coalesce(r, '') AS relationships FROM hits JOIN f ON f.fact_id = hits.fact_id LEFT JOIN g ON g.fact_id = hits.fact_id""")
 def search_hydrated(spark, sf_dir):
-    f = facts(spark, sf_dir).withColumn("evidence_ids", _EVIDENCE_IDS)
+    f = facts(spark, sf_dir).withColumn("evidence_ids", _evidence_ids())
     stored = f.select(F.concat(F.lit("ev-"), F.col("fact_id")).alias("evidence_id"))
     out = search.hydrated(_hits(spark, sf_dir), f, stored, relationships(spark, sf_dir))
     return out.select("fact_id", F.round("score", 6).alias("score"), "match_kind", "document_id", F.array_join("evidence", ",").alias("evidence"), F.array_join("relationships", ",").alias("relationships"))
