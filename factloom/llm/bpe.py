@@ -27,7 +27,7 @@ from .common import slices, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces and transitions kept at once in a worker; beyond that they are made anew. Results don't depend on it.
-KEPT_PIECES, KEPT_STATES = 500_000, 400_000
+KEPT_PIECES, KEPT_STATES = 500_000, 500_000
 END = -1
 
 
@@ -43,10 +43,12 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        #: A state: (token settled last or END, bytes since, last token at each position since), and where tokens may start.
-        self.states: list[tuple[int, bytes, tuple[int, ...], list[int]]] = [(END, b"", (), [0])]
-        self.ids = {self.states[0][:3]: 0}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        #: A state: (token settled last or END, bytes since), which determine the last token at each position since, and where tokens may start.
+        self.states: list[tuple[int, bytes, tuple[int, ...], bytes | tuple[int, ...]]] = [(END, b"", (), b"\0")]
+        self.ids = {self.states[0][:2]: 0}
+        #: By state and byte: the next state, doubled, and 1 more if the move emits.
+        self.moves: dict[int, int] = {}
+        self.emits: dict[int, tuple[int, ...]] = {}
 
     def split(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a single byte."""
@@ -90,7 +92,7 @@ class Transducer:
         self.fits[key] = ok
         return ok
 
-    def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def move(self, state: int, byte: int) -> int:
         settled, tail, last, live = self.states[state]
         tail += bytes((byte,))
         known, lengths, token, open_at = self.known, self.lengths, None, []
@@ -118,32 +120,36 @@ class Transducer:
             if not common:
                 break
         open_at.append(len(tail))
-        live = open_at
         out: list[int] = []
         p = common
         while p:
             out.append(last[p - 1])
             p -= lengths[last[p - 1]]
-        out.reverse()
         if common:
-            settled, tail, last, live = last[common - 1], tail[common:], last[common:], [p - common for p in live]
-        to = (settled, tail, last)
+            settled, tail, last, open_at = last[common - 1], tail[common:], last[common:], [p - common for p in open_at]
+        to = (settled, tail)
         at = self.ids.get(to)
         if at is None:
             at = self.ids[to] = len(self.states)
-            self.states.append((*to, live))
-        self.moves[state << 8 | byte] = made = (at, tuple(out))
+            self.states.append((settled, tail, last, bytes(open_at) if len(tail) < 256 else tuple(open_at)))
+        key = state << 8 | byte
+        if out:
+            self.emits[key] = tuple(reversed(out))
+        self.moves[key] = made = at << 1 | bool(out)
         return made
 
     def piece(self, text: bytes) -> list[int]:
         if len(self.states) > KEPT_STATES:
             self.reset()
-        state, out, moves = 0, [], self.moves
+        state, out, moves, emits = 0, [], self.moves, self.emits
         for byte in text:
-            step = moves.get(state << 8 | byte) or self.move(state, byte)
-            state = step[0]
-            if step[1]:
-                out.extend(step[1])
+            key = state << 8 | byte
+            step = moves.get(key)
+            if step is None:
+                step = self.move(state, byte)
+            if step & 1:
+                out.extend(emits[key])
+            state = step >> 1
         _, tail, last, _ = self.states[state]
         rest, p = [], len(tail)
         while p:
