@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import folded, jaccard, tokens
-from factloom.functions.vectors import dot, norm
 
 from .compare import effective, prepared, side
 
-EXHAUSTIVE_UP_TO, TOP_K, FLOOR = 250_000, 10, 0.25
+EXHAUSTIVE_UP_TO, TOP_K, FLOOR, QUERY_BLOCK = 250_000, 10, 0.25, 2000
 
 
 def eligible(include_same_document: bool = False) -> Column:
@@ -46,12 +47,51 @@ def top(scored: DataFrame, k: int = TOP_K) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def by_vector(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, floor: float = FLOOR) -> DataFrame:
-    """vectors and queries: id, document_id, v (double). Cosine against all vectors of other documents; queries are the small, stated side."""
-    q = queries.select(F.col("id").alias("query_id"), F.col("document_id").alias("qd"), F.col("v").alias("qv"), norm(F.col("v")).alias("qn")).where("qn > 0")
-    c = vectors.select(F.col("id").alias("candidate_id"), F.col("document_id").alias("cd"), F.col("v").alias("cv"), norm(F.col("v")).alias("cn")).where("cn > 0")
-    score = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("qv"), F.col("cv")) / (F.col("qn") * F.col("cn"))))
-    return top(c.join(q, F.col("qd") != F.col("cd")).select("query_id", "candidate_id", score.alias("score")).where(F.col("score") >= floor), k)
+def by_vector(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, floor: float = FLOOR, block: int = QUERY_BLOCK) -> DataFrame:
+    """vectors and queries: id, document_id, v (double). The k nearest of other documents for each query, by cosine in double precision.
+
+    Queries go out in blocks of at most `block`; each task multiplies its vectors with a block and passes on k a query."""
+    spark = vectors.sparkSession
+    id_kind = vectors.schema["id"].dataType.simpleString()
+    numbered = queries.where(F.col("v").isNotNull()).select("id", "document_id", "v")
+    n = numbered.count()
+    blocks = max(1, -(-n // block))
+    part = numbered.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    found = None
+    for i in range(blocks):
+        rows = part.where(F.col("b") == i).collect()
+        if not rows:
+            continue
+        q = np.array([r.v for r in rows], "f8").reshape(len(rows), -1)
+        held = spark.sparkContext.broadcast(([r.id for r in rows], np.array([r.document_id for r in rows], object), q, np.sqrt((q * q).sum(1))))
+        one = vectors.select("id", "document_id", "v").where(F.size("v") == q.shape[1]).mapInArrow(_nearest(held, k, floor), f"query_id {id_kind}, candidate_id {id_kind}, score double")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return top(spark.createDataFrame([], f"query_id {id_kind}, candidate_id {id_kind}, score double"), k)
+    return top(found, k)
+
+
+def _nearest(held, k: int, floor: float):
+    def work(batches):
+        ids, docs, q, norms = held.value
+        for batch in batches:
+            names, own = batch.column("id").to_pylist(), np.array(batch.column("document_id").to_pylist(), object)
+            x = np.array(batch.column("v").to_pylist(), "f8").reshape(len(names), -1)
+            n = np.sqrt((x * x).sum(1))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                c = np.clip(np.nan_to_num((x @ q.T) / np.outer(n, norms), nan=-2.0), -2.0, 1.0)
+            c[(own[:, None] == docs[None, :]) | (n == 0)[:, None]] = -2.0
+            out = []
+            for j in range(len(ids)):
+                # all that may be among the k best: ties with the k-th stay, ids decide later
+                good = np.flatnonzero(c[:, j] >= floor)
+                if len(good) > k:
+                    good = good[c[good, j] >= np.partition(c[good, j], -k)[-k]]
+                out += [(ids[j], names[i], float(c[i, j])) for i in good]
+            kind = batch.schema.field("id").type
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], kind), pa.array([o[1] for o in out], kind), pa.array([o[2] for o in out], pa.float64())], ["query_id", "candidate_id", "score"])
+
+    return work
 
 
 def word_sets(facts: DataFrame) -> DataFrame:

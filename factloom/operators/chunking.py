@@ -20,19 +20,20 @@ def rendered(unit_id: Column, kind: Column, text: Column, table: Column, row: Co
 
 
 def packed(units: DataFrame, max_chars: int = MAX_CHARS, max_tokens: int | None = None) -> DataFrame:
-    """units: document_id, page, item (place on the page), chars, tokens. Adds chunk, from 0 on each page.
+    """units: document_id, page, item (place on the page), chars, tokens, and maybe room (characters, instead of max_chars). Adds chunk, from 0 on each page.
 
     Items are taken in order; one that would overflow starts a new chunk, and one that is too large by itself stands
     alone. The running sum starts anew with each chunk, so this is a fold over a page's items."""
     limit = max_tokens if max_tokens is not None else 1 << 40
-    items = F.array_sort(F.collect_list(F.struct("item", F.col("chars").cast("long").alias("chars"), F.col("tokens").cast("long").alias("tokens"))))
+    room = F.col("room") if "room" in units.columns else F.lit(max_chars)
+    items = F.array_sort(F.collect_list(F.struct("item", F.col("chars").cast("long").alias("chars"), F.col("tokens").cast("long").alias("tokens"), room.cast("long").alias("room"))))
     pages = units.groupBy("document_id", "page").agg(items.alias("items"))
     start = F.struct(F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("chars"), F.lit(0).cast("long").alias("tokens"), F.lit(False).alias("some"), F.array().cast("array<struct<item:int,chunk:bigint>>").alias("out"))
 
     def place(acc: Column, x: Column) -> Column:
-        full = acc["some"] & ((acc["chars"] + x["chars"] > max_chars) | (acc["tokens"] + x["tokens"] > limit))
+        full = acc["some"] & ((acc["chars"] + x["chars"] > x["room"]) | (acc["tokens"] + x["tokens"] > limit))
         chunk = acc["chunk"] + F.when(full, 1).otherwise(0).cast("long")
-        large = (x["chars"] > max_chars) | (x["tokens"] > limit)
+        large = (x["chars"] > x["room"]) | (x["tokens"] > limit)
         chars, tokens = F.when(full, F.lit(0)).otherwise(acc["chars"]) + x["chars"], F.when(full, F.lit(0)).otherwise(acc["tokens"]) + x["tokens"]
         return F.struct((chunk + F.when(large, 1).otherwise(0).cast("long")).alias("chunk"), F.when(large, F.lit(0)).otherwise(chars).cast("long").alias("chars"), F.when(large, F.lit(0)).otherwise(tokens).cast("long").alias("tokens"), (~large).alias("some"), F.concat(acc["out"], F.array(F.struct(x["item"].cast("int").alias("item"), chunk.alias("chunk")))).alias("out"))
 
@@ -41,12 +42,26 @@ def packed(units: DataFrame, max_chars: int = MAX_CHARS, max_tokens: int | None
 
 
 def table_rows(cells: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
-    """cells: table_id, header_chars, row, chars (of a row's cells). Splits a table between rows only; the header counts in every part."""
-    rows = cells.select(F.col("table_id").alias("document_id"), F.lit(0).alias("page"), F.col("row").alias("item"), F.col("chars"), F.lit(0).alias("tokens"), "header_chars")
-    head = rows.groupBy("document_id").agg(F.max("header_chars").alias("h"))
-    # A part costs header + rows <= budget: rows are packed into what the header leaves.
-    sized = rows.join(head, "document_id").withColumn("chars", F.ceil(F.col("chars") * max_chars / F.greatest(F.lit(1), max_chars - F.col("h"))).cast("long"))
-    return packed(sized, max_chars).select(F.col("document_id").alias("table_id"), F.col("item").alias("row"), F.col("chunk").alias("part"))
+    """cells: table_id, header (its line of text), row, col, text. (table_id, row, part): a large table split between rows only.
+
+    A part costs its header line, each row's line and each cell's text; the header comes again in every part, so rows have
+    the room that it leaves."""
+    rows = cells.groupBy("table_id", "row").agg((2 * F.sum(F.length("text")) + 3 * (F.count("*") - 1) + 1).alias("chars"), F.max(F.length("header")).alias("h"))
+    placed = packed(rows.select(F.col("table_id").alias("document_id"), F.lit(0).alias("page"), F.col("row").alias("item"), "chars", F.lit(0).alias("tokens"), (max_chars - F.col("h")).alias("room")))
+    return placed.select(F.col("document_id").alias("table_id"), F.col("item").alias("row"), F.col("chunk").alias("part"))
+
+
+def items(units: DataFrame) -> DataFrame:
+    """units: document_id, page, seq, evidence_id, type, text, table_index. What packing places: item, chars, tokens, members (evidence ids).
+
+    A page's first table of an index takes that index's cells along; cells without a table, and all other units, stand for
+    themselves. Pictures without text are left out."""
+    kept = units.where(~((F.col("type") == "IMAGE") & (F.trim("text") == "")))
+    first = kept.where("type = 'TABLE'").groupBy("document_id", "page", "table_index").agg(F.min("seq").alias("table_seq"))
+    keyed = kept.join(first, (kept["document_id"] == first["document_id"]) & (kept["page"] == first["page"]) & kept["table_index"].eqNullSafe(first["table_index"]) & (F.col("type") == "TABLE_CELL"), "left").select(kept["*"], "table_seq")
+    item = F.coalesce("table_seq", "seq")
+    lead = F.struct((F.col("type") != "TABLE").alias("rest"), "seq", "evidence_id")
+    return keyed.withColumn("item", item).groupBy("document_id", "page", "item").agg(F.sum(F.length("text")).alias("chars"), F.sum(estimate_tokens(F.col("text"))).alias("tokens"), F.transform(F.array_sort(F.collect_list(lead)), lambda x: x["evidence_id"]).alias("members"))
 
 
 def ordinals(chunks: DataFrame, start_page: int | None = None, end_page: int | None = None) -> DataFrame:

@@ -103,3 +103,22 @@ def ocr_blocks(results: DataFrame) -> DataFrame:
     each = results.select("id", F.posexplode("texts").alias("index", "text"), "scores", "boxes")
     score = F.get("scores", F.col("index"))
     return each.where(F.trim("text") != "").select("id", "index", F.trim("text").alias("text"), F.when(score.between(0, 1), score).alias("score"), F.get("boxes", F.col("index")).alias("box"))
+
+
+def page_numbers(asked: list, pages: int) -> list[int]:
+    """Distinct valid page numbers in the order they came; anything but an integer in range is an error."""
+    for n in asked:
+        if not isinstance(n, int) or isinstance(n, bool) or not 0 <= n < pages:
+            raise ValueError(f"no page {n!r} of {pages}")
+    return list(dict.fromkeys(asked))
+
+
+def ocr_fallback(pages: DataFrame, units: DataFrame, provider, apply) -> tuple[DataFrame, DataFrame]:
+    """(units with OCR_TEXT added, pages with error): BAD pages go through a provider ({document_id, page} -> {texts}); a failure stays on its page."""
+    read = apply(needs_ocr(pages).select("document_id", "page"), provider, ["document_id", "page"], "texts array<string>")
+    last = units.groupBy("document_id", "page").agg(F.max("block_index").alias("last"))
+    found = read.where("error is null").join(last, ["document_id", "page"], "left").select("document_id", "page", "last", F.posexplode("texts").alias("i", "text")).where("trim(text) <> ''")
+    w = Window.partitionBy("document_id", "page").orderBy("i")
+    added = found.select("document_id", "page", (F.coalesce("last", F.lit(-1)) + F.row_number().over(w)).alias("block_index"), F.trim("text").alias("text"), F.lit("OCR_TEXT").alias("type"))
+    failed = read.where("error is not null").select("document_id", "page", F.col("error").alias("ocr_error"))
+    return union(units, added), pages.join(failed, ["document_id", "page"], "left").withColumn("error", F.coalesce("error", "ocr_error")).drop("ocr_error")

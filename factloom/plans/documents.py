@@ -102,6 +102,23 @@ def table_text(spark, sf_dir):
     return evidence.grid_text(evidence.cleaned_grid(cells(spark, sf_dir)))
 
 
+_SPLIT = f"""WITH RECURSIVE c AS ({_CELLS.replace("{lineitem}", "lineitem")}), f AS (SELECT table_id, row, col, trim(text) AS text FROM c WHERE trim(text) <> ''),
+h AS (SELECT table_id, 'Table ' || table_id || ' (columns: ' || string_agg(text, ' | ' ORDER BY col) || '):' AS header FROM f WHERE row = 0 GROUP BY table_id),
+b AS (SELECT table_id, row, row_number() OVER (PARTITION BY table_id ORDER BY row) AS i, string_agg(text, ' | ' ORDER BY col) AS line, sum(length(text)) AS own FROM f WHERE row > 0 GROUP BY table_id, row),
+r AS (SELECT b.table_id, row, i, 0::BIGINT AS part, length(header || chr(10) || line) + own AS cost, length(header || chr(10) || line) + own > 100 AS big, header FROM b JOIN h USING (table_id) WHERE i = 1 UNION ALL
+  SELECT b.table_id, b.row, b.i, CASE WHEN r.big OR cost + length(chr(10) || line) + own > 100 THEN part + 1 ELSE part END, CASE WHEN r.big OR cost + length(chr(10) || line) + own > 100 THEN length(header || chr(10) || line) + own ELSE cost + length(chr(10) || line) + own END,
+  length(header || chr(10) || line) + own > 100, header FROM r JOIN b ON b.table_id = r.table_id AND b.i = r.i + 1)
+SELECT table_id, (i - 1)::INT AS "row", part FROM r"""
+
+
+@query(_SPLIT)
+def table_split(spark, sf_dir):
+    """Orders as tables, split between rows at 100 characters."""
+    grid = evidence.cleaned_grid(cells(spark, sf_dir))
+    heads = grid.where("is_header").groupBy("table_id").agg(evidence.header_line(F.col("table_id"), F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda x: x["text"])).alias("header"))
+    return chunking.table_rows(grid.where("not is_header").join(heads, "table_id"), 100)
+
+
 @query("""WITH o AS (SELECT o_orderkey AS k FROM orders), t AS (SELECT k AS id, i, CASE i WHEN 0 THEN 'text ' || k WHEN 1 THEN '  ' ELSE ' x ' END AS text, CASE i WHEN 0 THEN (k % 13) / 10e0 WHEN 1 THEN 0.5e0 END AS score,
 CASE WHEN i < 2 AND k % 5 <> 0 THEN [k % 100, k % 100 + 10 * (i + k % 2), k % 100 + 5, k % 100] END AS xs, CASE WHEN i < 2 AND k % 5 <> 0 THEN [20, 30, 20 + k % 3, 25] END AS ys FROM o CROSS JOIN range(3) r(i))
 SELECT id, i::INT AS index, trim(text) AS text, CASE WHEN score BETWEEN 0 AND 1 THEN score END AS score, CASE WHEN list_max(xs) > list_min(xs) AND list_max(ys) > list_min(ys) THEN round(list_min(xs) / 2e0, 6) END AS x0,

@@ -156,3 +156,37 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], FACT)
     assert match.verdicts(none).count() == 0 and candidates.space(none).first().pairs == 0
     assert evidence.lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_tables_take_their_cells_along(spark):
+    rows = [("d", 0, 0, "t0", "TABLE", "grid", 1), ("d", 0, 1, "c1", "TABLE_CELL", "x", 1), ("d", 0, 2, "t1", "TABLE", "other", 1), ("d", 0, 3, "c2", "TABLE_CELL", "yy", 1), ("d", 0, 4, "c3", "TABLE_CELL", "z", 7), ("d", 0, 5, "p", "IMAGE", " ", None), ("d", 0, 6, "x", "TEXT", "text", None), ("d", 0, 7, "c4", "TABLE_CELL", "q", None)]
+    got = {r.item: (r.members, r.chars) for r in chunking.items(spark.createDataFrame(rows, "document_id string, page int, seq int, evidence_id string, type string, text string, table_index int")).collect()}
+    assert got == {0: (["t0", "c1", "c2"], 7), 2: (["t1"], 5), 4: (["c3"], 1), 6: (["x"], 4), 7: (["c4"], 1)}
+
+
+def test_ocr_fills_bad_pages(spark):
+    class Ocr:
+        def run(self, rows):
+            if any(r["document_id"] == "2" for r in rows):
+                raise OSError("no scanner")
+            return [{"texts": [" read ", " ", "more"]} for _ in rows]
+
+    units = evidence.lines(spark.createDataFrame([(1, "x"), (2, "y")], "doc_id long, text string")).withColumn("type", F.lit("TEXT"))
+    pages = evidence.page_quality(units).withColumn("error", F.lit(None).cast("string"))
+    more, left = evidence.ocr_fallback(pages.where("document_id = '1'"), units, Ocr(), providers.apply)
+    assert [(r.block_index, r.text, r.type) for r in more.where("document_id = '1'").orderBy("block_index").collect()] == [(0, "x", "TEXT"), (1, "read", "OCR_TEXT"), (2, "more", "OCR_TEXT")]
+    _, left = evidence.ocr_fallback(pages.where("document_id = '2'"), units, Ocr(), providers.apply)
+    assert left.first().error == "OSError: no scanner"
+    assert evidence.page_numbers([2, 0, 2], 3) == [2, 0]
+    for bad in (3, -1, True, "1"):
+        with pytest.raises(ValueError):
+            evidence.page_numbers([bad], 3)
+
+
+def test_presentation(spark):
+    from factloom.plans import reports
+
+    facts = table(spark, [fact("a", "x"), fact("b", "y", normalized_number=9000.0, scope_text=None)])
+    r = match.verdicts(facts).select(reports.badge().alias("b"), reports.flattened("reasoning_metadata", ["numeric_verdict", "incompatible_dimensions", "match_tier"]).alias("m")).first()
+    assert r.b == "needs review; CONTRADICTS withheld: scope stated on only one side" and r.m == {"numeric_verdict": "DIFFERENT", "incompatible_dimensions": "none", "match_tier": "none"}
+    assert spark.range(1).select(reports.shown_number(F.lit(8141.5), F.lit("INR crore")).alias("x")).first().x.endswith("INR crore")
