@@ -37,7 +37,7 @@ class Workspace:
         return self.spark.read.parquet(f"{self.path}/{name}/{version}")
 
     def put(self, name: str, df: DataFrame) -> None:
-        """A new snapshot beside the old one, then the pointer to it: readers see either."""
+        """A new snapshot beside the old one; the pointer to it is replaced last. One writer at a time."""
         version = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{name}/{version}")
         self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(self._pointer(name))
