@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,7 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     if at is not None and not isinstance(at, str):
         at = at.get() if at.isDefined() else None
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="factloom-")
+        own = tempfile.mkdtemp(prefix="factloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        at = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 

@@ -118,7 +118,7 @@ def features(text: str, lexicon: Lexicon, kept: dict[str, int]) -> list[float]:
     for word in set(found):
         kind = kept.get(word)
         if kind is None:
-            if len(kept) > 500_000:
+            if len(kept) > 200_000:
                 kept.clear()
             kind = kept[word] = lexicon.match(word)
         if kind:
@@ -142,8 +142,9 @@ def features(text: str, lexicon: Lexicon, kept: dict[str, int]) -> list[float]:
 
 
 def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool]]:
-    """sample: id, t, toxic. Entries by the significance of their documents' toxicity; the result holds ENTRIES at most."""
-    words = sample.select("id", "toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}]{3,40}"), 0))).alias("w"))
+    """sample: t, toxic. Entries by the significance of their documents' toxicity; the result holds ENTRIES at most."""
+    texts = sample.select("toxic", F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}]{3,40}"), 0)).alias("ws"))
+    words = texts.select("toxic", F.explode("ws").alias("w"))
     total, toxic = sample.agg(F.count("*"), F.sum("toxic")).first()
     if not toxic or toxic == total:
         return []
@@ -151,18 +152,23 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool]]:
 
     def best(df: DataFrame, least: int):
         """By the log-likelihood ratio of the toxic share among the entry's documents; chance finds one above the bound in e**2 tables like this."""
-        counts = cut(df.groupBy("w").agg(F.countDistinct("id").alias("n"), F.countDistinct(F.when(F.col("toxic") == 1, F.col("id"))).alias("k")), "entries")
+        counts = cut(df.groupBy("w").agg(F.count("*").alias("n"), F.sum("toxic").alias("k")), "entries")
         bound = math.log(max(1, counts.count())) + 2
         n, k = F.col("n"), F.col("k")
         ratio = k * F.log(k / (n * rate)) + F.when(n > k, (n - k) * F.log((n - k) / (n * (1 - rate)))).otherwise(0.0)
         return counts.where((k >= least) & (k >= 0.8 * n)).withColumn("g", ratio).where(F.col("g") > bound).orderBy(F.desc("g"), "w").limit(ENTRIES).collect()
 
     whole = best(words, 3)
+    def prefixes(w: Column) -> Column:
+        some = F.transform(F.sequence(F.lit(STEM[0]), F.greatest(F.lit(STEM[0]), F.least(F.lit(STEM[1]), F.length(w) - 1))), lambda k: F.substring(w, F.lit(1), k))
+        return F.when(F.length(w) > STEM[0], some).otherwise(F.array().cast("array<string>"))
+
+    stems = texts.select("toxic", F.explode(F.array_distinct(F.flatten(F.transform("ws", prefixes)))).alias("w"))
+    ended = words.where("toxic = 1").select("w").distinct().select(F.explode(prefixes(F.col("w"))).alias("p")).groupBy("p").agg(F.count("*").alias("n"))
     # A stem is open when it has several distinct endings among toxic documents.
-    stems = words.withColumn("k", F.explode(F.sequence(F.lit(STEM[0]), F.lit(STEM[1])))).where(F.length("w") > F.col("k")).select("id", "toxic", "w", F.expr("substring(w, 1, k)").alias("p"))
-    endings = {r.p for r in stems.where("toxic = 1").groupBy("p").agg(F.countDistinct("w").alias("n")).where("n >= 5").orderBy(F.desc("n"), "p").limit(50_000).collect()}
+    stems = stems.join(ended.where("n >= 5").select(F.col("p").alias("w")), "w", "left_semi")
     opened: list[str] = []
-    for r in sorted((r for r in best(stems.select("id", "toxic", F.col("p").alias("w")), 5) if r.w in endings), key=lambda r: (len(r.w), -r.g)):
+    for r in sorted(best(stems, 5), key=lambda r: (len(r.w), -r.g)):
         if not any(r.w.startswith(p) for p in opened):
             opened.append(r.w)
     return [(p, True) for p in opened] + [(r.w, False) for r in whole if not any(r.w.startswith(p) for p in opened)]
