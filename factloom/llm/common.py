@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+#: Folders that cut() has written and nobody has dropped.
+_written: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,23 +20,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: the session's checkpoint folder; one of our own only where none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir()
-    if at is not None and not isinstance(at, str):
-        at = at.get() if at.isDefined() else None
+    """The folder that the driver and all executors see: the session's checkpoint folder. An error where none is set."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        own = tempfile.mkdtemp(prefix="factloom-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        at = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", at)
+        set_by_context = spark.sparkContext._jsc.sc().getCheckpointDir()
+        at = set_by_context.get() if set_by_context.isDefined() else None
+    if not at:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return at.rstrip("/")
 
 
 def cut(df: DataFrame, name: str = "cut", by: str | None = None) -> DataFrame:
     """Writes df to the shared folder, in a folder for each value of `by`, and reads it again: a short lineage that survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _written[path] = df.sparkSession
     (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path, None)
+    if spark is not None:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def drop(*cuts: DataFrame) -> None:
+    """Deletes what cut() has written, once nothing that is still to run reads it, and lets go of the shuffles made of it."""
+    for df in cuts:
+        _delete(df.cut_path)
+    cuts[0].sparkSession.sparkContext._jvm.System.gc()  # files of unreachable shuffles are cleaned after a collection
+
+
+@atexit.register
+def _drop_all() -> None:
+    for path in list(_written):
+        with contextlib.suppress(Exception):  # the session may have ended before
+            _delete(path)
+
+
+def row_key(docs: DataFrame, name: str = "__row") -> DataFrame:
+    """docs, written out with a number for each row, so that rows of equal or null ids can be told apart."""
+    return cut(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
 
 
 @contextlib.contextmanager
@@ -58,12 +86,19 @@ def slices(batches: Iterator, rows: int = 256) -> Iterator:
             yield batch.slice(at, rows)
 
 
+def buckets_for(docs: DataFrame, text_col: str, size: int) -> int:
+    """How many buckets to deal what comes of the texts to: two for each shuffle partition, more where texts hold over `size` bytes a bucket."""
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // size))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, component) of every node with an edge; component is the smallest node reachable.
 
     Alternating large-star and small-star contraction (public: Kiveris et al., 2014): every round points nodes
     to the smallest neighbour; the rounds needed grow with the logarithm of the longest path. Minima are
-    taken by partial aggregates, so a hub is never gathered in one task. Each round is written out.
+    taken by partial aggregates, so a hub is never gathered in one task. Each round is written out, and the one
+    before it deleted.
     """
     links = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
 
@@ -75,11 +110,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         both = links.select("u", "v").union(links.select(F.col("v"), F.col("u")))
         # Minima are written out, so that the joins after them stand alone and a hub's rows can be split.
         low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = cut(large, "large")
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v")
-        links = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+        large = cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v")
+        before, links = links, cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+        drop(before, low, large, least)
         now = check(links)
         if now == seen:
             break

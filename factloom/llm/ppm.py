@@ -1,17 +1,14 @@
 """Operator 4: language-model scores by prediction by partial matching.
 
-Bytes are predicted inside words: the context of a byte is the up to ORDER bytes before it, back to the white space
-before its word; a word ends with a space, a document with an end symbol. The trie of contexts is learned from the
-training documents. A byte is coded by the longest context that has been seen; where it hasn't followed that one,
-an escape (method D) leads to the next shorter context, and there the bytes that followed the longer one are
-excluded. As code lengths depend on words alone, each distinct word is scored once.
-
-Above the trie stands its deterministic end: phrases, which end where a hash of two words says so. A phrase that
-training documents hold is coded by its count with the weight of phrases that come again, or else by its bytes.
-
-Nothing is gathered in one place. Blocks of documents send their distinct words, with counts, to buckets of words;
-these send their distinct byte contexts to buckets of contexts, where all contexts that end in the same three bytes
-meet; code lengths and counts go back the same way. Only counts of three bytes, 2**24 at most, go to all.
+A text is its lower-cased words, parted by single spaces, and an end symbol. Each byte is predicted from the up to
+ORDER bytes before it, whatever words they belong to. The trie of byte contexts is learned from the training
+documents. A byte is coded by the longest context that has been seen; where it hasn't followed that one, an escape
+(method D) leads to the next shorter context, and there the bytes that followed the longer one are excluded.
+
+Nothing is gathered in one place. Blocks of documents send their distinct words and grams (a context with the byte
+after it), with counts, to buckets; all contexts that end in the same three bytes meet in one bucket, so it holds
+whole branches of the trie. What a bucket needs of the trie's top, contexts of two bytes, it gets from buckets of
+these; contexts of one byte and none (2**16 counts at most) go to all. Counts and code lengths go back the same way.
 """
 
 from __future__ import annotations
@@ -25,20 +22,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, slices, table
+from .common import buckets_for, cut, drop, slices, table
 
-ORDER = 5
-#: Words of a phrase, on average.
-PHRASE = 8
-#: Bytes of text in a block.
-BLOCK = 24 << 20
+#: Bytes of a context, at most; with the byte after them they fit into a 64-bit number.
+ORDER = 6
+#: Bytes of text in a block, of those whose grams are sorted at once, and for which there is a bucket.
+BLOCK, PIECE, BUCKET = 16 << 20, 4 << 20, 64 << 20
+#: Buckets of two-byte contexts: what they hold is bounded by the alphabet, not by the corpus.
+LOWS = 32
 END = b"\n"
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\0", b"abcdefghijklmnopqrstuvwxyz\1")
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Lower-cased words (a NUL byte counts as the byte 1) and one end."""
-    found = (text or "").encode().translate(LOWER).split()
+def coded_text(text: str | None) -> bytes:
+    """Lower-cased words (a NUL byte counts as the byte 1), parted by single spaces, and the end."""
+    return b" ".join((text or "").encode().translate(LOWER).split()) + END
+
+
+def tokens(text: bytes) -> list[bytes]:
+    """Words of a coded text and one end."""
+    found = text.split()
     found.append(END)
     return found
 
@@ -47,26 +50,18 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 5 == 1
 
 
-def grams(words: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """(context and byte in one number, index of the word) of every byte to be coded; contexts fill the higher bytes."""
-    data = np.frombuffer(b" " + b" ".join(w if w != END else b"\n" for w in words) + b" ", np.uint8)
-    space = data == 32
-    starts = np.maximum.accumulate(np.where(space, np.arange(len(data)), 0))
-    before = np.r_[0, starts[:-1]]  # the space before each byte's word; a space belongs to the word that it ends
-    at = np.arange(1, len(data))
-    key = data[1:].astype(np.uint64)
+def grams(texts: list[bytes], order: int = ORDER) -> np.ndarray:
+    """A number for every byte: its context's bytes, the nearest lowest, and below them the byte itself. No byte is 0 but before a text's start."""
+    gap = b"\0" * order
+    data = np.frombuffer(gap + gap.join(texts), np.uint8)
+    key = data.astype(np.uint64)
     for j in range(1, order + 1):
-        ok = at - j >= before[1:]
-        key |= np.where(ok, data[np.maximum(at - j, 0)], 0).astype(np.uint64) << np.uint64(8 * j)
-    word = np.cumsum(space)[:-1] - 1
-    # no space follows the end of a document
-    ends = np.flatnonzero(data[:-1] == 10)
-    keep = np.ones(len(key), bool)
-    keep[ends] = False
-    return key[keep], word[keep]
+        key[j:] |= data[:-j].astype(np.uint64) << np.uint64(8 * j)
+    return key[data != 0]
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of counts of each."""
     order = np.argsort(keys, kind="stable")
     k = keys[order]
     if not len(k):
@@ -87,8 +82,6 @@ class Trie:
             k, n = summed(keys & np.uint64((1 << 8 * (j + 1)) - 1), counts)
             # contexts in order: the key without its lowest byte
             c = k >> np.uint64(8)
-            by = np.lexsort((k & np.uint64(255), c))
-            k, n, c = k[by], n[by], c[by]
             first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) if len(c) else np.zeros(0, int)
             total = np.add.reduceat(n, first) if len(c) else np.zeros(0, np.int64)
             kinds = np.diff(np.r_[first, len(c)])
@@ -106,7 +99,8 @@ class Trie:
         n_above, d_above = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)  # excluded: by counts here, by kinds
         for j in range(self.order, -1, -1):
             k, n, contexts, total, kinds, below = self.levels[j]
-            key, context = keys & np.uint64((1 << 8 * (j + 1)) - 1), (keys & np.uint64((1 << 8 * (j + 1)) - 1)) >> np.uint64(8)
+            key = keys & np.uint64((1 << 8 * (j + 1)) - 1)
+            context = key >> np.uint64(8)
             if not len(k):
                 continue
             at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
@@ -125,211 +119,230 @@ class Trie:
 
 
 def packed(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    """Compressed, with the bytes of equal weight side by side."""
+    x = np.ascontiguousarray(x)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()) if len(x) else b""
 
 
 def unpacked(x: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
-
-
-PARTS = "kind string, block long, bucket int, id long, held_out boolean, data binary, counts binary, more binary"
-STIR = np.uint64(0x9E3779B97F4A7C15)
+    width = np.dtype(kind).itemsize
+    if not x:
+        return np.zeros(0, kind)
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
-def stirred(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * STIR
-    return x ^ (x >> np.uint64(29))
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Of keys in order: their differences."""
+    return packed(np.diff(keys, prepend=keys.dtype.type(0)))
 
 
-def phrases(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start of each phrase, its hash) in a document's word hashes."""
-    pair = stirred(codes + stirred(np.r_[np.zeros(1, np.uint64), codes[:-1]]))
-    ends = np.flatnonzero(pair % np.uint64(PHRASE) == 0)
-    starts = np.r_[0, ends + 1]
-    starts = starts[starts < len(codes)]
-    place = np.arange(len(codes)) - np.repeat(starts, np.diff(np.r_[starts, len(codes)]))
-    return starts, stirred(np.add.reduceat(stirred(codes + place.astype(np.uint64) * STIR), starts))
+def unpacked_keys(x: bytes, kind: str = "u8") -> np.ndarray:
+    return np.cumsum(unpacked(x, kind), dtype=kind)
 
 
-def _split(buckets: int):
-    """Documents as numbers of their block's words, and those words by bucket with training counts."""
+def squeezed(text: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(text)
 
-    def work(batches):
-        base, n_blocks = TaskContext.get().partitionId() if TaskContext.get() else 0, 0
-        places: dict[bytes, int] = {}
-        docs: list[tuple] = []
-        size = 0
-        schema = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("bucket", pa.int32()), ("id", pa.int64()), ("held_out", pa.bool_()), ("data", pa.binary()), ("counts", pa.binary()), ("more", pa.binary())])
-
-        def row(kind, bucket, first, data, counts):
-            return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([base << 24 | n_blocks]), pa.array([bucket], pa.int32()), pa.array([first]), pa.nulls(1, pa.bool_()), pa.array([data], pa.binary()), pa.array([counts], pa.binary()), pa.nulls(1, pa.binary())], schema=schema)
-
-        def flush():
-            nonlocal n_blocks, places, docs, size
-            block = base << 24 | n_blocks
-            counts = np.zeros(len(places), np.int64)
-            for _, held, numbers in docs:
-                if not held:
-                    np.add.at(counts, numbers, 1) if len(numbers) < 64 else counts.__iadd__(np.bincount(numbers, minlength=len(counts)))
-            words = list(places)
-            crc = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
-            codes = stirred(crc << np.uint64(32) | np.fromiter(map(zlib.adler32, words), np.uint64, len(words)))
-            bucket = crc.astype(np.int64) % buckets
-            cuts = [phrases(codes[numbers]) for _, _, numbers in docs]
-            every, number = np.unique(np.concatenate([h for _, h in cuts]), return_inverse=True)
-            edge = np.cumsum([0, *(len(h) for _, h in cuts)])
-            held = np.repeat([held for _, held, _ in docs], np.diff(edge))
-            phrase_counts = np.bincount(number[~held], minlength=len(every))
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            new = np.empty(len(words), np.uint32)
-            new[order] = np.arange(len(words), dtype=np.uint32)
-            for at in range(0, len(docs), 2000):
-                some = docs[at : at + 2000]
-                ends = [packed(np.r_[cuts[at + i][0], number[edge[at + i] : edge[at + i + 1]]].astype("u4")) for i in range(len(some))]
-                yield pa.RecordBatch.from_arrays([pa.array(["doc"] * len(some)), pa.array([block] * len(some)), pa.array([-1] * len(some), pa.int32()), pa.array([d[0] for d in some], pa.int64()), pa.array([d[1] for d in some]), pa.array([packed(new[d[2]]) for d in some], pa.binary()), pa.nulls(len(some), pa.binary()), pa.array(ends, pa.binary())], schema=schema)
-            for b in range(buckets):
-                own = order[edges[b] : edges[b + 1]]
-                if len(own):
-                    yield row("words", b, int(edges[b]), zstandard.ZstdCompressor(level=1).compress(b" ".join(words[i] for i in own)), packed(counts[own]))
-            # sorted hashes, so that buckets of phrases are ranges of them
-            edges = np.searchsorted(every, np.arange(1, buckets, dtype=np.uint64) * np.uint64((1 << 64) // buckets))
-            for b, (low, high) in enumerate(zip(np.r_[0, edges], np.r_[edges, len(every)])):
-                if low < high:
-                    yield row("phrases", b, int(low), packed(every[low:high]), packed(phrase_counts[low:high]))
-            places, docs, size, n_blocks = {}, [], 0, n_blocks + 1
-
-        for batch in slices(batches):
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = tokens(text)
-                for word in set(found).difference(places):
-                    places[word] = len(places)
-                docs.append((name, held_out(name), np.fromiter(map(places.__getitem__, found), np.uint32, len(found))))
-                size += len(text or "") + 16
-                if size >= BLOCK:
-                    yield from flush()
-        if docs:
-            yield from flush()
 
-    return work
+def expanded(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
-def _unsplit(data: bytes) -> list[bytes]:
-    return zstandard.ZstdDecompressor().decompress(data).split(b" ")
+def dealt(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places by bucket, else in order; where each bucket begins in them)."""
+    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def _merged(rows: pa.Table) -> tuple[list[list[bytes]], list[bytes], np.ndarray]:
-    """Words of each row, all distinct words in order, and their training counts."""
-    lists = [_unsplit(x) for x in rows.column("data").to_pylist()]
-    total: dict[bytes, int] = {}
-    for words, counts in zip(lists, rows.column("counts").to_pylist()):
-        for word, n in zip(words, unpacked(counts, "i8").tolist()):
-            total[word] = total.get(word, 0) + n
-    words = sorted(total)
-    return lists, words, np.fromiter(map(total.__getitem__, words), np.int64, len(words))
+def spread(x: np.ndarray, buckets: int) -> np.ndarray:
+    return (((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _context_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+def by_context(keys: np.ndarray, buckets: int) -> np.ndarray:
     """By the context's last three bytes."""
-    tail = (keys >> np.uint64(8)) & np.uint64(0xFFFFFF)
-    return (((tail * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
-
-
-def _contexts(order: int, buckets: int):
-    schema = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("to", pa.int32()), ("tokens", pa.int64()), ("distinct", pa.int64()), ("data", pa.binary()), ("counts", pa.binary()), ("low", pa.list_(pa.int32())), ("low_n", pa.list_(pa.int64()))])
-
-    def work(rows: pa.Table) -> pa.Table:
-        _, words, counts = _merged(rows)
-        bucket = rows.column("bucket")[0].as_py()
-        key, word = grams(words, order)
-        key, n = summed(key, counts[word])
-        three, three_n = summed((key & np.uint64(0xFFFFFF))[n > 0], n[n > 0])
-        out = [("low", bucket, -1, int(counts.sum()), int((counts > 0).sum()), None, None, three.astype("i4"), three_n)]
-        to = _context_bucket(key, buckets)
-        by = np.argsort(to, kind="stable")
-        edges = np.searchsorted(to[by], np.arange(buckets + 1))
+    return spread((keys >> np.uint64(8)) & np.uint64(0xFFFFFF), buckets)
+
+
+def numbered(texts: list[bytes], buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's words, and the number of each token's word; of the words, those of each bucket in turn, with where they begin. Sizes by text."""
+    places: dict[bytes, int] = {}
+    numbers, sizes = [], []
+    for text in texts:
+        found = tokens(text)
+        for word in dict.fromkeys(found):
+            if word not in places:
+                places[word] = len(places)
+        numbers.append(np.fromiter(map(places.__getitem__, found), np.uint32, len(found)))
+        sizes.append(len(found))
+    words = list(places)
+    order, edges = dealt(np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets, buckets)
+    return words, np.concatenate(numbers), order, edges, np.array(sizes)
+
+
+def pieces(texts: list[bytes]):
+    """Runs of texts of about PIECE bytes each."""
+    start, held = 0, 0
+    for i, text in enumerate(texts):
+        held += len(text)
+        if held >= PIECE:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def counted(texts: list[bytes], trains: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """A block's distinct grams in order, and how often each is in its training texts."""
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for low, high in pieces(texts):
+        key = grams(texts[low:high], order)
+        weight = np.repeat(trains[low:high], [len(t) for t in texts[low:high]]).astype(np.int64)
+        key, weight = summed(key, weight)
+        keys, counts = summed(np.concatenate([keys, key]), np.concatenate([counts, weight]))
+    return keys, counts
+
+
+PARTS = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("bucket", pa.int32()), ("low", pa.int32()), ("data", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(pa.int64()))])
+PARTS_SQL = "kind string, block long, bucket int, low int, data binary, counts binary, ids array<long>"
+
+
+def one(schema: pa.Schema, *values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
+
+
+def _split(order: int, buckets: int):
+    """Blocks of documents: their texts; to buckets their words, grams, and the sums of these by two-byte context."""
+
+    def sent(block: int, ids: list, texts: list[bytes]):
+        yield one(PARTS, "doc", block, -1, -1, squeezed(b"".join(texts)), None, ids)
+        trains = np.array([not held_out(i) for i in ids])
+        words, numbers, by, edges, sizes = numbered(texts, buckets)
+        counts = np.bincount(numbers[np.repeat(trains, sizes)], minlength=len(words))
+        for b in range(buckets):
+            own = by[edges[b] : edges[b + 1]]
+            if len(own):
+                yield one(PARTS, "words", block, b, -1, squeezed(b" ".join(words[i] for i in own)), packed(counts[own].astype("u4")), None)
+        del words, numbers
+        keys, counts = counted(texts, trains, order)
+        by, edges = dealt(by_context(keys, buckets), buckets)
         for b in range(buckets):
             own = by[edges[b] : edges[b + 1]]
             if len(own):
-                out.append(("grams", bucket, b, None, None, packed(key[own]), packed(n[own]), None, None))
-        return pa.Table.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+                yield one(PARTS, "grams", block, b, -1, packed_keys(keys[own]), packed(counts[own].astype("u4")), None)
+                low, n = summed((keys[own] & np.uint64(0xFFFFFF)).astype("u4"), counts[own])
+                yield one(PARTS, "lows", block, b, -1, packed_keys(low), packed(n.astype("u4")), None)
 
-    return work
+    def work(batches):
+        base, n_blocks, ids, texts, size = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24, 0, [], [], 0
+        for batch in slices(batches):
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids.append(name)
+                texts.append(coded_text(text))
+                size += len(texts[-1]) + 16
+                if size >= BLOCK:
+                    yield from sent(base | n_blocks, ids, texts)
+                    n_blocks, ids, texts, size = n_blocks + 1, [], [], 0
+        if ids:
+            yield from sent(base | n_blocks, ids, texts)
 
+    return work
 
-def _coded(order: int, low):
-    schema = pa.schema([("bucket", pa.int32()), ("to", pa.int32()), ("data", pa.binary()), ("logs", pa.binary())])
+def _worded(rows: pa.Table) -> pa.Table:
+    """Training counts of words, to each block; once for a bucket, the sum and how many there are."""
+    lists = [expanded(x).split(b" ") for x in rows.column("data").to_pylist()]
+    total: dict[bytes, int] = {}
+    for words, counts in zip(lists, rows.column("counts").to_pylist()):
+        for word, n in zip(words, unpacked(counts, "u4").tolist()):
+            total[word] = total.get(word, 0) + n
+    answers = [packed(np.fromiter(map(total.__getitem__, words), np.int64, len(words))) for words in lists]
+    told = [[v] + [None] * (len(lists) - 1) for v in (sum(total.values()), sum(n > 0 for n in total.values()))]
+    return pa.Table.from_arrays([rows.column("block"), rows.column("bucket"), pa.nulls(len(lists), pa.binary()), pa.array(answers, pa.binary()), *(pa.array(t, pa.int64()) for t in told)], schema=ANSWERS)
 
-    def work(rows: pa.Table) -> pa.Table:
-        asked = [unpacked(x, "u8") for x in rows.column("data").to_pylist()]
-        counts = [unpacked(x, "i8") for x in rows.column("counts").to_pylist()]
-        keys, n = summed(np.concatenate(asked), np.concatenate(counts))
-        logs = Trie(keys, n, order, low.value).logs(keys)
-        answers = [packed(logs[np.searchsorted(keys, a)].astype("f4")) for a in asked]
-        return pa.Table.from_arrays([rows.column("bucket"), rows.column("to"), rows.column("data"), pa.chunked_array([pa.array(answers, pa.binary())])], schema=schema)
 
-    return work
+ANSWERS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("logs", pa.binary()), ("data", pa.binary()), ("tokens", pa.int64()), ("distinct", pa.int64())])
+ANSWERS_SQL = "block long, bucket int, logs binary, data binary, tokens long, distinct long"
+LOWERS = pa.schema([("bucket", pa.int32()), ("low", pa.int32()), ("data", pa.binary()), ("counts", pa.binary()), ("pair", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))])
+LOWERS_SQL = "bucket int, low int, data binary, counts binary, pair array<int>, n array<long>"
 
 
-def _worded(order: int):
-    schema = pa.schema(WORDED)
+def _all(rows: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of all rows and the sums of their counts."""
+    keys = [unpacked_keys(x, kind) for x in rows.column("data").to_pylist()]
+    counts = [unpacked(x, "u4").astype("i8") for x in rows.column("counts").to_pylist()]
+    return summed(np.concatenate(keys), np.concatenate(counts)) if keys else (np.zeros(0, kind), np.zeros(0, "i8"))
 
-    def work(rows: pa.Table, codes: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return schema.empty_table()
-        lists, words, counts = _merged(rows)
-        key, word = grams(words, order)
-        known = np.concatenate([unpacked(x, "u8") for x in codes.column("data").to_pylist()])
-        logs = np.concatenate([unpacked(x, "f4") for x in codes.column("logs").to_pylist()])
-        by = np.argsort(known, kind="stable")
-        value = logs[by][np.searchsorted(known[by], key)]
-        log = np.bincount(word, value, minlength=len(words))
-        place = {w: i for i, w in enumerate(words)}
-        at = [np.fromiter(map(place.__getitem__, own), np.int64, len(own)) for own in lists]
-        return pa.Table.from_arrays([rows.column("block"), rows.column("id"), pa.chunked_array([pa.array([packed(counts[a]) for a in at], pa.binary())]), pa.chunked_array([pa.array([packed(log[a].astype("f4")) for a in at], pa.binary())]), pa.nulls(rows.num_rows, pa.int64()), pa.nulls(rows.num_rows, pa.int64())], schema=schema)
 
-    return work
+def _asked(rows: pa.Table) -> pa.Table:
+    """A bucket's sums by two-byte context, to the buckets of these."""
+    low, n = _all(rows, "u4")
+    by, edges = dealt(spread((low >> np.uint32(8)).astype(np.uint64), LOWS), LOWS)
+    bucket = rows.column("bucket")[0].as_py()
+    out = [(bucket, to, packed_keys(low[by[a:b]]), packed(n[by[a:b]])) for to, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+    return pa.Table.from_arrays([*(pa.array([r[i] for r in out], LOWERS.field(i).type) for i in range(4)), *(pa.nulls(len(out), LOWERS.field(i).type) for i in (4, 5))], schema=LOWERS)
 
 
-def _phrased(rows: pa.Table) -> pa.Table:
-    """Training counts of phrases, to each block; once for a bucket, how many there are and how many come but once."""
-    hashes = [unpacked(x, "u8") for x in rows.column("data").to_pylist()]
-    every, n = summed(np.concatenate(hashes), np.concatenate([unpacked(x, "i8") for x in rows.column("counts").to_pylist()]))
-    c = [packed(n[np.searchsorted(every, h)]) for h in hashes]
-    told = [[int(v)] + [None] * (len(c) - 1) for v in (n.sum(), (n == 1).sum())]
-    return pa.Table.from_arrays([rows.column("block"), rows.column("id"), pa.array(c, pa.binary()), pa.nulls(len(c), pa.binary()), *(pa.array(t, pa.int64()) for t in told)], schema=pa.schema(WORDED))
+def _lowered(rows: pa.Table) -> pa.Table:
+    """For each asking bucket, all that follows its two-byte contexts; once, the sums by contexts of one byte."""
+    asked = [unpacked_keys(x, "u4") for x in rows.column("data").to_pylist()]
+    low, n = summed(np.concatenate(asked), np.concatenate([unpacked(x, "i8") for x in rows.column("counts").to_pylist()]))
+    out = []
+    for a in asked:
+        own = np.isin(low >> np.uint32(8), a >> np.uint32(8)) & (n > 0)
+        out.append((packed_keys(low[own]), packed(n[own])))
+    pair, pair_n = summed(low & np.uint32(0xFFFF), n)
+    told = [pa.array([v.tolist()] + [None] * (len(out) - 1), t) for v, t in ((pair, pa.list_(pa.int32())), (pair_n, pa.list_(pa.int64())))]
+    return pa.Table.from_arrays([rows.column("bucket"), rows.column("low"), *(pa.array([r[i] for r in out], pa.binary()) for i in (0, 1)), *told], schema=LOWERS)
 
 
-#: Answers to a block: for words (logs given) or phrases, from number `first` on.
-WORDED = [("block", pa.int64()), ("first", pa.int64()), ("c", pa.binary()), ("logs", pa.binary()), ("total", pa.int64()), ("once", pa.int64())]
+def _coded(order: int, top):
+    """Code lengths of a bucket's grams, to the blocks that sent them; top: the trie of contexts of one byte at most."""
 
+    def work(rows: pa.Table, lows: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return ANSWERS.empty_table()
+        asked = [unpacked_keys(x) for x in rows.column("data").to_pylist()]
+        keys, n = summed(np.concatenate(asked), np.concatenate([unpacked(x, "u4").astype("i8") for x in rows.column("counts").to_pylist()]))
+        low = [unpacked_keys(x, "u4").astype("u8") for x in lows.column("data").to_pylist()]
+        low_n = [unpacked(x, "i8") for x in lows.column("counts").to_pylist()]
+        second = Trie(np.concatenate(low), np.concatenate(low_n), 2, top.value)
+        logs = Trie(keys, n, order, second).logs(keys)
+        found = [np.unique(logs[np.searchsorted(keys, a)], return_inverse=True) for a in asked]
+        return pa.Table.from_arrays([rows.column("block"), rows.column("bucket"), pa.array([packed(u) for u, _ in found], pa.binary()), pa.array([packed(i.astype("u4")) for _, i in found], pa.binary()), *(pa.nulls(len(asked), pa.int64()) for _ in range(2))], schema=ANSWERS)
 
-def mixed(by_count: np.ndarray, total: int, again: float, by_bytes: np.ndarray) -> np.ndarray:
-    """log10 of again * count / total + (1 - again) * 10 ** by_bytes."""
-    if not again:
-        return by_bytes
-    with np.errstate(divide="ignore"):
-        return np.logaddexp(np.log(again * by_count / total), np.log(1 - again) + by_bytes * np.log(10)) / np.log(10)
+    return work
 
 
-def _scored(n_all: int, distinct: int, n_phrases: int, again: float, id_col: str):
+def _scored(order: int, buckets: int, n_all: int, distinct: int, id_col: str):
     schema = pa.schema([(id_col, pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def work(docs: pa.Table, words: pa.Table) -> pa.Table:
+    def work(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
-        parts = sorted(zip(words.column("first").to_pylist(), words.column("c").to_pylist(), words.column("logs").to_pylist()), key=lambda p: p[0])
-        counts = np.concatenate([unpacked(c, "i8") for _, c, x in parts if x is not None])
-        logs = np.concatenate([unpacked(x, "f4") for _, _, x in parts if x is not None]).astype("f8")
-        told = np.concatenate([unpacked(c, "i8") for _, c, x in parts if x is None])
-        base = np.log10((counts + 0.5) / (n_all + 0.5 * (distinct + 1)))
-        out = []
-        for data, more in zip(docs.column("data"), docs.column("more")):
-            numbers, (starts, phrase) = unpacked(data.as_py(), "u4"), unpacked(more.as_py(), "u4").reshape(2, -1)
-            by_bytes = np.add.reduceat(logs[numbers], starts)
-            out.append((len(numbers), int((counts[numbers] > 0).sum()), float(base[numbers].sum()), float(mixed(told[phrase], n_phrases, again, by_bytes).sum())))
-        arrays = [docs.column("id"), docs.column("held_out"), *(pa.chunked_array([pa.array([o[i] for o in out], k)]) for i, k in ((0, pa.int64()), (1, pa.int64()))), pa.chunked_array([pa.array([n_all] * len(out), pa.int64())]), *(pa.chunked_array([pa.array([o[i] for o in out], pa.float64())]) for i in (2, 3))]
-        return pa.Table.from_arrays(arrays, schema=schema)
+        ids = docs.column("ids")[0].as_py()
+        texts = [t + END for t in expanded(docs.column("data")[0].as_py()).split(END)[:-1]]
+        counts_of, logs_of = {}, {}
+        for bucket, logs, data in zip(answers.column("bucket").to_pylist(), answers.column("logs").to_pylist(), answers.column("data").to_pylist()):
+            if logs is None:
+                counts_of[bucket] = unpacked(data, "i8")
+            else:
+                logs_of[bucket] = unpacked(logs, "f8")[unpacked(data, "u4")]
+        words, numbers, by, _, sizes = numbered(texts, buckets)
+        counts = np.empty(len(words), np.int64)
+        counts[by] = np.concatenate([counts_of[b] for b in sorted(counts_of)])
+        del words
+        starts = np.r_[0, np.cumsum(sizes)[:-1]]
+        base = np.add.reduceat(np.log10((counts + 0.5) / (n_all + 0.5 * (distinct + 1)))[numbers], starts)
+        known = np.add.reduceat((counts > 0)[numbers].astype(np.int64), starts)
+        parts = [np.unique(grams(texts[a:b], order), return_inverse=True) for a, b in pieces(texts)]
+        keys = np.unique(np.concatenate([u for u, _ in parts]))
+        by, _ = dealt(by_context(keys, buckets), buckets)
+        logs = np.empty(len(keys))
+        logs[by] = np.concatenate([logs_of[b] for b in sorted(logs_of)])
+        score = []
+        for (a, b), (u, at) in zip(pieces(texts), parts):
+            score.append(np.add.reduceat(logs[np.searchsorted(keys, u)][at], np.r_[0, np.cumsum([len(t) for t in texts[a:b]])[:-1]]))
+        columns = (ids, [held_out(i) for i in ids], sizes, known, np.full(len(ids), n_all), base, np.concatenate(score))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return work
 
@@ -337,27 +350,28 @@ def _scored(n_all: int, distinct: int, n_phrases: int, again: float, id_col: str
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Null and empty texts are an end alone. Rows with the same id are documents each. A null id counts as the text
-    'None' for the split. Without training documents, counts are 0 and bytes are equally likely.
+    order: 3 to 6. Null, empty and blank texts are an end alone. Rows with the same id are documents each. A null id
+    counts as the text 'None' for the split. Without training documents, counts are 0 and bytes are equally likely.
+    Other columns aren't read.
     """
+    if not 3 <= order <= ORDER:
+        raise ValueError("order must be from 3 to 6")
     spark = docs.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(_split(buckets), PARTS), "parts", by="kind")
-    answer = "block long, first long, c binary, logs binary, total long, once long"
-    words = parts.where("kind = 'words'").select("block", "bucket", "id", "data", "counts")
-    made = cut(words.groupBy("bucket").applyInArrow(_contexts(order, buckets), "kind string, bucket int, to int, tokens long, distinct long, data binary, counts binary, low array<int>, low_n array<long>"), "contexts", by="kind")
-    lows = made.where("kind = 'low'")
-    n_all, distinct = lows.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    three = lows.select(F.explode(F.arrays_zip("low", "low_n")).alias("x")).groupBy("x.low").agg(F.sum("x.low_n").alias("n")).toArrow()  # 2**24 rows at most
-    low = spark.sparkContext.broadcast(Trie(three.column("low").to_numpy().astype("u8"), three.column("n").to_numpy().astype("i8"), 2))
-    asked = made.where("kind = 'grams'").select("bucket", "to", "data", "counts")
-    codes = cut(asked.groupBy("to").applyInArrow(_coded(order, low), "bucket int, to int, data binary, logs binary"), "codes")
-    worded = cut(words.groupBy("bucket").cogroup(codes.groupBy("bucket")).applyInArrow(_worded(order), answer), "worded")
-    told = cut(parts.where("kind = 'phrases'").select("block", "bucket", "id", "data", "counts").groupBy("bucket").applyInArrow(_phrased, answer), "phrased")
-    n_phrases, once = told.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("once"), F.lit(0))).first()
-    again = min(0.99, 1 - once / n_phrases) if n_phrases else 0.0
-    numbered = parts.where("kind = 'doc'").select("block", "id", "held_out", "data", "more")
-    return numbered.groupBy("block").cogroup(worded.union(told).groupBy("block")).applyInArrow(_scored(n_all, distinct, n_phrases, again, id_col), f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    buckets = buckets_for(docs, text_col, BUCKET)
+    parts = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(_split(order, buckets), PARTS_SQL), "parts", by="kind")
+    words = parts.where("kind = 'words'").select("block", "bucket", "data", "counts")
+    worded = cut(words.groupBy("bucket").applyInArrow(_worded, ANSWERS_SQL), "worded")
+    n_all, distinct = worded.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    asked = parts.where("kind = 'lows'").select("bucket", "data", "counts").groupBy("bucket").applyInArrow(_asked, LOWERS_SQL)
+    lowered = cut(asked.groupBy("low").applyInArrow(_lowered, LOWERS_SQL), "lowered")
+    # 2**16 rows at most
+    top = lowered.where("pair is not null").select(F.explode(F.arrays_zip("pair", "n")).alias("x")).groupBy("x.pair").agg(F.sum("x.n").alias("n")).toArrow()
+    top = spark.sparkContext.broadcast(Trie(top.column("pair").to_numpy().astype("u8"), top.column("n").to_numpy().astype("i8"), 1))
+    of_grams = parts.where("kind = 'grams'").select("block", "bucket", "data", "counts").groupBy("bucket")
+    coded = cut(of_grams.cogroup(lowered.select("bucket", "data", "counts").groupBy("bucket")).applyInArrow(_coded(order, top), ANSWERS_SQL), "codes")
+    drop(lowered)
+    texts = parts.where("kind = 'doc'").select("block", "data", "ids")
+    return texts.groupBy("block").cogroup(worded.union(coded).groupBy("block")).applyInArrow(_scored(order, buckets, n_all, distinct, id_col), f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:

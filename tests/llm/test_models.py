@@ -35,92 +35,83 @@ def test_vectors(spark):
     assert vectors.links(df.limit(0)).count() == 0
 
 
-def brute_scores(rows, order, weight):
-    def words(t):
-        return re.findall(rb"[^\x20\x09-\x0D]+", bytes(c + 32 if 65 <= c <= 90 else 1 if c == 0 else c for c in (t or "").encode())) + [ppm.END]
+def brute_scores(rows, order):
+    """Byte after byte, with a trie of dictionaries."""
 
-    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 != 1]
-    counts = Counter(w for _, t in train for w in words(t))
+    def coded(t):
+        raw = bytes(c + 32 if 65 <= c <= 90 else 1 if c == 0 else c for c in (t or "").encode())
+        return re.findall(rb"[^\x20\x09-\x0D]+", raw)
+
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    counts = Counter(w for t in train for w in [*coded(t), b"\n"])
     n, v = sum(counts.values()), len(counts)
 
-    def events(w):
-        context = b"\0" * order + b" "
-        for c in w if w == ppm.END else w + b" ":
-            yield context[len(context) - order :], c
-            context += bytes([c])
+    def events(t):
+        context = b"\0" * order
+        for c in b" ".join(coded(t)) + b"\n":
+            yield context, c
+            context = context[1:] + bytes([c])
 
     trie = [defaultdict(Counter) for _ in range(order + 1)]
-    for w, k in counts.items():
-        for context, c in events(w):
+    for t in train:
+        for context, c in events(t):
             for j in range(order + 1):
-                trie[j][context[order - j :]][c] += k
-
-    def log(w):
-        out = 0.0
-        for context, c in events(w):
-            excluded, done = set(), False
-            for j in range(order, -1, -1):
-                after = trie[j].get(context[order - j :])
-                if after is None:
-                    excluded = set()
-                    continue
-                total, kinds = sum(k for s, k in after.items() if s not in excluded), sum(s not in excluded for s in after)
-                if c in after:
-                    out, done = out + math.log10((2 * after[c] - 1) / (2 * total)), True
-                    break
-                if kinds:
-                    out += math.log10(kinds / (2 * total))
-                excluded = set(after)
-            if not done:
-                out -= math.log10(max(1, 256 - len(excluded)))
-        return out
-
-    def phrases(t):
-        found, held, before = [], [], 0
-        for w in words(t):
-            code = int(ppm.stirred(np.array([zlib.crc32(w) << 32 | zlib.adler32(w)], np.uint64))[0])
-            held.append(w)
-            if int(ppm.stirred(np.array([code], np.uint64) + ppm.stirred(np.array([before], np.uint64)))[0]) % ppm.PHRASE == 0:
-                found.append(tuple(held))
-                held = []
-            before = code
-        return found + [tuple(held)] * bool(held)
-
-    seen = Counter(p for _, t in train for p in phrases(t))
-    total = sum(seen.values())
-    again = min(0.99, 1 - sum(k == 1 for k in seen.values()) / total) if total else 0.0
-    out = {}
+                trie[j][context[order - j :]][c] += 1
+
+    def log(context, c):
+        out, excluded = 0.0, set()
+        for j in range(order, -1, -1):
+            after = trie[j].get(context[order - j :])
+            if after is None:
+                excluded = set()
+                continue
+            total, kinds = sum(k for s, k in after.items() if s not in excluded), sum(s not in excluded for s in after)
+            if c in after:
+                return out + math.log10((2 * after[c] - 1) / (2 * total))
+            if kinds:
+                out += math.log10(kinds / (2 * total))
+            excluded = set(after)
+        return out - math.log10(max(1, 256 - len(excluded)))
+
+    out = []
     for i, t in rows:
-        score = 0.0
-        for p in phrases(t):
-            by_bytes = sum(map(log, p))
-            score += math.log10(again * seen[p] / total + (1 - again) * 10**by_bytes) if seen[p] and again else math.log10(1 - again) + by_bytes
-        w = words(t)
-        out[i] = (zlib.crc32(str(i).encode()) % 5 == 1, len(w), sum(counts[x] > 0 for x in w), n, sum(math.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), score)
-    return out
+        w = [*coded(t), b"\n"]
+        base = sum(math.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
+        out.append((-1 if i is None else i, zlib.crc32(str(i).encode()) % 5 == 1, len(w), sum(counts[x] > 0 for x in w), n, base, sum(log(*e) for e in events(t))))
+    return sorted(out)
 
 
-def test_ppm(spark, sf):
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()] + [(1000, None), (1001, ""), (1002, "Zebra \0 zebra é"), (1003, "word " * 4000), (1004, "x" * 50_000)]
+@pytest.mark.parametrize("order", [3, ppm.ORDER])
+def test_ppm(spark, sf, monkeypatch, order):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(40).collect()] + [(1000, None), (1001, ""), (1002, "Zebra \0 zebra é"), (1003, "word " * 4000), (1004, "x" * 50_000), (1005, " \n\x0b"), (None, "no id"), (None, "no id"), (7, "same id"), (7, "same id"), (7, "other")]
+    monkeypatch.setattr(ppm, "PIECE", 20_000)  # several in a block
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, block string").repartition(3)
-    got, want = ppm.score(df).collect(), brute_scores(rows, ppm.ORDER, 0)
-    assert len(got) == len(rows)
-    for r in got:
-        w = want[r.doc_id]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:4]
-        assert r.base_score == pytest.approx(w[4]) and r.score == pytest.approx(w[5], rel=1e-5), r.doc_id
+    got = sorted((-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in ppm.score(df, order=order).collect())
+    want = brute_scores(rows, order)
+    assert [r[:5] for r in got] == [w[:5] for w in want]
+    for r, w in zip(got, want):
+        assert r[5] == pytest.approx(w[5]) and r[6] == pytest.approx(w[6], rel=1e-9), r[0]
     assert ppm.score(df.limit(0)).count() == 0
-    # no training documents: id 5 is held out
+    # no training documents
     alone = [i for i in range(100) if ppm.held_out(i)][0]
     one = ppm.score(spark.createDataFrame([(alone, "abc")], "doc_id long, text string")).first()
-    assert one.train_tokens == 0 and one.n_known == 0 and one.score == pytest.approx(5 * -math.log10(256))
+    assert one.train_tokens == 0 and one.n_known == 0 and one.score == pytest.approx(4 * -math.log10(256))
+
+
+def test_ppm_beats_the_base(spark):
+    """Held-out documents, by contexts alone; a smaller corpus has too few words for that, as the base spells none."""
+    base, own = ppm.op4_ppm(spark, "/root/testdata/sf0.1").where("held_out").selectExpr("sum(base_score)", "sum(score)").first()
+    assert own > base
+
+
+def test_ppm_contexts_run_over_words():
+    keys = ppm.grams([b"ab cd\n", b"x\n"], 6)
+    assert len(keys) == 8 and int(keys[4]) == int.from_bytes(b"ab cd", "big") and int(keys[6]) == ord("x")
 
 
 def test_ppm_probabilities_sum_to_one():
     """Over all bytes that may follow a context."""
-    words = [b"abra", b"cad", b"abr", ppm.END]
-    key, word = ppm.grams(words, 3)
-    keys, n = ppm.summed(key, np.array([3, 1, 2, 4])[word])
+    keys, n = ppm.summed(ppm.grams([b"abra cad abr\n"] * 3 + [b"cad\n", b"abc\n"], 3), np.ones(3 * 13 + 4 + 4, np.int64))
     low = ppm.Trie(*ppm.summed(keys & np.uint64(0xFFFFFF), n), 2)
     trie = ppm.Trie(keys, n, 3, low)
     for context in {int(k) >> 8 for k in keys}:
