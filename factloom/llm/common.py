@@ -40,26 +40,30 @@ def cut(df: DataFrame, name: str = "cut", by: str | None = None) -> DataFrame:
     return out
 
 
-def _delete(path: str) -> None:
-    spark = _written.pop(path, None)
-    if spark is not None:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+def _delete(path: str, spark: SparkSession) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
-def drop(*cuts: DataFrame) -> None:
-    """Deletes what cut() has written, once nothing that is still to run reads it, and lets go of the shuffles made of it."""
+def drop(*cuts: DataFrame, kinds: tuple[str, ...] = ()) -> None:
+    """Deletes what cut() has written, once nothing that is still to run reads it, and lets go of the shuffles made of it.
+
+    kinds: only the folders of these values of a column "kind" by which it was written."""
+    spark = cuts[0].sparkSession
     for df in cuts:
-        _delete(df.cut_path)
-    cuts[0].sparkSession.sparkContext._jvm.System.gc()  # files of unreachable shuffles are cleaned after a collection
+        for kind in kinds:
+            _delete(f"{df.cut_path}/kind={kind}", spark)
+        if not kinds:
+            _written.pop(df.cut_path, None)
+            _delete(df.cut_path, spark)
+    spark.sparkContext._jvm.System.gc()  # files of unreachable shuffles are cleaned after a collection
 
 
 @atexit.register
 def _drop_all() -> None:
-    for path in list(_written):
+    for path, spark in _written.items():
         with contextlib.suppress(Exception):  # the session may have ended before
-            _delete(path)
+            _delete(path, spark)
 
 
 def row_key(docs: DataFrame, name: str = "__row") -> DataFrame:

@@ -39,11 +39,12 @@ def coded_text(text: str | None) -> bytes:
     return b" ".join((text or "").encode().translate(LOWER).split()) + END
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """Words of a coded text and one end."""
-    found = text.split()
-    found.append(END)
-    return found
+class Places(dict):
+    """Numbers what is asked for, in the order of first asking."""
+
+    def __missing__(self, key):
+        self[key] = number = len(self)
+        return number
 
 
 def held_out(doc_id) -> bool:
@@ -62,7 +63,7 @@ def grams(texts: list[bytes], order: int = ORDER) -> np.ndarray:
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sum of counts of each."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     k = keys[order]
     if not len(k):
         return k, counts
@@ -141,7 +142,7 @@ def unpacked_keys(x: bytes, kind: str = "u8") -> np.ndarray:
 
 
 def squeezed(text: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(text)
+    return zstandard.ZstdCompressor(level=3).compress(text)
 
 
 def expanded(data: bytes) -> bytes:
@@ -163,22 +164,6 @@ def by_context(keys: np.ndarray, buckets: int) -> np.ndarray:
     return spread((keys >> np.uint64(8)) & np.uint64(0xFFFFFF), buckets)
 
 
-def numbered(texts: list[bytes], buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A block's words, and the number of each token's word; of the words, those of each bucket in turn, with where they begin. Sizes by text."""
-    places: dict[bytes, int] = {}
-    numbers, sizes = [], []
-    for text in texts:
-        found = tokens(text)
-        for word in dict.fromkeys(found):
-            if word not in places:
-                places[word] = len(places)
-        numbers.append(np.fromiter(map(places.__getitem__, found), np.uint32, len(found)))
-        sizes.append(len(found))
-    words = list(places)
-    order, edges = dealt(np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets, buckets)
-    return words, np.concatenate(numbers), order, edges, np.array(sizes)
-
-
 def pieces(texts: list[bytes]):
     """Runs of texts of about PIECE bytes each."""
     start, held = 0, 0
@@ -191,15 +176,40 @@ def pieces(texts: list[bytes]):
         yield start, len(texts)
 
 
+def numbered(texts: list[bytes], buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's words (an end as a NUL byte); the number of each token's word; the words' places by bucket, and where each begins; sizes by text."""
+    places = Places()
+    end = places[b"\0"]
+    numbers = []
+    for low, high in pieces(texts):
+        found = b"".join(texts[low:high]).replace(END, b" \0 ").split()
+        numbers.append(np.fromiter(map(places.__getitem__, found), np.uint32, len(found)))
+    numbers, words = np.concatenate(numbers), list(places)
+    order, edges = dealt(np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets, buckets)
+    return words, numbers, order, edges, np.diff(np.flatnonzero(numbers == end), prepend=-1)
+
+
 def counted(texts: list[bytes], trains: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """A block's distinct grams in order, and how often each is in its training texts."""
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys, counts = [], []
     for low, high in pieces(texts):
-        key = grams(texts[low:high], order)
-        weight = np.repeat(trains[low:high], [len(t) for t in texts[low:high]]).astype(np.int64)
-        key, weight = summed(key, weight)
-        keys, counts = summed(np.concatenate([keys, key]), np.concatenate([counts, weight]))
-    return keys, counts
+        trained = np.repeat(trains[low:high], [len(t) for t in texts[low:high]])
+        key = np.sort(grams(texts[low:high], order) << np.uint64(1) | trained.astype(np.uint64))
+        weight, key = (key & np.uint64(1)).astype(np.int64), key >> np.uint64(1)
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        keys.append(key[first])
+        counts.append(np.add.reduceat(weight, first))
+    return summed(np.concatenate(keys), np.concatenate(counts))
+
+
+def placed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the place among them of each."""
+    order = np.argsort(keys)
+    k = keys[order]
+    new = np.r_[True, k[1:] != k[:-1]]
+    at = np.empty(len(keys), np.uint32)
+    at[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+    return k[new], at
 
 
 PARTS = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("bucket", pa.int32()), ("low", pa.int32()), ("data", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(pa.int64()))])
@@ -333,7 +343,7 @@ def _scored(order: int, buckets: int, n_all: int, distinct: int, id_col: str):
         starts = np.r_[0, np.cumsum(sizes)[:-1]]
         base = np.add.reduceat(np.log10((counts + 0.5) / (n_all + 0.5 * (distinct + 1)))[numbers], starts)
         known = np.add.reduceat((counts > 0)[numbers].astype(np.int64), starts)
-        parts = [np.unique(grams(texts[a:b], order), return_inverse=True) for a, b in pieces(texts)]
+        parts = [placed(grams(texts[a:b], order)) for a, b in pieces(texts)]
         keys = np.unique(np.concatenate([u for u, _ in parts]))
         by, _ = dealt(by_context(keys, buckets), buckets)
         logs = np.empty(len(keys))
@@ -369,7 +379,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     top = spark.sparkContext.broadcast(Trie(top.column("pair").to_numpy().astype("u8"), top.column("n").to_numpy().astype("i8"), 1))
     of_grams = parts.where("kind = 'grams'").select("block", "bucket", "data", "counts").groupBy("bucket")
     coded = cut(of_grams.cogroup(lowered.select("bucket", "data", "counts").groupBy("bucket")).applyInArrow(_coded(order, top), ANSWERS_SQL), "codes")
+    # What is used up goes, so that disk holds little more than the texts and the answers to them.
     drop(lowered)
+    drop(parts, kinds=("words", "lows", "grams"))
     texts = parts.where("kind = 'doc'").select("block", "data", "ids")
     return texts.groupBy("block").cogroup(worded.union(coded).groupBy("block")).applyInArrow(_scored(order, buckets, n_all, distinct, id_col), f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

@@ -1,230 +1,605 @@
-"""Operator 9: removal of passages that occur twice, from sampled suffixes merged across shards.
-
-A Burrows-Wheeler merge refines an interleave of all shards' suffixes, symbol by symbol, until blocks of equal
-prefixes are as long as the repeats asked for. For repeats of LENGTH bytes, that is LENGTH passes over all suffixes.
-Here the suffixes are sampled and the symbols are long, so that four passes over few rows do the same exactly:
-
-* Each window of LENGTH bytes chooses one anchor, its leftmost k-mer of smallest hash. Equal windows choose alike, so
-  every repeat is seen at anchors, about one for 150 bytes. An anchor's window is given by its offset d to the
-  left of the anchor; all bytes that the windows of a range of offsets share are that range's common prefix.
-* Shards give, for every anchor, the symbol of the present depth; equal ones are counted in the shard first. Merging
-  them splits each block by the next symbol. Blocks of one suffix have no repeat and leave.
-* Offsets are refined from all of an anchor's to ranges of 44, 4 and 1: in a block that shares even the union of a
-  range's windows, all windows of the range repeat; otherwise the range is split again. At width 1 the shared prefix
-  is a window.
-
-Symbols are 64-bit digests; a repeat needs two of them, with different bases, to agree.
+"""Operator 9: removal of passages that occur twice, by merging the Burrows-Wheeler transforms of shards.
+
+Texts are parsed into phrases that begin where a window of w k-mers has its smallest hash (leftmost of equals), so that equal
+passages are parsed alike, but for their edges. Over phrases, a passage of LENGTH bytes is a dozen symbols long.
+
+* A shard sorts the suffixes of its parse once, by prefix doubling. That gives its transform: the suffixes' order, the
+  phrase before each (a step to the left in the text), and the common prefixes of neighbours.
+* The merge refines the interleave of all shards' suffixes. A block holds the suffixes of all shards that begin with the
+  same phrases; in each shard it is one interval. Steps to the left double the settled prefix: a suffix whose block at
+  depth k is x, and whose suffix k phrases on is in block y, is in block (x, y) at depth 2k. Shards send one row for each
+  of their intervals, buckets number the blocks, and blocks of one suffix are settled and leave. No suffix is sorted again.
+* Common prefixes follow: a run of m phrases is repeated if its two overlapping runs of the largest power of two make a
+  block of several suffixes. What such runs cover is repeated as a whole; that settles all but the edges of passages.
+* At the edges, windows of LENGTH bytes are told by the run of phrases inside and the bytes on both sides of it.
+
+Nothing rests on digests: those of phrases only choose which phrases are sent; phrases of equal digest are compared
+byte by byte, blocks are pairs of exact numbers, and bytes at edges are compared as they are.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
-from functools import lru_cache
+import pickle
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, slices, table
+from .common import buckets_for, cut, drop, slices, table
+from .ppm import dealt, expanded, packed, spread, squeezed, unpacked
 
-LENGTH, KMER = 400, 96
-TOP, WIDTHS = 308, (44, 4, 1)
-BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+LENGTH = 400
+#: Bytes of text of a shard, and for which there is a bucket.
+SHARD, BUCKET = 2 << 20, 32 << 20
+#: Low bits of a window's minimum that hold its place in the shard: documents are below 2 GB.
+PLACE = np.uint64(31)
+FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _rng = np.random.default_rng(19_970_303)
-LETTERS = _rng.integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-MIX, LOW = np.uint64(0xD6E8FEB86659FD93), np.uint64((1 << 20) - 1)
-#: Anchors are chosen in stretches of so many bytes, so that a place fits into the low bits of a hash.
-STRETCH = 1 << 19
+LETTERS = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+ROWS = pa.schema([("kind", pa.string()), ("shard", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary())])
+ROWS_SQL = "kind string, shard long, bucket int, data binary"
+
+
+def sampling(length: int) -> tuple[int, int]:
+    """(bytes of a k-mer, k-mers of a window): a passage of `length` bytes holds at least five windows side by side."""
+    k = max(1, min(32, length // 8))
+    return k, max(1, (length - k + 1) // 5)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * MIX
-    x = (x ^ (x >> np.uint64(29))) * MIX
+    x = (x ^ (x >> np.uint64(29))) * FACTOR
     return x ^ (x >> np.uint64(32))
 
 
-@lru_cache(maxsize=4)
-def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers from 0 to n, and their inverses modulo 2**64."""
-    base = BASES[which]
-    up = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, base, np.uint64))])
-    inverse = np.uint64(pow(int(base), -1, 1 << 64))
-    return up, np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, inverse, np.uint64))])
-
-
-def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(which, 1 << max(14, int(n).bit_length()))
-
-
-class Digests:
-    """Digests of any substrings of some bytes."""
-
-    def __init__(self, data: np.ndarray, which: int):
-        up, self.down = powers(which, len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(LETTERS[which][data] * up[: len(data)], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
-
-
-def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(place, digest, smallest and largest offset) of the anchors that the windows of `data` choose."""
-    parts = []
-    for begin in range(0, max(0, len(data) - length + 1), STRETCH):
-        piece = data[begin : begin + STRETCH + length - 1]
-        digest = Digests(piece, 0)
-        n, w = len(piece) - KMER + 1, length - KMER + 1
-        all_at = np.arange(n)
-        hashes = mixed((digest.sums[KMER:] - digest.sums[:n]) * digest.down[:n])
-        packed = (hashes & ~LOW) | all_at.astype(np.uint64)
-        blocks = -(-n // w)
-        padded = np.full(blocks * w, np.iinfo(np.uint64).max, np.uint64)
-        padded[:n] = packed
-        grid = padded.reshape(blocks, w)
-        ahead = np.minimum.accumulate(grid, axis=1).ravel()
-        back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-        windows = n - w + 1
-        chosen = (np.minimum(back[:windows], ahead[w - 1 : w - 1 + windows]) & LOW).astype(np.int64)
-        first = np.r_[0, np.flatnonzero(chosen[1:] != chosen[:-1]) + 1]
-        last = np.r_[first[1:] - 1, windows - 1]
-        place = chosen[first]
-        parts.append((place + begin, hashes[place], place - last, place - first))
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    place, digest, low, high = (np.concatenate(x) for x in zip(*parts))
-    # An anchor that windows of two stretches choose is one.
-    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    return place[first], digest[first], np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
-
-
-def as_bytes(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").encode(), np.uint8)
-
-
-def _anchored(batches):
-    for batch in slices(batches):
-        found = {k: [] for k in ("n", "sha", "a", "i", "u", "lo", "hi")}
-        for text in batch.column(2).to_pylist():
-            data = as_bytes(text)
-            place, digest, low, high = anchors(data)
-            union = Digests(data, 1).of(place - high, place - low + LENGTH) if len(place) else digest
-            union = mixed(union ^ (low << 16 | high).astype(np.uint64))
-            for name, value in zip(found, (len(data), hashlib.sha256(data).hexdigest(), place.astype("i4"), digest.view("i8"), union.view("i8"), low.astype("i2"), high.astype("i2"))):
-                found[name].append(value)
-        arrays = [pa.array(found["n"], pa.int64()), pa.array(found["sha"]), pa.array(found["a"], pa.list_(pa.int32())), pa.array(found["i"], pa.list_(pa.int64())), pa.array(found["u"], pa.list_(pa.int64())), pa.array(found["lo"], pa.list_(pa.int16())), pa.array(found["hi"], pa.list_(pa.int16()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *arrays], ["id", "th", "given", *found])
-
-
-def _refined(width: int, parent: int):
-    """Symbols of the ranges of `width` offsets inside those of `parent`: of what their windows share, and of their union."""
+def kmers(data: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all k-mers, from those of the powers of two that make up k."""
+    part, size, out, done = LETTERS[data], 1, None, 0
+    while True:
+        if k & size:
+            out, done = (part, size) if out is None else (out[: len(data) - done - size + 1] * FACTOR ** np.uint64(size % 64 + 1) + part[done : len(data) - size + 1], done + size)
+        if 2 * size > k:
+            return mixed(out)
+        part = part[:-size] * (MIX + np.uint64(2 * size)) + part[size:]
+        size *= 2
+
+
+def minima(values: np.ndarray, w: int) -> np.ndarray:
+    """The smallest of each w neighbours."""
+    n = len(values)
+    padded = np.full(-(-n // w) * w, np.iinfo(np.uint64).max, np.uint64)
+    padded[:n] = values
+    grid = padded.reshape(-1, w)
+    ahead = np.minimum.accumulate(grid, axis=1).ravel()
+    back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
+
+
+def parsed(data: np.ndarray, base: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts of phrases, and the total; first window that chose each start, -1 for a text's start that none chose). base: the texts' starts, and the total."""
+    k, w = sampling(length)
+    if not len(data):
+        return np.zeros(1, np.int64), np.zeros(0, np.int64)
+    hashes = kmers(data, k)
+    places = (hashes << PLACE >> PLACE << PLACE) | np.arange(len(hashes), dtype=np.uint64)
+    chosen = (minima(places, w) & np.uint64((1 << 31) - 1)).astype(np.int64)
+    inside = np.zeros(len(data) + 1, np.int32)
+    inside[base[:-1]] += 1
+    inside[base[1:] - (w + k - 1) + 1] -= 1
+    at = np.flatnonzero(np.cumsum(inside[:-1]))
+    chosen = chosen[at]
+    first = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
+    start = np.union1d(chosen[first], base)
+    low = np.full(len(start) - 1, -1, np.int64)
+    low[np.searchsorted(start, chosen[first])] = at[first]
+    return start, low
+
+
+def digests(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Of the phrases; equal for equal phrases."""
+    if len(start) < 2:
+        return np.zeros(0, np.uint64)
+    sizes = np.diff(start)
+    powers = np.cumprod(np.full(int(sizes.max()), FACTOR, np.uint64))
+    place = np.arange(len(data)) - np.repeat(start[:-1], sizes)
+    return mixed(np.add.reduceat(LETTERS[data] * powers[place], start[:-1]) + sizes.astype(np.uint64))
+
+
+def blob(*arrays: np.ndarray) -> bytes:
+    return pickle.dumps([(x.dtype.str, packed(x)) for x in arrays])
+
+
+def unblob(data: bytes) -> list[np.ndarray]:
+    return [unpacked(x, kind) for kind, x in pickle.loads(data)]
+
+
+class Shard:
+    """The parse of a shard's texts, its suffix order and the blocks found so far."""
+
+    def __init__(self, length: int, docs: np.ndarray, base: np.ndarray, start: np.ndarray, low: np.ndarray, names: list[np.ndarray], order: np.ndarray, common: np.ndarray, settled: np.ndarray):
+        #: Numbers of the texts among the shard's documents; their starts; of phrases, the starts and the first windows.
+        self.length, self.docs, self.base, self.start, self.low = length, docs, base, start, low
+        #: Block of each suffix at depths 1, 2, 4 ...; -1: of one suffix, or none.
+        self.names = names
+        #: Suffixes that begin with a repeated phrase, in order, and how many phrases each shares with the one before.
+        self.order, self.common, self.settled = order, common, settled
+
+    def pack(self) -> bytes:
+        steps = [np.diff(x, prepend=0).astype("i4") for x in (self.docs, self.base, self.start, self.low)]
+        places = [np.flatnonzero(n >= 0) for n in self.names]
+        return pickle.dumps((self.length, blob(*steps, self.order.astype("i4"), self.common.astype("i4"), self.settled), [blob(np.diff(p, prepend=0).astype("i4"), n[p]) for p, n in zip(places, self.names)]))
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Shard:
+        length, arrays, levels = pickle.loads(data)
+        *steps, order, common, settled = unblob(arrays)
+        docs, base, start, low = (np.cumsum(x, dtype=np.int64) for x in steps)
+        names = []
+        for level in levels:
+            places, values = unblob(level)
+            full = np.full(len(low), -1, np.int64)
+            full[np.cumsum(places, dtype=np.int64)] = values
+            names.append(full)
+        return cls(length, docs, base, start, low, names, order.astype(np.int64), common.astype(np.int64), settled)
+
+    def ends(self) -> np.ndarray:
+        """End of the text that each phrase is in."""
+        return self.base[np.searchsorted(self.base, self.start[:-1], "right")]
+
+    def runs(self) -> np.ndarray:
+        """How many repeated phrases follow each other from each phrase on, in its text."""
+        n = len(self.low)
+        stop = (self.names[0] < 0) | np.isin(np.arange(n), np.searchsorted(self.start, self.base[:-1]))
+        # the next phrase that isn't repeated, or that begins a text
+        after = np.r_[np.where(stop, np.arange(n), n), n]
+        after = np.minimum.accumulate(after[::-1])[::-1]
+        return np.where(self.names[0] >= 0, after[1:] - np.arange(n), 0)
+
+    def covers(self) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases in which windows start, how many phrases hold all these windows)."""
+        end = self.ends()
+        own = np.flatnonzero(self.start[:-1] + self.length <= end)
+        last = np.minimum(self.start[own + 1] - 1, end[own] - self.length)
+        return own, np.searchsorted(self.start, last + self.length) - own
+
+    def sort(self, runs: np.ndarray) -> None:
+        """The suffix order by doubling, as deep as the longest run that is asked for; common prefixes."""
+        own, m = self.covers()
+        possible = m[runs[own] >= np.minimum(m, 1 << 30)]
+        depth = int(possible.max()) if len(possible) else 1
+        at = np.flatnonzero(self.names[0] >= 0)
+        rank = np.zeros(len(self.low) + 1, np.int64)
+        rank[at] = np.unique(self.names[0][at], return_inverse=True)[1] + 1
+        levels, k = [rank], 1
+        while k < depth:
+            # beyond a run's end nothing follows
+            second = np.where(runs[at] > k, rank[np.minimum(at + k, len(self.low))], 0)
+            key = rank[at] * (len(at) + 2) + second
+            rank = np.zeros(len(self.low) + 1, np.int64)
+            rank[at] = np.unique(key, return_inverse=True)[1] + 1
+            levels.append(rank)
+            k *= 2
+        self.order = at[np.argsort(rank[at], kind="stable")]
+        a, b = self.order[:-1], self.order[1:]
+        common = np.zeros(max(0, len(self.order) - 1), np.int64)
+        for j in range(len(levels) - 1, -1, -1):
+            x, y = np.minimum(a + common, len(self.low)), np.minimum(b + common, len(self.low))
+            same = (runs[a] - common >= 1 << j) & (runs[b] - common >= 1 << j) & (levels[j][x] == levels[j][y])
+            common += np.where(same, 1 << j, 0)
+        self.common = np.r_[np.zeros(min(1, len(self.order)), np.int64), common]
+
+    def run_blocks(self, at: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Blocks of the two overlapping runs that make up the run of m phrases from each place; -1 where one isn't repeated."""
+        level = np.frexp(m)[1] - 1
+        a, b = np.full(len(at), -1, np.int64), np.full(len(at), -1, np.int64)
+        for j in np.unique(level).tolist():
+            if j < len(self.names):
+                own = np.flatnonzero(level == j)
+                a[own], b[own] = self.names[j][at[own]], self.names[j][at[own] + m[own] - (1 << j)]
+        return a, b
+
+    def deeper(self) -> tuple[np.ndarray, ...] | None:
+        """The next refinement: of each interval of the shard, (block, block k phrases on, whether it holds several, its place in the order); None if not needed."""
+        k = 1 << len(self.names) - 1
+        own, m = self.covers()
+        if not (self.common >= 2 * k).any() and not self.wanted(own, m, 2 * k):
+            return None
+        name, at = self.names[-1], self.order
+        on = np.minimum(at + k, len(name) - 1)
+        full = (self.runs()[at] >= 2 * k) & (name[at] >= 0) & (name[on] >= 0)
+        head = np.flatnonzero((self.common < 2 * k) & full)
+        interval = np.cumsum(self.common < 2 * k) - 1
+        size = np.bincount(interval[full], minlength=int(interval[-1]) + 1 if len(interval) else 0)
+        return (name[at[head]], name[on[head]], size[interval[head]] > 1, head) if len(head) else None
+
+    def wanted(self, own: np.ndarray, m: np.ndarray, depth: int) -> bool:
+        """Whether runs of so many phrases are asked for, at a place where they are possible."""
+        return bool(((m >= depth) & (self.runs()[own] >= depth)).any())
+
+    def deepen(self, head: np.ndarray, found: np.ndarray) -> None:
+        k = 1 << len(self.names) - 1
+        of_head = np.full(len(self.order), -1, np.int64)
+        of_head[head] = found
+        starts = np.flatnonzero(self.common < 2 * k)
+        name = np.full(len(self.low), -1, np.int64)
+        if len(starts):
+            name[self.order] = of_head[starts][np.cumsum(self.common < 2 * k) - 1]
+        name[self.runs() < 2 * k] = -1
+        self.names.append(name)
+
+    def windows(self) -> tuple[np.ndarray, ...]:
+        """Unsettled windows that hold a possibly repeated run: (start, first and last phrase start inside, blocks)."""
+        k, w = sampling(self.length)
+        anchors = np.flatnonzero(self.low >= 0)
+        low = self.low[anchors]
+        end = self.ends()[anchors]
+        # windows choose the same start up to the next one's first, in the same text
+        stop = np.minimum(np.r_[low[1:], self.start[-1]], end - self.length + 1)
+        some = np.flatnonzero((self.names[0][anchors] >= 0) & (stop > low))
+        sizes = (stop - low)[some]
+        s = np.repeat(low[some] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum()) if len(some) else np.zeros(0, np.int64)
+        first = np.repeat(anchors[some], sizes)
+        open_ = ~self.settled[np.searchsorted(self.start, s, "right") - 1]
+        s, first = s[open_], first[open_]
+        last = anchors[np.searchsorted(low, s + self.length - w - k + 1, "right") - 1]
+        a, b = self.run_blocks(first, last - first)
+        found = (a >= 0) & (b >= 0)
+        return s[found], first[found], last[found], a[found], b[found]
+
+
+def row(kind: str, shard: int, bucket: int, data: bytes) -> tuple:
+    return kind, shard, bucket, data
+
+
+def rows_of(found: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r[i] for r in found], f.type) for i, f in enumerate(ROWS)], schema=ROWS)
+
+
+def by_kind(rows: pa.Table) -> dict[str, list[tuple[int, bytes]]]:
+    out: dict[str, list] = {}
+    for kind, bucket, data in zip(rows.column("kind").to_pylist(), rows.column("bucket").to_pylist(), rows.column("data").to_pylist()):
+        out.setdefault(kind, []).append((bucket, data))
+    return out
+
+
+def ask_numbers(shard: int, a: np.ndarray, b: np.ndarray, m: np.ndarray, several: np.ndarray, buckets: int) -> list[tuple]:
+    """A row for each bucket, with its share of the keys (a, b, m), in order."""
+    by, edges = dealt(spread(mixed(a.astype(np.uint64) + FACTOR * b.astype(np.uint64) + MIX * m.astype(np.uint64)), buckets), buckets)
+    return [row("asks", shard, i, blob(a[by[x:y]], b[by[x:y]], m[by[x:y]], several[by[x:y]])) for i, (x, y) in enumerate(zip(edges, edges[1:])) if x < y]
+
+
+def answered(a: np.ndarray, b: np.ndarray, m: np.ndarray, answers: list[tuple[int, bytes]], buckets: int) -> np.ndarray:
+    by, _ = dealt(spread(mixed(a.astype(np.uint64) + FACTOR * b.astype(np.uint64) + MIX * m.astype(np.uint64)), buckets), buckets)
+    out = np.full(len(a), -1, np.int64)
+    if len(by):
+        out[by] = np.concatenate([unblob(data)[0] for _, data in sorted(answers)])
+    return out
+
+
+def _merged_numbers(rows: pa.Table) -> pa.Table:
+    """Numbers the blocks of several suffixes; -1 for those of one."""
+    parts = [unblob(x) for x in rows.column("data").to_pylist()]
+    a, b, m, several = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    order = np.lexsort((m, b, a))
+    new = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]) | (m[order][1:] != m[order][:-1])]
+    first = np.flatnonzero(new)
+    many = np.add.reduceat(1 + several[order].astype(np.int64), first) > 1
+    bucket = rows.column("bucket")[0].as_py()
+    number = np.where(many, (bucket << 40) + np.cumsum(many) - 1, -1)
+    found = np.empty(len(a), np.int64)
+    found[order] = number[np.cumsum(new) - 1]
+    edges = np.cumsum([0, *(len(p[0]) for p in parts)])
+    return rows_of([row("answers", s, bucket, blob(found[x:y])) for s, x, y in zip(rows.column("shard").to_pylist(), edges, edges[1:])])
+
+
+def ask_bytes(shard: int, keys: dict[bytes, int], buckets: int) -> list[tuple]:
+    """keys: how often each is in the shard."""
+    shares: dict[int, list[bytes]] = {}
+    for key in keys:
+        shares.setdefault(zlib.crc32(key) % buckets, []).append(key)
+    return [row("asks", shard, i, pickle.dumps((squeezed(b"".join(own)), blob(np.array([len(x) for x in own], "u4"), np.array([keys[x] > 1 for x in own]))))) for i, own in shares.items()]
+
+
+def answered_bytes(keys: dict[bytes, int], answers: list[tuple[int, bytes]], buckets: int) -> dict[bytes, int]:
+    shares = {bucket: iter(unblob(data)[0].tolist()) for bucket, data in answers}
+    return {key: next(shares[zlib.crc32(key) % buckets]) for key in keys}
+
+
+def _merged_bytes(rows: pa.Table) -> pa.Table:
+    """As _merged_numbers, for keys of bytes, compared as such."""
+    lists, seen = [], {}
+    for data in rows.column("data").to_pylist():
+        joined, more = pickle.loads(data)
+        text, (sizes, several) = expanded(joined), unblob(more)
+        edges = np.r_[0, np.cumsum(sizes, dtype=np.int64)].tolist()
+        own = [text[x:y] for x, y in zip(edges, edges[1:])]
+        for key, n in zip(own, several.tolist()):
+            seen[key] = seen.get(key, 0) + 1 + n
+        lists.append(own)
+    bucket = rows.column("bucket")[0].as_py()
+    numbers = {key: (bucket << 40) + i for i, (key, n) in enumerate(seen.items()) if n > 1}
+    return rows_of([row("answers", s, bucket, blob(np.array([numbers.get(k, -1) for k in own], np.int64))) for s, own in zip(rows.column("shard").to_pylist(), lists)])
+
+
+def _parse(length: int, buckets: int):
+    """Shards of documents: what is told of each, the long ones' texts, and the digests of phrases."""
+
+    def sent(shard: int, ids: list, texts: list[bytes]):
+        told = [ids, [len(t) for t in texts], [hashlib.sha256(t).hexdigest() for t in texts]]
+        found = [row("docs", shard, -1, pickle.dumps(told))]
+        docs = np.array([i for i, t in enumerate(texts) if len(t) >= length], np.int64)
+        if len(docs):
+            text = b"".join(texts[i] for i in docs)
+            base = np.r_[0, np.cumsum([len(texts[i]) for i in docs])].astype(np.int64)
+            data = np.frombuffer(text, np.uint8)
+            start, low = parsed(data, base, length)
+            found.append(row("text", shard, -1, squeezed(text)))
+            none = np.zeros(0, np.int64)
+            found.append(row("state", shard, -1, Shard(length, docs, base, start, low, [], none, none, none).pack()))
+            digest, n = np.unique(digests(data, start), return_counts=True)
+            zero = np.zeros(len(digest), np.int64)
+            found += ask_numbers(shard, digest.view(np.int64), zero, zero, n > 1, buckets)
+        yield from rows_of(found).to_batches()
 
     def work(batches):
-        names = ("id", "th", "a", "lo", "hi", "base", "i", "u")
-        for batch in slices(batches, 128):
-            out = [[] for _ in range(8)]
-            for at, text in enumerate(batch.column("t").to_pylist()):
-                a, low, high, base = (np.array(batch.column(c)[at].as_py(), np.int64) for c in ("a", "lo", "hi", "base"))
-                data = as_bytes(text)
-                starts = base[:, None] + np.arange(0, parent, width)[None, :]
-                rows, cols = np.nonzero((starts <= high[:, None]) & (starts + width > low[:, None]))
-                if not len(rows):
-                    continue
-                a, low, high, base = a[rows], low[rows], high[rows], starts[rows, cols]
-                first, second = Digests(data, 0), Digests(data, 1)
-                near, far = base, np.minimum(base + width - 1, LENGTH - KMER)
-                # All windows share [a - near, a - far + LENGTH), which lies in the text as one of them is valid here.
-                shared = first.of(a - near, a - far + LENGTH)
-                inside = (a - far >= 0) & (a - near + LENGTH <= len(data))
-                union = second.of(np.where(inside, a - far, 0), np.where(inside, a - near + LENGTH, 0))
-                salt = mixed(base.astype(np.uint64) + np.uint64(1))
-                own = mixed(a.astype(np.uint64) + np.uint64(batch.column("id")[at].as_py() * int(MIX) % 2**64))
-                for column, value in zip(out, (np.full(len(a), batch.column("id")[at].as_py()), np.full(len(a), batch.column("th")[at].as_py()), a, low, high, base, (shared + salt).view("i8"), np.where(inside, union + salt, own).view("i8"))):
-                    column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.int16(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(c) if c else np.zeros(0, "i8")).astype(k.to_pandas_dtype()), k) for c, k in zip(out, kinds)], names)
+        base, n_shards, ids, texts, size = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32, 0, [], [], 0
+        for batch in slices(batches):
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids.append(name)
+                texts.append((text or "").encode())
+                size += len(texts[-1]) + 64
+                if size >= SHARD:
+                    yield from sent(base | n_shards, ids, texts)
+                    n_shards, ids, texts, size = n_shards + 1, [], [], 0
+        if ids:
+            yield from sent(base | n_shards, ids, texts)
 
     return work
 
 
-def _removed(with_text: bool):
-    def work(batches):
-        for batch in slices(batches, 128):
-            n_removed, n_spans, shas, texts = [], [], [], []
-            for at, text in enumerate(batch.column("t").to_pylist()):
-                data = as_bytes(text)
-                mark = np.zeros(len(data) + 1, np.int32)
-                np.add.at(mark, np.array(batch.column("start")[at].as_py(), np.int64), 1)
-                np.add.at(mark, np.array(batch.column("end")[at].as_py(), np.int64), -1)
-                gone = np.cumsum(mark[:-1]) > 0
-                left = data[~gone].tobytes()
-                n_removed.append(int(gone.sum()))
-                n_spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-                shas.append(hashlib.sha256(left).hexdigest())
-                texts.append(left.decode("utf-8", "ignore") if with_text else None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(shas), pa.array(texts, pa.string())], ["id", "th", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+def phrases_of(text: bytes, start: np.ndarray, which: np.ndarray) -> list[bytes]:
+    return [text[x:y] for x, y in zip(start[which].tolist(), start[which + 1].tolist())]
+
+
+def counts_of(keys: list[bytes]) -> dict[bytes, int]:
+    out: dict[bytes, int] = {}
+    for key in keys:
+        out[key] = out.get(key, 0) + 1
+    return out
+
+
+def _phrases(buckets: int):
+    """After the digests: texts that can hold a repeat go on; their phrases whose digest repeats are sent."""
+
+    def work(rows: pa.Table) -> pa.Table:
+        got, shard = by_kind(rows), rows.column("shard")[0].as_py()
+        state, text = Shard.unpack(got["state"][0][1]), expanded(got["text"][0][1])
+        data = np.frombuffer(text, np.uint8)
+        digest, at = np.unique(digests(data, state.start), return_inverse=True)
+        zero = np.zeros(len(digest), np.int64)
+        state.names = [answered(digest.view(np.int64), zero, zero, got["answers"], buckets)[at]]
+        # A repeat holds a run of phrases that is at most two windows and a k-mer shorter.
+        k, w = sampling(state.length)
+        runs = state.runs()
+        held = state.start[np.arange(len(runs)) + runs] - state.start[:-1]
+        text_of = np.searchsorted(state.base, state.start[:-1], "right") - 1
+        keep = np.zeros(len(state.docs), bool)
+        keep[text_of[held >= state.length - 2 * w - k]] = True
+        if not keep.any():
+            return ROWS.empty_table()
+        sizes = np.diff(state.base)[keep]
+        shift = np.r_[0, np.cumsum(sizes)]
+        moved = np.zeros(len(keep), np.int64)
+        moved[keep] = shift[:-1] - state.base[:-1][keep]
+        own = keep[text_of]
+        low = state.low[own]
+        low = np.where(low >= 0, low + moved[text_of[own]], -1)
+        text = b"".join(text[state.base[i] : state.base[i + 1]] for i in np.flatnonzero(keep))
+        none = np.zeros(0, np.int64)
+        new = Shard(state.length, state.docs[keep], shift, np.r_[state.start[:-1][own] + moved[text_of[own]], shift[-1]], low, [state.names[0][own]], none, none, none)
+        sent = phrases_of(text, new.start, np.flatnonzero(new.names[0] >= 0))
+        return rows_of([row("state", shard, -1, new.pack()), row("text", shard, -1, squeezed(text)), *ask_bytes(shard, counts_of(sent), buckets)])
+
+    return work
+
+
+def _sorted(buckets: int):
+    """After the phrases: they are numbered; the shard's suffixes are sorted, and its first intervals sent."""
+
+    def work(rows: pa.Table) -> pa.Table:
+        got, shard = by_kind(rows), rows.column("shard")[0].as_py()
+        state, text = Shard.unpack(got["state"][0][1]), expanded(got["text"][0][1])
+        which = np.flatnonzero(state.names[0] >= 0)
+        sent = phrases_of(text, state.start, which)
+        numbers = answered_bytes(counts_of(sent), got["answers"], buckets)
+        state.names[0][which] = np.fromiter(map(numbers.__getitem__, sent), np.int64, len(sent))
+        state.sort(state.runs())
+        return refined(shard, state, buckets)
+
+    return work
+
+
+def refined(shard: int, state: Shard, buckets: int) -> pa.Table:
+    found = [row("state", shard, -1, state.pack())]
+    if (more := state.deeper()) is not None:
+        a, b, several, _ = more
+        found += ask_numbers(shard, a, b, np.zeros(len(a), np.int64), several, buckets)
+    return rows_of(found)
+
+
+def _refine(buckets: int):
+    """One pass of the merge: blocks of twice the depth."""
+
+    def work(rows: pa.Table) -> pa.Table:
+        got, shard = by_kind(rows), rows.column("shard")[0].as_py()
+        state = Shard.unpack(got["state"][0][1])
+        if "answers" in got:
+            a, b, _, head = state.deeper()
+            state.deepen(head, answered(a, b, np.zeros(len(a), np.int64), got["answers"], buckets))
+            return refined(shard, state, buckets)
+        return rows_of([row("state", shard, -1, got["state"][0][1])])
+
+    return work
+
+
+def covering(state: Shard) -> tuple[np.ndarray, ...]:
+    """(phrases whose windows' cover may be repeated, its length in phrases, its blocks; distinct covers, where each is among them, how often)."""
+    own, m = state.covers()
+    a, b = state.run_blocks(own, m)
+    some = (a >= 0) & (b >= 0)
+    own, m, a, b = own[some], m[some], a[some], b[some]
+    order = np.lexsort((m, b, a))
+    new = np.r_[np.ones(min(1, len(own)), bool), (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]) | (m[order][1:] != m[order][:-1])]
+    at = np.empty(len(own), np.int64)
+    at[order] = np.cumsum(new) - 1
+    first = order[new]
+    return own, a[first], b[first], m[first], at, np.bincount(at, minlength=len(first))
+
+
+def _covers(buckets: int):
+    """After the merge: covers of all windows that start in a phrase are sent."""
+
+    def work(rows: pa.Table) -> pa.Table:
+        got, shard = by_kind(rows), rows.column("shard")[0].as_py()
+        _, a, b, m, _, n = covering(Shard.unpack(got["state"][0][1]))
+        return rows_of([row("state", shard, -1, got["state"][0][1]), *ask_numbers(shard, a, b, m, n > 1, buckets)])
+
+    return work
+
+
+def window_keys(state: Shard, text: bytes) -> tuple[np.ndarray, list[bytes]]:
+    """Of each unsettled window: its start; the run inside and the bytes beside it."""
+    s, first, last, a, b = state.windows()
+    inner = np.stack([a, b, last - first, state.start[first] - s], axis=1).astype("<i8").tobytes() if len(s) else b""
+    sides = zip(s.tolist(), state.start[first].tolist(), state.start[last].tolist())
+    return s, [inner[32 * i : 32 * i + 32] + text[x:y] + text[z : x + state.length] for i, (x, y, z) in enumerate(sides)]
+
+
+def _edges(buckets: int):
+    """After the covers: windows that none settles are sent, as their run of phrases and the bytes beside it."""
+
+    def work(rows: pa.Table) -> pa.Table:
+        got, shard = by_kind(rows), rows.column("shard")[0].as_py()
+        state, text = Shard.unpack(got["state"][0][1]), expanded(got["text"][0][1])
+        own, a, b, m, at, _ = covering(state)
+        state.settled = np.zeros(len(state.low), bool)
+        state.settled[own] = answered(a, b, m, got.get("answers", []), buckets)[at] >= 0
+        _, keys = window_keys(state, text)
+        return rows_of([row("state", shard, -1, state.pack()), *ask_bytes(shard, counts_of(keys), buckets)])
 
     return work
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256; with_text also kept_text.
+def _removed(length: int, min_words: int, with_text: bool, buckets: int):
+    """Each document with what goes from it."""
+
+    def work(rows: pa.Table) -> pa.Table:
+        got = by_kind(rows)
+        ids, sizes, shas = pickle.loads(got["docs"][0][1])
+        n_removed, n_spans, kept, texts = [0] * len(ids), [0] * len(ids), list(shas), [None] * len(ids)
+        if "state" in got:
+            state, text = Shard.unpack(got["state"][0][1]), expanded(got["text"][0][1])
+            data = np.frombuffer(text, np.uint8)
+            s, keys = window_keys(state, text)
+            numbers = answered_bytes(counts_of(keys), got.get("answers", []), buckets)
+            s = s[np.fromiter((numbers[k] >= 0 for k in keys), bool, len(keys))]
+            mark = np.zeros(len(data) + 1, np.int64)
+            np.add.at(mark, s, 1)
+            np.add.at(mark, s + length, -1)
+            whole = np.flatnonzero(state.settled)
+            np.add.at(mark, state.start[whole], 1)
+            np.add.at(mark, np.minimum(state.start[whole + 1] - 1, state.ends()[whole] - length) + length, -1)
+            gone = np.cumsum(mark[:-1]) > 0
+            # runs end with their text
+            starts = np.zeros(len(data), bool)
+            starts[state.base[:-1]] = True
+            x = np.flatnonzero(gone & (starts | ~np.r_[False, gone[:-1]]))
+            y = np.flatnonzero(gone & np.r_[starts[1:] | ~gone[1:], True]) + 1
+            if min_words:
+                enough = np.fromiter((len(text[a:b].split()) >= min_words for a, b in zip(x.tolist(), y.tolist())), bool, len(x))
+                x, y = x[enough], y[enough]
+            text_of = np.searchsorted(state.base, x, "right") - 1
+            for i in np.unique(text_of).tolist():
+                spans = [(a, b) for a, b in zip(x[text_of == i].tolist(), y[text_of == i].tolist())]
+                edges = [int(state.base[i]), *(e for span in spans for e in span), int(state.base[i + 1])]
+                left = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                doc = int(state.docs[i])
+                n_removed[doc], n_spans[doc], kept[doc] = sum(b - a for a, b in spans), len(spans), hashlib.sha256(left).hexdigest()
+                texts[doc] = left.decode("utf-8", "ignore") if with_text else None
+        columns = (ids, sizes, n_removed, n_spans, kept, shas, texts)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FOUND)], schema=FOUND)
+
+    return work
+
 
-    A byte goes if a string of LENGTH bytes that covers it also starts elsewhere, in the same document or another.
-    Null counts as empty; texts under LENGTH bytes stay whole. Of rows with the same id and text, each is a document.
-    kept_text is null where nothing was removed; bytes of characters that were cut in two are left out of it.
+FOUND = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("sha", pa.string()), ("kept_text", pa.string())])
+FOUND_SQL = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, sha string, kept_text string"
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, min_words: int = 0, with_text: bool = False) -> DataFrame:
+    """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256; with_text also sha (of the whole text) and kept_text.
+
+    A byte goes if a string of `length` bytes (8 at least) that covers it also starts elsewhere, in the same document or
+    another; with min_words, only runs of such bytes that hold so many words go. Null counts as empty; texts under
+    `length` bytes stay whole. Rows of equal or null ids are documents each. kept_text is null where nothing was
+    removed; bytes of characters that were cut in two are left out of it. Other columns aren't read.
+    """
+    if length < 8:
+        raise ValueError("length must be 8 at least")
+    buckets = buckets_for(docs, text_col, BUCKET)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+
+    def of(rows: DataFrame, *kinds: str) -> DataFrame:
+        return rows.where(F.col("kind").isin(*kinds)).select("kind", "shard", "bucket", "data")
+
+    def merged(rows: DataFrame, merge) -> DataFrame:
+        return cut(of(rows, "asks").groupBy("bucket").applyInArrow(merge, ROWS_SQL), "answers")
+
+    def step(work, *inputs: DataFrame) -> DataFrame:
+        every = inputs[0]
+        for more in inputs[1:]:
+            every = every.unionByName(more)
+        return cut(every.groupBy("shard").applyInArrow(work(buckets), ROWS_SQL), "shards", by="kind")
+
+    first = cut(texts.mapInArrow(_parse(length, buckets), ROWS_SQL), "shards", by="kind")
+    told = cut(of(first, "docs"), "docs")
+    answers = merged(first, _merged_numbers)
+    second = step(_phrases, of(first, "state", "text"), answers)
+    drop(first, answers)
+    held = cut(of(second, "text"), "texts")
+    answers = merged(second, _merged_bytes)
+    rows = step(_sorted, of(second, "state", "text"), answers)
+    drop(second, answers)
+
+    def next_step(work, merge, *more: DataFrame) -> DataFrame:
+        answers = merged(rows, merge)
+        out = step(work, of(rows, "state"), answers, *more)
+        drop(rows, answers)
+        return out
+
+    while not of(rows, "asks").isEmpty():
+        rows = next_step(_refine, _merged_numbers)
+    before, rows = rows, step(_covers, of(rows, "state"))
+    drop(before)
+    rows = next_step(_edges, _merged_numbers, held)
+    answers = merged(rows, _merged_bytes)
+    every = told.unionByName(held).unionByName(of(rows, "state")).unionByName(answers)
+    found = every.groupBy("shard").applyInArrow(_removed(length, min_words, with_text, buckets), FOUND_SQL)
+    return found.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["sha", "kept_text"] if with_text else []))
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", length: int = LENGTH, min_words: int = 0) -> DataFrame:
+    """docs with its columns and rows, repeated passages removed from the text and length_col (if there) set to what is left.
+
+    As in repeats(). Rows of the same id and text lose the same passages.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Rows without an id are told apart by their text.
-    key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.lit("no id"), text_col))
-    texts = docs.select(key.alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"), F.col(id_col).cast("long").alias("given"))
-    start = cut(texts.mapInArrow(_anchored, "id long, th long, given long, n long, sha string, a array<int>, i array<long>, u array<long>, lo array<smallint>, hi array<smallint>"), "anchors")
-    found = []
-
-    def judged(rows: DataFrame, width: int, base) -> DataFrame:
-        """One round of the merge. Keeps what isn't settled, and spans of what repeats."""
-        one = F.xxhash64("id", "th", "a")
-        both = rows.groupBy("i", "u").agg(F.count("*").alias("cu"), F.min(one).alias("one"))
-        shared = both.groupBy("i").agg(F.sum("cu").alias("ci"), F.count("*").alias("cases")).where("ci > 1").select("i", "cases")
-        blocks = both.join(shared.hint("merge"), "i")
-        columns = ["id", "th", "a", "lo", "hi", base.alias("base"), (F.col("cu") > 1).alias("all"), ((F.col("cases") > 1) & (one == F.col("one"))).alias("witness")]
-        out = cut(rows.join(blocks.hint("merge"), ["i", "u"]).select(*columns), "blocks")
-        found.append(out.where("all").select("id", "th", (F.col("a") - F.least("hi", F.col("base") + width - 1)).cast("int").alias("start"), (F.col("a") - F.greatest("lo", "base") + LENGTH).cast("int").alias("end")))
-        # Of suffixes that are settled, one of each kind goes on where others of its block aren't.
-        return out.where("not all or witness").drop("all", "witness")
-
-    nodes = judged(start.select("id", "th", F.explode(F.arrays_zip("a", "i", "u", "lo", "hi")).alias("x")).select("id", "th", "x.*"), TOP, F.lit(0).cast("smallint"))
-
-    # The texts in question, bucketed by id: each pass reads them in place, and only the blocks move.
-    name = "texts_" + uuid.uuid4().hex
-    asked = nodes.select("id", "th").union(found[0].select("id", "th")).distinct()
-    texts.drop("given").join(asked.hint("merge"), ["id", "th"]).repartition(parts, "id").write.bucketBy(parts, "id").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    kept = spark.table(name)
-
-    def pass_over(rows: DataFrame, columns: list[str]) -> DataFrame:
-        lists = rows.groupBy("id", "th").agg(*(F.collect_list(c).alias(c) for c in columns)).repartition(parts, "id")
-        return kept.join(lists.hint("merge"), ["id", "th"]).select("id", "th", "t", *columns)
-
-    parent = TOP
-    for width in WIDTHS:
-        rows = cut(pass_over(nodes, ["a", "lo", "hi", "base"]).mapInArrow(_refined(width, parent), "id long, th long, a int, lo smallint, hi smallint, base smallint, i long, u long"), "symbols")
-        nodes, parent = judged(rows, width, F.col("base")), width
-    spans = found[0]
-    for more in found[1:]:
-        spans = spans.union(more)
-    gone = pass_over(spans, ["start", "end"]).mapInArrow(_removed(with_text), "id long, th long, n_removed long, n_spans long, kept_sha256 string, kept_text string").dropDuplicates(["id", "th"])
-    out = start.select("id", "th", "given", "n", "sha").join(gone.hint("merge"), ["id", "th"], "left")
-    columns = [F.col("given").alias(id_col), F.col("n").alias("n_bytes"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")]
-    return out.select(*columns, *(["kept_text", "th"] if with_text else []))
-
-
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """docs with its columns, repeated passages removed from the text and length_col (if there) set to what is left."""
-    gone = repeats(docs, id_col, text_col, with_text=True).where("n_removed > 0").select(F.col(id_col).alias("__id"), F.col("th").alias("__th"), F.col("kept_text").alias("__left")).dropDuplicates(["__id", "__th"])
-    out = docs.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__th")), "left")
+    gone = repeats(docs, id_col, text_col, length, min_words, with_text=True).where("n_removed > 0").select(F.col(id_col).alias("__id"), F.col("sha").alias("__sha"), F.col("kept_text").alias("__left")).dropDuplicates(["__id", "__sha"])
+    out = docs.join(gone.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.sha2(text_col, 256) == F.col("__sha")), "left")
     text = F.coalesce("__left", text_col)
     columns = [text.alias(c) if c == text_col else F.when(F.col("__left").isNotNull(), F.length("__left")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == length_col else F.col(c) for c in docs.columns]
     return out.select(columns)
