@@ -30,6 +30,8 @@ ORDER = 6
 BLOCK, PIECE, BUCKET = 16 << 20, 4 << 20, 64 << 20
 #: Buckets of two-byte contexts: what they hold is bounded by the alphabet, not by the corpus.
 LOWS = 32
+#: Code lengths travel as multiples of 1 / FINE decimal digits.
+FINE = float(1 << 28)
 END = b"\n"
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\0", b"abcdefghijklmnopqrstuvwxyz\1")
 
@@ -316,8 +318,9 @@ def _coded(order: int, top):
         low_n = [unpacked(x, "i8") for x in lows.column("counts").to_pylist()]
         second = Trie(np.concatenate(low), np.concatenate(low_n), 2, top.value)
         logs = Trie(keys, n, order, second).logs(keys)
-        found = [np.unique(logs[np.searchsorted(keys, a)], return_inverse=True) for a in asked]
-        return pa.Table.from_arrays([rows.column("block"), rows.column("bucket"), pa.array([packed(u) for u, _ in found], pa.binary()), pa.array([packed(i.astype("u4")) for _, i in found], pa.binary()), *(pa.nulls(len(asked), pa.int64()) for _ in range(2))], schema=ANSWERS)
+        logs = np.rint(logs * -FINE).astype("u8")
+        found = [packed(logs[np.searchsorted(keys, a)]) for a in asked]
+        return pa.Table.from_arrays([rows.column("block"), rows.column("bucket"), pa.array(found, pa.binary()), *(pa.nulls(len(asked), t) for t in (pa.binary(), pa.int64(), pa.int64()))], schema=ANSWERS)
 
     return work
 
@@ -335,7 +338,7 @@ def _scored(order: int, buckets: int, n_all: int, distinct: int, id_col: str):
             if logs is None:
                 counts_of[bucket] = unpacked(data, "i8")
             else:
-                logs_of[bucket] = unpacked(logs, "f8")[unpacked(data, "u4")]
+                logs_of[bucket] = unpacked(logs, "u8") / -FINE
         words, numbers, by, _, sizes = numbered(texts, buckets)
         counts = np.empty(len(words), np.int64)
         counts[by] = np.concatenate([counts_of[b] for b in sorted(counts_of)])
