@@ -11,7 +11,8 @@ passages are parsed alike, but for their edges. Over phrases, a passage of LENGT
   of their intervals, buckets number the blocks, and blocks of one suffix are settled and leave. No suffix is sorted again.
 * Common prefixes follow: a run of m phrases is repeated if its two overlapping runs of the largest power of two make a
   block of several suffixes. What such runs cover is repeated as a whole; that settles all but the edges of passages.
-* At the edges, windows of LENGTH bytes are told by the run of phrases inside and the bytes on both sides of it.
+* At the edges, windows of LENGTH bytes are told by the run of phrases inside and the bytes on both sides of it. Of what
+  covers settle, one place (the witness) answers for windows that are the same as one at an edge.
 
 Nothing rests on digests: those of phrases only choose which phrases are sent; phrases of equal digest are compared
 byte by byte, blocks are pairs of exact numbers, and bytes at edges are compared as they are.
@@ -121,23 +122,25 @@ def unblob(data: bytes) -> list[np.ndarray]:
 class Shard:
     """The parse of a shard's texts, its suffix order and the blocks found so far."""
 
-    def __init__(self, length: int, docs: np.ndarray, base: np.ndarray, start: np.ndarray, low: np.ndarray, names: list[np.ndarray], order: np.ndarray, common: np.ndarray, settled: np.ndarray):
+    def __init__(self, length: int, docs: np.ndarray, base: np.ndarray, start: np.ndarray, low: np.ndarray, names: list[np.ndarray], order: np.ndarray, common: np.ndarray, settled: np.ndarray, witness: np.ndarray):
         #: Numbers of the texts among the shard's documents; their starts; of phrases, the starts and the first windows.
         self.length, self.docs, self.base, self.start, self.low = length, docs, base, start, low
         #: Block of each suffix at depths 1, 2, 4 ...; -1: of one suffix, or none.
         self.names = names
         #: Suffixes that begin with a repeated phrase, in order, and how many phrases each shares with the one before.
-        self.order, self.common, self.settled = order, common, settled
+        self.order, self.common = order, common
+        #: Phrases in which all windows are repeated; those of them that stand for equal ones.
+        self.settled, self.witness = settled, witness
 
     def pack(self) -> bytes:
         steps = [np.diff(x, prepend=0).astype("i4") for x in (self.docs, self.base, self.start, self.low)]
         places = [np.flatnonzero(n >= 0) for n in self.names]
-        return pickle.dumps((self.length, blob(*steps, self.order.astype("i4"), self.common.astype("i4"), self.settled), [blob(np.diff(p, prepend=0).astype("i4"), n[p]) for p, n in zip(places, self.names)]))
+        return pickle.dumps((self.length, blob(*steps, self.order.astype("i4"), self.common.astype("i4"), self.settled, self.witness), [blob(np.diff(p, prepend=0).astype("i4"), n[p]) for p, n in zip(places, self.names)]))
 
     @classmethod
     def unpack(cls, data: bytes) -> Shard:
         length, arrays, levels = pickle.loads(data)
-        *steps, order, common, settled = unblob(arrays)
+        *steps, order, common, settled, witness = unblob(arrays)
         docs, base, start, low = (np.cumsum(x, dtype=np.int64) for x in steps)
         names = []
         for level in levels:
@@ -145,7 +148,7 @@ class Shard:
             full = np.full(len(low), -1, np.int64)
             full[np.cumsum(places, dtype=np.int64)] = values
             names.append(full)
-        return cls(length, docs, base, start, low, names, order.astype(np.int64), common.astype(np.int64), settled)
+        return cls(length, docs, base, start, low, names, order.astype(np.int64), common.astype(np.int64), settled, witness)
 
     def ends(self) -> np.ndarray:
         """End of the text that each phrase is in."""
@@ -167,11 +170,14 @@ class Shard:
         last = np.minimum(self.start[own + 1] - 1, end[own] - self.length)
         return own, np.searchsorted(self.start, last + self.length) - own
 
-    def sort(self, runs: np.ndarray) -> None:
-        """The suffix order by doubling, as deep as the longest run that is asked for; common prefixes."""
-        own, m = self.covers()
-        possible = m[runs[own] >= np.minimum(m, 1 << 30)]
-        depth = int(possible.max()) if len(possible) else 1
+    def deepest(self) -> int:
+        """The most phrases of a run that may be asked for: of repeated phrases, and within reach of a window."""
+        reach = np.searchsorted(self.start, np.minimum(self.start[1:] - 1 + self.length, self.ends())) - np.arange(len(self.low))
+        return int(np.minimum(reach, self.runs()).max(initial=0))
+
+    def sort(self) -> None:
+        """The suffix order by doubling, as deep as the longest run that may be asked for; common prefixes."""
+        runs, depth = self.runs(), self.deepest()
         at = np.flatnonzero(self.names[0] >= 0)
         rank = np.zeros(len(self.low) + 1, np.int64)
         rank[at] = np.unique(self.names[0][at], return_inverse=True)[1] + 1
@@ -206,8 +212,7 @@ class Shard:
     def deeper(self) -> tuple[np.ndarray, ...] | None:
         """The next refinement: of each interval of the shard, (block, block k phrases on, whether it holds several, its place in the order); None if not needed."""
         k = 1 << len(self.names) - 1
-        own, m = self.covers()
-        if not (self.common >= 2 * k).any() and not self.wanted(own, m, 2 * k):
+        if self.deepest() < 2 * k:
             return None
         name, at = self.names[-1], self.order
         on = np.minimum(at + k, len(name) - 1)
@@ -217,10 +222,6 @@ class Shard:
         size = np.bincount(interval[full], minlength=int(interval[-1]) + 1 if len(interval) else 0)
         return (name[at[head]], name[on[head]], size[interval[head]] > 1, head) if len(head) else None
 
-    def wanted(self, own: np.ndarray, m: np.ndarray, depth: int) -> bool:
-        """Whether runs of so many phrases are asked for, at a place where they are possible."""
-        return bool(((m >= depth) & (self.runs()[own] >= depth)).any())
-
     def deepen(self, head: np.ndarray, found: np.ndarray) -> None:
         k = 1 << len(self.names) - 1
         of_head = np.full(len(self.order), -1, np.int64)
@@ -233,7 +234,7 @@ class Shard:
         self.names.append(name)
 
     def windows(self) -> tuple[np.ndarray, ...]:
-        """Unsettled windows that hold a possibly repeated run: (start, first and last phrase start inside, blocks)."""
+        """Windows that hold a possibly repeated run, at edges or at witnesses: (start, first and last phrase start inside, its blocks, whether at an edge)."""
         k, w = sampling(self.length)
         anchors = np.flatnonzero(self.low >= 0)
         low = self.low[anchors]
@@ -244,12 +245,13 @@ class Shard:
         sizes = (stop - low)[some]
         s = np.repeat(low[some] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum()) if len(some) else np.zeros(0, np.int64)
         first = np.repeat(anchors[some], sizes)
-        open_ = ~self.settled[np.searchsorted(self.start, s, "right") - 1]
-        s, first = s[open_], first[open_]
+        phrase = np.searchsorted(self.start, s, "right") - 1
+        own = ~self.settled[phrase] | self.witness[phrase]
+        s, first, open_ = s[own], first[own], ~self.settled[phrase[own]]
         last = anchors[np.searchsorted(low, s + self.length - w - k + 1, "right") - 1]
         a, b = self.run_blocks(first, last - first)
         found = (a >= 0) & (b >= 0)
-        return s[found], first[found], last[found], a[found], b[found]
+        return s[found], first[found], last[found], a[found], b[found], open_[found]
 
 
 def row(kind: str, shard: int, bucket: int, data: bytes) -> tuple:
@@ -267,51 +269,86 @@ def by_kind(rows: pa.Table) -> dict[str, list[tuple[int, bytes]]]:
     return out
 
 
-def ask_numbers(shard: int, a: np.ndarray, b: np.ndarray, m: np.ndarray, several: np.ndarray, buckets: int) -> list[tuple]:
-    """A row for each bucket, with its share of the keys (a, b, m), in order."""
-    by, edges = dealt(spread(mixed(a.astype(np.uint64) + FACTOR * b.astype(np.uint64) + MIX * m.astype(np.uint64)), buckets), buckets)
-    return [row("asks", shard, i, blob(a[by[x:y]], b[by[x:y]], m[by[x:y]], several[by[x:y]])) for i, (x, y) in enumerate(zip(edges, edges[1:])) if x < y]
+def shares(a: np.ndarray, b: np.ndarray, m: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    return dealt(spread(mixed(a.astype(np.uint64) + FACTOR * b.astype(np.uint64) + MIX * m.astype(np.uint64)), buckets), buckets)
+
+
+def ask_numbers(shard: int, a: np.ndarray, b: np.ndarray, m: np.ndarray, more: np.ndarray, buckets: int) -> list[tuple]:
+    """A row for each bucket, with its share of the keys (a, b, m) and what is told of each."""
+    by, edges = shares(a, b, m, buckets)
+    return [row("asks", shard, i, blob(a[by[x:y]], b[by[x:y]], m[by[x:y]], more[by[x:y]])) for i, (x, y) in enumerate(zip(edges, edges[1:])) if x < y]
 
 
 def answered(a: np.ndarray, b: np.ndarray, m: np.ndarray, answers: list[tuple[int, bytes]], buckets: int) -> np.ndarray:
-    by, _ = dealt(spread(mixed(a.astype(np.uint64) + FACTOR * b.astype(np.uint64) + MIX * m.astype(np.uint64)), buckets), buckets)
+    by, _ = shares(a, b, m, buckets)
     out = np.full(len(a), -1, np.int64)
     if len(by):
         out[by] = np.concatenate([unblob(data)[0] for _, data in sorted(answers)])
     return out
 
 
-def _merged_numbers(rows: pa.Table) -> pa.Table:
-    """Numbers the blocks of several suffixes; -1 for those of one."""
-    parts = [unblob(x) for x in rows.column("data").to_pylist()]
-    a, b, m, several = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    order = np.lexsort((m, b, a))
-    new = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]) | (m[order][1:] != m[order][:-1])]
+def distinct(a: np.ndarray, b: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places by key, first places first; where a key is new among them)."""
+    order = np.lexsort((np.arange(len(a)), m, b, a))
+    x, y, z = a[order], b[order], m[order]
+    return order, np.r_[np.ones(min(1, len(a)), bool), (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1])]
+
+
+def _merged(judge):
+    """judge: of the keys' rows, sorted, what is told of them and where keys begin; gives the answer of each row."""
+
+    def work(rows: pa.Table) -> pa.Table:
+        parts = [unblob(x) for x in rows.column("data").to_pylist()]
+        a, b, m, more = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        order, new = distinct(a, b, m)
+        bucket = rows.column("bucket")[0].as_py()
+        found = np.empty(len(a), np.int64)
+        found[order] = judge(more[order].astype(np.int64), new, bucket)
+        edges = np.cumsum([0, *(len(p[0]) for p in parts)])
+        return rows_of([row("answers", s, bucket, blob(found[x:y])) for s, x, y in zip(rows.column("shard").to_pylist(), edges, edges[1:])])
+
+    return work
+
+
+def numbered(several: np.ndarray, new: np.ndarray, bucket: int) -> np.ndarray:
+    """The number of the key's block, if it has several suffixes; else -1."""
+    many = np.add.reduceat(1 + several, np.flatnonzero(new)) > 1
+    return np.where(many, (bucket << 40) + np.cumsum(many) - 1, -1)[np.cumsum(new) - 1]
+
+
+def witnessed(several: np.ndarray, new: np.ndarray, bucket: int) -> np.ndarray:
+    """-1 if there is one place, else 0; 1 for the key's first row."""
+    many = np.add.reduceat(1 + several, np.flatnonzero(new)) > 1
+    return np.where(many[np.cumsum(new) - 1], new.astype(np.int64), -1)
+
+
+#: Of a run of phrases in a shard: it is inside a window at an edge; inside several of them, or inside a witness's window.
+AT_EDGE, MORE = 1, 2
+
+
+def asked_for(flags: np.ndarray, new: np.ndarray, bucket: int) -> np.ndarray:
+    """0 if the run is inside a window at an edge and inside another; else -1."""
     first = np.flatnonzero(new)
-    many = np.add.reduceat(1 + several[order].astype(np.int64), first) > 1
-    bucket = rows.column("bucket")[0].as_py()
-    number = np.where(many, (bucket << 40) + np.cumsum(many) - 1, -1)
-    found = np.empty(len(a), np.int64)
-    found[order] = number[np.cumsum(new) - 1]
-    edges = np.cumsum([0, *(len(p[0]) for p in parts)])
-    return rows_of([row("answers", s, bucket, blob(found[x:y])) for s, x, y in zip(rows.column("shard").to_pylist(), edges, edges[1:])])
+    edge = np.maximum.reduceat(flags & AT_EDGE, first) > 0
+    places = np.add.reduceat(1 + (flags & MORE), first)
+    return np.where(edge & (places > 1), 0, -1)[np.cumsum(new) - 1]
 
 
 def ask_bytes(shard: int, keys: dict[bytes, int], buckets: int) -> list[tuple]:
     """keys: how often each is in the shard."""
-    shares: dict[int, list[bytes]] = {}
+    dealt_out: dict[int, list[bytes]] = {}
     for key in keys:
-        shares.setdefault(zlib.crc32(key) % buckets, []).append(key)
-    return [row("asks", shard, i, pickle.dumps((squeezed(b"".join(own)), blob(np.array([len(x) for x in own], "u4"), np.array([keys[x] > 1 for x in own]))))) for i, own in shares.items()]
+        dealt_out.setdefault(zlib.crc32(key) % buckets, []).append(key)
+    return [row("asks", shard, i, pickle.dumps((squeezed(b"".join(own)), blob(np.array([len(x) for x in own], "u4"), np.array([keys[x] > 1 for x in own]))))) for i, own in dealt_out.items()]
 
 
 def answered_bytes(keys: dict[bytes, int], answers: list[tuple[int, bytes]], buckets: int) -> dict[bytes, int]:
-    shares = {bucket: iter(unblob(data)[0].tolist()) for bucket, data in answers}
-    return {key: next(shares[zlib.crc32(key) % buckets]) for key in keys}
+    given = {bucket: iter(unblob(data)[0].tolist()) for bucket, data in answers}
+    return {key: next(given[zlib.crc32(key) % buckets]) for key in keys}
 
 
 def _merged_bytes(rows: pa.Table) -> pa.Table:
-    """As _merged_numbers, for keys of bytes, compared as such."""
+    """Numbers the keys that occur several times, -1 for others; keys are bytes, and compared as such."""
     lists, seen = [], {}
     for data in rows.column("data").to_pylist():
         joined, more = pickle.loads(data)
@@ -340,7 +377,7 @@ def _parse(length: int, buckets: int):
             start, low = parsed(data, base, length)
             found.append(row("text", shard, -1, squeezed(text)))
             none = np.zeros(0, np.int64)
-            found.append(row("state", shard, -1, Shard(length, docs, base, start, low, [], none, none, none).pack()))
+            found.append(row("state", shard, -1, Shard(length, docs, base, start, low, [], none, none, none, none).pack()))
             digest, n = np.unique(digests(data, start), return_counts=True)
             zero = np.zeros(len(digest), np.int64)
             found += ask_numbers(shard, digest.view(np.int64), zero, zero, n > 1, buckets)
@@ -401,7 +438,7 @@ def _phrases(buckets: int):
         low = np.where(low >= 0, low + moved[text_of[own]], -1)
         text = b"".join(text[state.base[i] : state.base[i + 1]] for i in np.flatnonzero(keep))
         none = np.zeros(0, np.int64)
-        new = Shard(state.length, state.docs[keep], shift, np.r_[state.start[:-1][own] + moved[text_of[own]], shift[-1]], low, [state.names[0][own]], none, none, none)
+        new = Shard(state.length, state.docs[keep], shift, np.r_[state.start[:-1][own] + moved[text_of[own]], shift[-1]], low, [state.names[0][own]], none, none, none, none)
         sent = phrases_of(text, new.start, np.flatnonzero(new.names[0] >= 0))
         return rows_of([row("state", shard, -1, new.pack()), row("text", shard, -1, squeezed(text)), *ask_bytes(shard, counts_of(sent), buckets)])
 
@@ -418,7 +455,7 @@ def _sorted(buckets: int):
         sent = phrases_of(text, state.start, which)
         numbers = answered_bytes(counts_of(sent), got["answers"], buckets)
         state.names[0][which] = np.fromiter(map(numbers.__getitem__, sent), np.int64, len(sent))
-        state.sort(state.runs())
+        state.sort()
         return refined(shard, state, buckets)
 
     return work
@@ -448,17 +485,16 @@ def _refine(buckets: int):
 
 
 def covering(state: Shard) -> tuple[np.ndarray, ...]:
-    """(phrases whose windows' cover may be repeated, its length in phrases, its blocks; distinct covers, where each is among them, how often)."""
+    """(phrases whose windows' cover may be repeated; distinct covers as (blocks, length in phrases); which each phrase has; the first phrase of each)."""
     own, m = state.covers()
     a, b = state.run_blocks(own, m)
     some = (a >= 0) & (b >= 0)
     own, m, a, b = own[some], m[some], a[some], b[some]
-    order = np.lexsort((m, b, a))
-    new = np.r_[np.ones(min(1, len(own)), bool), (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]) | (m[order][1:] != m[order][:-1])]
+    order, new = distinct(a, b, m)
     at = np.empty(len(own), np.int64)
     at[order] = np.cumsum(new) - 1
     first = order[new]
-    return own, a[first], b[first], m[first], at, np.bincount(at, minlength=len(first))
+    return own, a[first], b[first], m[first], at, own[first]
 
 
 def _covers(buckets: int):
@@ -466,31 +502,77 @@ def _covers(buckets: int):
 
     def work(rows: pa.Table) -> pa.Table:
         got, shard = by_kind(rows), rows.column("shard")[0].as_py()
-        _, a, b, m, _, n = covering(Shard.unpack(got["state"][0][1]))
-        return rows_of([row("state", shard, -1, got["state"][0][1]), *ask_numbers(shard, a, b, m, n > 1, buckets)])
+        _, a, b, m, at, _ = covering(Shard.unpack(got["state"][0][1]))
+        return rows_of([row("state", shard, -1, got["state"][0][1]), *ask_numbers(shard, a, b, m, np.bincount(at, minlength=len(a)) > 1, buckets)])
+
+    return work
+
+
+def inner_runs(state: Shard) -> tuple[np.ndarray, ...]:
+    """(windows as in Shard.windows(); distinct runs inside them as (blocks, length), which each window has, and flags)."""
+    found = s, first, last, a, b, open_ = state.windows()
+    if not len(s):
+        return found, a, b, a, a, a
+    # windows of the same place side by side
+    heads = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (last[1:] != last[:-1])])
+    place = np.cumsum(np.r_[False, (first[1:] != first[:-1]) | (last[1:] != last[:-1])])
+    edge, settled = np.logical_or.reduceat(open_, heads), np.logical_or.reduceat(~open_, heads)
+    a, b, m = a[heads], b[heads], (last - first)[heads]
+    order, new = distinct(a, b, m)
+    starts = np.flatnonzero(new)
+    flags = np.where(np.logical_or.reduceat(edge[order], starts), AT_EDGE, 0)
+    more = np.logical_or.reduceat(settled[order], starts) | (np.diff(np.r_[starts, len(order)]) > 1)
+    at = np.empty(len(heads), np.int64)
+    at[order] = np.cumsum(new) - 1
+    own = order[new]
+    return found, a[own], b[own], m[own], at[place], flags | np.where(more, MORE, 0)
+
+
+def _edges(buckets: int):
+    """After the covers: the runs inside windows at edges and at witnesses are sent."""
+
+    def work(rows: pa.Table) -> pa.Table:
+        got, shard = by_kind(rows), rows.column("shard")[0].as_py()
+        state = Shard.unpack(got["state"][0][1])
+        own, a, b, m, at, first = covering(state)
+        state.settled, state.witness = np.zeros(len(state.low), bool), np.zeros(len(state.low), bool)
+        found = answered(a, b, m, got.get("answers", []), buckets)
+        state.settled[own] = found[at] >= 0
+        state.witness[first[found == 1]] = True
+        _, a, b, m, _, flags = inner_runs(state)
+        return rows_of([row("state", shard, -1, state.pack()), *ask_numbers(shard, a, b, m, flags, buckets)])
 
     return work
 
 
-def window_keys(state: Shard, text: bytes) -> tuple[np.ndarray, list[bytes]]:
-    """Of each unsettled window: its start; the run inside and the bytes beside it."""
-    s, first, last, a, b = state.windows()
+def window_keys(state: Shard, text: bytes, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Of each window whose inner run is asked for (run: 0 or more): its start, whether at an edge, and the run with the bytes beside it."""
+    (s, first, last, a, b, open_), *_, at, _ = inner_runs(state)
+    own = run[at] >= 0 if len(s) else np.zeros(0, bool)
+    s, first, last, a, b, open_ = (x[own] for x in (s, first, last, a, b, open_))
     inner = np.stack([a, b, last - first, state.start[first] - s], axis=1).astype("<i8").tobytes() if len(s) else b""
     sides = zip(s.tolist(), state.start[first].tolist(), state.start[last].tolist())
-    return s, [inner[32 * i : 32 * i + 32] + text[x:y] + text[z : x + state.length] for i, (x, y, z) in enumerate(sides)]
+    return s, open_, [inner[32 * i : 32 * i + 32] + text[x:y] + text[z : x + state.length] for i, (x, y, z) in enumerate(sides)]
 
 
-def _edges(buckets: int):
-    """After the covers: windows that none settles are sent, as their run of phrases and the bytes beside it."""
+def window_counts(open_: np.ndarray, keys: list[bytes]) -> dict[bytes, int]:
+    """How often each is there; a witness's window is repeated as it is."""
+    out: dict[bytes, int] = {}
+    for key, edge in zip(keys, open_.tolist()):
+        out[key] = out.get(key, 0) + (1 if edge else 2)
+    return out
+
+
+def _windows(buckets: int):
+    """After the runs inside: windows whose run is asked for are sent, as the run and the bytes beside it."""
 
     def work(rows: pa.Table) -> pa.Table:
         got, shard = by_kind(rows), rows.column("shard")[0].as_py()
         state, text = Shard.unpack(got["state"][0][1]), expanded(got["text"][0][1])
-        own, a, b, m, at, _ = covering(state)
-        state.settled = np.zeros(len(state.low), bool)
-        state.settled[own] = answered(a, b, m, got.get("answers", []), buckets)[at] >= 0
-        _, keys = window_keys(state, text)
-        return rows_of([row("state", shard, -1, state.pack()), *ask_bytes(shard, counts_of(keys), buckets)])
+        _, a, b, m, _, _ = inner_runs(state)
+        run = answered(a, b, m, got.get("answers", []), buckets)
+        _, open_, keys = window_keys(state, text, run)
+        return rows_of([row("state", shard, -1, state.pack()), row("runs", shard, -1, blob(run)), *ask_bytes(shard, window_counts(open_, keys), buckets)])
 
     return work
 
@@ -505,8 +587,8 @@ def _removed(length: int, min_words: int, with_text: bool, buckets: int):
         if "state" in got:
             state, text = Shard.unpack(got["state"][0][1]), expanded(got["text"][0][1])
             data = np.frombuffer(text, np.uint8)
-            s, keys = window_keys(state, text)
-            numbers = answered_bytes(counts_of(keys), got.get("answers", []), buckets)
+            s, open_, keys = window_keys(state, text, unblob(got["runs"][0][1])[0])
+            numbers = answered_bytes(window_counts(open_, keys), got.get("answers", []), buckets)
             s = s[np.fromiter((numbers[k] >= 0 for k in keys), bool, len(keys))]
             mark = np.zeros(len(data) + 1, np.int64)
             np.add.at(mark, s, 1)
@@ -568,7 +650,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 
     first = cut(texts.mapInArrow(_parse(length, buckets), ROWS_SQL), "shards", by="kind")
     told = cut(of(first, "docs"), "docs")
-    answers = merged(first, _merged_numbers)
+    answers = merged(first, _merged(numbered))
     second = step(_phrases, of(first, "state", "text"), answers)
     drop(first, answers)
     held = cut(of(second, "text"), "texts")
@@ -583,12 +665,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         return out
 
     while not of(rows, "asks").isEmpty():
-        rows = next_step(_refine, _merged_numbers)
+        rows = next_step(_refine, _merged(numbered))
     before, rows = rows, step(_covers, of(rows, "state"))
     drop(before)
-    rows = next_step(_edges, _merged_numbers, held)
+    rows = next_step(_edges, _merged(witnessed))
+    rows = next_step(_windows, _merged(asked_for), held)
     answers = merged(rows, _merged_bytes)
-    every = told.unionByName(held).unionByName(of(rows, "state")).unionByName(answers)
+    every = told.unionByName(held).unionByName(of(rows, "state", "runs")).unionByName(answers)
     found = every.groupBy("shard").applyInArrow(_removed(length, min_words, with_text, buckets), FOUND_SQL)
     return found.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["sha", "kept_text"] if with_text else []))
 

@@ -192,13 +192,11 @@ def brute_repeats(texts, length=400):
     return out
 
 
-def test_repeats(spark):
-    rng = random.Random(5)
-
+def passages_and_texts(rng, sizes):
     def some(n):
         return "".join(rng.choice("abcdefgh é") for _ in range(n))
 
-    passages = [some(k) for k in (395, 399, 400, 401, 700, 2500)]
+    passages = [some(k) for k in sizes]
     texts = [None, "", "a" * 3000, "ab" * 500, "x" + "a" * 399, passages[1] + "1", passages[1] + "2"]
     for _ in range(40):
         t = some(rng.randint(0, 700))
@@ -209,23 +207,91 @@ def test_repeats(spark):
                 p = p[:k] + (some(1) if rng.random() < 0.5 else "") + p[k:]
             t += p + some(rng.randint(0, 500))
         texts.append(t)
-    texts += [texts[20], texts[30][100:]]
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.repeats(docs(spark, texts)).collect()}
-    assert [got[i] for i in range(len(texts))] == brute_repeats(texts)
+    return passages, texts + [texts[20], texts[30][100:], texts[25][:-3], "q" + texts[26]]
+
+
+def found_repeats(spark, texts, parts=5, **given):
+    rows = suffixes.repeats(docs(spark, texts).repartition(parts), **given).collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows}
+    assert len(rows) == len(texts)
+    return [got[i] for i in range(len(texts))]
+
+
+def test_repeats(spark):
+    passages, texts = passages_and_texts(random.Random(5), (395, 399, 400, 401, 700, 2500))
+    got = found_repeats(spark, texts)
+    assert got == brute_repeats(texts) and sum(n > 0 for _, n, _, _ in got) > 20
     clean = suffixes.without_repeats(docs(spark, texts))
     assert clean.columns == docs(spark, texts).columns
     left = {r.doc_id: r.text for r in clean.collect()}
     assert len(left) == len(texts) and left[0] is None and left[2] == "" and all(len((left[i] or "").encode()) <= got[i][0] - got[i][1] for i in left)
-    assert suffixes.repeats(docs(spark, [])).count() == 0
-    # rows of one id: each is a document
-    twice = suffixes.repeats(docs(spark, [passages[5], passages[5], "short"], [1, 1, None])).collect()
-    assert sorted((r.doc_id or 0, r.n_removed) for r in twice) == [(0, 0), (1, len(passages[5].encode())), (1, len(passages[5].encode()))]
-
-
-def test_anchors_over_stretches(monkeypatch):
-    rng = random.Random(6)
-    data = np.frombuffer("".join(rng.choice("abcd") for _ in range(9000)).encode(), np.uint8)
-    whole = suffixes.anchors(data)
-    monkeypatch.setattr(suffixes, "STRETCH", 1000)
-    for a, b in zip(whole, suffixes.anchors(data)):
-        assert (a == b).all()
+    assert suffixes.repeats(docs(spark, [])).count() == 0 and suffixes.without_repeats(docs(spark, [])).count() == 0
+    # rows of one id, and without one: each is a document
+    rows = [passages[5], passages[5], "short", passages[5], passages[4]]
+    twice = suffixes.repeats(docs(spark, rows, [1, 1, None, None, 1])).collect()
+    n = len(passages[5].encode())
+    assert sorted((r.doc_id or 0, r.n_removed) for r in twice) == [(0, 0), (0, n), (1, 0), (1, n), (1, n)]
+    stage = suffixes.without_repeats(docs(spark, rows, [1, 1, None, None, 1])).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in stage) == sorted([(0, "short"), (0, ""), (1, ""), (1, ""), (1, passages[4])])
+
+
+@pytest.mark.parametrize("length", [8, 11, 60, 256])
+def test_repeats_of_other_lengths(spark, length):
+    rng = random.Random(length)
+    _, texts = passages_and_texts(rng, [length + k for k in (-5, -1, 0, 1, 90, 700)])
+    texts += ["".join(rng.choice("ab") for _ in range(rng.randint(0, 3 * length))) for _ in range(30)]
+    for parts in (1, 7):
+        assert found_repeats(spark, texts, parts, length=length) == brute_repeats(texts, length)
+
+
+def test_repeats_of_a_very_long_text(spark):
+    rng = np.random.default_rng(3)
+    long = bytes(rng.integers(97, 123, 3_000_000, dtype=np.uint8)).decode()
+    texts = [long, long[1_000_000:1_000_399], long[2_000_000:2_000_700], "." + long[2_500_000:2_500_400]]
+    assert [r[1] for r in found_repeats(spark, texts)] == [1100, 0, 700, 400]
+
+
+def test_passages_of_words(spark):
+    """The stage's rule: runs of repeated bytes that hold over 50 words."""
+    rng = random.Random(8)
+    long, short = words(rng, 51, 10**6), " ".join(f"{rng.randrange(10**9):09}" for _ in range(40))
+    texts = [f"{rng.random()} {p} {rng.random()}" for p in (long, long, short, short)]
+    left = [r.text for r in suffixes.without_repeats(docs(spark, texts), length=256, min_words=51).orderBy("doc_id").collect()]
+    assert all(long not in t for t in left[:2]) and left[2:] == texts[2:]
+
+
+def test_phrases_are_cut_alike_wherever_they_stand():
+    rng = np.random.default_rng(4)
+    passage, cuts = rng.integers(0, 256, 5000, dtype=np.uint8), []
+    k, w = suffixes.sampling(400)
+    for n in (0, 1, 333):
+        data = np.concatenate([rng.integers(0, 256, n, dtype=np.uint8), passage, rng.integers(0, 256, 50, dtype=np.uint8)])
+        start, low = suffixes.parsed(data, np.array([0, len(data)]), 400)
+        assert start[0] == 0 and start[-1] == len(data) and (np.diff(start) <= w + k).all()
+        inner = start[(start >= n + w + k) & (start < n + 5000 - w - k)] - n
+        cuts.append(inner.tolist())
+        assert len(start) > 5000 / w
+        digest = suffixes.digests(data, start)
+        assert len(set(digest.tolist())) == len(start) - 1
+    assert cuts[0] == cuts[1] == cuts[2]
+
+
+def test_a_shards_suffixes_are_in_order():
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 99, 3000, dtype=np.uint8)
+    base = np.array([0, 1100, 2000, 3000])
+    start, low = suffixes.parsed(data, base, 60)
+    none = np.zeros(0, np.int64)
+    _, names = np.unique([data[a:b].tobytes() for a, b in zip(start, start[1:])], return_inverse=True)
+    names = np.where(np.bincount(names)[names] > 1, names, -1)
+    shard = suffixes.Shard(60, np.arange(3), base, start, low, [names], none, none, none, none)
+    shard.sort()
+    runs = shard.runs()
+    suffix = [tuple(names[i : i + runs[i]].tolist()) for i in shard.order]
+    depth = 1 << (shard.deepest() - 1).bit_length()
+    assert [x[:depth] for x in suffix] == sorted(x[:depth] for x in suffix) and len(suffix) == (names >= 0).sum()
+    for i in range(1, len(suffix)):
+        same = 0
+        while same < min(len(suffix[i - 1]), len(suffix[i])) and suffix[i - 1][same] == suffix[i][same]:
+            same += 1
+        assert min(same, shard.common[i]) == shard.common[i] and (shard.common[i] == same or shard.common[i] >= depth)
