@@ -31,7 +31,7 @@ BLOCK, PIECE, BUCKET = 16 << 20, 4 << 20, 64 << 20
 #: Buckets of two-byte contexts: what they hold is bounded by the alphabet, not by the corpus.
 LOWS = 32
 #: Code lengths travel as multiples of 1 / FINE decimal digits.
-FINE = float(1 << 28)
+FINE = float(1 << 36)
 END = b"\n"
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\0", b"abcdefghijklmnopqrstuvwxyz\1")
 
