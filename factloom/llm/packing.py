@@ -43,8 +43,9 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Strings that the library takes as one token wherever they stand; texts that hold one go to it as they are.
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         #: Ids of words met lately, and of those met before them.
@@ -55,8 +56,9 @@ class Words:
         """Little-endian unsigned 32-bit ids."""
         if not text:
             return b""
-        if PLAIN.search(text) is None and unicodedata.is_normalized("NFC", text):
-            found = PLAIN_WORDS(text.lower())
+        lower = text.lower()
+        if PLAIN.search(text) is None and unicodedata.is_normalized("NFC", text) and not any(t in lower for t in self.added):
+            found = PLAIN_WORDS(lower)
         else:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         kept = self.kept
@@ -114,8 +116,9 @@ def plan(sizes: list[int], capacity: int = CAPACITY) -> tuple[list[tuple[int, in
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
     """One row per piece; with ids, its token ids too.
 
-    Null or empty text is the end id alone. Rows with the same id are documents of their own. Tables without rows
-    give none. Packing is by blocks of a partition, without a shuffle; sequence_id holds the partition and a count.
+    Ids are those of the tokenizers library as it comes, with add_special_tokens=False: an added token's string in a text
+    (such as <|endoftext|>) is that token. Null or empty text is the end id alone. Rows with the same or no id are
+    documents of their own. Tables without rows give none. Other columns aren't read. Packing is by blocks of a partition, without a shuffle; sequence_id holds the partition and a count.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     path = public_tokenizers.path(tokenizer)

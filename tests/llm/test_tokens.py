@@ -71,13 +71,18 @@ def test_op1(spark):
 
 def test_words_equal_the_library():
     own, reference = packing.Words(P.path("word_bpe_49k.json")), Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    reference.encode_special_tokens = True
     rng = random.Random(3)
     made = ["".join(rng.choice("ab '’sStTéÉßIİΣσ 12½²¹<|>_-–ÄÖªºµ÷×ĀőȺꞵ日\u0301\x1c\x85\xa0\n\t.€«»¿") for _ in range(rng.randint(1, 30))) for _ in range(4000)]
+    made += ["hello <|endoftext|> world", "a<|ENDOFTEXT|>b", "<|startoftext|><|endoftext|>", "<| endoftext|>", "é <|endoftext|> é"]
     for text in ODD + made + [chr(i) + "a" + chr(i) + " b" + chr(i) + "s '" + chr(i) for i in range(0x3000)]:
         assert np.frombuffer(own.ids(text), "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids, text
 
 
+def test_special_strings_are_special_tokens():
+    ids = np.frombuffer(packing.Words(P.path("word_bpe_49k.json")).ids("hello <|endoftext|> world"), "<u4").tolist()
+    assert ids == [3306, 49407, 1002]
+
+
 def check_packing(pieces, sizes):
     """pieces: (doc, start, length, sequence, offset)."""
     seen, filled = {}, {}
@@ -122,8 +127,9 @@ def test_plan_balances_cost():
 
 def test_op7(spark):
     reference = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    rows = [(1, None), (2, ""), (3, "Hello world " * 3000), (3, "again"), (None, "no id")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("text", "body").coalesce(1)
+    rows = [(1, None), (2, ""), (3, "Hello world " * 3000), (3, "again"), (None, "no id"), (None, "no id"), (4, "x <|endoftext|> y"), (5, "long " * 200_000)]
+    clash = ("start", "length", "offset", "sequence_id", "ids")  # names that the result has too
+    df = spark.createDataFrame([(*r, *clash) for r in rows], "doc_id long, body string, " + ", ".join(f"{c} string" for c in clash)).coalesce(1)
     got = packing.pack(df, text_col="body", ids=True).collect()
     for r in got:
         assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) and len(r.ids) == r.length
