@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, row_key, table
 
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -19,8 +19,8 @@ def normalised(text: str):
     return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), WHITE, " ")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, keep_id, group_size, kept, text_sha256.
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: id, keep_id, group_size, kept, text_sha256, and the columns named in `more`.
 
     Null text counts as empty. A group's smallest id stays; null ids come after all others. Rows that have the
     same id and equal text are copies as well: group_size counts them all, and kept is true for the id that stays.
@@ -28,7 +28,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     norm = normalised(text_col)
     texts = docs.select(F.col(id_col).alias("id"), norm.alias("t")).withColumn("h", F.unhex(F.md5("t")))
-    light = cut(texts.select("id", "h", F.sha2("t", 256).alias("text_sha256")), "hashes")
+    light = cut(docs.select(F.col(id_col).alias("id"), norm.alias("t"), *(F.col(c).alias(f"more_{c}") for c in more)).select("id", F.unhex(F.md5("t")).alias("h"), F.sha2("t", 256).alias("text_sha256"), *(f"more_{c}" for c in more)), "hashes")
     groups = cut(light.groupBy("h").agg(F.min("id").alias("keep_id"), F.count("*").alias("n")).where("n > 1"), "groups")
     # Sort-merge at any size: the groups grow with the data, so they are never broadcast.
     members = cut(texts.join(groups.hint("merge"), "h").select("id", "h", "t", "keep_id"), "members")
@@ -44,13 +44,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     apart = found.where("other is not null").select("h", digest.alias("text_sha256"), F.col("keep_id").alias("o_keep"), F.col("group_size").alias("o_size"))
     out = light.join(equal.select("h", "keep_id", "group_size"), "h", "left").join(apart, ["h", "text_sha256"], "left")
     keep, size = F.coalesce("o_keep", "keep_id", "id"), F.coalesce("o_size", "group_size", F.lit(1).cast("long"))
-    return out.select(F.col("id").alias(id_col), keep.alias("keep_id"), size.alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), "text_sha256")
+    return out.select(F.col("id").alias(id_col), keep.alias("keep_id"), size.alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), "text_sha256", *(F.col(f"more_{c}").alias(c) for c in more))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose text no row of smaller id has."""
-    gone = classes(docs, id_col, text_col).where("not kept").select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    """One row of docs, with all its columns, of each text: of smallest id (null ids last), any one of equal ids.
+
+    Rows are told apart by a number, so that other texts of the same or no id stay.
+    """
+    keyed = row_key(docs)
+    found = classes(keyed, id_col, text_col, more=("__row",))
+    stay = found.where("kept").groupBy("text_sha256").agg(F.min("__row").alias("__row")).select("__row")
+    return keyed.join(stay.hint("merge"), "__row", "left_semi").select(docs.columns)
 
 
 def op3_exact(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     start = cut(parts.select("id", "th", F.size("lines").alias("n_lines"), F.sha2("t", 256).alias("sha"), "long"), "chunks")
     each = start.select("id", "th", F.explode("long").alias("c")).select("id", "th", "c.*")
     twice = each.groupBy("h").agg(F.count("*").alias("c"), F.min(F.struct("id", "s", "th")).alias("first")).where("c > 1").drop("c")
-    members = cut(each.join(twice.hint("merge"), "h"), "members")
+    members = cut(each.join(twice.hint("merge"), "h").dropDuplicates(["id", "th", "s"]), "members")  # rows of the same id and text are one here
     # One text shuffle: documents that hold such chunks, with their places.
     lists = members.groupBy("id", "th").agg(F.collect_list(F.struct("s", "n", "h", "first")).alias("m"))
     same = (base["id"].eqNullSafe(lists["id"])) & (base["th"] == lists["th"])
@@ -67,10 +67,11 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     drops = gone.groupBy("id", "th").agg(F.collect_list(F.struct("s", "n")).alias("g"))
     same = (lined["id"].eqNullSafe(drops["id"])) & (lined["th"] == drops["th"])
     hit = lined.drop("m").join(drops.hint("merge"), same).select(lined["id"], lined["th"], "lines", "g")
-    hit = held(hit, out=F.flatten(F.transform("g", lambda c: F.sequence(c.s, c.s + c.n - 1))))
-    hit = held(hit, mark=F.map_from_entries(F.transform("out", lambda i: F.struct(i, F.lit(True)))))
-    hit = held(hit, kept=F.array_join(F.filter("lines", lambda x, i: F.get("lines", i).isNotNull() & ~F.coalesce(F.try_element_at("mark", i), F.lit(False))), "\n"))
-    hit = hit.select("id", "th", F.size("out").alias("n_removed"), F.size("g").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "kept")
+    # What stands between removed chunks, up to the end of the text.
+    hit = held(hit, cuts=F.concat(F.array_sort("g"), F.array(F.struct(F.size("lines").alias("s"), F.lit(0).alias("n")))))
+    before = lambda j: F.when(j == 0, F.lit(0)).otherwise(F.get("cuts", j - 1).s + F.get("cuts", j - 1).n)
+    hit = held(hit, kept=F.array_join(F.flatten(F.transform("cuts", lambda c, j: F.slice("lines", before(j) + 1, c.s - before(j)))), "\n"))
+    hit = hit.select("id", "th", F.aggregate("g", F.lit(0), lambda n, c: n + c.n).alias("n_removed"), F.size("g").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "kept")
     same = (start["id"].eqNullSafe(hit["id"])) & (start["th"] == hit["th"])
     out = start.join(hit.hint("merge"), same, "left")
     columns = [start["id"].alias(id_col), F.col("n_lines").cast("long").alias("n_lines"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_removed", "n_spans")), F.coalesce("kept_sha256", "sha").alias("kept_sha256")]

@@ -203,33 +203,51 @@ def featured(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray | None = Non
     return docs.mapInArrow(work, f"id {kind}, x array<double>" if weights is None else f"id {kind}, score double")
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> DataFrame:
-    """One row per row of docs: id, held_out, score, predicted.
-
-    Null and empty texts get the score of a text without hits. A document with several labels is toxic if one says
-    so; null labels aren't used. Without training labels of both kinds every score is the toxic rate (0 without labels).
-    """
+def learned_model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> tuple[Lexicon, np.ndarray]:
+    """Lexicon and weights, from `sample` labelled training rows at most."""
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & training(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
     some = cut(marks.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(sample), "labels")
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     learned = cut(texts.join(F.broadcast(some), "id"), "labelled")  # `sample` ids at most
+    if learned.count() > sample:  # ids repeat
+        learned = cut(learned.orderBy(F.xxhash64(F.col("id").cast("string")), "id", F.xxhash64("t")).limit(sample), "labelled")
     lexicon = Lexicon(learn_lexicon(learned))
-    known = featured(learned.select("id", "t"), lexicon).join(F.broadcast(some), "id").select("x", "toxic").collect()
-    y = np.array([r.toxic for r in known], dtype=float)
+    known = featured(learned.select(F.col("toxic").alias("id"), "t"), lexicon).collect()
+    y = np.array([r.id for r in known], dtype=float)
     if len(y) and 0 < y.mean() < 1:
         weights = fit(np.array([r.x for r in known]), y)
     else:
         rate = min(max(y.mean() if len(y) else 0.0, 1e-9), 1 - 1e-9)
         weights = np.zeros(1 + len(FEATURES))
         weights[0] = np.log(rate / (1 - rate))
-    out = featured(texts, lexicon, weights)
-    return out.select(F.col("id").alias(id_col), (~training(F.col("id"))).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return lexicon, weights
+
+
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> DataFrame:
+    """One row per row of docs: id, held_out, score, predicted.
 
+    Null and empty texts get the score of a text without hits. A document with several labels is toxic if one says
+    so; null labels aren't used. Without training labels of both kinds every score is the toxic rate (0 without labels).
+    Rows of equal or null ids are scored each by its text; null ids count as held out. Other columns aren't read.
+    """
+    lexicon, weights = learned_model(docs, labels, id_col, text_col, label_col, sample)
+    out = featured(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")), lexicon, weights)
+    return out.select(F.col("id").alias(id_col), F.coalesce(~training(F.col("id")), F.lit(True)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs, with all their columns, whose text isn't predicted toxic; each row is judged by itself, without a shuffle."""
+    lexicon, weights = learned_model(docs, labels, id_col, text_col, label_col, sample)
+    spread = docs.sparkSession.sparkContext.broadcast((lexicon, weights))  # of bounded size: ENTRIES
+    at = docs.columns.index(text_col)
+
+    def work(batches):
+        (own, w), kept = spread.value, {}
+        for batch in slices(batches):
+            x = np.array([features(t, own, kept) if t else [0.0] * len(FEATURES) for t in batch.column(at).to_pylist()]).reshape(-1, len(FEATURES))
+            yield batch.filter(pa.array(w[0] + x @ w[1:] < 0, pa.bool_()))
 
-def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that aren't predicted toxic."""
-    gone = score(docs, labels, id_col, text_col).where("predicted = 1").select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    return docs.mapInArrow(work, docs.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,6 +58,46 @@ def test_exact(spark):
     assert twice == {(7, 2)}
 
 
+ROWS = [(1, "A"), (2, "A"), (2, "B"), (None, "A"), (None, "C c"), (None, "C  c"), (3, None), (4, ""), (2, "B"), (5, "x " * 50_000)]
+
+
+def test_stages_keep_one_row_of_each_text(spark):
+    """Rows of equal and of no id are told apart."""
+    rows = spark.createDataFrame([(i, t, "en", n, "x", "y", "z") for n, (i, t) in enumerate(ROWS)], DOCS).repartition(3)
+    for stage in (exact.drop_copies, near.drop_near):
+        out = stage(rows)
+        assert out.columns == rows.columns
+        kept = sorted((r.doc_id or 0, (r.text or "").strip().replace("  ", " ")[:3]) for r in out.collect())
+        assert kept == [(0, "C c"), (1, "A"), (2, "B"), (3, ""), (5, "x x")], stage
+    assert sorted(map(tuple, exact.drop_copies(docs(spark, ["A", "A"], [1, 1])).collect())) == [(1, "A", "en", 0, "x", "y", "z")]
+    assert exact.drop_copies(docs(spark, [])).count() == near.drop_near(docs(spark, [])).count() == 0
+
+
+def test_near_keeps_rows_of_null_and_repeated_ids(spark):
+    rng = random.Random(9)
+    x = words(rng, 40)
+    y, other = x + " more", words(rng, 40)
+    got = near.classes(docs(spark, [x, other, y, y, other], [1, None, 3, 3, 1])).collect()
+    assert sorted((r.doc_id or 0, r.class_id, r.class_size) for r in got) == [(0, 1, 2), (1, 1, 2), (1, 1, 3), (3, 1, 3), (3, 1, 3)]
+    assert sum(r.kept for r in got) == 2
+    alone = near.classes(docs(spark, [x, y], [None, None])).collect()
+    assert [(r.class_id, r.class_size) for r in alone] == [(None, 2)] * 2 and sum(r.kept for r in alone) == 1
+
+
+def test_lines_of_repeated_rows(spark):
+    x = "\n".join(f"line {i}" for i in range(12))
+    got = [(r.doc_id, r.n_lines, r.n_removed) for r in lines.removals(docs(spark, [x, x, x], [1, 2, 2])).collect()]
+    gone = max(n for _, _, n in got)
+    assert gone > 0 and sorted(got) == [(1, 12, 0), (2, 12, gone), (2, 12, gone)]
+    # rows of one id and text: an id stands for its text, so both keep the first place
+    assert all(r.n_removed == 0 for r in lines.removals(docs(spark, [x, x], [1, 1])).collect())
+    no_id = lines.removals(docs(spark, [x, None, x], [None, None, 1])).collect()
+    assert sorted((r.doc_id or 0, r.n_lines, r.n_removed) for r in no_id) == [(0, 1, 0), (0, 12, 0), (1, 12, gone)]
+    long = "\n".join(f"own {i}" for i in range(40_000))
+    big = lines.removals(docs(spark, [long, long + "\nend"]), with_text=True).collect()
+    assert sorted(r.n_removed for r in big)[0] == 0 and max(r.n_removed for r in big) > 20_000
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, sf, name):
     c = duckdb.connect()
