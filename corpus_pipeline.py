@@ -32,9 +32,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near(docs)
 
 
+#: A passage goes if it is covered by repeated strings of so many bytes (51 words of the tables take about 290 at least) and holds so many words.
+PASSAGE_BYTES, PASSAGE_WORDS = 256, 51
+
+
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that stand twice in what is left go from the texts; n_chars follows. Documents stay, if need be with empty text."""
-    return without_repeats(docs)
+    """Passages of over 50 words that stand twice in what is left go from the texts; n_chars follows. Documents stay, if need be with empty text."""
+    return without_repeats(docs, length=PASSAGE_BYTES, min_words=PASSAGE_WORDS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +48,12 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("packing", packing)]
 
-#: Learned scores, alignment and tokenising are beyond SQL; tests hold run() against a brute-force version.
+#: Learned scores, alignment and tokenising are beyond SQL; tests/llm/test_models.py holds run() against a brute-force version of each stage.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. Null and empty texts are kept as one document (they are equal); ties go to the smallest id; without documents there are no rows."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
