@@ -545,9 +545,9 @@ def _edges(buckets: int):
     return work
 
 
-def window_keys(state: Shard, text: bytes, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Of each window whose inner run is asked for (run: 0 or more): its start, whether at an edge, and the run with the bytes beside it."""
-    (s, first, last, a, b, open_), *_, at, _ = inner_runs(state)
+def window_keys(state: Shard, text: bytes, inside: tuple, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Of each window whose inner run (of inner_runs(), inside) is asked for (run: 0 or more): its start, whether at an edge, and the run with the bytes beside it."""
+    (s, first, last, a, b, open_), *_, at, _ = inside
     own = run[at] >= 0 if len(s) else np.zeros(0, bool)
     s, first, last, a, b, open_ = (x[own] for x in (s, first, last, a, b, open_))
     inner = np.stack([a, b, last - first, state.start[first] - s], axis=1).astype("<i8").tobytes() if len(s) else b""
@@ -569,9 +569,9 @@ def _windows(buckets: int):
     def work(rows: pa.Table) -> pa.Table:
         got, shard = by_kind(rows), rows.column("shard")[0].as_py()
         state, text = Shard.unpack(got["state"][0][1]), expanded(got["text"][0][1])
-        _, a, b, m, _, _ = inner_runs(state)
+        _, a, b, m, _, _ = inside = inner_runs(state)
         run = answered(a, b, m, got.get("answers", []), buckets)
-        _, open_, keys = window_keys(state, text, run)
+        _, open_, keys = window_keys(state, text, inside, run)
         return rows_of([row("state", shard, -1, state.pack()), row("runs", shard, -1, blob(run)), *ask_bytes(shard, window_counts(open_, keys), buckets)])
 
     return work
@@ -587,7 +587,7 @@ def _removed(length: int, min_words: int, with_text: bool, buckets: int):
         if "state" in got:
             state, text = Shard.unpack(got["state"][0][1]), expanded(got["text"][0][1])
             data = np.frombuffer(text, np.uint8)
-            s, open_, keys = window_keys(state, text, unblob(got["runs"][0][1])[0])
+            s, open_, keys = window_keys(state, text, inner_runs(state), unblob(got["runs"][0][1])[0])
             numbers = answered_bytes(window_counts(open_, keys), got.get("answers", []), buckets)
             s = s[np.fromiter((numbers[k] >= 0 for k in keys), bool, len(keys))]
             mark = np.zeros(len(data) + 1, np.int64)
@@ -640,7 +640,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         return rows.where(F.col("kind").isin(*kinds)).select("kind", "shard", "bucket", "data")
 
     def merged(rows: DataFrame, merge) -> DataFrame:
-        return cut(of(rows, "asks").groupBy("bucket").applyInArrow(merge, ROWS_SQL), "answers")
+        out = cut(of(rows, "asks").groupBy("bucket").applyInArrow(merge, ROWS_SQL), "answers")
+        drop(rows, kinds=("asks",))
+        return out
 
     def step(work, *inputs: DataFrame) -> DataFrame:
         every = inputs[0]

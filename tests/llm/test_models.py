@@ -9,8 +9,12 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import public_tokenizers
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
 import corpus_pipeline
-from factloom.llm import common, ppm, toxicity, urls, vectors
+from factloom.llm import common, near, ppm, toxicity, urls, vectors
 
 
 def test_vectors(spark):
@@ -207,18 +211,226 @@ def test_toxicity(spark, sf):
     assert clean.columns == docs.columns and clean.count() == 452
 
 
-def test_pipeline(spark, sf):
-    """Each stage works on what the one before kept, and the end holds every token of the last texts."""
-    documents = common.table(spark, sf, "documents")
-    docs, sizes = documents, []
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = common.cut(stage(spark, docs, sf), name)
+def plain_features(text, entries):
+    """Without automata: each word against each entry."""
+    text = text.lower()
+    places = list(toxicity.WORD.finditer(text))
+    L = toxicity.Lexicon
+
+    def kind(word):
+        return max((L.OPEN if o and word.startswith(e) else L.EXACT if not o and word == e else L.MISSPELLED if not o and len(e) >= toxicity.FUZZY_FROM and close(word, e) else L.NONE for e, o in entries), default=0)
+
+    seen = Counter()
+    for i, p in enumerate(places):
+        k = kind(p[0])
+        if not k:
+            continue
+        near = places[max(0, i - toxicity.WINDOW) : i + toxicity.WINDOW + 1]
+        before, after = text[near[0].start() : p.start()], text[p.end() : near[-1].end()]
+        marked = any(m in before for m in toxicity.MARKS) and any(m in after for m in toxicity.MARKS)
+        said = any(q[0] in toxicity.REPORTING for q in places[max(0, i - toxicity.WINDOW) : i])
+        seen["quoted" if marked or said else k] += 1
+    if not seen:
+        return [0.0] * len(toxicity.FEATURES)
+    exact, stems, wrong = (seen[k] for k in (L.EXACT, L.OPEN, L.MISSPELLED))
+    return [float(exact + stems > 0), *(math.log1p(x) for x in (exact, stems, wrong, seen["quoted"])), 10 * (exact + stems) / len(places)]
+
+
+def plain_score(text, entries, weights):
+    return 1 / (1 + math.exp(-max(-30, min(30, weights[0] + sum(w * x for w, x in zip(weights[1:], plain_features(text or "", entries)))))))
+
+
+@pytest.fixture(scope="module")
+def planted(spark, tmp_path_factory):
+    """The tables of sf0.001 with toxic documents among them."""
+    at, sf = str(tmp_path_factory.mktemp("planted")), "/root/testdata/sf0.001"
+    docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    bad = docs.where("doc_id < 60").withColumn("doc_id", F.col("doc_id") + 10_000).withColumn("text", F.concat_ws(" ", F.array_join(F.reverse(F.split("text", " ")), " "), F.lit("you utter grumbloid"))).withColumn("n_chars", F.length("text").cast("long"))
+    docs.union(bad).repartition(3).write.parquet(f"{at}/documents.parquet")
+    marks = bad.select("doc_id", F.lit(0).alias("quality"), F.lit(1).alias("toxic"))
+    labels.union(marks.select([F.col(c).cast(labels.schema[c].dataType) for c in labels.columns])).write.parquet(f"{at}/labels.parquet")
+    return at
+
+
+@pytest.fixture(scope="module")
+def model(spark, planted):
+    """Entries and weights that the labels of the planted tables give."""
+    sf = planted
+    docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    entries = []
+    whole = toxicity.Lexicon.__init__
+
+    def kept(self, some):
+        entries.extend(some)
+        whole(self, some)
+
+    toxicity.Lexicon.__init__ = kept
+    try:
+        _, weights = toxicity.learned_model(docs, labels, "doc_id", "text", "toxic", toxicity.SAMPLE)
+    finally:
+        toxicity.Lexicon.__init__ = whole
+    return entries, weights
+
+
+def test_op10_against_plain_loops(spark, planted, model):
+    texts = {r.doc_id: r.text for r in common.table(spark, planted, "documents").collect()}
+    got = toxicity.op10_toxicity(spark, planted).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r.score == pytest.approx(plain_score(texts[r.doc_id], *model), abs=1e-9)
+
+
+def test_toxicity_of_odd_rows(spark, planted, model):
+    """Very long texts, repeated rows, equal ids, null ids and clashing columns: each row is judged by its text."""
+    bad = "grumbloid"
+    rows = [(20_001, "fine"), (20_001, bad), (20_001, bad), (None, bad), (None, None), (20_002, "word " * 200_000), (20_003, bad + " word" * 200_000)]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, t string, predicted string")
+    labels = common.table(spark, planted, "labels")
+    real = common.table(spark, planted, "documents").select("doc_id", "text").withColumn("t", F.lit("x")).withColumn("predicted", F.lit("y"))
+    every = docs.union(real)
+    want = Counter((i, plain_score(t, *model) >= 0.5) for i, t in rows)
+    assert want[(20_001, True)] == 2 and want[(20_001, False)] == 1 and want[(20_003, True)] == 1
+    got = toxicity.score(every, labels).where("doc_id is null or doc_id > 20000").collect()
+    assert Counter((r.doc_id, r.predicted == 1) for r in got) == want
+    clean = toxicity.keep_clean(every, labels)
+    assert clean.columns == docs.columns
+    left = clean.where("doc_id is null or doc_id > 20000").collect()
+    assert sorted(str(r.text)[:5] for r in left) == ["None", "fine", "word "]
+
+
+def test_pipeline_against_brute_force(spark, planted, model):
+    """Every stage, done plainly on what the plain version of the one before left."""
+    documents = common.table(spark, planted, "documents")
+    want = {r.doc_id: r.text or "" for r in documents.collect()}
+    docs = documents
+
+    def check(stage):
+        nonlocal docs
+        docs = common.cut(stage(spark, docs, planted), stage.__name__)
         assert docs.columns == documents.columns
-        sizes.append(docs.count())
-    assert sizes == sorted(sizes, reverse=True) and sizes[2] < sizes[0] <= documents.count() and sizes[3] == sizes[2]
-    packed = corpus_pipeline.run(spark, sf).toPandas()
-    assert set(packed.doc_id) == {r.doc_id for r in docs.select("doc_id").collect()}
-    per = packed.groupby("doc_id").agg(n=("length", "sum"), d=("doc_tokens", "first"))
-    assert (per.n == per.d).all()
-    ends = packed.groupby("sequence_id").length.sum()
-    assert all(n == 2048 or n & (n - 1) == 0 for n in ends)
+        rows = docs.collect()
+        assert len(rows) == len(want) and {r.doc_id: r.text or "" for r in rows} == want
+        assert all(r.n_chars == len(r.text or "") for r in rows)
+
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["toxicity", "exact_dedup", "near_dedup", "suffix_dedup", "packing"]
+    want = {i: t for i, t in want.items() if plain_score(t, *model) < 0.5}
+    assert len(want) < documents.count()
+    check(stages["toxicity"])
+
+    first = {}
+    for i in sorted(want):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", want[i]), i)
+    want = {i: want[i] for i in first.values()}
+    check(stages["exact_dedup"])
+
+    codes = {i: near.word_codes(t, {}) for i, t in want.items()}
+    ids, parent = sorted(want), {i: i for i in want}
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for x, i in enumerate(ids):
+        for j in ids[:x]:
+            a, b = codes[i], codes[j]
+            if a.tolist() == b.tolist() or min(len(a), len(b)) >= near.WORDS and near.similar(a, b):
+                p, q = root(i), root(j)
+                parent[max(p, q)] = min(p, q)
+    want = {i: t for i, t in want.items() if root(i) == i}
+    assert len(want) < len(ids)
+    check(stages["near_dedup"])
+
+    ids = sorted(want)
+    seen = Counter()
+    length = corpus_pipeline.PASSAGE_BYTES
+    for i in ids:
+        b = want[i].encode()
+        seen.update(b[k : k + length] for k in range(len(b) - length + 1))
+    for i in ids:
+        b = want[i].encode()
+        mark = np.zeros(len(b) + 1, int)
+        for k in range(len(b) - length + 1):
+            if seen[b[k : k + length]] > 1:
+                mark[k] += 1
+                mark[k + length] -= 1
+        gone = (np.cumsum(mark[:-1]) > 0).tolist() + [False]
+        left, k = b"", 0
+        while k < len(b):
+            e = k
+            while e < len(b) and gone[e] == gone[k]:
+                e += 1
+            if not gone[k] or len(b[k:e].split()) < corpus_pipeline.PASSAGE_WORDS:
+                left += b[k:e]
+            k = e
+        want[i] = left.decode("utf-8", "ignore") if left != b else want[i]
+    check(stages["suffix_dedup"])
+
+    reference = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = corpus_pipeline.run(spark, planted).toPandas()
+    parts = {i: g.sort_values("start") for i, g in pieces.groupby("doc_id")}
+    assert set(parts) == set(want)
+    for i, g in parts.items():
+        coded = [*reference.encode(want[i], add_special_tokens=False).ids, 1]
+        assert (g.doc_tokens == len(coded)).all() and g.start.tolist() == [0, *np.cumsum(g.length)[:-1]]
+        assert g.ids_crc32.tolist() == [zlib.crc32(np.array(coded[a : a + n], "<u4").tobytes()) for a, n in zip(g.start, g.length)]
+    for _, g in pieces.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        n = int(g.length.sum())
+        assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]] and (n == 2048 or n & (n - 1) == 0)
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, "en", "s", 0)], [(None, "a b c", "en", "s", 5), (None, "a b c", "en", "s", 5), (2, "", None, None, None), (2, "other words", "x", "s", 11)]])
+def test_pipeline_of_odd_tables(spark, sf, tmp_path, rows):
+    """Empty tables, nulls in any column, repeated rows."""
+    schema = common.table(spark, sf, "documents").schema
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, None, None), (None, 1, 1)], common.table(spark, sf, "labels").schema).limit(len(rows)).write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(got) == len({(r[0], r[1] or "") for r in rows})
+
+
+class PlainMarkov:
+    """Probability of each character by the definition: orders interpolated from the empty context up."""
+
+    def __init__(self, texts, order):
+        self.texts, self.order = ["\x02" + t + "\x03" for t in texts], order
+
+    def log(self, text):
+        text, out = "\x02" + text + "\x03", 0.0
+        for i in range(1, len(text)):
+            p = 1 / 0x110000
+            for k in range(min(self.order, i) + 1):
+                context = text[i - k : i]
+                after = Counter(t[j] for t in self.texts for j in range(max(1, k), len(t)) if t[j - k : j] == context)
+                if not after:
+                    break
+                n = sum(after.values())
+                p = (after[text[i]] + len(after) * p) / (n + len(after))
+            out += math.log(p)
+        return out
+
+
+def test_op8_verdicts_against_brute_force(spark):
+    rng = random.Random(7)
+    made = [f"http://a{rng.randrange(9)}.org/fr/{rng.randrange(99)}" for _ in range(12)] + [f"http://b{rng.randrange(9)}.net/buy{rng.randrange(99)}" for _ in range(12)]
+    asked = ["http://c.example/fr/1", "http://b3.example/buy7", "nothing", None, "http://b3.example/buy7", "http://q.example/" + "x" * 3000]
+    df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(made + asked)] + [(0, made[0], "x")], "page_id long, url string, verdict string")
+    got = urls.judge(df).collect()
+    assert len(got) == len(made) + len(asked) + 1
+    order = [r.t for r in df.select(F.concat(*urls.parts("url")).alias("t")).distinct().orderBy(F.xxhash64("t"), "t").collect()]
+    sides = [[t for t in order if mark in t] for mark in (".org/fr/", ".net/")]
+    learn = [[t for i, t in enumerate(side) if i % urls.HELD_OUT or len(side) < 2 * urls.HELD_OUT] for side in sides]
+    allow, block = (PlainMarkov(side, urls.ORDER) for side in learn)
+    ratio = lambda t: (allow.log(t) - block.log(t)) / (len(t) + 1)
+    held = [[ratio(t) for t in side[:: urls.HELD_OUT]] for side in sides]
+    cuts = [r for side in held for r in side]
+    errors = lambda x: sum(r < x for r in held[0]) / len(held[0]) + sum(r >= x for r in held[1]) / len(held[1])
+    for r in got:
+        if r.rule is None:
+            assert r.score == pytest.approx(ratio(r.host + r.path))
+    threshold = urls.Ratio(*sides).threshold
+    assert errors(threshold) == min(errors(x) for x in [*cuts, max(cuts) + 1])
+    assert all(r.verdict == ("allow" if r.score >= threshold else "block") for r in got if r.rule is None)
+    assert len({(r.host, r.verdict) for r in got if r.host == "b3.example"}) == 1
