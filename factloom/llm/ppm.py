@@ -347,7 +347,8 @@ def _scored(order: int, buckets: int, n_all: int, distinct: int, id_col: str):
         base = np.add.reduceat(np.log10((counts + 0.5) / (n_all + 0.5 * (distinct + 1)))[numbers], starts)
         known = np.add.reduceat((counts > 0)[numbers].astype(np.int64), starts)
         parts = [placed(grams(texts[a:b], order)) for a, b in pieces(texts)]
-        keys = np.unique(np.concatenate([u for u, _ in parts]))
+        keys = np.sort(np.concatenate([u for u, _ in parts]))
+        keys = keys[np.r_[True, keys[1:] != keys[:-1]]]
         by, _ = dealt(by_context(keys, buckets), buckets)
         logs = np.empty(len(keys))
         logs[by] = np.concatenate([logs_of[b] for b in sorted(logs_of)])
