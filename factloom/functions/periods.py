@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import folded, present, strip
+from .text import folded, let, present, strip
 
 MONTHS = "January February March April May June July August September October November December".split()
 # The shapes of period texts.
@@ -21,42 +21,40 @@ PERIOD_ENDED = r"(?i)^(?:for\s+the\s+)?(?:[a-z]+[-\s])*(?:year|quarter|half|mont
 
 
 def month(name: Column) -> Column:
-    """1 to 12 of a full English name, in two digits; else null."""
-    out = F.lit(None).cast("string")
-    for i, m in enumerate(MONTHS, 1):
-        out = F.when(F.lower(name) == m.lower(), f"{i:02d}").otherwise(out)
-    return out
+    """01 to 12 of a full English name; else null."""
+    numbers = F.create_map(*(F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m.lower(), f"{i:02d}")))
+    return F.try_element_at(numbers, F.lower(name))
 
 
 def parse_time(c: Column) -> Column:
     """struct(kind, start, end). Fiscal years, quarters and ranges have no dates; impossible dates are UNKNOWN."""
-    s = strip(c)
+    none = F.lit(None).cast("date")
 
-    def part(pattern: str, i: int) -> Column:
-        return F.regexp_extract(s, pattern, i)
+    def out(kind, start=none, end=none):
+        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"))
 
     def day(y: Column, m: Column, d: Column) -> Column:
         return F.when(y != "0000", F.try_to_date(F.concat_ws("-", y, m, F.lpad(d, 2, "0")), "yyyy-MM-dd"))
 
-    def out(kind, start=None, end=None):
-        none = F.lit(None).cast("date")
-        return F.struct(F.lit(kind).alias("kind"), (none if start is None else start).alias("start"), (none if end is None else end).alias("end"))
-
     def dated(d: Column) -> Column:
-        return F.when(d.isNotNull(), out("DATE", d, d)).otherwise(out("UNKNOWN"))
+        return let(d, lambda x: F.when(x.isNotNull(), out("DATE", x, x)).otherwise(out("UNKNOWN")))
 
-    first = day(part(MONTH_YEAR, 2), month(part(MONTH_YEAR, 1)), F.lit("01"))
-    return (
-        F.when(~present(c), out("UNKNOWN"))
-        .when(s.rlike(FISCAL_YEAR), out("FISCAL_YEAR"))
-        .when(s.rlike(QUARTER), out("QUARTER"))
-        .when(s.rlike(ISO_DATE), dated(day(part(ISO_DATE, 1), part(ISO_DATE, 2), part(ISO_DATE, 3))))
-        .when(s.rlike(DAY_MONTH_YEAR) & month(part(DAY_MONTH_YEAR, 2)).isNotNull(), dated(day(part(DAY_MONTH_YEAR, 3), month(part(DAY_MONTH_YEAR, 2)), part(DAY_MONTH_YEAR, 1))))
-        .when(s.rlike(MONTH_DAY_YEAR) & month(part(MONTH_DAY_YEAR, 1)).isNotNull(), dated(day(part(MONTH_DAY_YEAR, 3), month(part(MONTH_DAY_YEAR, 1)), part(MONTH_DAY_YEAR, 2))))
-        .when(s.rlike(MONTH_YEAR) & first.isNotNull(), out("DATE", first, F.last_day(first)))
-        .when(s.rlike(YEARS) | s.rlike(YEAR) | s.rlike(PERIOD_ENDED), out("RANGE"))
-        .otherwise(out("UNKNOWN"))
-    )
+    def named(s: Column, pattern: str, y: int, m: int, d: int | None, then, otherwise: Column) -> Column:
+        """The shape with a month's name, if it is one; else what the later shapes give."""
+        part = lambda i: F.regexp_extract(s, pattern, i)
+        found = let(F.struct(part(y).alias("y"), month(part(m)).alias("m"), (F.lit("01") if d is None else part(d)).alias("d")), lambda x: F.when(x["m"].isNotNull(), then(day(x["y"], x["m"], x["d"]))))
+        return F.coalesce(found, otherwise)
+
+    def of(s: Column) -> Column:
+        rest = F.when(s.rlike(YEARS) | s.rlike(YEAR) | s.rlike(PERIOD_ENDED), out("RANGE")).otherwise(out("UNKNOWN"))
+        whole = lambda d: let(d, lambda x: F.when(x.isNotNull(), out("DATE", x, F.last_day(x))))
+        # The three shapes exclude each other, so that one that fails goes on to the last cases alone.
+        by_month = F.when(s.rlike(MONTH_YEAR), named(s, MONTH_YEAR, 2, 1, None, whole, rest)).otherwise(rest)
+        by_name = F.when(s.rlike(DAY_MONTH_YEAR), named(s, DAY_MONTH_YEAR, 3, 2, 1, dated, rest)).when(s.rlike(MONTH_DAY_YEAR), named(s, MONTH_DAY_YEAR, 3, 1, 2, dated, rest)).otherwise(by_month)
+        iso = dated(day(F.substring(s, 1, 4), F.substring(s, 6, 2), F.substring(s, 9, 2)))
+        return F.when(s.rlike(FISCAL_YEAR), out("FISCAL_YEAR")).when(s.rlike(QUARTER), out("QUARTER")).when(s.rlike(ISO_DATE), iso).otherwise(by_name)
+
+    return F.when(present(c), let(strip(c), of)).otherwise(out("UNKNOWN"))
 
 
 def compare_time(a: dict[str, Column], b: dict[str, Column]) -> Column:

@@ -16,6 +16,11 @@ CORPORATE_SUFFIXES = "ltd limited inc corp corporation llc plc pvt private".spli
 FULL_CHARS, FULL_WORDS, CHAR_WEIGHT, WORD_WEIGHT, FEW_CHARS, PICTURE_FACTOR, GOOD_FROM = 500, 100, 0.6, 0.4, 50, 0.5, 0.35
 
 
+def let(value: Column, body) -> Column:
+    """body(value), where value is computed once however often body uses it, and cases of body that aren't taken cost nothing."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space of any script at the ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

@@ -28,7 +28,8 @@ def facts(drafts: DataFrame, known: DataFrame) -> DataFrame:
 
     A draft is rejected for evidence outside its chunk, or a blank subject or predicate; all else is kept and flagged."""
     d = drafts.join(known, "chunk_id", "left").withColumn("outside", F.array_except("evidence_ids", F.coalesce("ids", F.array().cast("array<string>"))))
-    d = d.withColumn("k", resolved_kind(F.col("value_text"), F.col("value_kind"))).withColumn("n", parse_number(F.col("value_text"))).withColumn("t", parse_time(F.col("time_text")))
+    d = d.withColumn("n", parse_number(F.col("value_text"))).withColumn("t", parse_time(F.col("time_text")))
+    d = d.withColumn("k", resolved_kind(F.col("value_text"), F.col("value_kind"), F.col("n")))
     numeric = F.col("k.kind") != "TEXT"
     flags = F.concat(F.col("k.flags"), F.array_compact(F.array(
         F.when(numeric & strip(F.col("value_text")).rlike(r"^[A-Za-z] [0-9,.]"), "currency_symbol_suspect"), F.when(numeric & F.col("n").isNull(), "value_unparseable"),
