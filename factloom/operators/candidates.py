@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.text import folded, jaccard, tokens
+from factloom.functions.text import folded, tokens
 
 from .compare import effective, prepared, side
 
@@ -32,13 +32,55 @@ def blocking_keys() -> Column:
     return F.array_distinct(F.concat(F.transform(F.array_union("raw_content", "claim_content"), lambda t: F.concat(F.lit("t:"), t)), F.array(F.concat(F.lit("e:"), folded(F.coalesce("entity", F.lit("")))))))
 
 
-def blocked(facts: DataFrame, include_same_document: bool = False, only: Column | None = None) -> DataFrame:
-    """Pairs (a_*, b_*) of prepared facts that share a blocking key, each under its smallest shared key only: no distinct."""
+def blocked(facts: DataFrame, include_same_document: bool = False, only: Column | None = None, document_id: str | None = None) -> DataFrame:
+    """Pairs (a_*, b_*) of prepared facts that share a blocking key, each under its smallest shared key only: no distinct.
+
+    document_id: only pairs with a fact of this document; its facts alone meet all others."""
     keyed = prepared(facts).withColumn("keys", blocking_keys())
     each = keyed.withColumn("key", F.explode("keys"))
-    a, b = side(each, "a"), side(each, "b")
-    pairs = a.join(b, (F.col("a_key") == F.col("b_key")) & eligible(include_same_document)).where(F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("a_key"))
-    return (pairs if only is None else pairs.where(only)).drop("a_key", "b_key", "a_keys", "b_keys")
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        a, b = side(left, "a"), side(right, "b")
+        pairs = a.join(b, (F.col("a_key") == F.col("b_key")) & eligible(include_same_document)).where(F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("a_key"))
+        return (pairs if only is None else pairs.where(only)).drop("a_key", "b_key", "a_keys", "b_keys")
+
+    if document_id is None:
+        return met(each, each)
+    own, others = each.where(F.col("document_id") == document_id), each.where(F.col("document_id") != document_id)
+    return met(own, each).unionByName(met(others, own))
+
+
+def paired(facts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Pairs (a_*, b_*) of prepared facts for given ids (a, b)."""
+    p = prepared(facts)
+    return ids.select("a", "b").join(side(p, "a"), F.col("a") == F.col("a_fact_id")).join(side(p, "b"), F.col("b") == F.col("b_fact_id")).drop("a", "b")
+
+
+def ranked(facts: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, include_same_document: bool = False, k: int = TOP_K, floor: float = FLOOR) -> DataFrame:
+    """(a, b, score): the k best candidates of each query, by vector where both sides have one, else by words. vectors: fact_id, v."""
+    if vectors is None:
+        return unordered(by_words(facts, queries, k, floor, include_same_document))
+    own = facts.select("fact_id", "document_id").join(vectors.select("fact_id", "v"), "fact_id").select(F.col("fact_id").alias("id"), "document_id", "v")
+    have = vectors.select("fact_id")
+    asking, wordy = queries.join(have, "fact_id", "left_semi"), queries.join(have, "fact_id", "left_anti")
+    near = by_vector(own, own.join(asking.select(F.col("fact_id").alias("id")), "id", "left_semi"), k, floor, include_same_document=include_same_document)
+    worded = by_words(facts.join(have, "fact_id", "left_anti"), asking, k, floor, include_same_document).unionByName(by_words(facts, wordy, k, floor, include_same_document))
+    return unordered(mixed(near, worded, k))
+
+
+def chosen(facts: DataFrame, document_id: str | None = None, vectors: DataFrame | None = None, include_same_document: bool = False, up_to: int = EXHAUSTIVE_UP_TO, k: int = TOP_K, floor: float = FLOOR) -> tuple[DataFrame, str]:
+    """(pairs, mode): all pairs that can have a verdict while there are `up_to` pairs at most ("exhaustive"), else the best of each fact ("ranked").
+
+    document_id: pairs with a fact of this document."""
+    if document_id is None:
+        pairs, queries = space(facts, include_same_document).first().pairs, facts
+    else:
+        own, every = facts.agg(F.count_if(F.col("document_id") == document_id), F.count("*")).first()
+        pairs = own * (every - own) + (own * (own - 1) // 2 if include_same_document else 0)
+        queries = facts.where(F.col("document_id") == document_id)
+    if pairs <= up_to:
+        return blocked(facts, include_same_document, document_id=document_id), "exhaustive"
+    return paired(facts, ranked(facts, queries, vectors, include_same_document, k, floor)), "ranked"
 
 
 def top(scored: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -47,8 +89,9 @@ def top(scored: DataFrame, k: int = TOP_K) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def by_vector(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, floor: float = FLOOR, block: int = QUERY_BLOCK) -> DataFrame:
-    """vectors and queries: id, document_id, v (double). The k nearest of other documents for each query, by cosine in double precision.
+def by_vector(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, floor: float = FLOOR, block: int = QUERY_BLOCK, include_same_document: bool = False) -> DataFrame:
+    """vectors and queries: id, document_id, v (double). The k nearest of other documents for each query, by cosine in double precision;
+    include_same_document: and of later facts of the same one.
 
     Queries go out in blocks of at most `block`; each task multiplies its vectors with a block and passes on k a query."""
     spark = vectors.sparkSession
@@ -64,14 +107,14 @@ def by_vector(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, floor: flo
             continue
         q = np.array([r.v for r in rows], "f8").reshape(len(rows), -1)
         held = spark.sparkContext.broadcast(([r.id for r in rows], np.array([r.document_id for r in rows], object), q, np.sqrt((q * q).sum(1))))
-        one = vectors.select("id", "document_id", "v").where(F.size("v") == q.shape[1]).mapInArrow(_nearest(held, k, floor), f"query_id {id_kind}, candidate_id {id_kind}, score double")
+        one = vectors.select("id", "document_id", "v").where(F.size("v") == q.shape[1]).mapInArrow(_nearest(held, k, floor, include_same_document), f"query_id {id_kind}, candidate_id {id_kind}, score double")
         found = one if found is None else found.unionByName(one)
     if found is None:
         return top(spark.createDataFrame([], f"query_id {id_kind}, candidate_id {id_kind}, score double"), k)
     return top(found, k)
 
 
-def _nearest(held, k: int, floor: float):
+def _nearest(held, k: int, floor: float, same: bool = False):
     def work(batches):
         ids, docs, q, norms = held.value
         for batch in batches:
@@ -80,7 +123,10 @@ def _nearest(held, k: int, floor: float):
             n = np.sqrt((x * x).sum(1))
             with np.errstate(divide="ignore", invalid="ignore"):
                 c = np.clip(np.nan_to_num((x @ q.T) / np.outer(n, norms), nan=-2.0), -2.0, 1.0)
-            c[(own[:, None] == docs[None, :]) | (n == 0)[:, None]] = -2.0
+            barred = own[:, None] == docs[None, :]
+            if same:
+                barred &= np.array(names, object)[:, None] <= np.array(ids, object)[None, :]
+            c[barred | (n == 0)[:, None]] = -2.0
             out = []
             for j in range(len(ids)):
                 # all that may be among the k best: ties with the k-th stay, ids decide later
@@ -98,13 +144,14 @@ def word_sets(facts: DataFrame) -> DataFrame:
     return facts.select("fact_id", "document_id", tokens(F.concat_ws(" ", effective("canonical_subject", "subject"), effective("canonical_predicate", "predicate"))).alias("words"))
 
 
-def by_words(facts: DataFrame, queries: DataFrame | None = None, k: int = TOP_K, floor: float = FLOOR) -> DataFrame:
+def by_words(facts: DataFrame, queries: DataFrame | None = None, k: int = TOP_K, floor: float = FLOOR, include_same_document: bool = False) -> DataFrame:
     """Jaccard of words of subject and predicate, by an equi-join on words and a count."""
+    other = "qd <> cd or candidate_id > query_id" if include_same_document else "qd <> cd"
     sets = word_sets(facts)
     q = word_sets(queries if queries is not None else facts)
     left = q.select(F.col("fact_id").alias("query_id"), F.col("document_id").alias("qd"), F.size("words").alias("qn"), F.explode("words").alias("w"))
     right = sets.select(F.col("fact_id").alias("candidate_id"), F.col("document_id").alias("cd"), F.size("words").alias("cn"), F.explode("words").alias("w"))
-    shared = left.join(right, "w").where("qd <> cd").groupBy("query_id", "candidate_id", "qn", "cn").agg(F.count("*").alias("both"))
+    shared = left.join(right, "w").where(other).groupBy("query_id", "candidate_id", "qn", "cn").agg(F.count("*").alias("both"))
     score = F.col("both") / (F.col("qn") + F.col("cn") - F.col("both"))
     return top(shared.select("query_id", "candidate_id", score.alias("score")).where(F.col("score") >= floor), k)
 
@@ -119,7 +166,3 @@ def mixed(ranked: DataFrame, worded: DataFrame, k: int = TOP_K) -> DataFrame:
 def unordered(scored: DataFrame) -> DataFrame:
     """The best score of each unordered pair."""
     return scored.groupBy(F.least("query_id", "candidate_id").alias("a"), F.greatest("query_id", "candidate_id").alias("b")).agg(F.max("score").alias("score"))
-
-
-def lexical_score(a: Column, b: Column) -> Column:
-    return jaccard(tokens(a), tokens(b))

@@ -80,11 +80,32 @@ def collapsed(words: list[str]) -> str:
     return " ".join(collapse(words or []))
 
 
-def apply_aliases(names: DataFrame, aliases: DataFrame) -> DataFrame:
-    """names: id, name (canonical). Words are replaced by their long form and repeats collapsed; nothing changes without aliases."""
-    words = names.select("id", "name", F.posexplode_outer(F.regexp_extract_all(F.lower("name"), F.lit("[a-z0-9]+"), F.lit(0))).alias("p", "w"))
-    swapped = words.join(aliases.select(F.col("abbreviation").alias("w"), "long_form"), "w", "left")
-    back = swapped.groupBy("id", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", F.coalesce("long_form", "w").alias("x")))), lambda s: s["x"]), " ").alias("long"), F.count("w").alias("n"))
-    some = aliases.limit(1).agg((F.count("*") > 0).alias("any"))
-    out = F.when(F.trim(F.coalesce("name", F.lit(""))) == "", None).when((F.col("n") == 0) | ~F.col("any"), F.col("name")).otherwise(F.coalesce(F.nullif(collapsed(F.split(F.trim("long"), " +")), F.lit("")), "name"))
-    return back.join(F.broadcast(some), F.lit(True)).select("id", "name", out.alias("resolved"))
+def apply_aliases(names: DataFrame, aliases: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """names: id, name (canonical) and, with own, document_id. Gives id, name, resolved.
+
+    Words are replaced one by one by their long form, what a document calls itself (own: document_id, abbreviation,
+    long_form) before what the corpus defines, and repeats are collapsed. Names without any alias in reach stay."""
+    of = ["id", "name", "document_id"] if own is not None else ["id", "name"]
+    words = names.select(*of, F.posexplode_outer(F.regexp_extract_all(F.lower("name"), F.lit("[a-z0-9]+"), F.lit(0))).alias("p", "w"))
+    swapped = words.join(aliases.select(F.col("abbreviation").alias("w"), F.col("long_form").alias("general")), "w", "left")
+    long = F.coalesce("general", "w")
+    if own is not None:
+        swapped = swapped.join(own.select("document_id", F.col("abbreviation").alias("w"), F.col("long_form").alias("self")), ["document_id", "w"], "left")
+        long = F.coalesce("self", "general", "w")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("p", long.alias("x")))), lambda s: s["x"])
+    back = swapped.groupBy(*of).agg(F.split(F.trim(F.array_join(listed, " ")), " +").alias("words"), F.count("w").alias("n"))
+    # Only what repeats a word can repeat a run of words: few names, each looked at once.
+    again = back.where(F.size(F.array_distinct("words")) < F.size("words")).select("words").distinct().select("words", collapsed("words").alias("short"))
+    back = back.join(again, "words", "left").join(F.broadcast(aliases.limit(1).agg((F.count("*") > 0).alias("any"))), F.lit(True))
+    if own is not None:
+        back = back.join(own.select("document_id").distinct().withColumn("own", F.lit(True)), "document_id", "left").withColumn("any", F.col("any") | F.col("own").isNotNull())
+    out = F.when(F.trim(F.coalesce("name", F.lit(""))) == "", None).when((F.col("n") == 0) | ~F.col("any"), F.col("name")).otherwise(F.coalesce(F.nullif(F.coalesce("short", F.array_join("words", " ")), F.lit("")), "name"))
+    return back.select("id", "name", out.alias("resolved"))
+
+
+def resolved_names(facts: DataFrame, texts: DataFrame, columns: tuple[str, ...] = ("canonical_subject", "canonical_predicate")) -> DataFrame:
+    """facts (fact_id, document_id, columns) with these names rewritten by what the texts (document_id, text) define."""
+    general, own = alias_map(alias_pairs(texts)), self_reference_map(self_references(texts))
+    names = facts.select("document_id", F.explode(F.array(*(F.struct(F.struct("fact_id", F.lit(c).alias("c")).alias("id"), F.col(c).alias("name")) for c in columns))).alias("x")).select("document_id", "x.*")
+    found = apply_aliases(names, general, own).groupBy(F.col("id.fact_id").alias("fact_id")).agg(*(F.max(F.when(F.col("id.c") == c, F.col("resolved"))).alias(c) for c in columns))
+    return facts.drop(*columns).join(found, "fact_id", "left").select(facts.columns)

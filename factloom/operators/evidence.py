@@ -86,6 +86,20 @@ def grid_text(grid: DataFrame) -> DataFrame:
     return row.groupBy("table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("text"))
 
 
+def table_units(cells: DataFrame) -> DataFrame:
+    """Evidence of tables: a TABLE unit with the whole grid, and a TABLE_CELL unit for each filled cell below the header.
+
+    cells: document_id, page, table_index, row, col, text. Indices of units on a page follow its table, row and column."""
+    named = cells.withColumn("table_id", F.struct("document_id", "page", "table_index"))
+    grid = cleaned_grid(named.select("table_id", "row", "col", "text"))
+    sizes = grid.groupBy("table_id").agg(F.max("n_rows").alias("n_rows"), F.max("n_cols").alias("n_cols"))
+    whole = grid_text(grid).join(sizes, "table_id").select("table_id.*", F.lit("TABLE").alias("type"), "text", "n_rows", "n_cols")
+    each = grid.where("not is_header").select("table_id.*", F.lit("TABLE_CELL").alias("type"), "row", "col", "text", "column_header", "row_header")
+    out = union(whole, each)
+    w = Window.partitionBy("document_id", "page").orderBy("table_index", F.col("type") != "TABLE", "row", "col")
+    return out.withColumn("place", F.row_number().over(w) - 1)
+
+
 def header_line(index: Column, headers: Column) -> Column:
     return F.concat(F.lit("Table "), F.coalesce(index.cast("string"), F.lit("?")), F.lit(" (columns: "), F.array_join(F.coalesce(headers, F.array().cast("array<string>")), " | "), F.lit("):"))
 

@@ -50,6 +50,29 @@ def distinct_facts(rows: DataFrame, key: str = "draft_id") -> DataFrame:
     return rows.withColumn("r", F.row_number().over(Window.partitionBy(*identity).orderBy(key))).where("r = 1").drop("r")
 
 
+def split_new(made: DataFrame, stored: DataFrame | None = None, key: str = "draft_id") -> DataFrame:
+    """Valid facts of a run (key, IDENTITY, fact_id) with `kept_id` and `is_new`: the fact that stands for this identity, stored before or first in the run."""
+    identity = [F.array_sort(c) if c == "evidence_ids" else F.col(c) for c in IDENTITY]
+    marked = made.withColumn("identity", F.sha2(F.to_json(F.struct(*(c.alias(n) for c, n in zip(identity, IDENTITY))), {"ignoreNullFields": "false"}), 256))
+    first = marked.groupBy("identity").agg(F.min_by("fact_id", key).alias("first_id"), F.min(key).alias("first_key"))
+    out = marked.join(first, "identity")
+    if stored is None:
+        return out.select(made.columns + [F.col("first_id").alias("kept_id"), (F.col(key) == F.col("first_key")).alias("is_new")])
+    old = stored.select(F.col("fact_id").alias("old_id"), F.sha2(F.to_json(F.struct(*(c.alias(n) for c, n in zip(identity, IDENTITY))), {"ignoreNullFields": "false"}), 256).alias("identity")).groupBy("identity").agg(F.min("old_id").alias("old_id"))
+    out = out.join(old, "identity", "left")
+    return out.select(made.columns + [F.coalesce("old_id", "first_id").alias("kept_id"), (F.col("old_id").isNull() & (F.col(key) == F.col("first_key"))).alias("is_new")])
+
+
+def extraction_report(chunks: DataFrame, made: DataFrame) -> DataFrame:
+    """Counts of a run by document. chunks: document_id, state (SKIPPED, CAPPED, FAILED, COMPLETED), error; made: document_id, rejected, is_new."""
+    by_state = {"chunks_processed": "COMPLETED", "chunks_failed": "FAILED", "chunks_skipped": "SKIPPED", "chunks_capped": "CAPPED"}
+    per = chunks.groupBy("document_id").agg(*(F.count_if(F.col("state") == v).alias(k) for k, v in by_state.items()), F.array_sort(F.collect_list("error")).alias("chunk_errors"))
+    drafts = made.groupBy("document_id").agg(F.count_if(F.col("rejected").isNotNull()).alias("drafts_rejected"), F.count_if(F.col("rejected").isNull() & ~F.col("is_new")).alias("facts_skipped_duplicate"), F.count_if(F.col("rejected").isNull() & F.col("is_new")).alias("facts_saved"), F.array_sort(F.collect_list(F.concat(F.lit("rejected draft: "), F.col("rejected")))).alias("draft_errors"))
+    none = F.array().cast("array<string>")
+    out = per.join(drafts, "document_id", "left")
+    return out.select("document_id", *by_state, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("drafts_rejected", "facts_skipped_duplicate", "facts_saved")), F.concat("chunk_errors", F.coalesce("draft_errors", none)).alias("errors"))
+
+
 def replaced_flags(old: Column, fresh: Column) -> Column:
     """Flags of other origin in their order, then the fresh ones: running again changes nothing."""
     return F.concat(F.filter(F.coalesce(old, F.array().cast("array<string>")), lambda f: ~f.startswith("norm:")), fresh)

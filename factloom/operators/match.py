@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .candidates import blocked
-from .compare import classified, explanation, metadata
+from .compare import classified, explanation, metadata, side
 
 REVIEW_CONFIDENCE = 0.5
 JUDGED_TYPES = ("CORROBORATES", "CONTRADICTS", "CONTEXTUAL_DIFFERENCE", "RELATED")
@@ -19,9 +19,24 @@ def relationship_id() -> Column:
     return F.concat_ws("~", "fact_a_id", "fact_b_id")
 
 
-def verdicts(facts: DataFrame, include_same_document: bool = False) -> DataFrame:
-    """Relationships of all eligible pairs but unrelated ones, without a judge: those that need one are left for review."""
-    out = classified(blocked(facts, include_same_document)).where("relationship_type <> 'UNRELATED'")
+def scoped(facts: DataFrame, document_id: str | None = None, compare_with: list[str] | None = None) -> DataFrame:
+    """The facts of a run: with compare_with those of the listed documents and of the document that is matched."""
+    if compare_with is None:
+        return facts
+    return facts.where(F.col("document_id").isin([*compare_with, *([document_id] if document_id is not None else [])]))
+
+
+def verdicts(facts: DataFrame, include_same_document: bool = False, pairs: DataFrame | None = None) -> DataFrame:
+    """Relationships of all eligible pairs (or of given ones) but unrelated ones, without a judge: those that need one are left for review."""
+    return verdict_columns(typed(blocked(facts, include_same_document) if pairs is None else pairs))
+
+
+def typed(pairs: DataFrame) -> DataFrame:
+    """Classified pairs, all columns, without unrelated ones."""
+    return classified(pairs).where("relationship_type <> 'UNRELATED'")
+
+
+def verdict_columns(out: DataFrame) -> DataFrame:
     ask = F.col("needs_llm")
     return out.select(
         F.col("a_fact_id").alias("fact_a_id"), F.col("b_fact_id").alias("fact_b_id"), "relationship_type", "rule_id",
@@ -31,6 +46,22 @@ def verdicts(facts: DataFrame, include_same_document: bool = False) -> DataFrame
     ).withColumn("relationship_id", relationship_id())
 
 
+def unstored(pairs: DataFrame, stored: DataFrame) -> DataFrame:
+    """Pairs that no stored relationship holds, before anything is computed for them."""
+    return pairs.join(stored.select(F.col("fact_a_id").alias("a_fact_id"), F.col("fact_b_id").alias("b_fact_id")), ["a_fact_id", "b_fact_id"], "left_anti")
+
+
+def with_excerpts(pairs: DataFrame, facts: DataFrame, evidence: DataFrame, most: int = 4, chars: int = 500) -> DataFrame:
+    """Adds a_texts and b_texts: the first texts of each side's evidence, cut, in the order the fact names them. evidence: evidence_id, text."""
+    named = facts.select("fact_id", F.posexplode("evidence_ids").alias("i", "evidence_id"))
+    texts = named.join(evidence.select("evidence_id", F.substring("text", 1, chars).alias("text")), "evidence_id")
+    lists = texts.groupBy("fact_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), 1, most).alias("texts"))
+    none = F.array().cast("array<string>")
+    for at in ("a", "b"):
+        pairs = pairs.join(lists.select(F.col("fact_id").alias(f"{at}_fact_id"), F.col("texts").alias(f"{at}_texts")), f"{at}_fact_id", "left").withColumn(f"{at}_texts", F.coalesce(f"{at}_texts", none))
+    return pairs
+
+
 def new_only(found: DataFrame, stored: DataFrame) -> DataFrame:
     return found.join(stored.select("fact_a_id", "fact_b_id"), ["fact_a_id", "fact_b_id"], "left_anti")
 
@@ -57,11 +88,14 @@ def parsed_judgment(raw: Column) -> Column:
 
 
 def judged(found: DataFrame, judgments: DataFrame) -> DataFrame:
-    """found with judgments (fact_a_id, fact_b_id, raw) applied to the pairs that wait for one."""
-    j = judgments.select("fact_a_id", "fact_b_id", parsed_judgment(F.col("raw")).alias("j"))
+    """found with judgments (fact_a_id, fact_b_id, raw, and maybe error: why there is none) applied to the pairs that wait for one.
+
+    A pair whose judgment failed or can't be read keeps waiting, with the reason."""
+    failure = F.col("error") if "error" in judgments.columns else F.lit(None).cast("string")
+    j = judgments.select("fact_a_id", "fact_b_id", parsed_judgment(F.col("raw")).alias("j"), failure.alias("failure"))
     out = found.join(j, ["fact_a_id", "fact_b_id"], "left")
     wait = F.col("status") == "NEEDS_REVIEW"
-    valid = wait & F.col("j.error").isNull() & F.col("j.relationship_type").isNotNull()
+    valid = wait & F.col("failure").isNull() & F.col("j.error").isNull() & F.col("j.relationship_type").isNotNull()
     withheld = F.coalesce(F.col("reasoning_metadata.withheld_verdict") == F.col("j.relationship_type"), F.lit(False))
     capped = F.when(F.col("reasoning_metadata.match_tier") == "weak", F.least("confidence", F.col("j.confidence"))).otherwise(F.col("j.confidence"))
     return out.withColumns({
@@ -70,8 +104,8 @@ def judged(found: DataFrame, judgments: DataFrame) -> DataFrame:
         "confidence": F.when(valid, capped).otherwise(F.col("confidence")),
         "explanation": F.when(valid, F.col("j.explanation")).otherwise(F.col("explanation")),
         "status": F.when(valid, "RESOLVED").otherwise(F.col("status")),
-        "needs_review_reason": F.when(valid, None).when(wait & F.col("j.error").isNotNull(), F.concat(F.lit("JudgmentError: "), F.col("j.error"))).otherwise(F.col("needs_review_reason")),
-    }).drop("j")
+        "needs_review_reason": F.when(valid, None).when(wait & F.col("failure").isNotNull(), F.col("failure")).when(wait & F.col("j.error").isNotNull(), F.concat(F.lit("JudgmentError: "), F.col("j.error"))).otherwise(F.col("needs_review_reason")),
+    }).drop("j", "failure")
 
 
 def touching(relationships: DataFrame, facts: DataFrame, document_id: str, relationship_type: str | None = None, least: float = 0.0) -> DataFrame:
@@ -83,6 +117,17 @@ def touching(relationships: DataFrame, facts: DataFrame, document_id: str, relat
     return out if relationship_type is None else out.where(F.col("relationship_type") == relationship_type)
 
 
+def detailed(relationships: DataFrame, facts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Relationships with both facts (a_*, b_*) and the evidence that each names, as far as it is stored, in its order."""
+    named = facts.select("fact_id", F.posexplode("evidence_ids").alias("i", "evidence_id")).join(evidence.select("evidence_id", "page", "type", "text"), "evidence_id")
+    lists = named.groupBy("fact_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "evidence_id", "page", "type", "text"))), lambda x: F.struct(x["evidence_id"].alias("evidence_id"), x["page"].alias("page"), x["type"].alias("type"), x["text"].alias("text"))).alias("evidence"))
+    out = relationships
+    for at in ("a", "b"):
+        own = facts.join(lists, "fact_id", "left")
+        out = out.join(side(own, at), F.col(f"{at}_fact_id") == F.col(f"fact_{at}_id")).withColumn(f"{at}_evidence", F.coalesce(f"{at}_evidence", F.array().cast("array<struct<evidence_id:string,page:int,type:string,text:string>>")))
+    return out
+
+
 def review_order(relationships: DataFrame, page: int = 300) -> DataFrame:
     rank = F.coalesce(*(F.when(F.col("relationship_type") == t, r) for t, r in REVIEW_ORDER.items()), F.lit(3))
     return relationships.withColumn("review_rank", rank).orderBy("review_rank", F.desc("confidence"), "relationship_id").limit(page)

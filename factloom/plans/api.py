@@ -11,11 +11,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import canonical, chunking, evidence, extract, match, prompts, search
-from factloom.operators.compare import comparability, missing, side
+from factloom.operators import candidates, canonical, chunking, evidence, extract, match, prompts, search
+from factloom.operators.compare import comparability, missing
 from factloom.sources import providers, store
 
 VECTORS = "fact_id string, v array<double>"
+PROGRESS = "document_id string, page int, chunk bigint, evidence_hash string, status string, error string, fact_ids array<string>"
+UNITS = "document_id string, page int, block_index int, text string, type string, evidence_id string, table_index int, row int, col int, row_header string, column_header string"
 RELATIONSHIPS = "fact_a_id string, fact_b_id string, relationship_id string, relationship_type string, rule_id string, confidence double, status string, needs_review_reason string, explanation string"
 
 
@@ -45,47 +47,95 @@ class Workspace:
     def health(self) -> dict[str, str]:
         return store.health(self.spark)
 
-    def ingest(self, documents: DataFrame) -> DataFrame:
-        """documents: doc_id, text. Adds their text evidence and page quality; documents of the same id are replaced."""
-        units = evidence.lines(documents).withColumn("type", F.lit("TEXT")).withColumn("evidence_id", evidence.evidence_id(F.col("document_id"), F.col("page"), F.col("block_index"), F.lit("TEXT")))
+    def stored(self, name: str, schema: str) -> DataFrame:
+        """The table, or an empty one."""
+        return self.table(name) if self._has(name) else self.spark.createDataFrame([], schema)
+
+    def ingest(self, documents: DataFrame, tables: DataFrame | None = None, page_errors: DataFrame | None = None, ocr: providers.Provider | None = None) -> DataFrame:
+        """documents: doc_id, text. Adds their evidence and page quality; documents of the same id are replaced. Returns their status.
+
+        tables: cells (document_id, page, table_index, row, col, text) that an extractor found; page_errors: document_id,
+        page, error; ocr: reads the pages of bad quality. Pages of pictures alone get a marker; a failure stays on its page."""
+        units = evidence.lines(documents).withColumn("type", F.lit("TEXT"))
         pages = evidence.page_quality(units).withColumn("error", F.lit(None).cast("string"))
-        for name, new, key in (("evidence", units, ["document_id"]), ("pages", pages, ["document_id"])):
-            old = self.table(name).join(new.select(key).distinct(), key, "left_anti") if self._has(name) else None
+        if page_errors is not None:
+            pages = pages.join(page_errors.select("document_id", "page", F.col("error").alias("e")), ["document_id", "page"], "full").withColumn("error", F.col("e")).drop("e")
+            pages = pages.withColumn("has_images", F.coalesce("has_images", F.lit(False)))
+        if ocr is not None:
+            units, pages = evidence.ocr_fallback(pages, units, ocr, providers.apply)
+        units = evidence.union(units, evidence.image_markers(pages, units))
+        if tables is not None:
+            last = units.groupBy("document_id", "page").agg((F.max("block_index") + 1).alias("next"))
+            found = evidence.table_units(tables).join(last, ["document_id", "page"], "left")
+            units = evidence.union(units, found.withColumn("block_index", F.coalesce("next", F.lit(0)) + F.col("place")).drop("next", "place", "n_rows", "n_cols"))
+        made = units.withColumn("evidence_id", evidence.evidence_id(F.col("document_id"), F.col("page"), F.col("block_index"), F.col("type")))
+        wanted = [part.split(" ") for part in UNITS.split(", ")]
+        made = made.select(*((F.col(n) if n in made.columns else F.lit(None)).cast(t).alias(n) for n, t in wanted))
+        for name, new in (("evidence", made), ("pages", pages)):
+            old = self.table(name).join(documents.select(F.col("doc_id").cast("string").alias("document_id")).distinct(), "document_id", "left_anti") if self._has(name) else None
             self.put(name, new if old is None else old.unionByName(new))
-        return evidence.ingestion(pages, units)
-
-    def chunks(self, max_chars: int = chunking.MAX_CHARS, max_tokens: int | None = None, limit: int | None = None) -> DataFrame:
-        """Units of evidence with their chunk_id; with limit, of the chunks that represent each document."""
-        units = self.table("evidence")
-        placed = units.join(chunking.packed(chunking.text_items(units), max_chars, max_tokens).withColumnRenamed("item", "block_index"), ["document_id", "page", "block_index"])
+        ids = documents.select(F.col("doc_id").cast("string").alias("document_id")).distinct()
+        return evidence.ingestion(self.table("pages").join(ids, "document_id", "left_semi"), self.table("evidence").join(ids, "document_id", "left_semi"))
+
+    def chunks(self, max_chars: int = chunking.MAX_CHARS, max_tokens: int | None = None, limit: int | None = None, start_page: int | None = None, end_page: int | None = None) -> DataFrame:
+        """Units of evidence with their chunk_id, and whether the chunk is `selected`: of `limit` chunks that represent each document (None: all).
+
+        A table's cells go with their table. Chunks are numbered before the window of pages is taken, so they are the same in every run."""
+        units = self.table("evidence").withColumn("seq", F.col("block_index"))
+        items = chunking.items(units)
+        placed = items.join(chunking.packed(items, max_chars, max_tokens), ["document_id", "page", "item"]).select("document_id", "page", "chunk", F.explode("members").alias("evidence_id"))
+        placed = units.join(placed, ["document_id", "page", "evidence_id"])
+        placed = placed if start_page is None else placed.where(F.col("page") >= start_page)
+        placed = placed if end_page is None else placed.where(F.col("page") <= end_page)
         if limit is not None:
-            sums = placed.groupBy("document_id", "page", "chunk").agg(F.lit(0).alias("has_table"), F.least(F.lit(chunking.MOST_DIGITS), F.sum(F.regexp_count("text", F.lit(r"\p{Nd}")))).alias("digits"))
-            placed = placed.join(chunking.selected(sums, limit).select("document_id", "page", "chunk"), ["document_id", "page", "chunk"])
-        return placed.withColumn("chunk_id", F.concat_ws(":", "document_id", "page", "chunk"))
-
-    def extract_facts(self, provider: providers.Provider, limit: int | None = chunking.CHUNK_LIMIT) -> DataFrame:
-        """Drafts of a provider ({prompt} -> {raw}) for all chunks, validated. Returns the rejected ones."""
-        units = self.chunks(limit=limit)
-        none = F.lit(None).cast("string")
-        asked = prompts.extraction(units.withColumns({"item": F.col("block_index"), "table_index": none, "row": none, "col": none, "row_header": none, "column_header": none}))
-        answered = providers.apply(asked, provider, ["prompt"], "raw string").withColumn("d", extract.parsed_drafts(extract.repaired(F.col("raw"))))
-        drafts = answered.select("chunk_id", F.posexplode("d.drafts").alias("i", "x")).select("chunk_id", F.concat_ws("#", "chunk_id", "i").alias("draft_id"), F.split("chunk_id", ":")[0].alias("document_id"), "x.*")
-        made = extract.facts(drafts, units.groupBy("chunk_id").agg(F.collect_list("evidence_id").alias("ids")))
-        kept = extract.distinct_facts(made.where("rejected is null")).withColumn("fact_id", F.sha2("draft_id", 256)).drop("rejected", "draft_id")
-        self.put("facts", extract.normalise(kept))
-        return made.where("rejected is not null")
+            sums = placed.groupBy("document_id", "page", "chunk").agg(F.max((F.col("type") == "TABLE").cast("int")).alias("has_table"), F.least(F.lit(chunking.MOST_DIGITS), F.sum(F.regexp_count("text", F.lit(r"\p{Nd}")))).alias("digits"))
+            placed = placed.join(chunking.selected(sums, limit).select("document_id", "page", "chunk", F.lit(True).alias("selected")), ["document_id", "page", "chunk"], "left")
+        else:
+            placed = placed.withColumn("selected", F.lit(True))
+        return placed.withColumn("selected", F.coalesce("selected", F.lit(False))).withColumn("chunk_id", F.concat_ws(":", "document_id", "page", "chunk"))
+
+    def extract_facts(self, provider: providers.Provider, limit: int | None = chunking.CHUNK_LIMIT, document_id: str | None = None, start_page: int | None = None, end_page: int | None = None) -> DataFrame:
+        """Drafts of a provider ({prompt} -> {raw}) for chunks, validated and stored. Returns the run's report by document.
+
+        Of a document, `limit` representative chunks at most are sent, as the model's time is the bound; limit=None sends
+        all, and the report counts what was left out. Chunks that were completed with the same content are skipped; a
+        chunk whose answer fails or can't be read is FAILED and is sent again by the next run. Facts are added to those
+        that are stored; one of the same identity is linked, not stored twice."""
+        units = self.chunks(limit=limit, start_page=start_page, end_page=end_page)
+        units = units if document_id is None else units.where(F.col("document_id") == document_id)
+        key = ["document_id", "page", "chunk"]
+        every = units.groupBy(*key, "chunk_id", "selected").agg(chunking.chunk_hash(F.collect_list("evidence_id")).alias("evidence_hash"), F.collect_list("evidence_id").alias("ids"))
+        before = self.stored("extraction_chunks", PROGRESS)
+        done = before.where("status = 'COMPLETED'").select(*key, "evidence_hash", F.lit(True).alias("done"))
+        state = F.when(~F.col("selected"), "CAPPED").when(F.col("done"), "SKIPPED").otherwise("ASKED")
+        every = every.join(done, [*key, "evidence_hash"], "left").withColumn("state", state)
+        asked = units.join(every.where("state = 'ASKED'").select("chunk_id"), "chunk_id", "left_semi").withColumn("item", F.col("block_index"))
+        answered = providers.apply(prompts.extraction(asked), provider, ["prompt"], "raw string").withColumn("d", extract.parsed_drafts(extract.repaired(F.col("raw"))))
+        self.put("answers", answered.select("chunk_id", "d.drafts", F.coalesce("error", "d.error").alias("error")))  # a provider is asked once
+        answered = self.table("answers")
+        drafts = answered.where("error is null").select("chunk_id", F.posexplode("drafts").alias("i", "x")).select("chunk_id", F.format_string("%s#%06d", "chunk_id", "i").alias("draft_id"), "x.*")
+        drafts = drafts.join(every.select("chunk_id", "document_id"), "chunk_id")
+        made = extract.facts(drafts, every.select("chunk_id", "ids")).withColumn("fact_id", F.sha2("draft_id", 256))
+        old = self.table("facts") if self._has("facts") else None
+        valid = extract.split_new(made.where("rejected is null"), old)
+        judged = valid.select("draft_id", "kept_id", "is_new", "document_id", F.lit(None).cast("string").alias("rejected")).unionByName(made.where("rejected is not null").select("draft_id", F.lit(None).cast("string").alias("kept_id"), F.lit(False).alias("is_new"), "document_id", "rejected"))
+        self.put("run_drafts", judged.withColumn("chunk_id", F.substring_index("draft_id", "#", 1)))
+        fresh = extract.normalise(valid.where("is_new").drop("rejected", "draft_id", "kept_id", "is_new"))
+        self.put("facts", fresh if old is None else old.unionByName(fresh, allowMissingColumns=True))
+        judged = self.table("run_drafts")
+        linked = judged.where("kept_id is not null").groupBy("chunk_id").agg(F.array_sort(F.collect_set("kept_id")).alias("fact_ids"))
+        status = every.where("state = 'ASKED'").join(answered.select("chunk_id", "error"), "chunk_id").join(linked, "chunk_id", "left")
+        status = status.select(*key, "evidence_hash", F.when(F.col("error").isNull(), "COMPLETED").otherwise("FAILED").alias("status"), "error", F.coalesce("fact_ids", F.array().cast("array<string>")).alias("fact_ids"))
+        told = every.where("state <> 'ASKED'").select("document_id", "state", F.lit(None).cast("string").alias("error")).unionByName(status.select("document_id", F.col("status").alias("state"), "error"))
+        report = extract.extraction_report(told, judged)
+        self.put("extraction_report", report)
+        self.put("extraction_chunks", store.upsert(before, status, key).select([part.split()[0] for part in PROGRESS.split(", ")]))
+        return self.table("extraction_report")
 
     def normalize(self) -> DataFrame:
-        """Canonical values, and names by the abbreviations and issuers that the evidence defines. Returns the report."""
-        texts, facts = self.table("evidence"), extract.normalise(self.table("facts"))
-        general = canonical.alias_map(canonical.alias_pairs(texts))
-        own = canonical.self_reference_map(canonical.self_references(texts))
-        for name in ("canonical_subject", "canonical_predicate"):
-            ids = facts.select(F.concat_ws("\x01", "document_id", "fact_id").alias("id"), F.col(name).alias("name"), "document_id")
-            named = canonical.apply_aliases(ids.select("id", "name"), general).select(F.split("id", "\x01")[1].alias("fact_id"), "resolved")
-            selfs = ids.join(own.withColumnRenamed("abbreviation", "name"), ["document_id", "name"]).select(F.split("id", "\x01")[1].alias("fact_id"), F.col("long_form").alias("issuer"))
-            facts = facts.join(named, "fact_id", "left").join(selfs, "fact_id", "left").withColumn(name, F.coalesce("issuer", "resolved", name)).drop("resolved", "issuer")
-        self.put("facts", facts)
+        """Canonical values, and names by the abbreviations that the evidence defines and what each document calls itself. Returns the report."""
+        facts = extract.normalise(self.table("facts"))
+        self.put("facts", canonical.resolved_names(facts, self.table("evidence")))
         return extract.normalization_report(self.table("facts"))
 
     def facts(self, document_id: str | None = None) -> DataFrame:
@@ -98,28 +148,36 @@ class Workspace:
         texts = store.missing_vectors(self.table("facts"), old).withColumn("t", extract.embedding_text())
         self.put("fact_embeddings", old.unionByName(providers.embedded(texts, "t", provider)))
 
-    def match(self, compare_with: list[str] | None = None, include_same_document: bool = False, recompute: bool = False, judge: providers.Provider | None = None) -> DataFrame:
-        """Relationships of all eligible pairs, merged into those that are stored. Returns the counts by type."""
-        facts = self.table("facts")
-        if compare_with is not None:
-            facts = facts.where(F.col("document_id").isin(compare_with))
-        found = match.verdicts(facts, include_same_document)
+    def match(self, document_id: str | None = None, compare_with: list[str] | None = None, include_same_document: bool = False, recompute: bool = False, judge: providers.Provider | None = None, up_to: int = candidates.EXHAUSTIVE_UP_TO) -> DataFrame:
+        """Relationships of eligible pairs, merged into those that are stored. Returns the counts of the run by type.
+
+        document_id: pairs with a fact of this document, against all others or those in compare_with (without it, all
+        pairs of the documents in compare_with). Beyond `up_to` pairs only the best candidates of each fact are compared.
+        Pairs that are stored are left out before they are compared, unless recompute is set. judge: decides pairs that
+        need it, by their prompt; where it fails, the pair waits for review with the reason."""
+        facts = match.scoped(self.table("facts"), document_id, compare_with)
+        vectors = self.table("fact_embeddings") if self._has("fact_embeddings") else None
+        pairs, _ = candidates.chosen(facts, document_id, vectors, include_same_document, up_to)
+        stored = self.stored("relationships", RELATIONSHIPS)
+        typed = match.typed(pairs if recompute else match.unstored(pairs, stored))
+        found = match.verdict_columns(typed)
         if judge is not None:
-            raw = providers.apply(found.where("status = 'NEEDS_REVIEW'").select("fact_a_id", "fact_b_id", "explanation"), judge, ["explanation"], "raw string")
-            found = match.judged(found, raw.where("error is null"))
+            asked = prompts.judgment(match.with_excerpts(typed.where("needs_llm"), facts, self.table("evidence")))
+            raw = providers.apply(asked.select(F.col("a_fact_id").alias("fact_a_id"), F.col("b_fact_id").alias("fact_b_id"), "prompt"), judge, ["prompt"], "raw string")
+            found = match.judged(found, raw.select("fact_a_id", "fact_b_id", "raw", "error"))
         columns = [c.split()[0] for c in RELATIONSHIPS.split(", ")]
-        stored = self.table("relationships") if self._has("relationships") else self.spark.createDataFrame([], RELATIONSHIPS)
-        self.put("relationships", match.merged(stored, found.select(columns), recompute).select(columns))
-        return self.table("relationships").groupBy("relationship_type").count()
+        self.put("run_pairs", found.select(columns))  # a judge is asked once
+        found = self.table("run_pairs")
+        self.put("relationships", match.merged(stored, found, recompute).select(columns))
+        return found.groupBy("relationship_type").count()
 
     def relationships(self, document_id: str, relationship_type: str | None = None, min_confidence: float = 0.0) -> DataFrame:
         return match.touching(self.table("relationships"), self.table("facts"), document_id, relationship_type, min_confidence)
 
     def relationship(self, relationship_id: str) -> DataFrame:
-        """One relationship with both facts."""
-        facts = self.table("facts")
+        """One relationship with both facts, and the evidence of each: a_evidence and b_evidence."""
         one = self.table("relationships").where(F.col("relationship_id") == relationship_id)
-        return one.join(side(facts, "a"), F.col("a_fact_id") == F.col("fact_a_id")).join(side(facts, "b"), F.col("b_fact_id") == F.col("fact_b_id"))
+        return match.detailed(one, self.table("facts"), self.table("evidence"))
 
     def search(self, query: str, provider: providers.Provider | None = None, document_id: str | None = None, limit: int = search.LIMIT, min_score: float = 0.0) -> DataFrame:
         if not 1 <= limit <= 100:

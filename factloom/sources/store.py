@@ -20,10 +20,6 @@ def update_columns(stored: DataFrame, new: DataFrame, key: list[str], columns: l
     return out.select(*(F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in stored.columns))
 
 
-def link_rows(facts: DataFrame) -> DataFrame:
-    return facts.select("fact_id", F.explode("evidence_ids").alias("evidence_id"))
-
-
 def hydrated(facts: DataFrame, links: DataFrame) -> DataFrame:
     """Facts with their evidence ids in order; an empty list for those without."""
     ids = links.groupBy("fact_id").agg(F.array_sort(F.collect_list("evidence_id")).alias("evidence_ids"))
@@ -34,12 +30,6 @@ def missing_vectors(facts: DataFrame, vectors: DataFrame) -> DataFrame:
     return facts.join(vectors.select("fact_id"), "fact_id", "left_anti")
 
 
-def write(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """A whole snapshot, replaced at once."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-
-
 def uploads(spark: SparkSession, path: str, most: int = MAX_UPLOAD) -> DataFrame:
     """Files with their content, and why each is refused (null: accepted): too large, or no PDF by its first bytes."""
     files = spark.read.format("binaryFile").load(path)

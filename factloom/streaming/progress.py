@@ -21,10 +21,9 @@ def run(spark: SparkSession, chunks: DataFrame, path: str, checkpoint: str, extr
     again. Progress is appended by batch to a folder of its own, so that a batch that is run twice is written once."""
 
     def batch(df: DataFrame, number: int) -> None:
-        try:
-            done = spark.read.schema(PROGRESS).parquet(f"{path}/batch=*").where("status is not null")
-        except Exception:
-            done = spark.createDataFrame([], PROGRESS)
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*")
+        before = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+        done = spark.read.schema(PROGRESS).parquet(f"{path}/batch=*").where("status is not null") if before else spark.createDataFrame([], PROGRESS)
         todo = remaining(df.dropDuplicates([*KEY, "evidence_hash"]), done)
         extract(todo).select(*KEY, "evidence_hash", "status", "error").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
