@@ -233,6 +233,60 @@ def fact_dedupe(spark, sf_dir):
     return extract.distinct_facts(f).select("draft_id")
 
 
+#: Chunks of the drafts: some answered before, some failed, some left out.
+_STATES = "SELECT document_id, chunk_id, CASE WHEN chunk_id % 7 = 0 THEN 'SKIPPED' WHEN chunk_id % 11 = 3 THEN 'CAPPED' WHEN chunk_id % 5 = 1 THEN 'FAILED' ELSE 'COMPLETED' END AS state FROM (SELECT DISTINCT document_id, chunk_id FROM {0}) c"
+_IDENTITY = "document_id, trim(subject), predicate, kind, v, nullif(trim(unit), ''), time_text, scope_text, trim(geography), chunk_id"
+
+
+@query(f"""WITH {_BUILT}, st AS ({_STATES.format("built")}), m AS (SELECT built.* FROM built JOIN st USING (document_id, chunk_id) WHERE state = 'COMPLETED'),
+g AS (SELECT *, row_number() OVER (PARTITION BY {_IDENTITY} ORDER BY draft_id) AS r, (min(draft_id) OVER (PARTITION BY {_IDENTITY})) % 6 = 1 AS stored FROM m WHERE rejected IS NULL),
+p AS (SELECT document_id, count(*) FILTER (state = 'COMPLETED') AS chunks_processed, count(*) FILTER (state = 'FAILED') AS chunks_failed, count(*) FILTER (state = 'SKIPPED') AS chunks_skipped, count(*) FILTER (state = 'CAPPED') AS chunks_capped FROM st GROUP BY 1),
+q AS (SELECT document_id, count(*) FILTER (r = 1 AND NOT stored) AS saved, count(*) FILTER (r > 1 OR stored) AS same FROM g GROUP BY 1), x AS (SELECT document_id, count(*) AS rejected FROM m WHERE rejected IS NOT NULL GROUP BY 1)
+SELECT document_id, chunks_processed, chunks_failed, chunks_skipped, chunks_capped, coalesce(rejected, 0) AS drafts_rejected, coalesce(same, 0) AS facts_skipped_duplicate, coalesce(saved, 0) AS facts_saved, chunks_failed + coalesce(rejected, 0) AS errors FROM p LEFT JOIN q USING (document_id) LEFT JOIN x USING (document_id)""")
+def extraction_report(spark, sf_dir):
+    """A run over chunks that were partly done before; facts whose first draft is 1 modulo 6 are stored already."""
+    d = drafts(spark, sf_dir)
+    states = spark.sql(_STATES.format("{drafts}"), drafts=d).withColumn("error", F.when(F.col("state") == "FAILED", "TimeoutError: no answer"))
+    asked = d.join(states.where("state = 'COMPLETED'").select("document_id", "chunk_id"), ["document_id", "chunk_id"], "left_semi")
+    made = extract.facts(asked, known(spark)).withColumn("fact_id", F.col("draft_id").cast("string"))
+    valid = made.where("rejected is null")
+    stored = extract.distinct_facts(valid).where("draft_id % 6 = 1").withColumn("fact_id", F.concat(F.lit("old-"), "fact_id"))
+    judged = extract.split_new(valid, stored).select("document_id", "rejected", "is_new").unionByName(made.where("rejected is not null").select("document_id", "rejected", F.lit(False).alias("is_new")))
+    return extract.extraction_report(states, judged).withColumn("errors", F.size("errors").cast("long"))
+
+
+@query(f"""WITH c AS ({_CELLS.replace("{lineitem}", "lineitem")}), f AS (SELECT table_id, row, col, trim(text) AS text FROM c WHERE trim(text) <> ''),
+rr AS (SELECT table_id, row, row_number() OVER (PARTITION BY table_id ORDER BY row) - 1 AS r FROM (SELECT DISTINCT table_id, row FROM f) x), cc AS (SELECT table_id, col, row_number() OVER (PARTITION BY table_id ORDER BY col) - 1 AS k FROM (SELECT DISTINCT table_id, col FROM f) x),
+g AS (SELECT f.table_id, r, k, text FROM f JOIN rr USING (table_id, row) JOIN cc USING (table_id, col)), l AS (SELECT table_id, r, string_agg(text, chr(9) ORDER BY k) AS line FROM g GROUP BY table_id, r),
+u AS (SELECT table_id, 'TABLE' AS type, NULL::INT AS r, NULL::INT AS k, string_agg(line, chr(10) ORDER BY r) AS text, NULL AS column_header, NULL AS row_header FROM l GROUP BY table_id
+  UNION ALL SELECT g.table_id, 'TABLE_CELL', g.r - 1, g.k, g.text, h.text, CASE WHEN g.k > 0 THEN x.text END FROM g LEFT JOIN g h ON h.table_id = g.table_id AND h.r = 0 AND h.k = g.k LEFT JOIN g x ON x.table_id = g.table_id AND x.r = g.r AND x.k = 0 WHERE g.r > 0)
+SELECT (table_id % 50)::VARCHAR AS document_id, (table_id % 4)::INT AS page, type, r AS "row", k AS "col", text, column_header, row_header, (row_number() OVER (PARTITION BY table_id % 50, table_id % 4 ORDER BY table_id, type <> 'TABLE', r, k) - 1)::INT AS place FROM u""")
+def table_evidence(spark, sf_dir):
+    """Orders as tables on pages: a unit for each whole table and for each filled cell, in order on the page."""
+    t = F.col("table_id")
+    placed = cells(spark, sf_dir).select((t % 50).cast("string").alias("document_id"), (t % 4).cast("int").alias("page"), t.alias("table_index"), "row", "col", "text")
+    return evidence.table_units(placed).select("document_id", "page", "type", "row", "col", "text", "column_header", "row_header", "place")
+
+
+class PageReader:
+    """Reads three lines of each page, of which the second is blank."""
+
+    def run(self, rows):
+        return [{"texts": [f"page {r['page']}", "  ", "end"]} for r in rows]
+
+
+@query(f"""WITH {_QUALITY}, b AS (SELECT document_id, page FROM quality WHERE score < 0.35e0), m AS (SELECT document_id, page, max(block_index) AS last FROM e GROUP BY 1, 2)
+SELECT document_id, page, block_index, 'TEXT' AS type, text FROM e UNION ALL SELECT document_id, page, (last + i)::INT, 'OCR_TEXT', CASE i WHEN 1 THEN 'page ' || page ELSE 'end' END FROM b JOIN m USING (document_id, page), (VALUES (1), (2)) v(i)""")
+def ocr_union(spark, sf_dir):
+    """Pages of bad quality are read again; what is read stands after the page's own text."""
+    from factloom.sources import providers
+
+    u = units(spark, sf_dir)
+    pages = evidence.page_quality(u).withColumn("error", F.lit(None).cast("string"))
+    read_again, _ = evidence.ocr_fallback(pages, u.withColumn("type", F.lit("TEXT")), PageReader(), providers.apply)
+    return read_again.select("document_id", "page", "block_index", "type", "text")
+
+
 @query()
 def json_repair(spark, sf_dir):
     """Answers cut off after each of their characters, made whole where a part of them is."""

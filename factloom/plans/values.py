@@ -183,11 +183,42 @@ def self_reference(spark, sf_dir):
     return canonical.self_references(view(spark, sf_dir, DEFINITIONS))
 
 
-@query()
+#: Runs that repeat the run before them go, the longest first and from the left, until there is none. From table words (k, words).
+_HIT = "(SELECT x FROM (SELECT unnest(list_filter(flatten(list_transform(range(len({0}) // 2, 0, -1), lambda n: list_transform(range(0, len({0}) - 2 * n + 1), lambda i: {{'n': n, 'i': i}}))), lambda x: {0}[x.i + 1 : x.i + x.n] = {0}[x.i + x.n + 1 : x.i + 2 * x.n])) AS x) q LIMIT 1)"
+_COLLAPSE = f"""col AS (SELECT k, words, {_HIT.format("words")} AS hit FROM words UNION ALL SELECT k, new, {_HIT.format("new")} FROM (SELECT k, list_concat(words[1 : hit.i + hit.n], words[hit.i + 2 * hit.n + 1 :]) AS new FROM col WHERE hit IS NOT NULL) c),
+short AS (SELECT k, array_to_string(words, ' ') AS resolved FROM col WHERE hit IS NULL)"""
+_ENDINGS = "ltd|limited|inc|corp|corporation|llc|plc|pvt|private"
+_CANONICAL = r"nullif(trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')), '(?:(?:^| )(?:{1}))+$', ''), '^(?:the(?: |$))+', '')), '')"
+
+
+@query(f"""WITH RECURSIVE {_ALIAS}, names AS (SELECT DISTINCT {_CANONICAL.format("text", _ENDINGS)} AS k FROM d), each_word AS (SELECT k, unnest(regexp_extract_all(k, '[a-z0-9]+')) AS w, generate_subscripts(regexp_extract_all(k, '[a-z0-9]+'), 1) AS p FROM names),
+words AS (SELECT k, string_split(string_agg(coalesce(long_form, w), ' ' ORDER BY p), ' ') AS words FROM each_word LEFT JOIN map ON abbreviation = w GROUP BY k), {_COLLAPSE}
+SELECT names.k AS name, resolved FROM names LEFT JOIN short ON short.k = names.k""")
 def apply_aliases(spark, sf_dir):
+    """Of distinct names, with the abbreviations that the whole corpus defines."""
     aliases = canonical.alias_map(canonical.alias_pairs(view(spark, sf_dir, DEFINITIONS)))
-    names = view(spark, sf_dir, DEFINITIONS).select(F.monotonically_increasing_id().alias("id"), canonical_name(F.col("text")).alias("name"))
-    return canonical.apply_aliases(names.withColumn("id", F.xxhash64("name")).dropDuplicates(["id"]), aliases)
+    names = view(spark, sf_dir, DEFINITIONS).select(canonical_name(F.col("text")).alias("name")).distinct()
+    return canonical.apply_aliases(names.withColumn("id", F.col("name")), aliases).select("name", "resolved")
+
+
+#: Names in the mouths of documents, of which some say what they call themselves.
+_SAID = """SELECT 'doc-' || CAST(s_suppkey % 23 AS STRING) || '/' || CAST(s_suppkey AS STRING) AS fact_id, 'doc-' || CAST(s_suppkey % 23 AS STRING) AS document_id,
+CASE s_suppkey % 5 WHEN 0 THEN 'our' WHEN 1 THEN 'company company' WHEN 2 THEN 'gfcf' WHEN 3 THEN 'cpi of company' ELSE NULL END AS canonical_subject,
+CASE s_suppkey % 4 WHEN 0 THEN 'our revenue' WHEN 1 THEN 'company sales of the issuer' WHEN 2 THEN 'gross fixed capital formation gfcf' ELSE 'alpha company beta beta' END AS canonical_predicate FROM {supplier}"""
+_OWN_WORDS = ", ".join(repr(w) for w in sorted([*canonical.SELF_NOUNS, *canonical.SELF_PRONOUNS]))
+_SELF = rf"""sm AS (SELECT document_id, unnest(regexp_extract_all(text, '{canonical.SELF_DEFINITION.replace(chr(39), chr(39) * 2)}')) AS hit FROM d WHERE contains(text, '(')),
+sn AS (SELECT document_id, lower(regexp_extract(trim(regexp_extract(hit, '^(.*?)\s*\(', 1)), '((?:^|\s)(?:[A-Z]\S*\s?)+)$')) AS name FROM sm),
+sc AS (SELECT document_id, trim(name) AS name, count(*) AS n FROM sn WHERE trim(name) <> '' GROUP BY 1, 2), sb AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY n DESC, name) AS r FROM sc),
+own AS (SELECT document_id, w AS abbreviation, issuer AS long_form FROM (SELECT document_id, regexp_replace(name, '( ({_ENDINGS}))+$', '') AS issuer FROM sb WHERE r = 1) s, (SELECT unnest([{_OWN_WORDS}]) AS w) v WHERE issuer <> w)"""
+
+
+@query(f"""WITH RECURSIVE {_ALIAS}, {_SELF}, said AS ({duck(_SAID)}), named AS (SELECT document_id, fact_id || '|s' AS k, canonical_subject AS name FROM said UNION ALL SELECT document_id, fact_id || '|p', canonical_predicate FROM said),
+each_word AS (SELECT document_id, k, unnest(regexp_extract_all(name, '[a-z0-9]+')) AS w, generate_subscripts(regexp_extract_all(name, '[a-z0-9]+'), 1) AS p FROM named WHERE name IS NOT NULL),
+words AS (SELECT k, string_split(string_agg(coalesce(o.long_form, m.long_form, w), ' ' ORDER BY p), ' ') AS words FROM each_word e LEFT JOIN own o ON o.document_id = e.document_id AND o.abbreviation = w LEFT JOIN map m ON m.abbreviation = w GROUP BY k), {_COLLAPSE}
+SELECT fact_id, document_id, s.resolved AS canonical_subject, p.resolved AS canonical_predicate FROM said LEFT JOIN short s ON s.k = fact_id || '|s' LEFT JOIN short p ON p.k = fact_id || '|p'""")
+def normalize_names(spark, sf_dir):
+    """What a document calls itself goes before what the corpus defines, word by word: 'our revenue', 'company sales'."""
+    return canonical.resolved_names(view(spark, sf_dir, _SAID), view(spark, sf_dir, DEFINITIONS))
 
 
 @query(f"WITH {_FACTS} SELECT fact_id, ent || ' | ' || claim || ' | ' || coalesce(eu, '') || ' | ' || coalesce(time_text, '') || ' | ' || coalesce(scope_text, '') || ' | ' || coalesce(value_text, '') AS text FROM f")

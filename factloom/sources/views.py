@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 LINES_OF_A_PAGE = 20
 
-#: Claims of two reports: order revenue by nation and year, from orders (A) and from their lines (B), with differences by case h.
+#: Claims of two reports: order revenue by nation and year, from orders (A) and from their lines (B), with differences by case h. Case 0 has dates, whose periods overlap or not.
 FACTS = """
 WITH o AS (
   SELECT n_nationkey AS k, n_name, r_name, year(o_orderdate) AS y, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / 1000000.0e0 AS v
@@ -27,8 +27,10 @@ SELECT side || '-' || lpad(CAST(k AS STRING), 2, '0') || '-' || CAST(y AS STRING
   CAST(CAST(x * 1000000 AS DECIMAL(18,2)) AS STRING) AS value_text, CASE WHEN h = 10 THEN NULL ELSE x * 1000000 END AS value_number,
   CASE WHEN h IN (9, 10) THEN NULL ELSE 'USD' END AS unit, CASE WHEN h = 10 THEN NULL ELSE x END AS normalized_number,
   CASE WHEN h IN (9, 10) THEN NULL ELSE 'USD million' END AS normalized_unit,
-  CASE WHEN no_time THEN NULL ELSE 'FY' || CAST(fy AS STRING) END AS time_text, CASE WHEN no_time THEN 'UNKNOWN' ELSE 'FISCAL_YEAR' END AS time_kind,
-  CAST(NULL AS DATE) AS time_start, CAST(NULL AS DATE) AS time_end, CASE WHEN no_scope THEN NULL ELSE 'all orders' END AS scope_text,
+  CASE WHEN no_time THEN NULL WHEN h = 0 THEN 'from ' || side || ' in ' || CAST(fy AS STRING) ELSE 'FY' || CAST(fy AS STRING) END AS time_text,
+  CASE WHEN no_time THEN 'UNKNOWN' WHEN h = 0 THEN 'DATE' ELSE 'FISCAL_YEAR' END AS time_kind,
+  CASE WHEN h = 0 THEN make_date(CAST(fy AS INT), CASE WHEN side = 'A' THEN 1 ELSE 3 END, 1) END AS time_start,
+  CASE WHEN h = 0 THEN make_date(CAST(fy AS INT), CASE WHEN side = 'A' THEN 2 + CAST(k % 3 AS INT) ELSE 5 END, 20) END AS time_end, CASE WHEN no_scope THEN NULL ELSE 'all orders' END AS scope_text,
   'ACTUAL' AS estimate_status, r_name AS geography, h
 FROM s
 """
