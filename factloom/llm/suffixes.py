@@ -14,8 +14,8 @@ passages are parsed alike, but for their edges. Over phrases, a passage of LENGT
 * At the edges, windows of LENGTH bytes are told by the run of phrases inside and the bytes on both sides of it. Of what
   covers settle, one place (the witness) answers for windows that are the same as one at an edge.
 
-Nothing rests on digests: those of phrases only choose which phrases are sent; phrases of equal digest are compared
-byte by byte, blocks are pairs of exact numbers, and bytes at edges are compared as they are.
+Nothing rests on digests: those of phrases and of windows only choose which of them are sent; phrases of equal digest are
+compared byte by byte, blocks are pairs of exact numbers, and bytes at edges are compared as they are.
 """
 
 from __future__ import annotations
@@ -545,14 +545,23 @@ def _edges(buckets: int):
     return work
 
 
-def window_keys(state: Shard, text: bytes, inside: tuple, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Of each window whose inner run (of inner_runs(), inside) is asked for (run: 0 or more): its start, whether at an edge, and the run with the bytes beside it."""
-    (s, first, last, a, b, open_), *_, at, _ = inside
-    own = run[at] >= 0 if len(s) else np.zeros(0, bool)
-    s, first, last, a, b, open_ = (x[own] for x in (s, first, last, a, b, open_))
+def window_keys(state: Shard, text: bytes, windows: list[np.ndarray]) -> list[bytes]:
+    """Of windows as in Shard.windows(): the run of phrases inside, and the bytes beside it."""
+    s, first, last, a, b, *_ = windows
     inner = np.stack([a, b, last - first, state.start[first] - s], axis=1).astype("<i8").tobytes() if len(s) else b""
     sides = zip(s.tolist(), state.start[first].tolist(), state.start[last].tolist())
-    return s, open_, [inner[32 * i : 32 * i + 32] + text[x:y] + text[z : x + state.length] for i, (x, y, z) in enumerate(sides)]
+    return [inner[32 * i : 32 * i + 32] + text[x:y] + text[z : x + state.length] for i, (x, y, z) in enumerate(sides)]
+
+
+def asked_windows(state: Shard, runs: list[tuple[int, bytes]], buckets: int) -> list[np.ndarray]:
+    """The windows whose inner run is asked for, by the answers to inner_runs()."""
+    windows, a, b, m, at, _ = inner_runs(state)
+    own = answered(a, b, m, runs, buckets)[at] >= 0 if len(a) else np.zeros(0, bool)
+    return [x[own] for x in windows]
+
+
+def hashed(keys: list[bytes]) -> list[bytes]:
+    return [hashlib.blake2b(key, digest_size=16).digest() for key in keys]
 
 
 def window_counts(open_: np.ndarray, keys: list[bytes]) -> dict[bytes, int]:
@@ -564,15 +573,31 @@ def window_counts(open_: np.ndarray, keys: list[bytes]) -> dict[bytes, int]:
 
 
 def _windows(buckets: int):
-    """After the runs inside: windows whose run is asked for are sent, as the run and the bytes beside it."""
+    """After the runs inside: windows whose run is asked for are sent, by hash."""
+
+    def work(rows: pa.Table) -> pa.Table:
+        got, shard = by_kind(rows), rows.column("shard")[0].as_py()
+        state, text = Shard.unpack(got["state"][0][1]), expanded(got["text"][0][1])
+        windows = asked_windows(state, got.get("answers", []), buckets)
+        sent = ask_bytes(shard, window_counts(windows[-1], hashed(window_keys(state, text, windows))), buckets)
+        return rows_of([row("state", shard, -1, got["state"][0][1]), row("runs", shard, -1, pickle.dumps(got.get("answers", []))), *sent])
+
+    return work
+
+
+def _same_windows(buckets: int):
+    """After the hashes: windows whose hash repeats are sent as they are, the run inside and the bytes beside it."""
 
     def work(rows: pa.Table) -> pa.Table:
         got, shard = by_kind(rows), rows.column("shard")[0].as_py()
         state, text = Shard.unpack(got["state"][0][1]), expanded(got["text"][0][1])
-        _, a, b, m, _, _ = inside = inner_runs(state)
-        run = answered(a, b, m, got.get("answers", []), buckets)
-        _, open_, keys = window_keys(state, text, inside, run)
-        return rows_of([row("state", shard, -1, state.pack()), row("runs", shard, -1, blob(run)), *ask_bytes(shard, window_counts(open_, keys), buckets)])
+        windows = asked_windows(state, pickle.loads(got["runs"][0][1]), buckets)
+        keys = window_keys(state, text, windows)
+        hashes = hashed(keys)
+        numbers = answered_bytes(window_counts(windows[-1], hashes), got.get("answers", []), buckets)
+        again = np.fromiter((numbers[h] >= 0 for h in hashes), bool, len(hashes))
+        windows, keys = [x[again] for x in windows], [k for k, x in zip(keys, again.tolist()) if x]
+        return rows_of([row("state", shard, -1, got["state"][0][1]), row("windows", shard, -1, blob(*windows)), *ask_bytes(shard, window_counts(windows[-1], keys), buckets)])
 
     return work
 
@@ -587,9 +612,10 @@ def _removed(length: int, min_words: int, with_text: bool, buckets: int):
         if "state" in got:
             state, text = Shard.unpack(got["state"][0][1]), expanded(got["text"][0][1])
             data = np.frombuffer(text, np.uint8)
-            s, open_, keys = window_keys(state, text, inner_runs(state), unblob(got["runs"][0][1])[0])
-            numbers = answered_bytes(window_counts(open_, keys), got.get("answers", []), buckets)
-            s = s[np.fromiter((numbers[k] >= 0 for k in keys), bool, len(keys))]
+            windows = unblob(got["windows"][0][1])
+            keys = window_keys(state, text, windows)
+            numbers = answered_bytes(window_counts(windows[-1], keys), got.get("answers", []), buckets)
+            s = windows[0][np.fromiter((numbers[k] >= 0 for k in keys), bool, len(keys))]
             mark = np.zeros(len(data) + 1, np.int64)
             np.add.at(mark, s, 1)
             np.add.at(mark, s + length, -1)
@@ -662,7 +688,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 
     def next_step(work, merge, *more: DataFrame) -> DataFrame:
         answers = merged(rows, merge)
-        out = step(work, of(rows, "state"), answers, *more)
+        out = step(work, rows.where("kind in ('state', 'runs')").select("kind", "shard", "bucket", "data"), answers, *more)
         drop(rows, answers)
         return out
 
@@ -672,8 +698,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     drop(before)
     rows = next_step(_edges, _merged(witnessed))
     rows = next_step(_windows, _merged(asked_for), held)
+    rows = next_step(_same_windows, _merged_bytes, held)
     answers = merged(rows, _merged_bytes)
-    every = told.unionByName(held).unionByName(of(rows, "state", "runs")).unionByName(answers)
+    every = told.unionByName(held).unionByName(of(rows, "state", "windows")).unionByName(answers)
     found = every.groupBy("shard").applyInArrow(_removed(length, min_words, with_text, buckets), FOUND_SQL)
     return found.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["sha", "kept_text"] if with_text else []))
 
