@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -20,13 +23,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: the session's checkpoint folder. An error where none is set."""
+    """The folder that the driver and all executors see: the session's checkpoint folder.
+
+    Where none is set, a session of one machine (a local master, as in tests) gets a folder of its own; on a cluster that
+    is an error, as executors wouldn't see each other's files."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         set_by_context = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = set_by_context.get() if set_by_context.isDefined() else None
     if not at:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="factloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        at = f"file://{own}"
+        spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 

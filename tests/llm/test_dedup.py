@@ -41,6 +41,49 @@ def test_components_against_a_loop(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+class Session:
+    """A session without a checkpoint folder."""
+
+    def __init__(self, master):
+        self.sparkContext = self._jsc = self
+        self.master, self.set_to = master, {}
+        self.conf = self
+
+    def sc(self):
+        return self
+
+    def getCheckpointDir(self):
+        return self
+
+    def isDefined(self):
+        return False
+
+    def get(self, key, default=None):
+        return self.set_to.get(key, default)
+
+    def set(self, key, value):
+        self.set_to[key] = value
+
+
+def test_the_shared_folder_is_the_sessions_own():
+    for master in ("spark://host:7077", "yarn", "k8s://x", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError):
+            common.shared_dir(Session(master))
+    for master in ("local", "local[*]", "local[8]", "local[4,2]"):
+        session = Session(master)
+        assert common.shared_dir(session).startswith("file:///") and common.shared_dir(session) == session.get("spark.checkpoint.dir")
+
+
+def test_written_tables_go(spark):
+    import glob
+
+    root = common.shared_dir(spark).removeprefix("file://")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long")
+    before = set(glob.glob(f"{root}/*"))
+    assert common.components(edges).count() == 31
+    assert len(set(glob.glob(f"{root}/*")) - before) == 1  # the last round, which the result reads
+
+
 def test_exact(spark):
     texts = ["a  b", "a b", None, "", " ", "a\tb", "x" * 100_000, "x" * 100_000, "a\u00a0b"]
     got = {r.doc_id: r for r in exact.classes(docs(spark, texts)).collect()}
