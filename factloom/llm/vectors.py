@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, table
+from .common import components, cut, drop, table
 
 THRESHOLD = 0.9
 #: Pivots: PER_ROOT times the square root of the vectors, within these bounds; they are drawn from the data by hash.
 PER_ROOT, LEAST, MOST = 1.0, 64, 2048
 #: Pivots of a description, and vectors of a block.
-NEAREST, BLOCK = 8, 256
+NEAREST, BLOCK = 8, 1024
 
 
 def usable(v: str):
@@ -30,39 +30,51 @@ def usable(v: str):
     return F.col(v).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != math.inf)) & F.exists(v, lambda x: x != 0)
 
 
+def given(vectors: DataFrame) -> str:
+    """Single or double precision, as the components come."""
+    return "f4" if vectors.schema["v"].dataType.elementType.simpleString() == "float" else "f8"
+
+
+def unit(raw: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision."""
+    x = raw.astype("f8")
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
 def described(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """vectors: id, v, w. Adds near (pivots by nearness) and x (the unit vector's bytes, in double precision)."""
+    """vectors: id, v, w. Adds near (pivots by nearness) and x (the components' bytes, as they are given)."""
+    kind = given(vectors)
     shared = vectors.sparkSession.sparkContext.broadcast(pivots)  # MOST pivots at most
 
     def work(batches):
         for batch in batches:
             rows = batch.column("v").to_pylist()
-            near, unit = [], []
+            near, bytes_of = [], []
             for d in {len(r) for r in rows}:
                 at = [i for i, r in enumerate(rows) if len(r) == d]
-                x = np.array([rows[i] for i in at], dtype="f8")
-                x /= np.abs(x).max(1, keepdims=True)
-                x /= np.sqrt((x * x).sum(1, keepdims=True))
+                raw = np.array([rows[i] for i in at], dtype=kind)
+                x = unit(raw)
                 p = shared.value.get(d)
                 k = min(NEAREST, len(p)) if p is not None else 0
                 order = np.argsort(-(x @ p.T), axis=1, kind="stable")[:, :k] if k else np.zeros((len(at), 0), int)
                 near += zip(at, order.tolist())
-                unit += zip(at, (row.tobytes() for row in x))
-            near.sort(key=lambda p: p[0]), unit.sort(key=lambda p: p[0])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("w"), pa.array([n for _, n in near], pa.list_(pa.int32())), pa.array([u for _, u in unit], pa.binary())], ["id", "w", "near", "x"])
+                bytes_of += zip(at, (row.tobytes() for row in raw))
+            near.sort(key=lambda p: p[0]), bytes_of.sort(key=lambda p: p[0])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("w"), pa.array([n for _, n in near], pa.list_(pa.int16())), pa.array([u for _, u in bytes_of], pa.binary())], ["id", "w", "near", "x"])
 
-    return vectors.select("id", "v", "w").mapInArrow(work, "id long, w long, near array<int>, x binary")
+    return vectors.select("id", "v", "w").mapInArrow(work, "id long, w long, near array<smallint>, x binary")
 
 
-def compared(rows: DataFrame, threshold: float) -> DataFrame:
-    """rows: cell, p, q, lo, hi, blk, id, w, near, x, sorted by cell. Gives (a, b, n): links of a forest (n null) and sums (b null)."""
+def compared(rows: DataFrame, threshold: float, kind: str = "f8") -> DataFrame:
+    """kind: of the components in x. rows: cell, p, q, lo, hi, blk, id, w, near, x, sorted by cell. Gives (a, b, n): links of a forest (n null) and sums (b null)."""
 
     def judge(p, q, lo, hi, blk, ids, w, near, xs):
         for size in {len(x) for x in xs}:
             at = [i for i, x in enumerate(xs) if len(x) == size]
             if len(at) < 2:
                 continue
-            x = np.frombuffer(b"".join(xs[i] for i in at), "f8").reshape(len(at), -1)
+            x = unit(np.frombuffer(b"".join(xs[i] for i in at), kind).reshape(len(at), -1))
             i_d, i_w, side = np.array([ids[i] for i in at]), np.array([w[i] for i in at]), np.array([blk[i] for i in at])
             small = sorted({n for i in at for n in near[i] if n < q and n != p})
             place = {n: k for k, n in enumerate(small)}
@@ -132,18 +144,19 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing and stay; so do vectors
     of different lengths to each other. Equal vectors are compared once and counted as often as they occur.
-    Ids are expected to be distinct; of equal ids each row is a vector. Other columns aren't read.
+    Rows of equal or null ids are vectors each; component_id is null where no vector of a component has an id.
+    Other columns aren't read.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(usable(vector_col), F.col(vector_col)).alias("v"))
     rows = rows.withColumn("h", F.when(F.col("v").isNotNull(), F.md5(F.array_join(F.transform("v", lambda x: x.cast("string")), ","))))
-    known = rows.where("v is not null")
-    ones = cut(known.groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("w"), F.first("v").alias("v")).select("h", "id", "w", "v"), "ones")
+    known = rows.where("v is not null").groupBy("h").agg(F.min("id").alias("least"), F.count("*").alias("w"), F.first("v").alias("v"))
+    ones = cut(known.select(F.monotonically_increasing_id().alias("id"), "h", "least", "w", "v"), "ones")
     n = ones.count()
     wanted = int(min(MOST, max(LEAST, PER_ROOT * math.sqrt(n))))
     pivots: dict[int, list] = {}
     for r in ones.orderBy(F.xxhash64(F.lit(7), "h"), "h").limit(wanted).select("v").collect():
-        pivots.setdefault(len(r.v), []).append(np.array(r.v, "f8") / np.linalg.norm(np.array(r.v, "f8")))
+        pivots.setdefault(len(r.v), []).append(unit(np.array([r.v], given(ones)))[0])
     index = cut(described(ones, {d: np.array(p) for d, p in pivots.items()}), "index")
     both = "filter(flatten(transform(array_sort(near), p -> transform(filter(near, q -> q > p), q -> struct(p, q)))), x -> true)"
     listed = index.select("id", "w", "near", "x", F.explode(F.expr(both)).alias("k")).select("id", "w", "near", "x", F.col("k.p").alias("p"), F.col("k.q").alias("q"))
@@ -152,12 +165,17 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).withColumn("lo", F.least("blk", "other")).withColumn("hi", F.greatest("blk", "other"))
     dealt = dealt.withColumn("cell", F.xxhash64("p", "q", "lo", "hi")).select("cell", "p", "q", "lo", "hi", "blk", "id", "w", "near", "x")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    found = cut(compared(dealt.repartition(parts, "cell").sortWithinPartitions("cell", "p", "q", "lo", "hi"), threshold), "links")
+    found = cut(compared(dealt.repartition(parts, "cell").sortWithinPartitions("cell", "p", "q", "lo", "hi"), threshold, given(ones)), "links")
+    drop(index)
     groups = components(found.where("b is not null"))
     sums = found.where("n is not null").groupBy(F.col("a").alias("one")).agg(F.sum("n").alias("n"))
-    per_one = ones.select("h", F.col("id").alias("one"), "w").join(sums, "one", "left").join(groups, F.col("one") == F.col("node"), "left").select("h", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "one").alias("component_id"))
+    per_one = ones.select("h", F.col("id").alias("one"), "least", "w").join(sums, "one", "left").join(groups, F.col("one") == F.col("node"), "left")
+    per_one = cut(per_one.select("h", "least", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "one").alias("component")), "ones")
+    # Written out, so that the join with it stands alone and a large component's rows can be split.
+    named = cut(per_one.groupBy("component").agg(F.min("least").alias("component_id")), "named")
+    per_one = cut(per_one.join(named.hint("merge"), "component").select("h", "n_links", "component_id"), "ones")
     out = rows.select("id", "h").join(per_one, "h", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("n_links").isNotNull(), F.col("component_id")).otherwise(F.col("id")).alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
 def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

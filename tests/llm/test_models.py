@@ -37,6 +37,16 @@ def test_vectors(spark):
     assert all(got[i].n_links >= 29 for i in range(200, 230)) and {got[i].component_id for i in range(200, 230)} == {got[0].component_id}
     assert all(got[i].n_links == 0 and got[i].kept for i in range(300, 306)) and got[306].n_links == got[307].n_links == 1 and got[307].component_id == 306
     assert vectors.links(df.limit(0)).count() == 0
+    single = df.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    found = vectors.links(single).where("vec_id between 200 and 229").collect()
+    assert all(r.n_links >= 29 for r in found)
+
+
+def test_vectors_of_repeated_and_null_ids(spark):
+    x, y = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, x), (1, y), (None, x), (2, [1.0, 0.1, 0.0]), (2, [1.0, 0.1, 0.0]), (None, None), (None, [0.0, 0.0, 1.0]), (3, [0.0, 2.0, 0.1])]
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in vectors.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(0, 0, 0, True), (0, 0, 0, True), (0, 3, 1, False), (1, 1, 1, True), (1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False), (3, 1, 1, False)]
 
 
 def brute_scores(rows, order):
