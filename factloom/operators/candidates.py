@@ -144,16 +144,37 @@ def word_sets(facts: DataFrame) -> DataFrame:
     return facts.select("fact_id", "document_id", tokens(F.concat_ws(" ", effective("canonical_subject", "subject"), effective("canonical_predicate", "predicate"))).alias("words"))
 
 
+def rarest_first(sets: DataFrame, among: DataFrame) -> DataFrame:
+    """sets (fact_id, document_id, words) with the words by how many of `among` hold them, the rarest first."""
+    often = among.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    each = sets.select("fact_id", "document_id", F.explode("words").alias("w")).join(often, "w", "left")
+    return each.groupBy("fact_id", "document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w"))), lambda x: x["w"]).alias("words"))
+
+
+def needed(n: Column, floor: float) -> Column:
+    """How many words a set of n shares at least with any set that is similar enough: fewer with smaller sets, the smallest being floor * n."""
+    least = F.greatest(F.lit(1), F.ceil(floor * n - 1e-9))
+    return F.greatest(F.lit(1), F.ceil((n + least) * (floor / (1 + floor)) - 1e-9)).cast("int")
+
+
 def by_words(facts: DataFrame, queries: DataFrame | None = None, k: int = TOP_K, floor: float = FLOOR, include_same_document: bool = False) -> DataFrame:
-    """Jaccard of words of subject and predicate, by an equi-join on words and a count."""
+    """Jaccard of words of subject and predicate.
+
+    Sets that share `needed` words share one of their rarest, all but needed - 1: only these meet, so that the words which
+    most facts have bring few together. A pair is made for the first rare word that it shares, and scored on the whole sets."""
     other = "qd <> cd or candidate_id > query_id" if include_same_document else "qd <> cd"
-    sets = word_sets(facts)
-    q = word_sets(queries if queries is not None else facts)
-    left = q.select(F.col("fact_id").alias("query_id"), F.col("document_id").alias("qd"), F.size("words").alias("qn"), F.explode("words").alias("w"))
-    right = sets.select(F.col("fact_id").alias("candidate_id"), F.col("document_id").alias("cd"), F.size("words").alias("cn"), F.explode("words").alias("w"))
-    shared = left.join(right, "w").where(other).groupBy("query_id", "candidate_id", "qn", "cn").agg(F.count("*").alias("both"))
-    score = F.col("both") / (F.col("qn") + F.col("cn") - F.col("both"))
-    return top(shared.select("query_id", "candidate_id", score.alias("score")).where(F.col("score") >= floor), k)
+    plain = word_sets(facts)
+    sets = rarest_first(plain, plain)
+    q = sets if queries is None else rarest_first(word_sets(queries), plain)
+
+    def rare(df: DataFrame) -> DataFrame:
+        return df.withColumn("rare", F.slice("words", F.lit(1), F.size("words") - needed(F.size("words"), floor) + 1)).withColumn("w", F.explode("rare"))
+
+    left = rare(q).select(F.col("fact_id").alias("query_id"), F.col("document_id").alias("qd"), F.col("words").alias("qw"), F.col("rare").alias("qr"), "w")
+    right = rare(sets).select(F.col("fact_id").alias("candidate_id"), F.col("document_id").alias("cd"), F.col("words").alias("cw"), F.col("rare").alias("cr"), "w")
+    met = left.join(right, "w").where(other).where(F.get(F.array_intersect("qr", "cr"), F.lit(0)) == F.col("w"))
+    scored = met.select("query_id", "candidate_id", F.size(F.array_intersect("qw", "cw")).alias("both"), (F.size("qw") + F.size("cw")).alias("all"))
+    return top(scored.select("query_id", "candidate_id", (F.col("both") / (F.col("all") - F.col("both"))).alias("score")).where(F.col("score") >= floor), k)
 
 
 def mixed(ranked: DataFrame, worded: DataFrame, k: int = TOP_K) -> DataFrame:

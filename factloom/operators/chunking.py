@@ -28,17 +28,22 @@ def packed(units: DataFrame, max_chars: int = MAX_CHARS, max_tokens: int | None
     room = F.col("room") if "room" in units.columns else F.lit(max_chars)
     items = F.array_sort(F.collect_list(F.struct("item", F.col("chars").cast("long").alias("chars"), F.col("tokens").cast("long").alias("tokens"), room.cast("long").alias("room"))))
     pages = units.groupBy("document_id", "page").agg(items.alias("items"))
-    start = F.struct(F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("chars"), F.lit(0).cast("long").alias("tokens"), F.lit(False).alias("some"), F.array().cast("array<struct<item:int,chunk:bigint>>").alias("out"))
+    long = lambda c: c.cast("long")
+    start = F.struct(long(F.lit(0)).alias("i"), long(F.lit(0)).alias("chars"), long(F.lit(0)).alias("tokens"), F.lit(False).alias("some"), F.array().cast("array<bigint>").alias("breaks"))
 
     def place(acc: Column, x: Column) -> Column:
-        full = acc["some"] & ((acc["chars"] + x["chars"] > x["room"]) | (acc["tokens"] + x["tokens"] > limit))
-        chunk = acc["chunk"] + F.when(full, 1).otherwise(0).cast("long")
         large = (x["chars"] > x["room"]) | (x["tokens"] > limit)
-        chars, tokens = F.when(full, F.lit(0)).otherwise(acc["chars"]) + x["chars"], F.when(full, F.lit(0)).otherwise(acc["tokens"]) + x["tokens"]
-        return F.struct((chunk + F.when(large, 1).otherwise(0).cast("long")).alias("chunk"), F.when(large, F.lit(0)).otherwise(chars).cast("long").alias("chars"), F.when(large, F.lit(0)).otherwise(tokens).cast("long").alias("tokens"), (~large).alias("some"), F.concat(acc["out"], F.array(F.struct(x["item"].cast("int").alias("item"), chunk.alias("chunk")))).alias("out"))
-
-    done = pages.select("document_id", "page", F.explode(F.aggregate("items", start, place, lambda acc: acc["out"])).alias("o"))
-    return done.select("document_id", "page", F.col("o.item").alias("item"), F.col("o.chunk").alias("chunk"))
+        # an item that follows a large one, or the first one, finds nothing open
+        opens = ~acc["some"] | (acc["chars"] + x["chars"] > x["room"]) | (acc["tokens"] + x["tokens"] > limit)
+        chars, tokens = (F.when(opens, long(F.lit(0))).otherwise(acc[n]) + x[n] for n in ("chars", "tokens"))
+        return F.struct((acc["i"] + 1).alias("i"), chars.alias("chars"), tokens.alias("tokens"), (~large).alias("some"), F.when(opens, F.concat(acc["breaks"], F.array(acc["i"]))).otherwise(acc["breaks"]).alias("breaks"))
+
+    # Only where chunks begin is collected; each chunk is then a slice of the page.
+    done = pages.select("document_id", "page", "items", F.aggregate("items", start, place, lambda acc: acc["breaks"]).alias("breaks"))
+    chunks = done.select("document_id", "page", "items", "breaks", F.posexplode("breaks").alias("chunk", "begin"))
+    end = F.coalesce(F.get("breaks", F.col("chunk") + 1), F.size("items").cast("long"))
+    each = chunks.select("document_id", "page", F.col("chunk").cast("long").alias("chunk"), F.explode(F.slice("items", (F.col("begin") + 1).cast("int"), (end - F.col("begin")).cast("int"))).alias("x"))
+    return each.select("document_id", "page", F.col("x.item").cast("int").alias("item"), "chunk")
 
 
 def table_rows(cells: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
