@@ -22,12 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buckets_for, cut, drop, slices, table
+from .common import buckets_for, cut, drop, slices, table, trim
 
 #: Bytes of a context, at most; with the byte after them they fit into a 64-bit number.
 ORDER = 6
 #: Bytes of text in a block, of those whose grams are sorted at once, and for which there is a bucket.
-BLOCK, PIECE, BUCKET = 16 << 20, 4 << 20, 64 << 20
+BLOCK, PIECE, BUCKET = 16 << 20, 1 << 20, 64 << 20
 #: Buckets of two-byte contexts: what they hold is bounded by the alphabet, not by the corpus.
 LOWS = 32
 #: Code lengths travel as multiples of 1 / FINE decimal digits.
@@ -201,7 +201,10 @@ def counted(texts: list[bytes], trains: np.ndarray, order: int) -> tuple[np.ndar
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         keys.append(key[first])
         counts.append(np.add.reduceat(weight, first))
-    return summed(np.concatenate(keys), np.concatenate(counts))
+        if sum(map(len, keys[1:])) > max(len(keys[0]), PIECE):
+            merged = summed(np.concatenate(keys), np.concatenate(counts))
+            keys, counts = [merged[0]], [merged[1]]
+    return summed(np.concatenate(keys), np.concatenate(counts)) if len(keys) > 1 else (keys[0], counts[0])
 
 
 def placed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,8 +257,10 @@ def _split(order: int, buckets: int):
                 if size >= BLOCK:
                     yield from sent(base | n_blocks, ids, texts)
                     n_blocks, ids, texts, size = n_blocks + 1, [], [], 0
+                    trim()
         if ids:
             yield from sent(base | n_blocks, ids, texts)
+        trim()
 
     return work
 
@@ -356,6 +361,8 @@ def _scored(order: int, buckets: int, n_all: int, distinct: int, id_col: str):
         for (a, b), (u, at) in zip(pieces(texts), parts):
             score.append(np.add.reduceat(logs[np.searchsorted(keys, u)][at], np.r_[0, np.cumsum([len(t) for t in texts[a:b]])[:-1]]))
         columns = (ids, [held_out(i) for i in ids], sizes, known, np.full(len(ids), n_all), base, np.concatenate(score))
+        del texts, parts, keys, logs, numbers, counts, logs_of, counts_of
+        trim()
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return work
