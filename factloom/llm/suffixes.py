@@ -560,8 +560,31 @@ def asked_windows(state: Shard, runs: list[tuple[int, bytes]], buckets: int) ->
     return [x[own] for x in windows]
 
 
-def hashed(keys: list[bytes]) -> list[bytes]:
-    return [hashlib.blake2b(key, digest_size=16).digest() for key in keys]
+def sums_of(data: np.ndarray, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of the bytes' numbers times the base's powers, inverse powers): the hash of any stretch is a difference times an inverse."""
+    inverse = np.uint64(pow(int(base), -1, 1 << 64))
+    up, down = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(data), x, np.uint64))]) for x in (base, inverse))
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(LETTERS[data] * up[:-1], dtype=np.uint64)]), down
+
+
+def hashed_windows(state: Shard, text: bytes, windows: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Of windows as in Shard.windows(): distinct 128-bit hashes of what window_keys() gives (two columns), which each window has, and flags as of runs."""
+    s, first, last, a, b, open_ = windows
+    if not len(s):
+        return a, a, a, a
+    data, x, z, e = np.frombuffer(text, np.uint8), state.start[first], state.start[last], s + state.length
+    inner = mixed(mixed(a.astype(np.uint64)) * FACTOR + mixed(b.astype(np.uint64) + MIX) + ((last - first) << 32 | (x - s)).astype(np.uint64))
+    both = []
+    for base in (FACTOR, MIX):
+        sums, down = sums_of(data, base)
+        both.append(mixed(mixed((sums[x] - sums[s]) * down[s]) * base + mixed((sums[e] - sums[z]) * down[z]) + inner).view(np.int64))
+    order, new = distinct(both[0], both[1], np.zeros(len(s), np.int64))
+    starts = np.flatnonzero(new)
+    edge, settled = np.logical_or.reduceat(open_[order], starts), np.logical_or.reduceat(~open_[order], starts)
+    flags = np.where(edge, AT_EDGE, 0) | np.where(settled | (np.diff(np.r_[starts, len(order)]) > 1), MORE, 0)
+    at = np.empty(len(s), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return both[0][order[new]], both[1][order[new]], at, flags
 
 
 def window_counts(open_: np.ndarray, keys: list[bytes]) -> dict[bytes, int]:
@@ -579,25 +602,23 @@ def _windows(buckets: int):
         got, shard = by_kind(rows), rows.column("shard")[0].as_py()
         state, text = Shard.unpack(got["state"][0][1]), expanded(got["text"][0][1])
         windows = asked_windows(state, got.get("answers", []), buckets)
-        sent = ask_bytes(shard, window_counts(windows[-1], hashed(window_keys(state, text, windows))), buckets)
-        return rows_of([row("state", shard, -1, got["state"][0][1]), row("runs", shard, -1, pickle.dumps(got.get("answers", []))), *sent])
+        g, h, _, flags = hashed_windows(state, text, windows)
+        return rows_of([row("state", shard, -1, got["state"][0][1]), row("windows", shard, -1, blob(*windows)), *ask_numbers(shard, g, h, np.zeros(len(g), np.int64), flags, buckets)])
 
     return work
 
 
 def _same_windows(buckets: int):
-    """After the hashes: windows whose hash repeats are sent as they are, the run inside and the bytes beside it."""
+    """After the hashes: windows whose hash stands at an edge and again are sent as they are, the run inside and the bytes beside it."""
 
     def work(rows: pa.Table) -> pa.Table:
         got, shard = by_kind(rows), rows.column("shard")[0].as_py()
         state, text = Shard.unpack(got["state"][0][1]), expanded(got["text"][0][1])
-        windows = asked_windows(state, pickle.loads(got["runs"][0][1]), buckets)
-        keys = window_keys(state, text, windows)
-        hashes = hashed(keys)
-        numbers = answered_bytes(window_counts(windows[-1], hashes), got.get("answers", []), buckets)
-        again = np.fromiter((numbers[h] >= 0 for h in hashes), bool, len(hashes))
-        windows, keys = [x[again] for x in windows], [k for k, x in zip(keys, again.tolist()) if x]
-        return rows_of([row("state", shard, -1, got["state"][0][1]), row("windows", shard, -1, blob(*windows)), *ask_bytes(shard, window_counts(windows[-1], keys), buckets)])
+        windows = unblob(got["windows"][0][1])
+        g, h, at, _ = hashed_windows(state, text, windows)
+        again = answered(g, h, np.zeros(len(g), np.int64), got.get("answers", []), buckets)[at] >= 0 if len(g) else np.zeros(0, bool)
+        windows = [x[again] for x in windows]
+        return rows_of([row("state", shard, -1, got["state"][0][1]), row("windows", shard, -1, blob(*windows)), *ask_bytes(shard, window_counts(windows[-1], window_keys(state, text, windows)), buckets)])
 
     return work
 
@@ -688,7 +709,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 
     def next_step(work, merge, *more: DataFrame) -> DataFrame:
         answers = merged(rows, merge)
-        out = step(work, rows.where("kind in ('state', 'runs')").select("kind", "shard", "bucket", "data"), answers, *more)
+        out = step(work, rows.where("kind in ('state', 'windows')").select("kind", "shard", "bucket", "data"), answers, *more)
         drop(rows, answers)
         return out
 
@@ -698,7 +719,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     drop(before)
     rows = next_step(_edges, _merged(witnessed))
     rows = next_step(_windows, _merged(asked_for), held)
-    rows = next_step(_same_windows, _merged_bytes, held)
+    rows = next_step(_same_windows, _merged(asked_for), held)
     answers = merged(rows, _merged_bytes)
     every = told.unionByName(held).unionByName(of(rows, "state", "windows")).unionByName(answers)
     found = every.groupBy("shard").applyInArrow(_removed(length, min_words, with_text, buckets), FOUND_SQL)
