@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from factloom.functions.text import digits, estimate_tokens
 
+from .evidence import header_line
+
 MAX_CHARS, MOST_DIGITS, CHUNK_LIMIT = 2500, 50, 60
 
 
@@ -69,6 +71,17 @@ def items(units: DataFrame) -> DataFrame:
     return keyed.withColumn("item", item).groupBy("document_id", "page", "item").agg(F.sum(F.length("text")).alias("chars"), F.sum(estimate_tokens(F.col("text"))).alias("tokens"), F.transform(F.array_sort(F.collect_list(lead)), lambda x: x["evidence_id"]).alias("members"))
 
 
+def projected(units: DataFrame) -> DataFrame:
+    """Units as a chunk shows them: a TABLE as its header line above its grid, a cell with its place and headers, others as they are.
+
+    units: evidence_id, type, text, table_index, headers (array), row, col, row_header, column_header."""
+    table, cell = F.col("type") == "TABLE", F.col("type") == "TABLE_CELL"
+    head = header_line(F.col("table_index"), F.col("headers"))
+    shown = F.when(table, F.when(F.coalesce(F.col("text"), F.lit("")) == "", head).otherwise(F.concat(head, F.lit("\n"), "text"))).otherwise(F.col("text"))
+    only = {c: F.when(cell, F.col(c)).alias(c) for c in ("row", "col", "row_header", "column_header")}
+    return units.select("evidence_id", "type", shown.alias("text"), F.when(table | cell, F.col("table_index")).alias("table_index"), *only.values())
+
+
 def ordinals(chunks: DataFrame, start_page: int | None = None, end_page: int | None = None) -> DataFrame:
     """chunks: document_id, page, chunk. chunk_index counts over the whole page; the page window comes after and is inclusive."""
     if start_page is not None and start_page < 0 or None not in (start_page, end_page) and end_page < start_page:

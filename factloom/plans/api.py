@@ -15,6 +15,7 @@ from factloom.operators import candidates, canonical, chunking, evidence, extrac
 from factloom.operators.compare import comparability, missing
 from factloom.sources import providers, store
 
+FILES = "document_id string, content binary"
 VECTORS = "fact_id string, v array<double>"
 PROGRESS = "document_id string, page int, chunk bigint, evidence_hash string, status string, error string, fact_ids array<string>"
 UNITS = "document_id string, page int, block_index int, text string, type string, evidence_id string, table_index int, row int, col int, row_header string, column_header string"
@@ -142,6 +143,40 @@ class Workspace:
         out = self.table("facts").withColumns({"comparability": comparability(), "missing": missing()})
         return out if document_id is None else out.where(F.col("document_id") == document_id)
 
+    def fact(self, fact_id: str) -> DataFrame:
+        """One fact with its evidence ids in order; no row where there is none."""
+        return self.table("facts").where(F.col("fact_id") == fact_id).withColumn("evidence_ids", F.array_sort("evidence_ids"))
+
+    def evidence_of(self, fact_id: str, chars: int = 2000) -> DataFrame:
+        """The stored evidence that a fact names, its text cut for display."""
+        named = self.fact(fact_id).select(F.explode("evidence_ids").alias("evidence_id"))
+        return self.table("evidence").join(named, "evidence_id", "left_semi").withColumn("text", F.substring("text", 1, chars)).orderBy("page", "evidence_id")
+
+    def evidence(self, document_id: str) -> DataFrame:
+        """Evidence of a document in the order of listings: by page, then id."""
+        return self.table("evidence").where(F.col("document_id") == document_id).orderBy("page", "evidence_id")
+
+    def pages(self, document_id: str) -> DataFrame:
+        return self.table("pages").where(F.col("document_id") == document_id).orderBy("page")
+
+    def pairs(self) -> DataFrame:
+        """Relationships in the order of listings: by both facts."""
+        return self.table("relationships").orderBy("fact_a_id", "fact_b_id")
+
+    def vectors(self, fact_ids: list[str]) -> DataFrame:
+        """Vectors of the facts that have one."""
+        return self.stored("fact_embeddings", VECTORS).where(F.col("fact_id").isin(fact_ids))
+
+    def progress(self, document_id: str) -> DataFrame:
+        return self.stored("extraction_chunks", PROGRESS).where(F.col("document_id") == document_id).orderBy("page", "chunk")
+
+    def put_files(self, files: DataFrame) -> None:
+        """files: document_id, content. Replaces the files of the same documents."""
+        self.put("files", store.upsert(self.stored("files", FILES), files.select("document_id", "content"), ["document_id"]))
+
+    def file(self, document_id: str) -> DataFrame:
+        return self.stored("files", FILES).where(F.col("document_id") == document_id)
+
     def embed(self, provider: providers.Provider) -> None:
         """Vectors for facts that have none."""
         old = self.table("fact_embeddings") if self._has("fact_embeddings") else self.spark.createDataFrame([], VECTORS)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import chunking, evidence, extract, search
 from factloom.plans.pairs import _FACTS, _REL, _tok, facts, relationships
-from factloom.sources import store
+from factloom.sources import extractor, store
 from factloom.sources.views import EVIDENCE_SQL, read
 from factloom.streaming import progress
 
@@ -296,6 +296,66 @@ def json_repair(spark, sf_dir):
     return cut.select("id", extract.repaired(clean).alias("json")).withColumn("valid", F.try_parse_json("json").isNotNull())
 
 
+# --- page content by an extractor ------------------------------------------------------------------------------
+
+
+def _extracted(spark, sf_dir) -> DataFrame:
+    """Orders as pages: text in spans and lines, a picture, a blank block; printed numbers in two documents of three."""
+    k = F.col("o_orderkey")
+    line = lambda *spans: F.array(*(x if not isinstance(x, str) else F.lit(x) for x in spans))
+    block = lambda kind, *lines: F.struct(F.lit(kind).alias("type"), F.array(*lines).alias("lines"))
+    blocks = F.array(block(0, line("  order ", F.col("o_orderstatus")), line(F.col("o_orderpriority"))), block(1, line("picture")), block(0, line(" ", " ")), block(0, line(k.cast("string"))))
+    label = F.when(F.col("o_custkey") % 3 == 0, F.lit(None)).when(k % 5 == 0, "").otherwise(F.concat(F.lit("p. "), (k % 40).cast("string")))
+    return read(spark, sf_dir, "orders").select((F.col("o_custkey") % 30).cast("string").alias("document_id"), k.cast("int").alias("page"), label.alias("label"), blocks.alias("blocks"))
+
+
+@query("SELECT (o_custkey % 30)::VARCHAR AS document_id, o_orderkey::INT AS page, 0 AS block_index, 'order ' || o_orderstatus || chr(10) || trim(o_orderpriority) AS text FROM orders UNION ALL SELECT (o_custkey % 30)::VARCHAR, o_orderkey::INT, 1, o_orderkey::VARCHAR FROM orders")
+def text_blocks(spark, sf_dir):
+    return extractor.text_blocks(_extracted(spark, sf_dir))
+
+
+@query("SELECT (o_custkey % 30)::VARCHAR AS document_id, o_orderkey::INT AS page, CASE WHEN o_custkey % 3 <> 0 AND o_orderkey % 5 <> 0 THEN 'p. ' || o_orderkey % 40 END AS source_page_number FROM orders")
+def page_labels(spark, sf_dir):
+    return extractor.labelled(_extracted(spark, sf_dir)).select("document_id", "page", "source_page_number")
+
+
+@query("""WITH q AS (SELECT o_orderkey AS k, o_custkey % 5 AS c, 20 + (o_orderkey * 7) % 300 AS dpi FROM orders),
+r AS (SELECT *, CASE WHEN dpi < 40 OR dpi > 300 THEN 422 WHEN k % 11 = 0 THEN 404 WHEN c = 0 THEN 200 WHEN c = 1 THEN 404 WHEN c = 2 THEN 400 ELSE 200 END AS status FROM q)
+SELECT k AS request_id, status, CASE WHEN status = 200 AND c > 2 AND k % 4 <> 0 THEN round(greatest(0, k % 50 - 10) * dpi / 72e0, 6) END AS x0, CASE WHEN status = 200 AND c > 2 AND k % 4 <> 0 THEN round(least(600, k % 50 + 600 * (k % 2) + 20) * dpi / 72e0, 6) END AS x1 FROM r""")
+def highlight_checks(spark, sf_dir):
+    """Page views: no such page, no evidence asked, unknown, of another page, and boxes that leave the page."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey") % 5
+    o = read(spark, sf_dir, "orders")
+    asked = o.select(k.alias("request_id"), F.lit("d").alias("document_id"), k.cast("int").alias("page"), F.when(c > 0, F.concat(F.lit("e"), k.cast("string"))).alias("evidence_id"), (20 + (k * 7) % 300).cast("int").alias("dpi"))
+    pages = o.where("o_orderkey % 11 <> 0").select(F.lit("d").alias("document_id"), k.cast("int").alias("page"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
+    left = (k % 50 - 10).cast("double")
+    box = F.struct(left.alias("x0"), F.when(k % 4 == 0, 900.0).otherwise(10.0).alias("y0"), (left + 30 + 600 * (k % 2)).cast("double").alias("x1"), F.lit(1000.0).alias("y1"))
+    units = o.where(c > 1).select(F.lit("d").alias("document_id"), F.concat(F.lit("e"), k.cast("string")).alias("evidence_id"), (k + F.when(c == 2, 1).otherwise(0)).cast("int").alias("page"), box.alias("bbox"))
+    return extractor.highlights(asked, units, pages).select("request_id", "status", F.round("box.x0", 6).alias("x0"), F.round("box.x1", 6).alias("x1"))
+
+
+@query("""SELECT l_orderkey AS id, l_linenumber AS line, CASE l_linenumber % 3 WHEN 0 THEN 'TABLE' WHEN 1 THEN 'TABLE_CELL' ELSE 'TEXT' END AS type,
+CASE WHEN l_linenumber % 3 = 0 THEN 'Table ' || CASE WHEN l_orderkey % 2 = 0 THEN '?' ELSE (l_orderkey % 9)::VARCHAR END || ' (columns: ' || CASE WHEN l_orderkey % 5 = 0 THEN '' ELSE 'a | ' || l_linestatus END || '):' || CASE WHEN l_orderkey % 7 = 0 THEN '' ELSE chr(10) || l_returnflag END WHEN l_orderkey % 7 = 0 THEN '' ELSE l_returnflag END AS text,
+CASE WHEN l_linenumber % 3 < 2 AND l_orderkey % 2 = 1 THEN l_orderkey % 9 END AS table_index, CASE WHEN l_linenumber % 3 = 1 THEN l_linenumber END AS row FROM (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus FROM lineitem GROUP BY 1, 2) l""")
+def chunk_units(spark, sf_dir):
+    """Lines as units of each kind: tables without an index, without headers, without cells."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    l = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("mode"), F.min("l_linestatus").alias("status"))
+    kind = F.when(n % 3 == 0, "TABLE").when(n % 3 == 1, "TABLE_CELL").otherwise("TEXT")
+    units = l.select(F.struct(k, n).alias("evidence_id"), kind.alias("type"), F.when(k % 7 == 0, "").otherwise(F.col("mode")).alias("text"), F.when(k % 2 == 1, k % 9).alias("table_index"), F.when(k % 5 != 0, F.array(F.lit("a"), "status")).alias("headers"), n.alias("row"), n.alias("col"), F.lit("r").alias("row_header"), F.lit("c").alias("column_header"))
+    return chunking.projected(units).select("evidence_id.l_orderkey", "evidence_id.l_linenumber", "type", "text", "table_index", "row").toDF("id", "line", "type", "text", "table_index", "row")
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 OR c_custkey % 7 = 3 THEN 'unavailable' WHEN c_custkey % 7 > 3 THEN 'runtime' WHEN c_custkey % 3 = 0 THEN 'malformed' END AS kind FROM customer")
+def provider_errors(spark, sf_dir):
+    """What calls to a service come to: not reached, not ready, other HTTP errors, answers that can't be read."""
+    from factloom.sources import providers
+
+    k = F.col("c_custkey")
+    status = F.get(F.array(*map(F.lit, (200, 200, 201, 503, 500, 404, 422))), (k % 7).cast("int"))
+    return read(spark, sf_dir, "customer").select(k.alias("id"), providers.error_kind(status, k % 4 != 0, k % 3 != 0).alias("kind"))
+
+
 # --- search ----------------------------------------------------------------------------------------------------
 
 QUERY = "Revenue of FRANCE nation"

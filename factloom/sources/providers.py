@@ -9,11 +9,12 @@ from __future__ import annotations
 import hashlib
 import json
 import random
+import time
 from collections.abc import Callable
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VECTOR_SIZE, MOST_TEXTS = 384, 2000
@@ -70,6 +71,80 @@ def backoff(attempt: int, base: float, most: float, retry_after: float | None =
     return delay / 2 + draw() * delay / 2
 
 
+class ProviderError(Exception):
+    """What a service says: its HTTP status where there is one, and how long it asks to wait."""
+
+    def __init__(self, message: str, status: int | None = None, headers: dict | None = None):
+        super().__init__(message)
+        self.status, self.headers = status, headers or {}
+
+
+def retry_after(headers: dict) -> float | None:
+    """Seconds that a service asks to wait; null where it says nothing that is a number from 0 on."""
+    named = {str(k).lower(): v for k, v in headers.items()}
+    for name, unit in (("retry-after", 1.0), ("retry-after-ms", 1000.0)):
+        try:
+            seconds = float(str(named[name]).strip()) / unit
+        except (KeyError, ValueError):
+            continue
+        if seconds >= 0:
+            return seconds
+    return None
+
+
+def final(error: Exception) -> bool:
+    """Errors that a second try won't mend: refused requests, a day's quota used up, a prompt over the model's context."""
+    text = str(error).lower()
+    status = getattr(error, "status", None)
+    return "tokens per day" in text or "(tpd)" in text or "context length" in text or status in (400, 401, 403, 404, 422)
+
+
+def error_kind(status: Column, reached: Column, readable: Column) -> Column:
+    """What a failed call to a model service means: unavailable, runtime or malformed; null where it worked."""
+    return F.when(~reached | (status == 503), "unavailable").when(status >= 400, "runtime").when(~readable, "malformed")
+
+
+class Paced:
+    """Spaces the starts of calls by `interval` seconds at least, in one worker."""
+
+    def __init__(self, provider: Provider, interval: float = 2.5, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.provider, self.interval, self.clock, self.sleep, self.last = provider, interval, clock, sleep, None
+
+    def run(self, rows: list[dict]) -> list[dict]:
+        out = []
+        for row in rows:
+            if self.last is not None and (wait := self.interval - (self.clock() - self.last)) > 0:
+                self.sleep(wait)
+            self.last = self.clock()
+            out += self.provider.run([row])
+        return out
+
+
+class Retrying:
+    """Tries again after errors that may pass, `most` times, with growing waits; others are raised at once. An answer that `readable` refuses is such an error."""
+
+    def __init__(self, provider: Provider, most: int = 5, base: float = 1.0, longest: float = 60.0, readable: Callable[[list[dict]], bool] | None = None, sleep: Callable[[float], None] = time.sleep, draw: Callable[[], float] = random.random):
+        self.provider, self.most, self.base, self.longest, self.readable, self.sleep, self.draw = provider, most, base, longest, readable, sleep, draw
+
+    def run(self, rows: list[dict]) -> list[dict]:
+        for attempt in range(1, self.most + 2):
+            try:
+                out = self.provider.run(rows)
+                if self.readable is None or self.readable(out):
+                    return out
+                raise ProviderError("unreadable answer")
+            except Exception as e:
+                if final(e) or attempt > self.most:
+                    raise
+                self.sleep(backoff(attempt, self.base, self.longest, retry_after(getattr(e, "headers", {})), self.draw))
+        raise AssertionError
+
+
+def vectors_fit(size: int = VECTOR_SIZE) -> Callable[[list[dict]], bool]:
+    """Whether an embedding answer has a vector of finite numbers of this size for each text."""
+    return lambda rows: all(isinstance(r.get("vector"), list) and len(r["vector"]) == size and all(isinstance(x, (int, float)) and abs(x) < float("inf") for x in r["vector"]) for r in rows)
+
+
 def apply(df: DataFrame, provider: Provider, columns: list[str], result: str, batch: int = MOST_TEXTS) -> DataFrame:
     """df with the provider's result columns (a DDL string) and `error`, filled for each batch that the provider couldn't do."""
     names = [part.split()[0] for part in result.split(", ")]

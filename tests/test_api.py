@@ -6,6 +6,7 @@ import sys
 
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from factloom.plans.api import Workspace
 from factloom.sources.providers import HashEmbedder, KeepingJudge
@@ -148,6 +149,13 @@ def test_match_for_one_document(spark, tmp_path):
     assert pairs() == {frozenset("12"), frozenset("13"), frozenset("23"), frozenset("34")}
     waiting = w.table("relationships").where("status = 'NEEDS_REVIEW'").collect()
     assert waiting and {r.needs_review_reason for r in waiting} == {"TimeoutError: busy"} and all(r.confidence <= 0.5 for r in waiting)
+    assert [r.document_id for r in w.pairs().join(w.table("facts"), F.col("fact_a_id") == F.col("fact_id")).collect()] and [r.fact_a_id for r in w.pairs().collect()] == sorted(r.fact_a_id for r in w.pairs().collect())
+    one = w.facts("1").first().fact_id
+    assert w.fact(one).count() == 1 and w.fact("none").count() == 0 and w.evidence_of(one, 5).first().text == "Alpha"
+    assert w.evidence("1").count() == w.pages("1").count() == w.progress("1").count() == 1 and w.vectors([one]).count() == 0
+    w.put_files(spark.createDataFrame([("1", b"%PDF a")], "document_id string, content binary"))
+    w.put_files(spark.createDataFrame([("1", b"%PDF b"), ("2", b"%PDF")], "document_id string, content binary"))
+    assert bytes(w.file("1").first().content) == b"%PDF b" and w.file("9").count() == 0
     w.match("4", up_to=0)  # too many pairs: the best of each fact
     assert frozenset("14") in pairs() and frozenset("24") in pairs()
     assert w.match().count() == 0

@@ -1,14 +1,18 @@
 """Pairs, stores, streams and providers on small made-up tables."""
 
 import random
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from factloom.operators import candidates, chunking, compare, evidence, match, search
-from factloom.sources import providers, store
+from factloom.sources import extractor, providers, store
 from factloom.streaming import progress
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers don't import tests
+
 FACT = "fact_id string, document_id string, subject string, canonical_subject string, predicate string, canonical_predicate string, value_kind string, value_text string, normalized_number double, unit string, normalized_unit string, time_text string, time_kind string, time_start date, time_end date, scope_text string, estimate_status string, geography string"
 
 
@@ -190,3 +194,81 @@ def test_presentation(spark):
     r = match.verdicts(facts).select(reports.badge().alias("b"), reports.flattened("reasoning_metadata", ["numeric_verdict", "incompatible_dimensions", "match_tier"]).alias("m")).first()
     assert r.b == "needs review; CONTRADICTS withheld: scope stated on only one side" and r.m == {"numeric_verdict": "DIFFERENT", "incompatible_dimensions": "none", "match_tier": "none"}
     assert spark.range(1).select(reports.shown_number(F.lit(8141.5), F.lit("INR crore")).alias("x")).first().x.endswith("INR crore")
+
+
+class Book:
+    """An extractor of 'pages' parted by form feeds; a page that says so has tables, found at the second try."""
+
+    def pages(self, content):
+        if not content.startswith(b"%"):
+            raise ValueError("no such format")
+        return [{"page": i, "label": "", "width": 600.0, "height": 800.0, "has_images": False, "candidates": t.count("table"), "blocks": [{"type": 0, "lines": [[w] for w in t.split()]}]} for i, t in enumerate(content[1:].decode().split("\f"))]
+
+    def tables(self, content, pages, settings):
+        text = content[1:].decode().split("\f")[pages[0]]
+        if "broken" in text:
+            raise RuntimeError("torn")
+        if settings is None or "none" in text:
+            return []
+        return [{"page": pages[0], "table_index": 0, "cells": [{"row": r, "col": c, "text": f"{r}{c}"} for r in range(2) for c in range(2)]}]
+
+
+def test_extractor_contains_failures(spark):
+    files = spark.createDataFrame([("a", b"%one two\ftable\ftable none\ftable broken"), ("b", b"other")], "document_id string, content binary")
+    pages = extractor.read_pages(files, Book())
+    assert sorted((r.document_id, r.page, r.error) for r in pages.collect()) == [("a", 0, None), ("a", 1, None), ("a", 2, None), ("a", 3, None), ("b", 0, "ValueError: no such format")]
+    assert {(r.page, r.text) for r in extractor.text_blocks(pages).collect()} == {(0, "one\ntwo"), (1, "table"), (2, "table\nnone"), (3, "table\nbroken")}
+    assert all(r.source_page_number is None for r in extractor.labelled(pages).collect())
+    tables = extractor.read_tables(files, pages, Book())
+    assert {r.page: r.error for r in tables.collect()} == {1: None, 2: "page 2: no table found by either search", 3: "page 3: table search failed (RuntimeError: torn)"}
+    assert sorted((r.page, r.text) for r in extractor.table_cells(tables).collect()) == [(1, "00"), (1, "01"), (1, "10"), (1, "11")]
+
+
+def test_retries_and_pacing():
+    class Service:
+        def __init__(self, *answers):
+            self.answers = list(answers)
+
+        def run(self, rows):
+            x = self.answers.pop(0)
+            if isinstance(x, Exception):
+                raise x
+            return x
+
+    waits = []
+    busy, good = providers.ProviderError("busy", 429, {"Retry-After": "7"}), [{"vector": [0.0, 1.0]}]
+    tried = providers.Retrying(Service(busy, TimeoutError("slow"), [{"vector": [0.0]}], good), readable=providers.vectors_fit(2), sleep=waits.append, draw=lambda: 1.0)
+    assert tried.run([{}]) == good and waits == [7.0, 2.0, 4.0]
+    for error in (providers.ProviderError("no", 401), providers.ProviderError("limit on tokens per day (TPD)", 429), ValueError("context length exceeded")):
+        with pytest.raises(type(error)):
+            providers.Retrying(Service(error, good), sleep=waits.append).run([{}])
+    with pytest.raises(TimeoutError):
+        providers.Retrying(Service(*[TimeoutError("slow")] * 3), most=2, sleep=lambda s: None).run([{}])
+    assert [providers.retry_after(h) for h in ({}, {"retry-after-ms": "1500"}, {"Retry-After": "-1"}, {"Retry-After": "soon"})] == [None, 1.5, None, None]
+    now, slept = [0.0], []
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    paced = providers.Paced(Service(good, good, good), 2.5, lambda: now[0], sleep)
+    paced.run([{}, {}])
+    now[0] += 1.0
+    paced.run([{}])
+    assert slept == [2.5, 1.5]
+
+
+def test_word_candidates_against_all_pairs(spark):
+    rng = random.Random(11)
+    names = [" ".join(["revenue", *rng.sample("abcdefghijklmnop", rng.randint(0, 6)), *(["total"] if rng.random() < 0.7 else [])]) for _ in range(120)]
+    rows = [fact(f"f{i:03}", f"d{i % 7}", canonical_subject=n, canonical_predicate="") | dict(predicate="x") for i, n in enumerate(names)]
+    facts = table(spark, rows)
+    sets = {r["fact_id"]: {*n.split(), "x"} for r, n in zip(rows, names)}
+    doc = {r["fact_id"]: r["document_id"] for r in rows}
+    for floor, same in ((0.25, False), (0.6, True)):
+        want = {}
+        for q, x in sets.items():
+            scored = sorted((-len(x & y) / len(x | y), c) for c, y in sets.items() if c != q and (doc[c] != doc[q] or same and c > q))
+            want |= {(q, c): -s for s, c in [p for p in scored if -p[0] >= floor][:5]}
+        got = {(r.query_id, r.candidate_id): r.score for r in candidates.by_words(facts, k=5, floor=floor, include_same_document=same).collect()}
+        assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p]) for p in got)
