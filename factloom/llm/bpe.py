@@ -28,6 +28,8 @@ from .common import slices, table
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces and transitions kept at once in a worker; beyond that they are made anew. Results don't depend on it.
 KEPT_PIECES, KEPT_STATES = 500_000, 500_000
+#: Characters of a piece that is kept, at most; longer ones are made each time they come in another text.
+LONGEST_KEPT = 200
 END = -1
 
 
@@ -138,6 +140,16 @@ class Transducer:
         self.moves[key] = made = at << 1 | bool(out)
         return made
 
+    def forget(self, state: int) -> int:
+        """Begins anew with one state beside the start, in the midst of a piece; gives its new number."""
+        kept = self.states[state]
+        self.reset()
+        if kept[:2] in self.ids:
+            return self.ids[kept[:2]]
+        self.ids[kept[:2]] = len(self.states)
+        self.states.append(kept)
+        return len(self.states) - 1
+
     def piece(self, text: bytes) -> list[int]:
         if len(self.states) > KEPT_STATES:
             self.reset()
@@ -150,6 +162,9 @@ class Transducer:
             if step & 1:
                 out.extend(emits[key])
             state = step >> 1
+            if len(self.states) > 2 * KEPT_STATES:
+                state = self.forget(state)
+                moves, emits = self.moves, self.emits
         _, tail, last, _ = self.states[state]
         rest, p = [], len(tail)
         while p:
@@ -207,10 +222,12 @@ class Codec:
         if len(kept) > KEPT_PIECES:
             self.older, self.pieces = kept, {}
             kept = self.pieces
-        run, older, word = self.machine.piece, self.older, self.words
+        run, older, word, long = self.machine.piece, self.older, self.words, {}
         for piece in found:
-            if piece not in kept:
-                kept[piece] = older.get(piece) or b"".join([word[i] for i in run(piece.encode())])
+            if piece not in kept and piece not in long:
+                (kept if len(piece) <= LONGEST_KEPT else long)[piece] = older.get(piece) or b"".join([word[i] for i in run(piece.encode())])
+        if long:
+            return b"".join([long[p] if p in long else kept[p] for p in found])
         return b"".join(map(kept.__getitem__, found))
 
     def decode(self, ids: bytes, block: int = 1 << 16) -> bytes:

@@ -35,6 +35,16 @@ def test_encoding_equals_tiktoken_and_decodes(codec):
         assert codec.decode(ids, block=3) == text.encode()
 
 
+def test_a_long_piece_fills_no_table(codec, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_STATES", 50)
+    own = bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    reference = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30_000))
+    assert array("I", own.encode(text + " end " + text)).tolist() == reference.encode_ordinary(text + " end " + text)
+    assert len(own.machine.states) <= 101 and not any(len(p) > bpe.LONGEST_KEPT for p in own.pieces)
+
+
 def test_utf8_machine_takes_any_cuts():
     rng, text = random.Random(2), "aé日🙂\n" * 40
     data = text.encode()
