@@ -1,11 +1,13 @@
 """The engine's surface: a workspace of tables under one path, and what can be done with it.
 
-Tables are Parquet snapshots: documents, evidence, facts, fact_embeddings, relationships, extraction_chunks. Calls read
-whole snapshots, make the next ones by the operators, and write them; reading calls return DataFrames.
+Tables are Parquet snapshots: documents, pages, evidence, files, facts, fact_embeddings, relationships, extraction_chunks, and
+those of the last run. Calls read whole snapshots, make the next ones by the operators, and write them; what belongs
+together counts from the same moment on. Reading calls return DataFrames.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,22 +30,43 @@ class Workspace:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.path}/{name}/current"
+    def _file(self, name: str):
+        """(file system, path) of a file of the workspace."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def versions(self) -> dict[str, str]:
+        """The snapshot of each table that counts now."""
+        fs, path = self._file("current")
+        if not fs.exists(path):
+            return {}
+        stream = fs.open(path)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def _has(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._pointer(name))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return name in self.versions()
 
     def table(self, name: str) -> DataFrame:
-        version = self.spark.read.text(self._pointer(name)).first()[0]
-        return self.spark.read.parquet(f"{self.path}/{name}/{version}")
-
-    def put(self, name: str, df: DataFrame) -> None:
-        """A new snapshot beside the old one; the pointer to it is replaced last. One writer at a time."""
-        version = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{name}/{version}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(self._pointer(name))
+        return self.spark.read.parquet(f"{self.path}/{name}/{self.versions()[name]}")
+
+    def put(self, **tables: DataFrame) -> None:
+        """New snapshots beside the old ones; the one file that names what counts is replaced last, so that readers see all of them or none. One writer at a time."""
+        made = {}
+        for name, df in tables.items():
+            made[name] = f"v-{uuid.uuid4().hex}"
+            df.write.parquet(f"{self.path}/{name}/{made[name]}")
+        fs, new = self._file(f"next-{uuid.uuid4().hex}")
+        out = fs.create(new, True)
+        out.write(bytearray(json.dumps(self.versions() | made).encode()))
+        out.close()
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), self.spark._jsc.hadoopConfiguration()).rename(new, self._file("current")[1], how)
 
     def health(self) -> dict[str, str]:
         return store.health(self.spark)
@@ -63,7 +86,11 @@ class Workspace:
             pages = pages.join(page_errors.select("document_id", "page", F.col("error").alias("e")), ["document_id", "page"], "full").withColumn("error", F.col("e")).drop("e")
             pages = pages.withColumn("has_images", F.coalesce("has_images", F.lit(False)))
         if ocr is not None:
-            units, pages = evidence.ocr_fallback(pages, units, ocr, providers.apply)
+            def asked_once(*given):
+                self.put(ocr_answers=providers.apply(*given))
+                return self.table("ocr_answers")
+
+            units, pages = evidence.ocr_fallback(pages, units, ocr, asked_once)
         units = evidence.union(units, evidence.image_markers(pages, units))
         if tables is not None:
             last = units.groupBy("document_id", "page").agg((F.max("block_index") + 1).alias("next"))
@@ -72,11 +99,16 @@ class Workspace:
         made = units.withColumn("evidence_id", evidence.evidence_id(F.col("document_id"), F.col("page"), F.col("block_index"), F.col("type")))
         wanted = [part.split(" ") for part in UNITS.split(", ")]
         made = made.select(*((F.col(n) if n in made.columns else F.lit(None)).cast(t).alias(n) for n, t in wanted))
-        for name, new in (("evidence", made), ("pages", pages)):
-            old = self.table(name).join(documents.select(F.col("doc_id").cast("string").alias("document_id")).distinct(), "document_id", "left_anti") if self._has(name) else None
-            self.put(name, new if old is None else old.unionByName(new))
         ids = documents.select(F.col("doc_id").cast("string").alias("document_id")).distinct()
-        return evidence.ingestion(self.table("pages").join(ids, "document_id", "left_semi"), self.table("evidence").join(ids, "document_id", "left_semi"))
+        status = ids.join(evidence.ingestion(pages, made), "document_id", "left").withColumns({"ingestion_status": F.coalesce("ingestion_status", F.lit("FAILED")), "created_at": F.current_timestamp()})
+        fresh = {"documents": status, "pages": pages, "evidence": made}
+        have = self.versions()
+        self.put(**{n: new if n not in have else self.table(n).join(ids, "document_id", "left_anti").unionByName(new) for n, new in fresh.items()})
+        return self.table("documents").join(ids, "document_id", "left_semi")
+
+    def documents(self) -> DataFrame:
+        """Documents in the order of listings: as they came, then by id."""
+        return self.table("documents").orderBy("created_at", "document_id")
 
     def chunks(self, max_chars: int = chunking.MAX_CHARS, max_tokens: int | None = None, limit: int | None = None, start_page: int | None = None, end_page: int | None = None) -> DataFrame:
         """Units of evidence with their chunk_id, and whether the chunk is `selected`: of `limit` chunks that represent each document (None: all).
@@ -112,7 +144,7 @@ class Workspace:
         every = every.join(done, [*key, "evidence_hash"], "left").withColumn("state", state)
         asked = units.join(every.where("state = 'ASKED'").select("chunk_id"), "chunk_id", "left_semi").withColumn("item", F.col("block_index"))
         answered = providers.apply(prompts.extraction(asked), provider, ["prompt"], "raw string").withColumn("d", extract.parsed_drafts(extract.repaired(F.col("raw"))))
-        self.put("answers", answered.select("chunk_id", "d.drafts", F.coalesce("error", "d.error").alias("error")))  # a provider is asked once
+        self.put(answers=answered.select("chunk_id", "d.drafts", F.coalesce("error", "d.error").alias("error")))  # a provider is asked once
         answered = self.table("answers")
         drafts = answered.where("error is null").select("chunk_id", F.posexplode("drafts").alias("i", "x")).select("chunk_id", F.format_string("%s#%06d", "chunk_id", "i").alias("draft_id"), "x.*")
         drafts = drafts.join(every.select("chunk_id", "document_id"), "chunk_id")
@@ -120,23 +152,22 @@ class Workspace:
         old = self.table("facts") if self._has("facts") else None
         valid = extract.split_new(made.where("rejected is null"), old)
         judged = valid.select("draft_id", "kept_id", "is_new", "document_id", F.lit(None).cast("string").alias("rejected")).unionByName(made.where("rejected is not null").select("draft_id", F.lit(None).cast("string").alias("kept_id"), F.lit(False).alias("is_new"), "document_id", "rejected"))
-        self.put("run_drafts", judged.withColumn("chunk_id", F.substring_index("draft_id", "#", 1)))
+        self.put(run_drafts=judged.withColumn("chunk_id", F.substring_index("draft_id", "#", 1)))
         fresh = extract.normalise(valid.where("is_new").drop("rejected", "draft_id", "kept_id", "is_new"))
-        self.put("facts", fresh if old is None else old.unionByName(fresh, allowMissingColumns=True))
         judged = self.table("run_drafts")
         linked = judged.where("kept_id is not null").groupBy("chunk_id").agg(F.array_sort(F.collect_set("kept_id")).alias("fact_ids"))
         status = every.where("state = 'ASKED'").join(answered.select("chunk_id", "error"), "chunk_id").join(linked, "chunk_id", "left")
         status = status.select(*key, "evidence_hash", F.when(F.col("error").isNull(), "COMPLETED").otherwise("FAILED").alias("status"), "error", F.coalesce("fact_ids", F.array().cast("array<string>")).alias("fact_ids"))
         told = every.where("state <> 'ASKED'").select("document_id", "state", F.lit(None).cast("string").alias("error")).unionByName(status.select("document_id", F.col("status").alias("state"), "error"))
-        report = extract.extraction_report(told, judged)
-        self.put("extraction_report", report)
-        self.put("extraction_chunks", store.upsert(before, status, key).select([part.split()[0] for part in PROGRESS.split(", ")]))
+        progress = store.upsert(before, status, key).select([part.split()[0] for part in PROGRESS.split(", ")])
+        facts = fresh if old is None else old.unionByName(fresh, allowMissingColumns=True)
+        self.put(facts=facts, extraction_chunks=progress, extraction_report=extract.extraction_report(told, judged))
         return self.table("extraction_report")
 
     def normalize(self) -> DataFrame:
         """Canonical values, and names by the abbreviations that the evidence defines and what each document calls itself. Returns the report."""
         facts = extract.normalise(self.table("facts"))
-        self.put("facts", canonical.resolved_names(facts, self.table("evidence")))
+        self.put(facts=canonical.resolved_names(facts, self.table("evidence")))
         return extract.normalization_report(self.table("facts"))
 
     def facts(self, document_id: str | None = None) -> DataFrame:
@@ -172,7 +203,7 @@ class Workspace:
 
     def put_files(self, files: DataFrame) -> None:
         """files: document_id, content. Replaces the files of the same documents."""
-        self.put("files", store.upsert(self.stored("files", FILES), files.select("document_id", "content"), ["document_id"]))
+        self.put(files=store.upsert(self.stored("files", FILES), files.select("document_id", "content"), ["document_id"]))
 
     def file(self, document_id: str) -> DataFrame:
         return self.stored("files", FILES).where(F.col("document_id") == document_id)
@@ -181,7 +212,7 @@ class Workspace:
         """Vectors for facts that have none."""
         old = self.table("fact_embeddings") if self._has("fact_embeddings") else self.spark.createDataFrame([], VECTORS)
         texts = store.missing_vectors(self.table("facts"), old).withColumn("t", extract.embedding_text())
-        self.put("fact_embeddings", old.unionByName(providers.embedded(texts, "t", provider)))
+        self.put(fact_embeddings=old.unionByName(providers.embedded(texts, "t", provider)))
 
     def match(self, document_id: str | None = None, compare_with: list[str] | None = None, include_same_document: bool = False, recompute: bool = False, judge: providers.Provider | None = None, up_to: int = candidates.EXHAUSTIVE_UP_TO) -> DataFrame:
         """Relationships of eligible pairs, merged into those that are stored. Returns the counts of the run by type.
@@ -201,9 +232,9 @@ class Workspace:
             raw = providers.apply(asked.select(F.col("a_fact_id").alias("fact_a_id"), F.col("b_fact_id").alias("fact_b_id"), "prompt"), judge, ["prompt"], "raw string")
             found = match.judged(found, raw.select("fact_a_id", "fact_b_id", "raw", "error"))
         columns = [c.split()[0] for c in RELATIONSHIPS.split(", ")]
-        self.put("run_pairs", found.select(columns))  # a judge is asked once
+        self.put(run_pairs=found.select(columns))  # a judge is asked once
         found = self.table("run_pairs")
-        self.put("relationships", match.merged(stored, found, recompute).select(columns))
+        self.put(relationships=match.merged(stored, found, recompute).select(columns))
         return found.groupBy("relationship_type").count()
 
     def relationships(self, document_id: str, relationship_type: str | None = None, min_confidence: float = 0.0) -> DataFrame:

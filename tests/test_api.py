@@ -68,7 +68,10 @@ def test_workspace(spark, tmp_path):
     assert len(both) >= 2 and all(len(h.evidence) == 1 for h in hits) and any(h.relationships for h in both)
     with pytest.raises(ValueError):
         w.search("x", limit=0)
+    before = w.versions()
     w.ingest(spark.createDataFrame([(2, "now other")], "doc_id long, text string"))
+    assert {n for n, v in w.versions().items() if before.get(n) != v} == {"documents", "pages", "evidence"}
+    assert [r.document_id for r in w.documents().collect()] == ["1", "2"]
     assert w.table("evidence").where("document_id = '2'").count() == 1 and w.table("evidence").where("document_id = '1'").count() == 4
 
 
