@@ -151,29 +151,35 @@ def rarest_first(sets: DataFrame, among: DataFrame) -> DataFrame:
     return each.groupBy("fact_id", "document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w"))), lambda x: x["w"]).alias("words"))
 
 
-def needed(n: Column, floor: float) -> Column:
-    """How many words a set of n shares at least with any set that is similar enough: fewer with smaller sets, the smallest being floor * n."""
-    least = F.greatest(F.lit(1), F.ceil(floor * n - 1e-9))
-    return F.greatest(F.lit(1), F.ceil((n + least) * (floor / (1 + floor)) - 1e-9)).cast("int")
+def needed(n: Column, m: Column, floor: float) -> Column:
+    """How many words sets of n and m words share at least if they are similar enough."""
+    return F.greatest(F.lit(1), F.ceil((n + m) * (floor / (1 + floor)) - 1e-9)).cast("int")
 
 
 def by_words(facts: DataFrame, queries: DataFrame | None = None, k: int = TOP_K, floor: float = FLOOR, include_same_document: bool = False) -> DataFrame:
     """Jaccard of words of subject and predicate.
 
-    Sets that share `needed` words share one of their rarest, all but needed - 1: only these meet, so that the words which
-    most facts have bring few together. A pair is made for the first rare word that it shares, and scored on the whole sets."""
+    Sets of n and m words that share `needed` words share one of their rarest, all but needed - 1 of each: only these meet, size by
+    size, so that the words which most facts have bring few together. A pair is made for the first rare word that it
+    shares, and scored on the whole sets."""
     other = "qd <> cd or candidate_id > query_id" if include_same_document else "qd <> cd"
     plain = word_sets(facts)
     sets = rarest_first(plain, plain)
     q = sets if queries is None else rarest_first(word_sets(queries), plain)
+    sizes = [F.lit(r[0]) for r in sets.select(F.size("words")).union(q.select(F.size("words"))).distinct().collect()]  # as many as the longest name has words, at most
 
     def rare(df: DataFrame) -> DataFrame:
-        return df.withColumn("rare", F.slice("words", F.lit(1), F.size("words") - needed(F.size("words"), floor) + 1)).withColumn("w", F.explode("rare"))
-
-    left = rare(q).select(F.col("fact_id").alias("query_id"), F.col("document_id").alias("qd"), F.col("words").alias("qw"), F.col("rare").alias("qr"), "w")
-    right = rare(sets).select(F.col("fact_id").alias("candidate_id"), F.col("document_id").alias("cd"), F.col("words").alias("cw"), F.col("rare").alias("cr"), "w")
-    met = left.join(right, "w").where(other).where(F.get(F.array_intersect("qr", "cr"), F.lit(0)) == F.col("w"))
-    scored = met.select("query_id", "candidate_id", F.size(F.array_intersect("qw", "cw")).alias("both"), (F.size("qw") + F.size("cw")).alias("all"))
+        n, m = F.size("words"), F.col("m")
+        fits = F.filter(F.array(*sizes), lambda x: (x >= floor * n - 1e-9) & (n >= floor * x - 1e-9))
+        return df.withColumn("n", n).withColumn("m", F.explode(fits)).withColumn("w", F.explode(F.slice("words", F.lit(1), n - needed(n, m, floor) + 1)))
+
+    if not sizes:
+        return top(q.select(F.col("fact_id").alias("query_id"), F.col("fact_id").alias("candidate_id"), F.lit(0.0).alias("score")).where("false"), k)
+    left = rare(q).select(F.col("fact_id").alias("query_id"), F.col("document_id").alias("qd"), F.col("words").alias("qw"), "n", "m", "w")
+    right = rare(sets).select(F.col("fact_id").alias("candidate_id"), F.col("document_id").alias("cd"), F.col("words").alias("cw"), F.col("m").alias("n"), F.col("n").alias("m"), "w")
+    met = left.join(right, ["w", "n", "m"]).where(other)
+    first = F.get(F.array_intersect(*(F.slice(c, F.lit(1), F.size(c) - needed(F.col("n"), F.col("m"), floor) + 1) for c in ("qw", "cw"))), F.lit(0))
+    scored = met.where(first == F.col("w")).select("query_id", "candidate_id", F.size(F.array_intersect("qw", "cw")).alias("both"), (F.col("n") + F.col("m")).alias("all"))
     return top(scored.select("query_id", "candidate_id", (F.col("both") / (F.col("all") - F.col("both"))).alias("score")).where(F.col("score") >= floor), k)
 
 
