@@ -21,12 +21,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark import TaskContext
 
-from .common import slices, table
+from .common import slices, table, trim
 
 TOKENIZER, END_ID, CAPACITY = "word_bpe_49k.json", 1, 2048
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Tokens of a block that is packed at once, and words whose ids a worker keeps.
-BLOCK_TOKENS, KEPT_WORDS = 1 << 21, 800_000
+BLOCK_TOKENS, KEPT_WORDS = 1 << 21, 250_000
 
 
 #: Texts of Latin letters, without the characters that PLAIN takes (such as other digits, and white space that Python has
@@ -152,6 +152,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                     names, coded, held = [], [], 0
         if coded:
             yield from flush()
+        del names, coded
+        trim()
 
     return docs.select(id_col, text_col).mapInArrow(work, f"{id_col} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long" + ", ids array<long>" * ids)
 

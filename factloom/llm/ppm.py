@@ -27,7 +27,7 @@ from .common import buckets_for, cut, drop, slices, table, trim
 #: Bytes of a context, at most; with the byte after them they fit into a 64-bit number.
 ORDER = 6
 #: Bytes of text in a block, of those whose grams are sorted at once, and for which there is a bucket.
-BLOCK, PIECE, BUCKET = 16 << 20, 1 << 20, 64 << 20
+BLOCK, PIECE, BUCKET = 12 << 20, 1 << 20, 64 << 20
 #: Buckets of two-byte contexts: what they hold is bounded by the alphabet, not by the corpus.
 LOWS = 32
 #: Code lengths travel as multiples of 1 / FINE decimal digits.

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buckets_for, cut, drop, slices, table
+from .common import buckets_for, cut, drop, slices, table, trim
 from .ppm import dealt, expanded, packed, spread, squeezed, unpacked
 
 LENGTH = 400
@@ -262,6 +262,17 @@ def rows_of(found: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in found], f.type) for i, f in enumerate(ROWS)], schema=ROWS)
 
 
+def trimmed(work):
+    """work on a group of rows; memory goes back after each."""
+
+    def done(rows: pa.Table) -> pa.Table:
+        out = work(rows)
+        trim()
+        return out
+
+    return done
+
+
 def by_kind(rows: pa.Table) -> dict[str, list[tuple[int, bytes]]]:
     out: dict[str, list] = {}
     for kind, bucket, data in zip(rows.column("kind").to_pylist(), rows.column("bucket").to_pylist(), rows.column("data").to_pylist()):
@@ -395,6 +406,7 @@ def _parse(length: int, buckets: int):
                     n_shards, ids, texts, size = n_shards + 1, [], [], 0
         if ids:
             yield from sent(base | n_shards, ids, texts)
+        trim()
 
     return work
 
@@ -687,7 +699,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         return rows.where(F.col("kind").isin(*kinds)).select("kind", "shard", "bucket", "data")
 
     def merged(rows: DataFrame, merge) -> DataFrame:
-        out = cut(of(rows, "asks").groupBy("bucket").applyInArrow(merge, ROWS_SQL), "answers")
+        out = cut(of(rows, "asks").groupBy("bucket").applyInArrow(trimmed(merge), ROWS_SQL), "answers")
         drop(rows, kinds=("asks",))
         return out
 
@@ -695,7 +707,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         every = inputs[0]
         for more in inputs[1:]:
             every = every.unionByName(more)
-        return cut(every.groupBy("shard").applyInArrow(work(buckets), ROWS_SQL), "shards", by="kind")
+        return cut(every.groupBy("shard").applyInArrow(trimmed(work(buckets)), ROWS_SQL), "shards", by="kind")
 
     first = cut(texts.mapInArrow(_parse(length, buckets), ROWS_SQL), "shards", by="kind")
     told = cut(of(first, "docs"), "docs")
@@ -722,7 +734,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     rows = next_step(_same_windows, _merged(asked_for), held)
     answers = merged(rows, _merged_bytes)
     every = told.unionByName(held).unionByName(of(rows, "state", "windows")).unionByName(answers)
-    found = every.groupBy("shard").applyInArrow(_removed(length, min_words, with_text, buckets), FOUND_SQL)
+    found = every.groupBy("shard").applyInArrow(trimmed(_removed(length, min_words, with_text, buckets)), FOUND_SQL)
     return found.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["sha", "kept_text"] if with_text else []))
 
 

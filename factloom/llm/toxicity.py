@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, slices, table
+from .common import cut, slices, table, trim
 
 #: Labelled training rows that lexicon and weights are fitted on, at most (those of the smallest hashes), and entries.
 SAMPLE, ENTRIES = 20_000, 400
@@ -246,6 +246,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         for batch in slices(batches):
             x = np.array([features(t, own, kept) if t else [0.0] * len(FEATURES) for t in batch.column(at).to_pylist()]).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(w[0] + x @ w[1:] < 0, pa.bool_()))
+        del kept
+        trim()
 
     return docs.mapInArrow(work, docs.schema)
 
