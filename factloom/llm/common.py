@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,6 +105,7 @@ def slices(batches: Iterator, rows: int = 256) -> Iterator:
 
 def trim() -> None:
     """Gives memory that has been freed back to the machine, as workers stay after their task."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
