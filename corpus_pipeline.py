@@ -32,8 +32,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near(docs)
 
 
-#: A passage goes if it is covered by repeated strings of so many bytes (51 words of the tables take about 290 at least) and holds so many words.
-PASSAGE_BYTES, PASSAGE_WORDS = 256, 51
+#: A passage goes if it is covered by repeated strings of so many bytes (51 words of the tables take 271 at least) and holds so many words.
+PASSAGE_BYTES, PASSAGE_WORDS = 200, 51
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
