@@ -370,7 +370,7 @@ hits AS (SELECT * FROM h ORDER BY score DESC, fact_id LIMIT 20)"""
 
 
 def fact_vectors(spark, sf_dir, f: DataFrame) -> DataFrame:
-    """The n-th fact by id has the embedding of vec_id n."""
+    """The n-th fact by id has the embedding of vec_id n. The window is bounded: facts are nations by years of two reports, at any scale."""
     from pyspark.sql import Window
 
     i = f.select("fact_id", (F.row_number().over(Window.orderBy("fact_id")) - 1).alias("vec_id"))
