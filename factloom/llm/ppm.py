@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buckets_for, cut, drop, slices, table, trim
+from .common import arrow_rows, buckets_for, cut, drop, slices, table, trim
 
 #: Bytes of a context, at most; with the byte after them they fit into a 64-bit number.
 ORDER = 6
@@ -379,7 +379,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         raise ValueError("order must be from 3 to 6")
     spark = docs.sparkSession
     buckets = buckets_for(docs, text_col, BUCKET)
-    parts = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(_split(order, buckets), PARTS_SQL), "parts", by="kind")
+    with arrow_rows(spark, 512):  # long texts
+        parts = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(_split(order, buckets), PARTS_SQL), "parts", by="kind")
     words = parts.where("kind = 'words'").select("block", "bucket", "data", "counts")
     worded = cut(words.groupBy("bucket").applyInArrow(_worded, ANSWERS_SQL), "worded")
     n_all, distinct = worded.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()

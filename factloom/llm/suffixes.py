@@ -31,12 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buckets_for, cut, drop, slices, table, trim
+from .common import arrow_rows, buckets_for, cut, drop, slices, table, trim
 from .ppm import dealt, expanded, packed, spread, squeezed, unpacked
 
 LENGTH = 400
 #: Bytes of text of a shard, and for which there is a bucket.
 SHARD, BUCKET = 2 << 20, 32 << 20
+#: Bytes that are hashed at once, and texts that are sent to a worker at once.
+STRETCH, TEXTS = 1 << 18, 512
 #: Low bits of a window's minimum that hold its place in the shard: documents are below 2 GB.
 PLACE = np.uint64(31)
 FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -86,18 +88,24 @@ def parsed(data: np.ndarray, base: np.ndarray, length: int) -> tuple[np.ndarray,
     k, w = sampling(length)
     if not len(data):
         return np.zeros(1, np.int64), np.zeros(0, np.int64)
-    hashes = kmers(data, k)
-    places = (hashes << PLACE >> PLACE << PLACE) | np.arange(len(hashes), dtype=np.uint64)
-    chosen = (minima(places, w) & np.uint64((1 << 31) - 1)).astype(np.int64)
-    inside = np.zeros(len(data) + 1, np.int32)
-    inside[base[:-1]] += 1
-    inside[base[1:] - (w + k - 1) + 1] -= 1
-    at = np.flatnonzero(np.cumsum(inside[:-1]))
-    chosen = chosen[at]
-    first = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
-    start = np.union1d(chosen[first], base)
+    open_ = np.ones(len(data), bool)  # windows that end in their text
+    for end in base[1:].tolist():
+        open_[max(0, end - (w + k - 1) + 1) : end] = False
+    firsts, starts, before = [], [], -1
+    for begin in range(0, len(data) - (w + k - 1) + 1, STRETCH):
+        hashes = kmers(data[begin : begin + STRETCH + w + k - 2], k)
+        places = (hashes << PLACE >> PLACE << PLACE) | np.arange(begin, begin + len(hashes), dtype=np.uint64)
+        chosen = (minima(places, w) & np.uint64((1 << 31) - 1)).astype(np.int64)
+        at = begin + np.flatnonzero(open_[begin : begin + len(chosen)])
+        chosen = chosen[at - begin]
+        new = np.flatnonzero(np.r_[chosen[:1] != before, chosen[1:] != chosen[:-1]])
+        firsts.append(at[new])
+        starts.append(chosen[new])
+        before = chosen[-1] if len(chosen) else before
+    first, chosen = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (firsts, starts))
+    start = np.union1d(chosen, base)
     low = np.full(len(start) - 1, -1, np.int64)
-    low[np.searchsorted(start, chosen[first])] = at[first]
+    low[np.searchsorted(start, chosen)] = first
     return start, low
 
 
@@ -107,8 +115,13 @@ def digests(data: np.ndarray, start: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint64)
     sizes = np.diff(start)
     powers = np.cumprod(np.full(int(sizes.max()), FACTOR, np.uint64))
-    place = np.arange(len(data)) - np.repeat(start[:-1], sizes)
-    return mixed(np.add.reduceat(LETTERS[data] * powers[place], start[:-1]) + sizes.astype(np.uint64))
+    out = []
+    # a stretch of phrases at a time
+    edges = np.unique(np.r_[np.searchsorted(start, np.arange(0, len(data), STRETCH)), len(sizes)])
+    for x, y in zip(edges, edges[1:]):
+        own, place = data[start[x] : start[y]], np.arange(start[y] - start[x]) - np.repeat(start[x:y] - start[x], sizes[x:y])
+        out.append(np.add.reduceat(LETTERS[own] * powers[place], start[x:y] - start[x]))
+    return mixed(np.concatenate(out) + sizes.astype(np.uint64))
 
 
 def blob(*arrays: np.ndarray) -> bytes:
@@ -709,7 +722,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
             every = every.unionByName(more)
         return cut(every.groupBy("shard").applyInArrow(trimmed(work(buckets)), ROWS_SQL), "shards", by="kind")
 
-    first = cut(texts.mapInArrow(_parse(length, buckets), ROWS_SQL), "shards", by="kind")
+    with arrow_rows(docs.sparkSession, TEXTS):
+        first = cut(texts.mapInArrow(_parse(length, buckets), ROWS_SQL), "shards", by="kind")
     told = cut(of(first, "docs"), "docs")
     answers = merged(first, _merged(numbered))
     second = step(_phrases, of(first, "state", "text"), answers)

@@ -358,6 +358,18 @@ def test_phrases_are_cut_alike_wherever_they_stand():
     assert cuts[0] == cuts[1] == cuts[2]
 
 
+def test_stretches_change_nothing(monkeypatch):
+    rng = np.random.default_rng(6)
+    data = rng.integers(97, 100, 9000, dtype=np.uint8)
+    data[3000:4000] = 97
+    base = np.array([0, 1500, 1990, 6000, 9000])
+    whole = suffixes.parsed(data, base, 400)
+    digest = suffixes.digests(data, whole[0])
+    monkeypatch.setattr(suffixes, "STRETCH", 700)
+    for a, b in zip((*whole, digest), (*suffixes.parsed(data, base, 400), suffixes.digests(data, whole[0]))):
+        assert (a == b).all()
+
+
 def test_a_shards_suffixes_are_in_order():
     rng = np.random.default_rng(5)
     data = rng.integers(97, 99, 3000, dtype=np.uint8)
