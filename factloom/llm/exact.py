@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, row_key, table
+from .common import cut, drop, row_key, table
 
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -36,6 +36,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mor
     # Written out, so that the join after it stands alone and a large group's rows can be split.
     first = cut(members.where(F.col("id") == F.col("keep_id")).groupBy("h").agg(F.min("t").alias("first")), "first")
     compared = cut(members.join(first.hint("merge"), "h", "left").select("id", "h", "keep_id", F.coalesce(F.col("t") == F.col("first"), F.lit(False)).alias("same"), F.when(F.coalesce(F.col("t") != F.col("first"), F.lit(True)), F.col("t")).alias("other")), "compared")
+    drop(groups, members, first)
     equal = compared.where("same").groupBy("h").agg(F.min("keep_id").alias("keep_id"), F.count("*").alias("group_size")).withColumn("other", F.lit(None).cast("string"))
     others = compared.where("not same").groupBy("h", "other").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
     found = equal.unionByName(others.select(equal.columns))
@@ -44,7 +45,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mor
     apart = found.where("other is not null").select("h", digest.alias("text_sha256"), F.col("keep_id").alias("o_keep"), F.col("group_size").alias("o_size"))
     out = light.join(equal.select("h", "keep_id", "group_size"), "h", "left").join(apart, ["h", "text_sha256"], "left")
     keep, size = F.coalesce("o_keep", "keep_id", "id"), F.coalesce("o_size", "group_size", F.lit(1).cast("long"))
-    return out.select(F.col("id").alias(id_col), keep.alias("keep_id"), size.alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), "text_sha256", *(F.col(f"more_{c}").alias(c) for c in more))
+    out = out.select(F.col("id").alias(id_col), keep.alias("keep_id"), size.alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), "text_sha256", *(F.col(f"more_{c}").alias(c) for c in more))
+    out.reads = (light, compared)
+    return out
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -54,7 +57,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     keyed = row_key(docs)
     found = classes(keyed, id_col, text_col, more=("__row",))
-    stay = found.where("kept").groupBy("text_sha256").agg(F.min("__row").alias("__row")).select("__row")
+    stay = cut(found.where("kept").groupBy("text_sha256").agg(F.min("__row").alias("__row")).select("__row"), "stay")
+    drop(*found.reads)
     return keyed.join(stay.hint("merge"), "__row", "left_semi").select(docs.columns)
 
 
