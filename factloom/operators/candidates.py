@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import folded, tokens
 
 from .compare import effective, prepared, side
+from .nearest import neighbours
 
-EXHAUSTIVE_UP_TO, TOP_K, FLOOR, QUERY_BLOCK = 250_000, 10, 0.25, 2000
+EXHAUSTIVE_UP_TO, TOP_K, FLOOR = 250_000, 10, 0.25
 
 
 def eligible(include_same_document: bool = False) -> Column:
@@ -32,10 +31,10 @@ def blocking_keys() -> Column:
     return F.array_distinct(F.concat(F.transform(F.array_union("raw_content", "claim_content"), lambda t: F.concat(F.lit("t:"), t)), F.array(F.concat(F.lit("e:"), folded(F.coalesce("entity", F.lit("")))))))
 
 
-def blocked(facts: DataFrame, include_same_document: bool = False, only: Column | None = None, document_id: str | None = None) -> DataFrame:
+def blocked(facts: DataFrame, include_same_document: bool = False, only: Column | None = None, document_id: str | None = None, touched: DataFrame | None = None) -> DataFrame:
     """Pairs (a_*, b_*) of prepared facts that share a blocking key, each under its smallest shared key only: no distinct.
 
-    document_id: only pairs with a fact of this document; its facts alone meet all others."""
+    document_id: only pairs with a fact of this document; its facts alone meet all others. touched (fact_id): the same for these facts."""
     keyed = prepared(facts).withColumn("keys", blocking_keys())
     each = keyed.withColumn("key", F.explode("keys"))
 
@@ -44,6 +43,9 @@ def blocked(facts: DataFrame, include_same_document: bool = False, only: Column
         pairs = a.join(b, (F.col("a_key") == F.col("b_key")) & eligible(include_same_document)).where(F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("a_key"))
         return (pairs if only is None else pairs.where(only)).drop("a_key", "b_key", "a_keys", "b_keys")
 
+    if touched is not None:
+        own, others = (each.join(touched.select("fact_id"), "fact_id", how) for how in ("left_semi", "left_anti"))
+        return met(own, each).unionByName(met(others, own))
     if document_id is None:
         return met(each, each)
     own, others = each.where(F.col("document_id") == document_id), each.where(F.col("document_id") != document_id)
@@ -89,55 +91,10 @@ def top(scored: DataFrame, k: int = TOP_K) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def by_vector(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, floor: float = FLOOR, block: int = QUERY_BLOCK, include_same_document: bool = False) -> DataFrame:
+def by_vector(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, floor: float = FLOOR, include_same_document: bool = False) -> DataFrame:
     """vectors and queries: id, document_id, v (double). The k nearest of other documents for each query, by cosine in double precision;
-    include_same_document: and of later facts of the same one.
-
-    Queries go out in blocks of at most `block`; each task multiplies its vectors with a block and passes on k a query."""
-    spark = vectors.sparkSession
-    id_kind = vectors.schema["id"].dataType.simpleString()
-    numbered = queries.where(F.col("v").isNotNull()).select("id", "document_id", "v")
-    n = numbered.count()
-    blocks = max(1, -(-n // block))
-    part = numbered.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    found = None
-    for i in range(blocks):
-        rows = part.where(F.col("b") == i).collect()
-        if not rows:
-            continue
-        q = np.array([r.v for r in rows], "f8").reshape(len(rows), -1)
-        held = spark.sparkContext.broadcast(([r.id for r in rows], np.array([r.document_id for r in rows], object), q, np.sqrt((q * q).sum(1))))
-        one = vectors.select("id", "document_id", "v").where(F.size("v") == q.shape[1]).mapInArrow(_nearest(held, k, floor, include_same_document), f"query_id {id_kind}, candidate_id {id_kind}, score double")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return top(spark.createDataFrame([], f"query_id {id_kind}, candidate_id {id_kind}, score double"), k)
-    return top(found, k)
-
-
-def _nearest(held, k: int, floor: float, same: bool = False):
-    def work(batches):
-        ids, docs, q, norms = held.value
-        for batch in batches:
-            names, own = batch.column("id").to_pylist(), np.array(batch.column("document_id").to_pylist(), object)
-            x = np.array(batch.column("v").to_pylist(), "f8").reshape(len(names), -1)
-            n = np.sqrt((x * x).sum(1))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                c = np.clip(np.nan_to_num((x @ q.T) / np.outer(n, norms), nan=-2.0), -2.0, 1.0)
-            barred = own[:, None] == docs[None, :]
-            if same:
-                barred &= np.array(names, object)[:, None] <= np.array(ids, object)[None, :]
-            c[barred | (n == 0)[:, None]] = -2.0
-            out = []
-            for j in range(len(ids)):
-                # all that may be among the k best: ties with the k-th stay, ids decide later
-                good = np.flatnonzero(c[:, j] >= floor)
-                if len(good) > k:
-                    good = good[c[good, j] >= np.partition(c[good, j], -k)[-k]]
-                out += [(ids[j], names[i], float(c[i, j])) for i in good]
-            kind = batch.schema.field("id").type
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], kind), pa.array([o[1] for o in out], kind), pa.array([o[2] for o in out], pa.float64())], ["query_id", "candidate_id", "score"])
-
-    return work
+    include_same_document: and of later facts of the same one."""
+    return neighbours(vectors, queries, k, floor, include_same_document)
 
 
 def word_sets(facts: DataFrame) -> DataFrame:

@@ -22,21 +22,21 @@ def rendered(unit_id: Column, kind: Column, text: Column, table: Column, row: Co
 
 
 def packed(units: DataFrame, max_chars: int = MAX_CHARS, max_tokens: int | None = None) -> DataFrame:
-    """units: document_id, page, item (place on the page), chars, tokens, and maybe room (characters, instead of max_chars). Adds chunk, from 0 on each page.
+    """units: document_id, page, item (place on the page), chars, tokens, and maybe room and token_room (instead of max_chars and max_tokens) and opens (a new chunk begins here). Adds chunk, from 0 on each page.
 
     Items are taken in order; one that would overflow starts a new chunk, and one that is too large by itself stands
     alone. The running sum starts anew with each chunk, so this is a fold over a page's items."""
-    limit = max_tokens if max_tokens is not None else 1 << 40
-    room = F.col("room") if "room" in units.columns else F.lit(max_chars)
-    items = F.array_sort(F.collect_list(F.struct("item", F.col("chars").cast("long").alias("chars"), F.col("tokens").cast("long").alias("tokens"), room.cast("long").alias("room"))))
+    given = lambda name, otherwise: (F.col(name) if name in units.columns else F.lit(otherwise)).alias(name)
+    room, limit = given("room", max_chars).cast("long").alias("room"), given("token_room", max_tokens if max_tokens is not None else 1 << 40).cast("long").alias("limit")
+    items = F.array_sort(F.collect_list(F.struct("item", F.col("chars").cast("long").alias("chars"), F.col("tokens").cast("long").alias("tokens"), room, limit, given("opens", False))))
     pages = units.groupBy("document_id", "page").agg(items.alias("items"))
     long = lambda c: c.cast("long")
     start = F.struct(long(F.lit(0)).alias("i"), long(F.lit(0)).alias("chars"), long(F.lit(0)).alias("tokens"), F.lit(False).alias("some"), F.array().cast("array<bigint>").alias("breaks"))
 
     def place(acc: Column, x: Column) -> Column:
-        large = (x["chars"] > x["room"]) | (x["tokens"] > limit)
+        large = (x["chars"] > x["room"]) | (x["tokens"] > x["limit"])
         # an item that follows a large one, or the first one, finds nothing open
-        opens = ~acc["some"] | (acc["chars"] + x["chars"] > x["room"]) | (acc["tokens"] + x["tokens"] > limit)
+        opens = ~acc["some"] | x["opens"] | (acc["chars"] + x["chars"] > x["room"]) | (acc["tokens"] + x["tokens"] > x["limit"])
         chars, tokens = (F.when(opens, long(F.lit(0))).otherwise(acc[n]) + x[n] for n in ("chars", "tokens"))
         return F.struct((acc["i"] + 1).alias("i"), chars.alias("chars"), tokens.alias("tokens"), (~large).alias("some"), F.when(opens, F.concat(acc["breaks"], F.array(acc["i"]))).otherwise(acc["breaks"]).alias("breaks"))
 
@@ -45,7 +45,7 @@ def packed(units: DataFrame, max_chars: int = MAX_CHARS, max_tokens: int | None
     chunks = done.select("document_id", "page", "items", "breaks", F.posexplode("breaks").alias("chunk", "begin"))
     end = F.coalesce(F.get("breaks", F.col("chunk") + 1), F.size("items").cast("long"))
     each = chunks.select("document_id", "page", F.col("chunk").cast("long").alias("chunk"), F.explode(F.slice("items", (F.col("begin") + 1).cast("int"), (end - F.col("begin")).cast("int"))).alias("x"))
-    return each.select("document_id", "page", F.col("x.item").cast("int").alias("item"), "chunk")
+    return each.select("document_id", "page", F.col("x.item").alias("item"), "chunk")
 
 
 def table_rows(cells: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
@@ -82,6 +82,50 @@ def projected(units: DataFrame) -> DataFrame:
     return units.select("evidence_id", "type", shown.alias("text"), F.when(table | cell, F.col("table_index")).alias("table_index"), *only.values())
 
 
+#: Where a unit stands in its chunk: its item on the page, the part of a split table, the table before its cells.
+KEY = ["document_id", "page", "item_seq"]
+
+
+def placed(units: DataFrame, max_chars: int = MAX_CHARS, max_tokens: int | None = None) -> DataFrame:
+    """units: document_id, page, seq, evidence_id, type, text, table_index, headers, row, col, row_header, column_header. The units of each chunk as
+    it shows them: these columns with chunk and item (the order inside it).
+
+    A table over the budget is split between rows: each part has the table's id, its header line and its own rows' lines,
+    then their cells; the first part opens a chunk. A row that is too large by itself stands alone, and so does a table without
+    cells. Every unit is in one chunk, but for split tables themselves, which are in one for each part."""
+    kept = units.where(~((F.col("type") == "IMAGE") & (F.trim("text") == "")))
+    table, cell = F.col("type") == "TABLE", F.col("type") == "TABLE_CELL"
+    head = header_line(F.col("table_index"), F.col("headers"))
+    shown = F.when(table, F.when(F.coalesce(F.col("text"), F.lit("")) == "", head).otherwise(F.concat(head, F.lit("\n"), "text"))).otherwise(F.col("text"))
+    same_index = Window.partitionBy("document_id", "page", F.when(table | cell, F.coalesce("table_index", F.lit(-1))))
+    keyed = kept.withColumn("item_seq", F.when(cell, F.min(F.when(table, F.col("seq"))).over(same_index)))
+    keyed = keyed.withColumns({"item_seq": F.coalesce("item_seq", "seq"), "head": F.when(table, head), "text": shown, "row_key": F.coalesce("row", F.lit((1 << 31) - 1))})
+    told = estimate_tokens(rendered(*(F.col(c) for c in ("evidence_id", "type", "text", "table_index", "row", "col", "row_header", "column_header"))))
+    item = Window.partitionBy(*KEY)
+    keyed = keyed.withColumn("cost", told).withColumns({"chars": F.sum(F.length("text")).over(item), "tokens": F.sum("cost").over(item), "head": F.max("head").over(item), "cells": F.count_if(cell).over(item)})
+    limit = max_tokens if max_tokens is not None else 1 << 40
+    keyed = keyed.withColumn("large", ((F.col("chars") > max_chars) | (F.col("tokens") > limit)) & F.col("head").isNotNull() & (F.col("cells") > 0))
+    small, large = keyed.where(~F.col("large")), keyed.where("large")
+
+    # The tokens of a part are those of its text (half its bytes, rounded up) and of its cells: bytes and twice the cells' add up.
+    lines = large.where(cell).groupBy(*KEY, "row_key").agg(F.first("head").alias("head"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "seq", "text"))), lambda x: x["text"]), " | ").alias("line"), F.sum(F.length("text")).alias("chars"), F.sum("cost").alias("tokens"))
+    sized = lines.select(F.struct(*KEY).alias("document_id"), F.lit(0).alias("page"), F.col("row_key").alias("item"), (F.length("line") + 1 + F.col("chars")).alias("chars"), (F.octet_length("line") + 1 + 2 * F.col("tokens")).alias("tokens"), (max_chars - F.length("head")).alias("room"), (2 * limit - F.octet_length("head")).alias("token_room"))
+    parts = packed(sized).select("document_id.*", F.col("item").alias("row_key"), F.col("chunk").alias("part"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_key", "line"))), lambda x: x["line"]), "\n")
+    texts = lines.join(parts, [*KEY, "row_key"]).groupBy(*KEY, "part").agg(F.concat(F.first("head"), F.lit("\n"), body).alias("body"), F.sum("chars").alias("chars"), F.sum("tokens").alias("tokens"))
+
+    whole = small.groupBy(KEY).agg(F.first("chars").alias("chars"), F.first("tokens").alias("tokens")).select("document_id", "page", F.struct("item_seq", F.lit(0).cast("long").alias("part")).alias("item"), "chars", "tokens", F.lit(False).alias("opens"))
+    split = texts.select("document_id", "page", F.struct("item_seq", "part").alias("item"), F.length("body") + F.col("chars"), estimate_tokens(F.col("body")) + F.col("tokens"), F.col("part") == 0)
+    chunks = packed(whole.union(split), max_chars, max_tokens).select("document_id", "page", "item.item_seq", "item.part", "chunk")
+
+    columns = [c for c in units.columns if c != "text"]
+    rest = small.select(*columns, "text", "item_seq", F.lit(0).cast("long").alias("part"))
+    cells = large.where(cell).join(parts, [*KEY, "row_key"]).select(*columns, "text", "item_seq", "part")
+    tables = large.where(table).join(texts.select(*KEY, "part", "body"), KEY).select(*columns, F.col("body").alias("text"), "item_seq", "part")
+    every = rest.unionByName(cells).unionByName(tables).join(chunks, [*KEY, "part"])
+    return every.select(*units.columns, "chunk", F.struct("item_seq", "part", (F.col("type") != "TABLE").alias("rest"), "seq").alias("item"))
+
+
 def ordinals(chunks: DataFrame, start_page: int | None = None, end_page: int | None = None) -> DataFrame:
     """chunks: document_id, page, chunk. chunk_index counts over the whole page; the page window comes after and is inclusive."""
     if start_page is not None and start_page < 0 or None not in (start_page, end_page) and end_page < start_page:

@@ -35,8 +35,12 @@ def page_stats(units: DataFrame) -> DataFrame:
     return out.select("document_id", "page", "char_count", "word_count", F.coalesce(F.try_divide("odd", "char_count"), F.lit(0.0)).alias("suspicious_ratio"))
 
 
-def page_quality(units: DataFrame) -> DataFrame:
-    stats = page_stats(units).withColumn("has_images", has_images(F.col("document_id"), F.col("page")))
+def page_quality(units: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """pages: document_id, page, has_images and what else is known of them; those without text count as empty. Without it, the pages that have text."""
+    if pages is None:
+        stats = page_stats(units).withColumn("has_images", has_images(F.col("document_id"), F.col("page")))
+    else:
+        stats = pages.withColumn("has_images", F.coalesce("has_images", F.lit(False))).join(page_stats(units), ["document_id", "page"], "left").fillna(0, ["char_count", "word_count", "suspicious_ratio"])
     score = quality(F.col("char_count"), F.col("word_count"), F.col("suspicious_ratio"), F.col("has_images"))
     out = stats.withColumn("extraction_quality", score)
     return out.withColumn("quality_verdict", F.when((F.col("char_count") > 0) & (F.col("extraction_quality") >= GOOD_FROM), "GOOD").otherwise("BAD"))
@@ -92,8 +96,10 @@ def table_units(cells: DataFrame) -> DataFrame:
     cells: document_id, page, table_index, row, col, text. Indices of units on a page follow its table, row and column."""
     named = cells.withColumn("table_id", F.struct("document_id", "page", "table_index"))
     grid = cleaned_grid(named.select("table_id", "row", "col", "text"))
-    sizes = grid.groupBy("table_id").agg(F.max("n_rows").alias("n_rows"), F.max("n_cols").alias("n_cols"))
-    whole = grid_text(grid).join(sizes, "table_id").select("table_id.*", F.lit("TABLE").alias("type"), "text", "n_rows", "n_cols")
+    names = F.map_from_entries(F.collect_list(F.when(F.col("is_header"), F.struct("col", "text"))))
+    sizes = grid.groupBy("table_id").agg(F.max("n_rows").alias("n_rows"), F.max("n_cols").alias("n_cols"), names.alias("names"))
+    sizes = sizes.withColumn("headers", F.transform(F.sequence(F.lit(0), F.col("n_cols") - 1), lambda i: F.coalesce(F.try_element_at("names", i), F.lit("")))).drop("names")
+    whole = grid_text(grid).join(sizes, "table_id").select("table_id.*", F.lit("TABLE").alias("type"), "text", "n_rows", "n_cols", "headers")
     each = grid.where("not is_header").select("table_id.*", F.lit("TABLE_CELL").alias("type"), "row", "col", "text", "column_header", "row_header")
     out = union(whole, each)
     w = Window.partitionBy("document_id", "page").orderBy("table_index", F.col("type") != "TABLE", "row", "col")

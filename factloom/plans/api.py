@@ -13,14 +13,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import candidates, canonical, chunking, evidence, extract, match, prompts, search
+from factloom.operators import candidates, canonical, chunking, delta, evidence, extract, match, postings, prompts, search
 from factloom.operators.compare import comparability, missing
-from factloom.sources import providers, store
+from factloom.sources import extractor, providers, store
 
 FILES = "document_id string, content binary"
 VECTORS = "fact_id string, v array<double>"
 PROGRESS = "document_id string, page int, chunk bigint, evidence_hash string, status string, error string, fact_ids array<string>"
-UNITS = "document_id string, page int, block_index int, text string, type string, evidence_id string, table_index int, row int, col int, row_header string, column_header string"
+UNITS = "document_id string, page int, block_index int, text string, type string, evidence_id string, table_index int, row int, col int, row_header string, column_header string, headers array<string>, source_page_number string"
 RELATIONSHIPS = "fact_a_id string, fact_b_id string, relationship_id string, relationship_type string, rule_id string, confidence double, status string, needs_review_reason string, explanation string"
 
 
@@ -52,12 +52,15 @@ class Workspace:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}/{self.versions()[name]}")
 
-    def put(self, **tables: DataFrame) -> None:
-        """New snapshots beside the old ones; the one file that names what counts is replaced last, so that readers see all of them or none. One writer at a time."""
+    def put(self, **tables: DataFrame | tuple[DataFrame, str]) -> None:
+        """New snapshots beside the old ones; the one file that names what counts is replaced last, so that readers see all of them or none. One writer at a time.
+
+        A table that comes with the name of a column is written in a folder for each of its values."""
         made = {}
         for name, df in tables.items():
             made[name] = f"v-{uuid.uuid4().hex}"
-            df.write.parquet(f"{self.path}/{name}/{made[name]}")
+            writer = df[0].write.partitionBy(df[1]) if isinstance(df, tuple) else df.write
+            writer.parquet(f"{self.path}/{name}/{made[name]}")
         fs, new = self._file(f"next-{uuid.uuid4().hex}")
         out = fs.create(new, True)
         out.write(bytearray(json.dumps(self.versions() | made).encode()))
@@ -85,6 +88,23 @@ class Workspace:
         if page_errors is not None:
             pages = pages.join(page_errors.select("document_id", "page", F.col("error").alias("e")), ["document_id", "page"], "full").withColumn("error", F.col("e")).drop("e")
             pages = pages.withColumn("has_images", F.coalesce("has_images", F.lit(False)))
+        ids = documents.select(F.col("doc_id").cast("string").alias("document_id")).distinct()
+        return self._ingested(ids, units, pages.withColumn("source_page_number", F.lit(None).cast("string")), tables, ocr)
+
+    def ingest_files(self, files: DataFrame, reader: extractor.RangeExtractor, ocr: providers.Provider | None = None, pages_of_a_task: int = extractor.PAGES_OF_A_TASK) -> DataFrame:
+        """files: document_id, content (as the binaryFile source gives it). From bytes to evidence: text blocks, tables, pictures and
+        printed page numbers, by an extractor that reads a file's pages in stretches, several at a time. Each is read once. Returns the documents' status."""
+        files = files.select(F.col("document_id").cast("string").alias("document_id"), "content")
+        self.put(run_pages=extractor.read_ranges(files, reader, pages_of_a_task))
+        read = extractor.labelled(self.table("run_pages"))
+        self.put(run_tables=extractor.read_tables(files, self.table("run_pages").where("error is null"), reader, pages_of_a_task))
+        units = extractor.text_blocks(read).withColumn("type", F.lit("TEXT"))
+        failed = self.table("run_tables").where("error is not null").groupBy("document_id", "page").agg(F.min("error").alias("table_error"))
+        known = read.join(failed, ["document_id", "page"], "left").select("document_id", "page", "width", "height", "has_images", "source_page_number", F.coalesce("error", "table_error").alias("error"))
+        return self._ingested(files.select("document_id").distinct(), units, evidence.page_quality(units, known), extractor.table_cells(self.table("run_tables")), ocr)
+
+    def _ingested(self, ids: DataFrame, units: DataFrame, pages: DataFrame, tables: DataFrame | None, ocr: providers.Provider | None) -> DataFrame:
+        """Stores what was read of the documents `ids` in place of what is stored of them."""
         if ocr is not None:
             def asked_once(*given):
                 self.put(ocr_answers=providers.apply(*given))
@@ -97,13 +117,13 @@ class Workspace:
             found = evidence.table_units(tables).join(last, ["document_id", "page"], "left")
             units = evidence.union(units, found.withColumn("block_index", F.coalesce("next", F.lit(0)) + F.col("place")).drop("next", "place", "n_rows", "n_cols"))
         made = units.withColumn("evidence_id", evidence.evidence_id(F.col("document_id"), F.col("page"), F.col("block_index"), F.col("type")))
+        made = made.join(pages.select("document_id", "page", "source_page_number"), ["document_id", "page"], "left")
         wanted = [part.split(" ") for part in UNITS.split(", ")]
         made = made.select(*((F.col(n) if n in made.columns else F.lit(None)).cast(t).alias(n) for n, t in wanted))
-        ids = documents.select(F.col("doc_id").cast("string").alias("document_id")).distinct()
         status = ids.join(evidence.ingestion(pages, made), "document_id", "left").withColumns({"ingestion_status": F.coalesce("ingestion_status", F.lit("FAILED")), "created_at": F.current_timestamp()})
         fresh = {"documents": status, "pages": pages, "evidence": made}
         have = self.versions()
-        self.put(**{n: new if n not in have else self.table(n).join(ids, "document_id", "left_anti").unionByName(new) for n, new in fresh.items()})
+        self.put(**{n: new if n not in have else self.table(n).join(ids, "document_id", "left_anti").unionByName(new, allowMissingColumns=True) for n, new in fresh.items()})
         return self.table("documents").join(ids, "document_id", "left_semi")
 
     def documents(self) -> DataFrame:
@@ -113,11 +133,10 @@ class Workspace:
     def chunks(self, max_chars: int = chunking.MAX_CHARS, max_tokens: int | None = None, limit: int | None = None, start_page: int | None = None, end_page: int | None = None) -> DataFrame:
         """Units of evidence with their chunk_id, and whether the chunk is `selected`: of `limit` chunks that represent each document (None: all).
 
-        A table's cells go with their table. Chunks are numbered before the window of pages is taken, so they are the same in every run."""
+        Text is as a chunk shows it. A table's cells go with their table; one over the budget is split between rows, its header line
+        in every part. Chunks are numbered before the window of pages is taken, so they are the same in every run."""
         units = self.table("evidence").withColumn("seq", F.col("block_index"))
-        items = chunking.items(units)
-        placed = items.join(chunking.packed(items, max_chars, max_tokens), ["document_id", "page", "item"]).select("document_id", "page", "chunk", F.explode("members").alias("evidence_id"))
-        placed = units.join(placed, ["document_id", "page", "evidence_id"])
+        placed = chunking.placed(units, max_chars, max_tokens)
         placed = placed if start_page is None else placed.where(F.col("page") >= start_page)
         placed = placed if end_page is None else placed.where(F.col("page") <= end_page)
         if limit is not None:
@@ -142,7 +161,7 @@ class Workspace:
         done = before.where("status = 'COMPLETED'").select(*key, "evidence_hash", F.lit(True).alias("done"))
         state = F.when(~F.col("selected"), "CAPPED").when(F.col("done"), "SKIPPED").otherwise("ASKED")
         every = every.join(done, [*key, "evidence_hash"], "left").withColumn("state", state)
-        asked = units.join(every.where("state = 'ASKED'").select("chunk_id"), "chunk_id", "left_semi").withColumn("item", F.col("block_index"))
+        asked = units.join(every.where("state = 'ASKED'").select("chunk_id"), "chunk_id", "left_semi")
         answered = providers.apply(prompts.extraction(asked), provider, ["prompt"], "raw string").withColumn("d", extract.parsed_drafts(extract.repaired(F.col("raw"))))
         self.put(answers=answered.select("chunk_id", "d.drafts", F.coalesce("error", "d.error").alias("error")))  # a provider is asked once
         answered = self.table("answers")
@@ -222,20 +241,49 @@ class Workspace:
         Pairs that are stored are left out before they are compared, unless recompute is set. judge: decides pairs that
         need it, by their prompt; where it fails, the pair waits for review with the reason."""
         facts = match.scoped(self.table("facts"), document_id, compare_with)
-        vectors = self.table("fact_embeddings") if self._has("fact_embeddings") else None
-        pairs, _ = candidates.chosen(facts, document_id, vectors, include_same_document, up_to)
+        pairs, _ = candidates.chosen(facts, document_id, self._fact_vectors(), include_same_document, up_to)
         stored = self.stored("relationships", RELATIONSHIPS)
-        typed = match.typed(pairs if recompute else match.unstored(pairs, stored))
+        found = self._compared(facts, pairs if recompute else match.unstored(pairs, stored), judge)
+        self.put(relationships=match.merged(stored, found, recompute).select(found.columns))
+        return found.groupBy("relationship_type").count()
+
+    def _fact_vectors(self) -> DataFrame | None:
+        return self.table("fact_embeddings") if self._has("fact_embeddings") else None
+
+    def _compared(self, facts: DataFrame, pairs: DataFrame, judge: providers.Provider | None) -> DataFrame:
+        """Relationships of the pairs, written out, as a judge is asked once."""
+        typed = match.typed(pairs)
         found = match.verdict_columns(typed)
         if judge is not None:
             asked = prompts.judgment(match.with_excerpts(typed.where("needs_llm"), facts, self.table("evidence")))
             raw = providers.apply(asked.select(F.col("a_fact_id").alias("fact_a_id"), F.col("b_fact_id").alias("fact_b_id"), "prompt"), judge, ["prompt"], "raw string")
             found = match.judged(found, raw.select("fact_a_id", "fact_b_id", "raw", "error"))
-        columns = [c.split()[0] for c in RELATIONSHIPS.split(", ")]
-        self.put(run_pairs=found.select(columns))  # a judge is asked once
-        found = self.table("run_pairs")
-        self.put(relationships=match.merged(stored, found, recompute).select(columns))
-        return found.groupBy("relationship_type").count()
+        self.put(run_pairs=found.select([c.split()[0] for c in RELATIONSHIPS.split(", ")]))
+        return self.table("run_pairs")
+
+    def match_changes(self, include_same_document: bool = False, judge: providers.Provider | None = None, up_to: int = candidates.EXHAUSTIVE_UP_TO) -> DataFrame:
+        """Relationships of the whole workspace after facts were added, changed or removed: what a run from scratch gives, at the cost of what has changed.
+
+        Only facts whose content differs from the last such run meet the others; pairs of facts that say what they said keep
+        their verdicts and judgments. The first run, and one with other switches, compares everything. Returns one row: new,
+        changed, gone (facts), compared (relationships made anew), kept and mode."""
+        facts, stored = self.table("facts"), self.stored("relationships", RELATIONSHIPS)
+        settings = f"same_document={include_same_document}"
+        now = delta.state(facts)
+        last = self.table("match_run").first() if self._has("match_run") else None
+        all_pairs = candidates.space(facts, include_same_document).first().pairs <= up_to
+        # After a ranked run, pairs that were never compared are missing from a run over all pairs.
+        usable = last is not None and last.settings == settings and (last.mode == "exhaustive" or not all_pairs)
+        before = self.table("match_state") if usable else self.spark.createDataFrame([], delta.STATE)
+        self.put(match_changes=delta.difference(now, before))
+        changes = self.table("match_changes")
+        pairs, kept, mode = delta.pairs(facts, changes, stored if usable else stored.limit(0), self._fact_vectors(), include_same_document, up_to)
+        found = self._compared(facts, pairs, judge)
+        run = self.spark.createDataFrame([(settings, mode)], "settings string, mode string")
+        self.put(relationships=kept.select(found.columns).unionByName(found), match_state=now, match_run=run)
+        sums = changes.agg(delta.counts(changes).alias("c")).select("c.*")
+        made, all_now = found.count(), self.table("relationships").count()
+        return sums.withColumns({"compared": F.lit(made), "kept": F.lit(all_now - made), "mode": F.lit(mode)})
 
     def relationships(self, document_id: str, relationship_type: str | None = None, min_confidence: float = 0.0) -> DataFrame:
         return match.touching(self.table("relationships"), self.table("facts"), document_id, relationship_type, min_confidence)
@@ -245,13 +293,38 @@ class Workspace:
         one = self.table("relationships").where(F.col("relationship_id") == relationship_id)
         return match.detailed(one, self.table("facts"), self.table("evidence"))
 
+    def index_search(self) -> None:
+        """Posting lists for the facts as they are now; search() and search_many() read them until the facts change."""
+        facts = self.table("facts")
+        self.put(postings=(postings.laid_out(postings.index(facts)), "bucket"))
+        often = postings.frequencies(self.table("postings"))
+        self.put(grams=often, postings_of=self.spark.createDataFrame([(self.versions()["facts"],)], "facts string"))
+
+    def _indexed(self) -> bool:
+        return self._has("postings_of") and self.table("postings_of").first().facts == self.versions()["facts"]
+
+    def search_many(self, queries: DataFrame, limit: int = search.LIMIT, min_score: float = 0.0) -> DataFrame:
+        """queries: query_id, text, and maybe document_id. Hits of each query by words: query_id, fact_id, score, rank."""
+        if not 1 <= limit <= 100:
+            raise ValueError("limit is from 1 to 100")
+        if not self._indexed():
+            self.index_search()
+        pools = postings.lexical_pools(queries, self.table("postings"), self.table("grams"), self.table("facts"), limit)
+        return postings.hits_of_each(pools, limit, min_score)
+
     def search(self, query: str, provider: providers.Provider | None = None, document_id: str | None = None, limit: int = search.LIMIT, min_score: float = 0.0) -> DataFrame:
+        """Hits by words and, with a provider, by vector. Words are looked up in the posting lists where there are some of the facts as they are, else facts are scanned."""
         if not 1 <= limit <= 100:
             raise ValueError("limit is from 1 to 100")
-        facts, vector = self.table("facts"), None
+        facts, vector, asked = self.table("facts"), None, search.query_tokens(query)
         if provider is not None and self._has("fact_embeddings"):
             v = self.table("fact_embeddings")
             own = v if document_id is None else v.join(facts.where(F.col("document_id") == document_id), "fact_id", "left_semi")
-            vector = search.vector_pool(own, provider.run([{"text": " ".join(search.query_tokens(query))}])[0]["vector"], limit)
-        hits = search.hits(search.lexical_pool(facts, query, limit, document_id), vector, limit, min_score)
+            vector = search.vector_pool(own, provider.run([{"text": " ".join(asked)}])[0]["vector"], limit)
+        if self._indexed():
+            one = self.spark.createDataFrame([(0, query, document_id)], "query_id int, text string, document_id string")
+            lexical = postings.lexical_pools(one, self.table("postings"), self.table("grams"), facts, limit).drop("query_id")
+        else:
+            lexical = search.lexical_pool(facts, query, limit, document_id)
+        hits = search.hits(lexical, vector, limit, min_score)
         return search.hydrated(hits, facts, self.table("evidence"), self.table("relationships") if self._has("relationships") else self.spark.createDataFrame([], RELATIONSHIPS))

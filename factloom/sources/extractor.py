@@ -27,6 +27,62 @@ class Extractor(Protocol):
     def tables(self, content: bytes, pages: list[int], settings: dict | None) -> list[dict]: ...
 
 
+class RangeExtractor(Protocol):
+    """Reads stretches of a file's pages, so that one file's pages can be read by several tasks."""
+
+    def count(self, content: bytes) -> int: ...
+
+    def pages(self, content: bytes, first: int, last: int) -> list[dict]: ...
+
+    def tables(self, content: bytes, pages: list[int], settings: dict | None) -> list[dict]: ...
+
+
+class PlainPages:
+    """Files of UTF-8 text whose pages are parted by form feeds.
+
+    A first line "[page iv]" is a page's printed number, a line "[picture]" a picture; neighbouring lines that begin and
+    end with a bar are a table's rows; paragraphs are blocks."""
+
+    def _page(self, content: bytes, number: int) -> list[str]:
+        return content.decode("utf-8").split("\f")[number].split("\n")
+
+    def count(self, content: bytes) -> int:
+        return content.decode("utf-8").count("\f") + 1
+
+    def _parts(self, lines: list[str]) -> list[tuple[bool, list[str]]]:
+        """(is it a table, lines) of each stretch."""
+        found: list[tuple[bool, list[str]]] = []
+        for line in [*lines, ""]:
+            row = len(line.strip()) > 1 and line.strip()[0] == line.strip()[-1] == "|"
+            if not line.strip() or line.strip() == "[picture]":
+                found.append((False, []))
+            elif found and found[-1][0] == row and found[-1][1]:
+                found[-1][1].append(line)
+            else:
+                found.append((row, [line]))
+        return [x for x in found if x[1]]
+
+    def pages(self, content: bytes, first: int, last: int) -> list[dict]:
+        out = []
+        for number in range(first, last + 1):
+            lines, label = self._page(content, number), None
+            if lines[0].startswith("[page ") and lines[0].rstrip().endswith("]"):
+                label, lines = lines[0].rstrip()[6:-1], lines[1:]
+            parts = self._parts(lines)
+            blocks = [{"type": 0, "lines": [[line] for line in part]} for table, part in parts if not table]
+            out.append({"page": number, "label": label, "width": 612.0, "height": 792.0, "has_images": any(line.strip() == "[picture]" for line in lines), "candidates": sum(table for table, _ in parts), "blocks": blocks})
+        return out
+
+    def tables(self, content: bytes, pages: list[int], settings: dict | None) -> list[dict]:
+        out = []
+        for number in pages:
+            grids = [part for table, part in self._parts(self._page(content, number)) if table]
+            for i, part in enumerate(grids):
+                cells = [{"row": r, "col": c, "text": text.strip()} for r, line in enumerate(part) for c, text in enumerate(line.strip()[1:-1].split("|"))]
+                out.append({"page": number, "table_index": i, "cells": cells})
+        return out
+
+
 def _schema(ddl: str, df: DataFrame) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -57,6 +113,39 @@ def read_pages(files: DataFrame, extractor: Extractor) -> DataFrame:
     return _each(files.select("document_id", "content"), PAGES, rows)
 
 
+#: Into so many stretches, at most, is one file read, as its bytes go to each.
+MOST_STRETCHES, PAGES_OF_A_TASK = 64, 32
+
+
+def read_ranges(files: DataFrame, extractor: RangeExtractor, pages_of_a_task: int = PAGES_OF_A_TASK) -> DataFrame:
+    """As read_pages, a file's pages dealt out in stretches. A stretch that can't be read is one row with its error, at its first page."""
+
+    def told(e: Exception) -> str:
+        return f"{type(e).__name__}: {e}"
+
+    def counted(content):
+        try:
+            return [{"n": extractor.count(content)}]
+        except Exception as e:  # one bad file leaves the others alone
+            return [{"error": told(e)}]
+
+    def rows(content, first, last, error):
+        if error is not None:
+            return [{"page": 0, "error": error}]
+        try:
+            return extractor.pages(content, first, last)
+        except Exception as e:  # and one bad stretch the file's others
+            return [{"page": first, "error": told(e)}]
+
+    files = files.select("document_id", "content")
+    n = F.greatest("n", F.lit(1))
+    step = F.greatest(F.lit(pages_of_a_task), F.ceil(n / MOST_STRETCHES)).cast("int")
+    counts = _each(files, "document_id string, n int, error string", counted)
+    dealt = counts.select("document_id", "error", n.alias("n"), step.alias("step")).withColumn("first", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.col("step"))))
+    dealt = dealt.select("document_id", "first", (F.least(F.col("first") + F.col("step"), "n") - 1).alias("last"), "error")
+    return _each(files.join(dealt, "document_id").repartition("document_id", "first").select("document_id", "content", "first", "last", "error"), PAGES, rows)
+
+
 def block_text(lines: Column) -> Column:
     """Spans of a line side by side, lines one below the other, without white space at the ends."""
     return F.regexp_replace(F.array_join(F.transform(lines, lambda spans: F.array_join(spans, "")), "\n"), r"(?U)^\s+|\s+$", "")
@@ -74,9 +163,11 @@ def labelled(pages: DataFrame) -> DataFrame:
     return pages.join(some, "document_id").withColumn("source_page_number", F.when(F.col("labels"), F.nullif("label", F.lit("")))).drop("labels")
 
 
-def read_tables(files: DataFrame, pages: DataFrame, extractor: Extractor) -> DataFrame:
+def read_tables(files: DataFrame, pages: DataFrame, extractor: Extractor | RangeExtractor, pages_of_a_task: int = PAGES_OF_A_TASK) -> DataFrame:
     """Tables of pages that may hold one: searched once, and once more with RETRY where nothing is found. A page on which nothing is found, or the search fails, gives one row with its error."""
-    wanted = pages.where("candidates > 0").groupBy("document_id").agg(F.array_sort(F.collect_set("page")).alias("pages"))
+    last = pages.groupBy("document_id").agg(F.max("page").alias("last"))
+    step = F.greatest(F.lit(pages_of_a_task), F.ceil((F.col("last") + 1) / MOST_STRETCHES))
+    wanted = pages.where("candidates > 0").join(last, "document_id").groupBy("document_id", F.floor(F.col("page") / step).alias("stretch")).agg(F.array_sort(F.collect_set("page")).alias("pages"))
 
     def rows(content, numbers):
         out = []
@@ -88,7 +179,7 @@ def read_tables(files: DataFrame, pages: DataFrame, extractor: Extractor) -> Dat
                 out.append({"page": page, "table_index": 0, "error": f"page {page}: table search failed ({type(e).__name__}: {e})"})
         return out
 
-    return _each(files.join(wanted, "document_id").select("document_id", "content", "pages"), TABLES, rows)
+    return _each(files.select("document_id", "content").join(wanted, "document_id").repartition("document_id", "stretch").select("document_id", "content", "pages"), TABLES, rows)
 
 
 def table_cells(tables: DataFrame) -> DataFrame:
