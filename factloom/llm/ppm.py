@@ -33,11 +33,12 @@ LOWS = 32
 #: Code lengths travel as multiples of 1 / FINE decimal digits.
 FINE = float(1 << 36)
 END = b"\n"
-LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\0", b"abcdefghijklmnopqrstuvwxyz\1")
+#: A NUL byte becomes 0xFF, which no UTF-8 text holds, so that 0 can stand for what is before a text.
+LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\0", b"abcdefghijklmnopqrstuvwxyz\xff")
 
 
 def coded_text(text: str | None) -> bytes:
-    """Lower-cased words (a NUL byte counts as the byte 1), parted by single spaces, and the end."""
+    """Lower-cased words, parted by single spaces, and the end."""
     return b" ".join((text or "").encode().translate(LOWER).split()) + END
 
 

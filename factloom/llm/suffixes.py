@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import re
 import zlib
 
 import numpy as np
@@ -648,6 +649,16 @@ def _same_windows(buckets: int):
     return work
 
 
+#: Characters of scripts that are written without spaces: Thai to Myanmar, Khmer, East Asian symbols to ideographs, and their compatibility forms.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+
+
+def n_words(run: bytes) -> int:
+    """Words parted by white space; in scripts that are written without spaces, each character is one."""
+    spaced = len(run.split())
+    return spaced if run.isascii() else spaced + len(UNSPACED.findall(run.decode("utf-8", "ignore")))
+
+
 def _removed(length: int, min_words: int, with_text: bool, buckets: int):
     """Each document with what goes from it."""
 
@@ -675,7 +686,7 @@ def _removed(length: int, min_words: int, with_text: bool, buckets: int):
             x = np.flatnonzero(gone & (starts | ~np.r_[False, gone[:-1]]))
             y = np.flatnonzero(gone & np.r_[starts[1:] | ~gone[1:], True]) + 1
             if min_words:
-                enough = np.fromiter((len(text[a:b].split()) >= min_words for a, b in zip(x.tolist(), y.tolist())), bool, len(x))
+                enough = np.fromiter((n_words(text[a:b]) >= min_words for a, b in zip(x.tolist(), y.tolist())), bool, len(x))
                 x, y = x[enough], y[enough]
             text_of = np.searchsorted(state.base, x, "right") - 1
             for i in np.unique(text_of).tolist():
@@ -699,7 +710,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256; with_text also sha (of the whole text) and kept_text.
 
     A byte goes if a string of `length` bytes (8 at least) that covers it also starts elsewhere, in the same document or
-    another; with min_words, only runs of such bytes that hold so many words go. Null counts as empty; texts under
+    another; with min_words, only runs of such bytes that hold so many words (n_words) go. Null counts as empty; texts under
     `length` bytes stay whole. Rows of equal or null ids are documents each. kept_text is null where nothing was
     removed; bytes of characters that were cut in two are left out of it. Other columns aren't read.
     """

@@ -389,3 +389,13 @@ def test_a_shards_suffixes_are_in_order():
         while same < min(len(suffix[i - 1]), len(suffix[i])) and suffix[i - 1][same] == suffix[i][same]:
             same += 1
         assert min(same, shard.common[i]) == shard.common[i] and (shard.common[i] == same or shard.common[i] >= depth)
+
+
+def test_words_of_scripts_without_spaces(spark):
+    """A passage of 60 ideographs holds over 50 words; one of 60 letters is one word."""
+    rng = random.Random(77)
+    han, letters = "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(100)), "".join(rng.choice("abcdefghijk") for _ in range(300))
+    texts = [f"eins {han} zwei", f"drei {han} vier", f"one {letters} two", f"three {letters} four"]
+    left = [r.text for r in suffixes.without_repeats(docs(spark, texts), length=200, min_words=51).orderBy("doc_id").collect()]
+    assert han[5:-5] not in left[0] and han[5:-5] not in left[1] and left[2:] == texts[2:]
+    assert suffixes.n_words("a b c".encode()) == 3 and suffixes.n_words(("x " + han).encode()) == 102 and suffixes.n_words("ein Wört".encode()) == 2

@@ -53,7 +53,7 @@ def brute_scores(rows, order):
     """Byte after byte, with a trie of dictionaries."""
 
     def coded(t):
-        raw = bytes(c + 32 if 65 <= c <= 90 else 1 if c == 0 else c for c in (t or "").encode())
+        raw = bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode())
         return re.findall(rb"[^\x20\x09-\x0D]+", raw)
 
     train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
@@ -61,10 +61,10 @@ def brute_scores(rows, order):
     n, v = sum(counts.values()), len(counts)
 
     def events(t):
-        context = b"\0" * order
+        context = (None,) * order  # what is before a text is no byte
         for c in b" ".join(coded(t)) + b"\n":
             yield context, c
-            context = context[1:] + bytes([c])
+            context = (*context[1:], c)
 
     trie = [defaultdict(Counter) for _ in range(order + 1)]
     for t in train:
@@ -111,6 +111,17 @@ def test_ppm(spark, sf, order):
     assert one.train_tokens == 0 and one.n_known == 0 and one.score == pytest.approx(4 * -math.log10(256))
 
 
+def test_ppm_tells_nul_from_other_bytes(spark):
+    names = [i for i in range(60) if not ppm.held_out(i)]
+    rows = [(names[0], "a\1 b"), (names[1], "x\0y x\0y"), ([i for i in range(60) if ppm.held_out(i)][0], "a\0 d x\0y x\1y")]
+    got = sorted(ppm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = brute_scores(sorted(rows), 6)
+    assert [r[:5] for r in got] == [w[:5] for w in want]
+    assert [r.n_known for r in got if r.held_out] == [2]  # x\0y and the end
+    for r, w in zip(got, want):
+        assert r[5] == pytest.approx(w[5]) and r[6] == pytest.approx(w[6], rel=1e-9, abs=1e-5)
+
+
 def test_ppm_beats_the_base(spark):
     """Held-out documents, by contexts alone; a smaller corpus has too few words for that, as the base spells none."""
     base, own = ppm.op4_ppm(spark, "/root/testdata/sf0.1").where("held_out").selectExpr("sum(base_score)", "sum(score)").first()
