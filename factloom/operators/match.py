@@ -73,11 +73,17 @@ def merged(stored: DataFrame, found: DataFrame, recompute: bool = False, purge_u
     columns = [c for c in found.columns if c in stored.columns]
     if not recompute:
         return stored.select(columns).unionByName(new_only(found, stored).select(columns))
-    key, both = ["fact_a_id", "fact_b_id"], found.select(columns).join(stored.select("fact_a_id", "fact_b_id", F.col("relationship_id").alias("old")), ["fact_a_id", "fact_b_id"], "left")
-    now = both.withColumn("relationship_id", F.coalesce("old", "relationship_id")).select(columns)
+    now = with_old_ids(found, stored).select(columns)
+    key = ["fact_a_id", "fact_b_id"]
     return now if purge_unrelated else now.unionByName(stored.select(columns).join(found.select(*key), key, "left_anti"))
 
 
+def with_old_ids(found: DataFrame, stored: DataFrame) -> DataFrame:
+    """found, with the id under which a pair is stored."""
+    both = found.join(stored.select("fact_a_id", "fact_b_id", F.col("relationship_id").alias("old")), ["fact_a_id", "fact_b_id"], "left")
+    return both.withColumn("relationship_id", F.coalesce("old", "relationship_id")).drop("old")
+
+
 def parsed_judgment(raw: Column) -> Column:
     """struct(relationship_type, confidence, explanation, error) of a judge's JSON text; error is null when it is valid."""
     j = F.from_json(raw, JUDGMENT)

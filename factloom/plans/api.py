@@ -1,8 +1,8 @@
 """The engine's surface: a workspace of tables under one path, and what can be done with it.
 
-Tables are Parquet snapshots: documents, pages, evidence, files, facts, fact_embeddings, relationships, extraction_chunks, and
-those of the last run. Calls read whole snapshots, make the next ones by the operators, and write them; what belongs
-together counts from the same moment on. Reading calls return DataFrames.
+Tables are Parquet: documents, pages, evidence, files, facts, fact_embeddings, relationships, extraction_chunks, laid out in
+buckets of a key (sources.buckets), and those of the last run. A call writes the buckets that it changes beside the
+old ones; what belongs together counts from the same moment on. Reading calls return DataFrames.
 """
 
 from __future__ import annotations
@@ -15,13 +15,17 @@ from pyspark.sql import functions as F
 
 from factloom.operators import candidates, canonical, chunking, delta, evidence, extract, match, postings, prompts, search
 from factloom.operators.compare import comparability, missing
-from factloom.sources import extractor, providers, store
+from factloom.sources import buckets, extractor, providers, store
 
 FILES = "document_id string, content binary"
 VECTORS = "fact_id string, v array<double>"
 PROGRESS = "document_id string, page int, chunk bigint, evidence_hash string, status string, error string, fact_ids array<string>"
 UNITS = "document_id string, page int, block_index int, text string, type string, evidence_id string, table_index int, row int, col int, row_header string, column_header string, headers array<string>, source_page_number string"
 RELATIONSHIPS = "fact_a_id string, fact_b_id string, relationship_id string, relationship_type string, rule_id string, confidence double, status string, needs_review_reason string, explanation string"
+PAIR = ["fact_a_id", "fact_b_id"]
+CHUNK = ["document_id", "page", "chunk"]
+#: By which columns a table is dealt into buckets.
+LAYOUT = {"documents": ["document_id"], "pages": ["document_id"], "evidence": ["document_id"], "files": ["document_id"], "facts": ["fact_id"], "fact_embeddings": ["fact_id"], "relationships": ["fact_a_id"], "extraction_chunks": ["document_id"]}
 
 
 class Workspace:
@@ -35,8 +39,8 @@ class Workspace:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def versions(self) -> dict[str, str]:
-        """The snapshot of each table that counts now."""
+    def versions(self) -> dict[str, str | dict]:
+        """The snapshot of each table that counts now: a folder, or a description of its buckets."""
         fs, path = self._file("current")
         if not fs.exists(path):
             return {}
@@ -50,17 +54,22 @@ class Workspace:
         return name in self.versions()
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}/{self.versions()[name]}")
-
-    def put(self, **tables: DataFrame | tuple[DataFrame, str]) -> None:
-        """New snapshots beside the old ones; the one file that names what counts is replaced last, so that readers see all of them or none. One writer at a time.
-
-        A table that comes with the name of a column is written in a folder for each of its values."""
-        made = {}
-        for name, df in tables.items():
-            made[name] = f"v-{uuid.uuid4().hex}"
-            writer = df[0].write.partitionBy(df[1]) if isinstance(df, tuple) else df.write
-            writer.parquet(f"{self.path}/{name}/{made[name]}")
+        at = self.versions()[name]
+        return buckets.read(self.spark, f"{self.path}/{name}", at) if isinstance(at, dict) else self.spark.read.parquet(f"{self.path}/{name}/{at}")
+
+    def of(self, name: str, keys: list) -> DataFrame:
+        """Rows of a table with one of the keys by which it is dealt; other buckets aren't read."""
+        return buckets.look_up(self.spark, f"{self.path}/{name}", self.versions()[name], keys)
+
+    def _written(self, name: str, df: DataFrame | tuple[DataFrame, str]) -> str | dict:
+        if name in LAYOUT:
+            return buckets.write(df, f"{self.path}/{name}", LAYOUT[name])
+        at = f"v-{uuid.uuid4().hex}"
+        (df[0].write.partitionBy(df[1]) if isinstance(df, tuple) else df.write).parquet(f"{self.path}/{name}/{at}")
+        return at
+
+    def _commit(self, made: dict[str, str | dict]) -> None:
+        """The one file that names what counts is replaced last, so that readers see all of it or nothing. One writer at a time."""
         fs, new = self._file(f"next-{uuid.uuid4().hex}")
         out = fs.create(new, True)
         out.write(bytearray(json.dumps(self.versions() | made).encode()))
@@ -71,6 +80,29 @@ class Workspace:
         how[0] = rename.OVERWRITE
         jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), self.spark._jsc.hadoopConfiguration()).rename(new, self._file("current")[1], how)
 
+    def put(self, **tables: DataFrame | tuple[DataFrame, str]) -> None:
+        """Whole tables, written beside the old ones. One that comes with the name of a column is written in a folder for each of its values."""
+        self._commit({name: self._written(name, df) for name, df in tables.items()})
+
+    def merge(self, **changes: DataFrame | tuple[DataFrame, DataFrame]) -> None:
+        """(rows, keys): of a table's buckets, those that keys fall in are written anew, without the rows that have one of the keys, and with
+        the given rows. Only rows: the whole table, as in put(). All count from the same moment on."""
+        have, made = self.versions(), {}
+        for name, change in changes.items():
+            rows, keys = change if isinstance(change, tuple) else (change, None)
+            whole = keys is None or not isinstance(have.get(name), dict)
+            made[name] = self._written(name, rows) if whole else buckets.merge(f"{self.path}/{name}", have[name], rows, keys)
+        self._commit(made)
+
+    def vacuum(self, hours: float = 24) -> int:
+        """Deletes folders that no table is made of any more and that nothing has changed for so long, as older readers may still use them. Returns how many."""
+        have, gone = self.versions(), 0
+        for name, _ in buckets._folders(self.spark, self.path):
+            for folder in buckets.unread(self.spark, f"{self.path}/{name}", [have.get(name)], hours):
+                buckets.delete(self.spark, f"{self.path}/{name}/{folder}")
+                gone += 1
+        return gone
+
     def health(self) -> dict[str, str]:
         return store.health(self.spark)
 
@@ -122,8 +154,7 @@ class Workspace:
         made = made.select(*((F.col(n) if n in made.columns else F.lit(None)).cast(t).alias(n) for n, t in wanted))
         status = ids.join(evidence.ingestion(pages, made), "document_id", "left").withColumns({"ingestion_status": F.coalesce("ingestion_status", F.lit("FAILED")), "created_at": F.current_timestamp()})
         fresh = {"documents": status, "pages": pages, "evidence": made}
-        have = self.versions()
-        self.put(**{n: new if n not in have else self.table(n).join(ids, "document_id", "left_anti").unionByName(new, allowMissingColumns=True) for n, new in fresh.items()})
+        self.merge(**{n: (new, ids) for n, new in fresh.items()})
         return self.table("documents").join(ids, "document_id", "left_semi")
 
     def documents(self) -> DataFrame:
@@ -146,42 +177,53 @@ class Workspace:
             placed = placed.withColumn("selected", F.lit(True))
         return placed.withColumn("selected", F.coalesce("selected", F.lit(False))).withColumn("chunk_id", F.concat_ws(":", "document_id", "page", "chunk"))
 
-    def extract_facts(self, provider: providers.Provider, limit: int | None = chunking.CHUNK_LIMIT, document_id: str | None = None, start_page: int | None = None, end_page: int | None = None) -> DataFrame:
+    def extract_facts(self, provider: providers.Provider, limit: int | None = chunking.CHUNK_LIMIT, document_id: str | None = None, start_page: int | None = None, end_page: int | None = None, commit_every: int | None = None) -> DataFrame:
         """Drafts of a provider ({prompt} -> {raw}) for chunks, validated and stored. Returns the run's report by document.
 
         Of a document, `limit` representative chunks at most are sent, as the model's time is the bound; limit=None sends
         all, and the report counts what was left out. Chunks that were completed with the same content are skipped; a
         chunk whose answer fails or can't be read is FAILED and is sent again by the next run. Facts are added to those
-        that are stored; one of the same identity is linked, not stored twice."""
+        that are stored; one of the same identity is linked, not stored twice. commit_every: facts and progress are stored
+        after about so many chunks each time, so that a run that is stopped loses no more than that."""
         units = self.chunks(limit=limit, start_page=start_page, end_page=end_page)
         units = units if document_id is None else units.where(F.col("document_id") == document_id)
-        key = ["document_id", "page", "chunk"]
-        every = units.groupBy(*key, "chunk_id", "selected").agg(chunking.chunk_hash(F.collect_list("evidence_id")).alias("evidence_hash"), F.collect_list("evidence_id").alias("ids"))
-        before = self.stored("extraction_chunks", PROGRESS)
-        done = before.where("status = 'COMPLETED'").select(*key, "evidence_hash", F.lit(True).alias("done"))
+        every = units.groupBy(*CHUNK, "chunk_id", "selected").agg(chunking.chunk_hash(F.collect_list("evidence_id")).alias("evidence_hash"), F.collect_list("evidence_id").alias("ids"))
+        done = self.stored("extraction_chunks", PROGRESS).where("status = 'COMPLETED'").select(*CHUNK, "evidence_hash", F.lit(True).alias("done"))
         state = F.when(~F.col("selected"), "CAPPED").when(F.col("done"), "SKIPPED").otherwise("ASKED")
-        every = every.join(done, [*key, "evidence_hash"], "left").withColumn("state", state)
-        asked = units.join(every.where("state = 'ASKED'").select("chunk_id"), "chunk_id", "left_semi")
-        answered = providers.apply(prompts.extraction(asked), provider, ["prompt"], "raw string").withColumn("d", extract.parsed_drafts(extract.repaired(F.col("raw"))))
+        self.put(run_chunks=every.join(done, [*CHUNK, "evidence_hash"], "left").withColumn("state", state))
+        every = self.table("run_chunks")
+        n = every.where("state = 'ASKED'").count()
+        turns = max(1, -(-n // commit_every)) if commit_every else 1
+        turn = F.pmod(F.xxhash64("chunk_id"), F.lit(turns))
+        self.put(run_prompts=prompts.extraction(units.join(every.where("state = 'ASKED'").select("chunk_id"), "chunk_id", "left_semi")).withColumn("turn", turn).sortWithinPartitions("turn"))
+        asked = self.table("run_prompts")
+        told, made = every.where("state <> 'ASKED'").select("document_id", "state", F.lit(None).cast("string").alias("error")), None
+        for i in range(turns):
+            status, judged = self._extracted(asked.where(F.col("turn") == i), every, provider)
+            told = told.unionByName(status.select("document_id", F.col("status").alias("state"), "error"))
+            made = judged if made is None else made.unionByName(judged)
+        self.put(extraction_report=extract.extraction_report(told, made))
+        return self.table("extraction_report")
+
+    def _extracted(self, asked: DataFrame, every: DataFrame, provider: providers.Provider) -> tuple[DataFrame, DataFrame]:
+        """Asks for some chunks, and stores their facts and progress together. Returns the chunks' status and what became of the drafts."""
+        answered = providers.apply(asked.select("chunk_id", "prompt"), provider, ["prompt"], "raw string").withColumn("d", extract.parsed_drafts(extract.repaired(F.col("raw"))))
         self.put(answers=answered.select("chunk_id", "d.drafts", F.coalesce("error", "d.error").alias("error")))  # a provider is asked once
         answered = self.table("answers")
-        drafts = answered.where("error is null").select("chunk_id", F.posexplode("drafts").alias("i", "x")).select("chunk_id", F.format_string("%s#%06d", "chunk_id", "i").alias("draft_id"), "x.*")
-        drafts = drafts.join(every.select("chunk_id", "document_id"), "chunk_id")
+        drafts = answered.where("error is null").select("chunk_id", F.posexplode("drafts").alias("i", "x")).join(every.select("chunk_id", "document_id", "evidence_hash"), "chunk_id")
+        # The same place with other content gives other drafts.
+        drafts = drafts.select("chunk_id", "document_id", F.format_string("%s#%s#%06d", "chunk_id", "evidence_hash", "i").alias("draft_id"), "x.*")
         made = extract.facts(drafts, every.select("chunk_id", "ids")).withColumn("fact_id", F.sha2("draft_id", 256))
-        old = self.table("facts") if self._has("facts") else None
-        valid = extract.split_new(made.where("rejected is null"), old)
+        valid = extract.split_new(made.where("rejected is null"), self.table("facts") if self._has("facts") else None)
         judged = valid.select("draft_id", "kept_id", "is_new", "document_id", F.lit(None).cast("string").alias("rejected")).unionByName(made.where("rejected is not null").select("draft_id", F.lit(None).cast("string").alias("kept_id"), F.lit(False).alias("is_new"), "document_id", "rejected"))
-        self.put(run_drafts=judged.withColumn("chunk_id", F.substring_index("draft_id", "#", 1)))
         fresh = extract.normalise(valid.where("is_new").drop("rejected", "draft_id", "kept_id", "is_new"))
-        judged = self.table("run_drafts")
+        self.put(run_drafts=judged.withColumn("chunk_id", F.regexp_replace("draft_id", "#[^#]*#[^#]*$", "")), run_facts=fresh)
+        judged, fresh = self.table("run_drafts"), self.table("run_facts")
         linked = judged.where("kept_id is not null").groupBy("chunk_id").agg(F.array_sort(F.collect_set("kept_id")).alias("fact_ids"))
-        status = every.where("state = 'ASKED'").join(answered.select("chunk_id", "error"), "chunk_id").join(linked, "chunk_id", "left")
-        status = status.select(*key, "evidence_hash", F.when(F.col("error").isNull(), "COMPLETED").otherwise("FAILED").alias("status"), "error", F.coalesce("fact_ids", F.array().cast("array<string>")).alias("fact_ids"))
-        told = every.where("state <> 'ASKED'").select("document_id", "state", F.lit(None).cast("string").alias("error")).unionByName(status.select("document_id", F.col("status").alias("state"), "error"))
-        progress = store.upsert(before, status, key).select([part.split()[0] for part in PROGRESS.split(", ")])
-        facts = fresh if old is None else old.unionByName(fresh, allowMissingColumns=True)
-        self.put(facts=facts, extraction_chunks=progress, extraction_report=extract.extraction_report(told, judged))
-        return self.table("extraction_report")
+        status = every.join(answered.select("chunk_id", "error"), "chunk_id").join(linked, "chunk_id", "left")
+        status = status.select(*CHUNK, "evidence_hash", F.when(F.col("error").isNull(), "COMPLETED").otherwise("FAILED").alias("status"), "error", F.coalesce("fact_ids", F.array().cast("array<string>")).alias("fact_ids"))
+        self.merge(facts=(fresh, fresh.select("fact_id")), extraction_chunks=(status, status.select(CHUNK)))
+        return status, judged
 
     def normalize(self) -> DataFrame:
         """Canonical values, and names by the abbreviations that the evidence defines and what each document calls itself. Returns the report."""
@@ -195,19 +237,20 @@ class Workspace:
 
     def fact(self, fact_id: str) -> DataFrame:
         """One fact with its evidence ids in order; no row where there is none."""
-        return self.table("facts").where(F.col("fact_id") == fact_id).withColumn("evidence_ids", F.array_sort("evidence_ids"))
+        return self.of("facts", [fact_id]).withColumn("evidence_ids", F.array_sort("evidence_ids"))
 
     def evidence_of(self, fact_id: str, chars: int = 2000) -> DataFrame:
         """The stored evidence that a fact names, its text cut for display."""
-        named = self.fact(fact_id).select(F.explode("evidence_ids").alias("evidence_id"))
-        return self.table("evidence").join(named, "evidence_id", "left_semi").withColumn("text", F.substring("text", 1, chars)).orderBy("page", "evidence_id")
+        one = self.fact(fact_id)
+        named = one.select(F.explode("evidence_ids").alias("evidence_id"))
+        return self.of("evidence", [r.document_id for r in one.select("document_id").collect()]).join(named, "evidence_id", "left_semi").withColumn("text", F.substring("text", 1, chars)).orderBy("page", "evidence_id")
 
     def evidence(self, document_id: str) -> DataFrame:
         """Evidence of a document in the order of listings: by page, then id."""
-        return self.table("evidence").where(F.col("document_id") == document_id).orderBy("page", "evidence_id")
+        return self.of("evidence", [document_id]).orderBy("page", "evidence_id")
 
     def pages(self, document_id: str) -> DataFrame:
-        return self.table("pages").where(F.col("document_id") == document_id).orderBy("page")
+        return self.of("pages", [document_id]).orderBy("page")
 
     def pairs(self) -> DataFrame:
         """Relationships in the order of listings: by both facts."""
@@ -215,23 +258,26 @@ class Workspace:
 
     def vectors(self, fact_ids: list[str]) -> DataFrame:
         """Vectors of the facts that have one."""
-        return self.stored("fact_embeddings", VECTORS).where(F.col("fact_id").isin(fact_ids))
+        return self.of("fact_embeddings", fact_ids) if self._has("fact_embeddings") else self.spark.createDataFrame([], VECTORS)
 
     def progress(self, document_id: str) -> DataFrame:
-        return self.stored("extraction_chunks", PROGRESS).where(F.col("document_id") == document_id).orderBy("page", "chunk")
+        found = self.of("extraction_chunks", [document_id]) if self._has("extraction_chunks") else self.spark.createDataFrame([], PROGRESS)
+        return found.orderBy("page", "chunk")
 
     def put_files(self, files: DataFrame) -> None:
         """files: document_id, content. Replaces the files of the same documents."""
-        self.put(files=store.upsert(self.stored("files", FILES), files.select("document_id", "content"), ["document_id"]))
+        self.merge(files=(files.select("document_id", "content"), files.select("document_id")))
 
     def file(self, document_id: str) -> DataFrame:
-        return self.stored("files", FILES).where(F.col("document_id") == document_id)
+        return self.of("files", [document_id]) if self._has("files") else self.spark.createDataFrame([], FILES)
 
     def embed(self, provider: providers.Provider) -> None:
         """Vectors for facts that have none."""
         old = self.table("fact_embeddings") if self._has("fact_embeddings") else self.spark.createDataFrame([], VECTORS)
         texts = store.missing_vectors(self.table("facts"), old).withColumn("t", extract.embedding_text())
-        self.put(fact_embeddings=old.unionByName(providers.embedded(texts, "t", provider)))
+        self.put(run_vectors=providers.embedded(texts, "t", provider))  # a provider is asked once
+        new = self.table("run_vectors")
+        self.merge(fact_embeddings=(new, new.select("fact_id")))
 
     def match(self, document_id: str | None = None, compare_with: list[str] | None = None, include_same_document: bool = False, recompute: bool = False, judge: providers.Provider | None = None, up_to: int = candidates.EXHAUSTIVE_UP_TO) -> DataFrame:
         """Relationships of eligible pairs, merged into those that are stored. Returns the counts of the run by type.
@@ -244,7 +290,8 @@ class Workspace:
         pairs, _ = candidates.chosen(facts, document_id, self._fact_vectors(), include_same_document, up_to)
         stored = self.stored("relationships", RELATIONSHIPS)
         found = self._compared(facts, pairs if recompute else match.unstored(pairs, stored), judge)
-        self.put(relationships=match.merged(stored, found, recompute).select(found.columns))
+        new = match.with_old_ids(found, stored) if recompute else found
+        self.merge(relationships=(new.select(found.columns), found.select(PAIR)))
         return found.groupBy("relationship_type").count()
 
     def _fact_vectors(self) -> DataFrame | None:
@@ -280,7 +327,12 @@ class Workspace:
         pairs, kept, mode = delta.pairs(facts, changes, stored if usable else stored.limit(0), self._fact_vectors(), include_same_document, up_to)
         found = self._compared(facts, pairs, judge)
         run = self.spark.createDataFrame([(settings, mode)], "settings string, mode string")
-        self.put(relationships=kept.select(found.columns).unionByName(found), match_state=now, match_run=run)
+        if usable:
+            # Pairs that lose their verdict, and those that get one.
+            self.put(run_keys=stored.select(PAIR).join(kept.select(PAIR), PAIR, "left_anti").unionByName(found.select(PAIR)))
+            self.merge(relationships=(found, self.table("run_keys")), match_state=now, match_run=run)
+        else:
+            self.put(relationships=found, match_state=now, match_run=run)
         sums = changes.agg(delta.counts(changes).alias("c")).select("c.*")
         made, all_now = found.count(), self.table("relationships").count()
         return sums.withColumns({"compared": F.lit(made), "kept": F.lit(all_now - made), "mode": F.lit(mode)})
@@ -298,10 +350,14 @@ class Workspace:
         facts = self.table("facts")
         self.put(postings=(postings.laid_out(postings.index(facts)), "bucket"))
         often = postings.frequencies(self.table("postings"))
-        self.put(grams=often, postings_of=self.spark.createDataFrame([(self.versions()["facts"],)], "facts string"))
+        self.put(grams=often, postings_of=self.spark.createDataFrame([(self._stamp("facts"),)], "facts string"))
 
     def _indexed(self) -> bool:
-        return self._has("postings_of") and self.table("postings_of").first().facts == self.versions()["facts"]
+        return self._has("postings_of") and self.table("postings_of").first().facts == self._stamp("facts")
+
+    def _stamp(self, name: str) -> str:
+        """Another one whenever a table has changed."""
+        return json.dumps(self.versions()[name], sort_keys=True)
 
     def search_many(self, queries: DataFrame, limit: int = search.LIMIT, min_score: float = 0.0) -> DataFrame:
         """queries: query_id, text, and maybe document_id. Hits of each query by words: query_id, fact_id, score, rank."""

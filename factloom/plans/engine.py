@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.operators import candidates as cand
 from factloom.operators import chunking, delta, evidence, match, nearest, postings
-from factloom.plans.pairs import _REL, REL_COLUMNS, _vectors, facts
-from factloom.sources import extractor
-from factloom.sources.views import read
+from factloom.operators import compare as cmp
+from factloom.plans.pairs import _ID, _PAIRS, _REL, REL_COLUMNS, _vectors, facts
+from factloom.sources import buckets, extractor
+from factloom.sources.views import FACTS, duck, read, view
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -24,6 +31,18 @@ def query(sql: str | None = None):
     return add
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; where none is set, a session of one machine gets a folder of its own."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="factloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        at = f"file://{own}"
+    return at.rstrip("/")
+
+
 # --- nearest neighbours ----------------------------------------------------------------------------------------
 
 
@@ -145,3 +164,40 @@ def workspace_chunks(spark, sf_dir):
     per = chars.groupBy("document_id", "page").agg((F.max("chars") <= chunking.MAX_CHARS).alias("fits"), F.count_if((F.col("tables") != 1) | (F.col("heads") != 1)).alias("odd"), (F.count("*") > 1).alias("split"))
     cells = placed.where("type = 'TABLE_CELL'").groupBy("document_id", "page").agg(F.count_distinct("row").alias("n_rows"), F.count("*").alias("n_cells"))
     return cells.join(per, ["document_id", "page"]).select("page", "n_rows", "n_cells", (F.col("fits") & (F.col("odd") == 0)).alias("within"), "split")
+
+
+# --- pairs of many facts ---------------------------------------------------------------------------------------
+
+#: Claims of two catalogues on each part's price. They grow with the parts; a part's own words outweigh those that many names share.
+PRICES = """
+WITH n AS (SELECT *, CAST(p_partkey AS STRING) AS t FROM {part}),
+p AS (SELECT p_partkey AS k, p_name || ' Item' || t || ' Lot' || t || ' Ref' || t || ' Box' || t || ' Bin' || t || ' Tag' || t || ' Row' || t AS name, p_type, p_retailprice AS v, CAST(p_partkey % 10 AS INT) AS h FROM n),
+s AS (SELECT 'A' AS side, p.*, v AS x FROM p UNION ALL SELECT 'B', p.*, CASE WHEN h IN (1, 2) THEN v * 1.005e0 WHEN h > 6 THEN v * 1.4e0 ELSE v END FROM p)
+SELECT side || '-' || lpad(CAST(k AS STRING), 9, '0') AS fact_id, 'catalogue-' || side AS document_id, name AS subject,
+  CASE WHEN h = 3 THEN NULL ELSE lower(name) END AS canonical_subject, CASE WHEN side = 'B' AND h IN (4, 8) THEN 'price paid' ELSE 'price' END AS predicate,
+  CASE WHEN h = 3 THEN NULL WHEN side = 'B' AND h IN (4, 8) THEN 'price paid' ELSE 'price' END AS canonical_predicate, 'NUMERIC' AS value_kind, CAST(CAST(x AS DECIMAL(18,2)) AS STRING) AS value_text, x AS value_number,
+  'USD' AS unit, x AS normalized_number, CASE WHEN h = 5 THEN NULL ELSE 'USD' END AS normalized_unit, CASE WHEN h = 6 AND side = 'B' THEN 'FY2023' WHEN h = 7 THEN NULL ELSE 'FY2024' END AS time_text,
+  CASE WHEN h = 7 THEN 'UNKNOWN' ELSE 'FISCAL_YEAR' END AS time_kind, CAST(NULL AS DATE) AS time_start, CAST(NULL AS DATE) AS time_end, CASE WHEN h = 9 AND side = 'B' THEN NULL ELSE 'list' END AS scope_text, 'ACTUAL' AS estimate_status, p_type AS geography, h
+FROM s
+"""
+
+
+def prices(spark, sf_dir) -> DataFrame:
+    return view(spark, sf_dir, PRICES)
+
+
+@query(_PAIRS.replace(duck(FACTS), duck(PRICES)) + f"SELECT {_ID}, rule AS rule_id, kind AS relationship_type, conf AS confidence, ask AS needs_llm FROM t WHERE rule <> 'R9'")
+def classify_prices(spark, sf_dir):
+    """Pairs of facts that grow with the parts, by rule: each verdict needs words, names or a claim in common."""
+    return cmp.classified(cand.related(prices(spark, sf_dir))).where("rule_id <> 'R9'").select("a_fact_id", "b_fact_id", "rule_id", "relationship_type", "confidence", "needs_llm")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 40 = 3 THEN 'changed' ELSE c_mktsegment END AS segment FROM customer WHERE c_custkey % 40 <> 5 UNION ALL SELECT -c_custkey, 'new' FROM customer WHERE c_custkey % 100 = 9""")
+def bucket_merge(spark, sf_dir):
+    """Customers in buckets: some change, some go, some come."""
+    c = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    path = f"{scratch(spark)}/customers-{uuid.uuid4().hex}"
+    table = buckets.write(c, path, ["c_custkey"])
+    new = c.where("c_custkey % 40 = 3").withColumn("segment", F.lit("changed")).unionByName(c.where("c_custkey % 100 = 9").select((-F.col("c_custkey")).alias("c_custkey"), F.lit("new").alias("segment")))
+    keys = new.select("c_custkey").union(c.where("c_custkey % 40 = 5").select("c_custkey"))
+    return buckets.read(spark, path, buckets.merge(path, table, new, keys))

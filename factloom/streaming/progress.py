@@ -2,32 +2,54 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from factloom.operators.chunking import remaining
+from factloom.sources.providers import Provider
 
 KEY = ["document_id", "page", "chunk_index"]
-PROGRESS = "document_id string, page int, chunk_index long, evidence_hash string, status string, error string"
+KINDS = "document_id string, page int, chunk_index long, evidence_hash string"
+PROGRESS = f"{KINDS}, status string, error string, raw string"
+#: Of each chunk: the contents that were completed, parted by commas.
+STATE = "completed string"
 
 
-def run(spark: SparkSession, chunks: DataFrame, path: str, checkpoint: str, extract: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Streams chunks (KEY, evidence_hash, ...) through `extract`, which returns KEY, evidence_hash, status and error.
+def asked_once(chunks: DataFrame, provider: Provider) -> DataFrame:
+    """chunks: KEY, evidence_hash, prompt. The provider's answers ({prompt} -> {raw}) for contents that aren't completed: PROGRESS.
 
-    Each batch leaves out chunks of the same content that are completed; a failed chunk is tried again when it comes
-    again. Progress is appended by batch to a folder of its own, so that a batch that is run twice is written once."""
+    What is completed is state of the stream, kept by chunk: a batch reads and writes the state of its own chunks alone,
+    however many came before. A chunk that fails is asked again when it comes again; so is one with other content."""
+
+    def work(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        done = state.get[0].split(",") if state.exists else []
+        fresh = pd.concat(list(parts)).drop_duplicates("evidence_hash").sort_values("evidence_hash")
+        out = []
+        for row in fresh[~fresh.evidence_hash.isin(done)].itertuples():
+            try:
+                raw, error = provider.run([{"prompt": row.prompt}])[0]["raw"], None
+                done.append(row.evidence_hash)
+            except Exception as e:  # stays on its chunk
+                raw, error = None, f"{type(e).__name__}: {e}"
+            out.append((*key, row.evidence_hash, "FAILED" if error else "COMPLETED", error, raw))
+        state.update((",".join(done),))
+        yield pd.DataFrame(out, columns=[*KEY, "evidence_hash", "status", "error", "raw"])
+
+    return chunks.groupBy(*KEY).applyInPandasWithState(work, PROGRESS, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def run(chunks: DataFrame, path: str, checkpoint: str, provider: Provider) -> StreamingQuery:
+    """Streams chunks (KEY, evidence_hash, prompt) through the provider until all that is there now is done. Answers are
+    written by batch, each to a folder of its own, so that a batch that is run twice is written once."""
 
     def batch(df: DataFrame, number: int) -> None:
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*")
-        before = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
-        done = spark.read.schema(PROGRESS).parquet(f"{path}/batch=*").where("status is not null") if before else spark.createDataFrame([], PROGRESS)
-        todo = remaining(df.dropDuplicates([*KEY, "evidence_hash"]), done)
-        extract(todo).select(*KEY, "evidence_hash", "status", "error").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        df.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return chunks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return asked_once(chunks, provider).writeStream.foreachBatch(batch).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def event_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:

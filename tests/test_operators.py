@@ -138,22 +138,38 @@ def test_search_arguments(spark):
     assert [r.fact_id for r in search.hits(search.lexical_pool(facts, "beta"), None).collect()] == ["b"]
 
 
+class Answers:
+    """Fails for one prompt."""
+
+    def run(self, rows):
+        if rows[0]["prompt"] == "bad":
+            raise TimeoutError("busy")
+        return [{"raw": "of " + r["prompt"]} for r in rows]
+
+
 def test_stream_of_chunks_resumes(spark, tmp_path):
-    def put(name, rows):
-        spark.createDataFrame(rows, "document_id string, page int, chunk_index long, evidence_hash string").write.parquet(str(tmp_path / "in" / name))
+    kinds = progress.KINDS + ", prompt string"
 
-    def extract(todo):
-        return todo.select(*progress.KEY, "evidence_hash", F.when(F.col("chunk_index") == 1, "FAILED").otherwise("COMPLETED").alias("status"), F.lit(None).cast("string").alias("error"))
+    def put(name, rows):
+        spark.createDataFrame(rows, kinds).write.parquet(str(tmp_path / "in" / name))
 
     def once():
-        chunks = spark.readStream.schema("document_id string, page int, chunk_index long, evidence_hash string").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-        progress.run(spark, chunks, str(tmp_path / "out"), str(tmp_path / "check"), extract).awaitTermination(120)
-        return sorted((r.chunk_index, r.evidence_hash, r.status) for r in spark.read.parquet(str(tmp_path / "out")).collect())
-
-    put("1", [("d", 0, 0, "x"), ("d", 0, 1, "y")])
-    assert once() == [(0, "x", "COMPLETED"), (1, "y", "FAILED")]
-    put("2", [("d", 0, 0, "x"), ("d", 0, 1, "y"), ("d", 0, 0, "z")])
-    assert once() == [(0, "x", "COMPLETED"), (0, "z", "COMPLETED"), (1, "y", "FAILED"), (1, "y", "FAILED")]
+        chunks = spark.readStream.schema(kinds).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        query = progress.run(chunks, str(tmp_path / "out"), str(tmp_path / "check"), Answers())
+        query.awaitTermination(120)
+        state = [s.numRowsTotal for p in query.recentProgress for s in p.stateOperators]
+        return sorted((r.chunk_index, r.evidence_hash, r.status, r.error or r.raw) for r in spark.read.parquet(str(tmp_path / "out")).collect()), state
+
+    put("1", [("d", 0, 0, "x", "a"), ("d", 0, 1, "y", "bad")])
+    first = [(0, "x", "COMPLETED", "of a"), (1, "y", "FAILED", "TimeoutError: busy")]
+    assert once()[0] == first
+    # the same content again, a failed chunk again, other content of a chunk, and rows that come twice
+    put("2", [("d", 0, 0, "x", "a"), ("d", 0, 1, "y", "good"), ("d", 0, 0, "z", "c"), ("d", 0, 0, "z", "c"), ("e", 0, 0, "x", "d")])
+    then, state = once()
+    assert then == sorted([*first, (0, "z", "COMPLETED", "of c"), (1, "y", "COMPLETED", "of good"), (0, "x", "COMPLETED", "of d")])
+    assert state[-1] == 3  # chunks, not runs
+    put("3", [("d", 0, 0, "x", "a"), ("d", 0, 0, "z", "c"), ("d", 0, 1, "y", "bad")])
+    assert once()[0] == then
 
 
 def test_empty_tables(spark):
