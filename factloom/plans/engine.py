@@ -186,7 +186,11 @@ def prices(spark, sf_dir) -> DataFrame:
     return view(spark, sf_dir, PRICES)
 
 
-@query(_PAIRS.replace(duck(FACTS), duck(PRICES)) + f"SELECT {_ID}, rule AS rule_id, kind AS relationship_type, conf AS confidence, ask AS needs_llm FROM t WHERE rule <> 'R9'")
+#: Every pair of facts, one by one: hours for many parts, so it is held against the query on few.
+PRICES_SQL = _PAIRS.replace(duck(FACTS), duck(PRICES)) + f"SELECT {_ID}, rule AS rule_id, kind AS relationship_type, conf AS confidence, ask AS needs_llm FROM t WHERE rule <> 'R9'"
+
+
+@query()
 def classify_prices(spark, sf_dir):
     """Pairs of facts that grow with the parts, by rule: each verdict needs words, names or a claim in common."""
     return cmp.classified(cand.related(prices(spark, sf_dir))).where("rule_id <> 'R9'").select("a_fact_id", "b_fact_id", "rule_id", "relationship_type", "confidence", "needs_llm")

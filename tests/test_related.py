@@ -52,3 +52,15 @@ def test_a_word_in_all_facts_brings_few_together(spark):
 
 def test_nothing(spark):
     assert candidates.related(table(spark, [])).count() == 0 == candidates.related(table(spark, [fact("a", "d")])).count()
+
+
+def test_prices_against_every_pair(spark, sf):
+    import duckdb
+
+    from factloom.plans.engine import PRICES_SQL, classify_prices
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW part AS SELECT * FROM '{sf}/part.parquet'")
+    columns = ["a_fact_id", "b_fact_id", "rule_id", "relationship_type", "confidence", "needs_llm"]
+    want = sorted(c.execute(f"SELECT {', '.join(columns)} FROM ({PRICES_SQL})").fetchall())
+    assert sorted(map(tuple, classify_prices(spark, sf).select(columns).collect())) == want and len({w[2] for w in want}) >= 5
