@@ -287,7 +287,7 @@ def test_search_reads_postings(spark, tmp_path):
     rng = random.Random(32)
     w = Workspace(spark, str(tmp_path / "w"))
     facts = made_facts(spark, rng, 60).withColumn("evidence_ids", F.array().cast("array<string>"))
-    w.put(facts=facts, evidence=spark.createDataFrame([], "evidence_id string, page int, type string, text string"))
+    w.put(facts=facts, evidence=spark.createDataFrame([], "document_id string, evidence_id string, page int, type string, text string"))
     scanned = sorted(map(str, w.search("alpha gdp").collect()))
     w.index_search()
     found = w.search("alpha gdp")
