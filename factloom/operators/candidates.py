@@ -115,6 +115,11 @@ def ranked(facts: DataFrame, queries: DataFrame, vectors: DataFrame | None = Non
     return unordered(mixed(near, worded, k))
 
 
+def every_pair(up_to: int):
+    """How all pairs are found, with the same verdicts either way: a few at most by any shared word, at one join; where more are allowed for, by what a verdict needs."""
+    return related if up_to > EXHAUSTIVE_UP_TO else blocked
+
+
 def chosen(facts: DataFrame, document_id: str | None = None, vectors: DataFrame | None = None, include_same_document: bool = False, up_to: int = EXHAUSTIVE_UP_TO, k: int = TOP_K, floor: float = FLOOR) -> tuple[DataFrame, str]:
     """(pairs, mode): all pairs that can have a verdict while there are `up_to` pairs at most ("exhaustive"), else the best of each fact ("ranked").
 
@@ -126,7 +131,7 @@ def chosen(facts: DataFrame, document_id: str | None = None, vectors: DataFrame
         pairs = own * (every - own) + (own * (own - 1) // 2 if include_same_document else 0)
         queries = facts.where(F.col("document_id") == document_id)
     if pairs <= up_to:
-        return related(facts, include_same_document, document_id), "exhaustive"
+        return every_pair(up_to)(facts, include_same_document, document_id=document_id), "exhaustive"
     return paired(facts, ranked(facts, queries, vectors, include_same_document, k, floor)), "ranked"
 
 

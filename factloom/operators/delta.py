@@ -50,7 +50,7 @@ def pairs(facts: DataFrame, changes: DataFrame, stored: DataFrame, vectors: Data
     fact is part of or that aren't stored, and stored ones stay while they are among them."""
     kept = untouched(stored, changes)
     if candidates.space(facts, include_same_document).first().pairs <= up_to:
-        return candidates.related(facts, include_same_document, touched=changes.where("change <> 'GONE'").select("fact_id")), kept, "exhaustive"
+        return candidates.every_pair(up_to)(facts, include_same_document, touched=changes.where("change <> 'GONE'").select("fact_id")), kept, "exhaustive"
     ids = candidates.ranked(facts, facts, vectors, include_same_document, k, floor).select("a", "b")
     names = [F.col("a").alias("fact_a_id"), F.col("b").alias("fact_b_id")]
     kept = kept.join(ids.select(*names), PAIR, "left_semi")
