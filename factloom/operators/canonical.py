@@ -27,15 +27,20 @@ def mined(texts: DataFrame, pattern: str) -> DataFrame:
     return hits.select("*", F.regexp_extract("hit", pattern, 1).alias("left"), F.regexp_extract("hit", pattern, 2).alias("right"))
 
 
-def alias_pairs(texts: DataFrame) -> DataFrame:
-    """(abbreviation, long_form, n): the last words whose initials spell the abbreviation, two at least."""
+def alias_mentions(texts: DataFrame) -> DataFrame:
+    """The texts' columns with abbreviation and long_form, once for each definition: the last words whose initials spell the abbreviation, two at least."""
     letters = F.upper(F.regexp_replace("right", "[^A-Za-z]", ""))
     n = F.length(letters)
     words = F.split(F.trim(F.regexp_replace("left", r"\s+", " ")), " ")
     last = F.when((n >= 2) & (F.size(words) >= n), F.slice(words, F.greatest(F.lit(1), F.size(words) - n + 1), F.greatest(F.lit(1), n)))
     initials = F.upper(F.array_join(F.transform(F.filter(last, lambda w: w.rlike("^[A-Za-z]")), lambda w: F.substring(w, 1, 1)), ""))
     found = mined(texts, DEFINITION).where(last.isNotNull() & (initials == letters))
-    return found.groupBy(clean(F.col("right")).alias("abbreviation"), clean(F.array_join(last, " ")).alias("long_form")).agg(F.count("*").alias("n"))
+    return found.select(*texts.columns, clean(F.col("right")).alias("abbreviation"), clean(F.array_join(last, " ")).alias("long_form"))
+
+
+def alias_pairs(texts: DataFrame) -> DataFrame:
+    """(abbreviation, long_form, n): how often the texts define an abbreviation so."""
+    return alias_mentions(texts).groupBy("abbreviation", "long_form").agg(F.count("*").alias("n"))
 
 
 def alias_map(pairs: DataFrame) -> DataFrame:
@@ -45,16 +50,25 @@ def alias_map(pairs: DataFrame) -> DataFrame:
     return chosen.join(chosen.select(F.col("long_form").alias("abbreviation")).distinct(), "abbreviation", "left_anti")
 
 
-def self_references(texts: DataFrame) -> DataFrame:
-    """(document_id, issuer): the name that a document most often defines for itself, in canonical form; ties by name."""
+def self_mentions(texts: DataFrame) -> DataFrame:
+    """The texts' columns with name, once for each place where a text says what it calls itself."""
     words = F.split(F.trim(F.regexp_replace("left", r"\s+", " ")), " ")
     # the run of capitalised words at the end: what follows the last word that isn't
     name = F.array_join(F.aggregate(words, F.array().cast("array<string>"), lambda acc, w: F.when(w.rlike(r"^\p{Lu}"), F.concat(acc, F.array(w))).otherwise(F.array().cast("array<string>"))), " ")
-    counts = mined(texts, SELF_DEFINITION).where(name != "").groupBy("document_id", clean(name).alias("name")).agg(F.count("*").alias("n"))
+    return mined(texts, SELF_DEFINITION).where(name != "").select(*texts.columns, clean(name).alias("name"))
+
+
+def issuers(counts: DataFrame) -> DataFrame:
+    """counts: document_id, name, n. (document_id, issuer): the name that a document most often defines for itself, in canonical form; ties by name."""
     w = Window.partitionBy("document_id").orderBy(F.desc("n"), "name")
     return counts.withColumn("r", F.row_number().over(w)).where("r = 1").select("document_id", canonical_name(F.col("name")).alias("issuer"))
 
 
+def self_references(texts: DataFrame) -> DataFrame:
+    """(document_id, issuer) by what the texts say."""
+    return issuers(self_mentions(texts).groupBy("document_id", "name").agg(F.count("*").alias("n")))
+
+
 def self_reference_map(issuers: DataFrame) -> DataFrame:
     """(document_id, abbreviation, long_form): self-referring words of each document."""
     words = F.array(*map(F.lit, sorted([*SELF_NOUNS, *SELF_PRONOUNS])))
@@ -103,9 +117,17 @@ def apply_aliases(names: DataFrame, aliases: DataFrame, own: DataFrame | None =
     return back.select("id", "name", out.alias("resolved"))
 
 
-def resolved_names(facts: DataFrame, texts: DataFrame, columns: tuple[str, ...] = ("canonical_subject", "canonical_predicate")) -> DataFrame:
+NAMES = ("canonical_subject", "canonical_predicate")
+
+
+def resolved_names(facts: DataFrame, texts: DataFrame, columns: tuple[str, ...] = NAMES) -> DataFrame:
     """facts (fact_id, document_id, columns) with these names rewritten by what the texts (document_id, text) define."""
-    general, own = alias_map(alias_pairs(texts)), self_reference_map(self_references(texts))
+    return renamed(facts, alias_map(alias_pairs(texts)), self_references(texts), columns)
+
+
+def renamed(facts: DataFrame, general: DataFrame, issuers_of: DataFrame, columns: tuple[str, ...] = NAMES) -> DataFrame:
+    """The same with what the texts define given: an alias map, and the issuers of documents."""
+    own = self_reference_map(issuers_of)
     names = facts.select("document_id", F.explode(F.array(*(F.struct(F.struct("fact_id", F.lit(c).alias("c")).alias("id"), F.col(c).alias("name")) for c in columns))).alias("x")).select("document_id", "x.*")
     found = apply_aliases(names, general, own).groupBy(F.col("id.fact_id").alias("fact_id")).agg(*(F.max(F.when(F.col("id.c") == c, F.col("resolved"))).alias(c) for c in columns))
     return facts.drop(*columns).join(found, "fact_id", "left").select(facts.columns)

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import candidates, canonical, chunking, delta, evidence, extract, match, postings, prompts, search
+from factloom.operators import candidates, canonical, chunking, delta, evidence, extract, glossary, match, postings, prompts, search
 from factloom.operators.compare import comparability, missing
 from factloom.sources import buckets, extractor, providers, store
 
@@ -25,7 +25,7 @@ RELATIONSHIPS = "fact_a_id string, fact_b_id string, relationship_id string, rel
 PAIR = ["fact_a_id", "fact_b_id"]
 CHUNK = ["document_id", "page", "chunk"]
 #: By which columns a table is dealt into buckets.
-LAYOUT = {"documents": ["document_id"], "pages": ["document_id"], "evidence": ["document_id"], "files": ["document_id"], "facts": ["fact_id"], "fact_embeddings": ["fact_id"], "relationships": ["fact_a_id"], "extraction_chunks": ["document_id"]}
+LAYOUT = {"documents": ["document_id"], "pages": ["document_id"], "evidence": ["document_id"], "files": ["document_id"], "facts": ["fact_id"], "fact_embeddings": ["fact_id"], "relationships": ["fact_a_id"], "extraction_chunks": ["document_id"], "definitions": ["document_id"], "glossary_totals": ["abbreviation"], "glossary_seen": ["document_id"], "name_stamps": ["fact_id"]}
 
 
 class Workspace:
@@ -61,6 +61,10 @@ class Workspace:
         """Rows of a table with one of the keys by which it is dealt; other buckets aren't read."""
         return buckets.look_up(self.spark, f"{self.path}/{name}", self.versions()[name], keys)
 
+    def rows_of(self, name: str, keys: DataFrame, schema: str) -> DataFrame:
+        """Rows of a table whose keys are among `keys`, from their buckets alone; none where there is no table."""
+        return buckets.semi(f"{self.path}/{name}", self.versions()[name], keys) if self._has(name) else self.spark.createDataFrame([], schema)
+
     def _written(self, name: str, df: DataFrame | tuple[DataFrame, str]) -> str | dict:
         if name in LAYOUT:
             return buckets.write(df, f"{self.path}/{name}", LAYOUT[name])
@@ -231,6 +235,42 @@ class Workspace:
         self.put(facts=canonical.resolved_names(facts, self.table("evidence")))
         return extract.normalization_report(self.table("facts"))
 
+    def normalize_changes(self) -> DataFrame:
+        """What normalize() gives, at the cost of what has changed since the last such call: only documents that were ingested anew are
+        searched for definitions, and only facts are rewritten that are new or changed, that hold a word whose long form has changed,
+        or whose document calls itself something else. Returns one row: documents (searched), words (with another long form), facts (rewritten)."""
+        now = self.table("documents").select("document_id", F.col("created_at").cast("string").alias("version"))
+        self.put(run_documents=glossary.changed(now, self.stored("glossary_seen", glossary.SEEN), "document_id", "version"))
+        documents = self.table("run_documents")
+        self.put(run_definitions=glossary.definitions(self.rows_of("evidence", documents, UNITS)))
+        new, old = self.table("run_definitions"), self.rows_of("definitions", documents, glossary.DEFINITIONS)
+        self.put(run_shifts=glossary.shifts(old, new))
+        moved = self.table("run_shifts")
+        touched = moved.select("abbreviation").distinct()
+        self.put(run_totals=glossary.totals(self.rows_of("glossary_totals", touched, glossary.TOTALS), moved))
+        totals, before = self.table("run_totals"), self.stored("glossary", glossary.MAP)
+        rest = self.stored("glossary_totals", glossary.TOTALS).join(touched, "abbreviation", "left_anti")
+        self.put(run_glossary=canonical.alias_map(rest.select(totals.columns).unionByName(totals)))
+        after = self.table("run_glossary")
+        words, renamed = glossary.changed(after, before, "abbreviation", "long_form"), glossary.changed(glossary.issuers(new), glossary.issuers(old), "document_id", "issuer")
+
+        facts = self.table("facts")
+        # Without any alias names stay as they are written; with the first one, and with the last one gone, all are looked at again.
+        if after.isEmpty() == before.isEmpty():
+            fresh = glossary.changed(glossary.stamped(facts), self.stored("name_stamps", glossary.STAMPS), "fact_id", "stamp")
+            ids = fresh.unionByName(glossary.reached(facts, words, renamed)).distinct()
+        else:
+            ids = facts.select("fact_id")
+        self.put(run_ids=ids)
+        ids = self.table("run_ids")
+        asked = extract.normalise(self.rows_of("facts", ids, glossary.STAMPS))
+        here = asked.select("document_id").distinct()
+        kept = self.stored("definitions", glossary.DEFINITIONS).join(documents, "document_id", "left_anti").select(new.columns).unionByName(new)
+        self.put(run_named=canonical.renamed(asked, after, glossary.issuers(kept.join(here, "document_id", "left_semi"))))
+        named = self.table("run_named")
+        self.merge(facts=(named, ids), name_stamps=(glossary.stamped(named), ids), definitions=(new, documents), glossary_totals=(totals, touched), glossary=after, glossary_seen=(now.join(documents, "document_id", "left_semi"), documents))
+        return self.spark.createDataFrame([(documents.count(), words.count(), ids.count())], "documents bigint, words bigint, facts bigint")
+
     def facts(self, document_id: str | None = None) -> DataFrame:
         out = self.table("facts").withColumns({"comparability": comparability(), "missing": missing()})
         return out if document_id is None else out.where(F.col("document_id") == document_id)

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import candidates as cand
-from factloom.operators import chunking, delta, evidence, match, nearest, postings
+from factloom.operators import canonical, chunking, delta, evidence, glossary, match, nearest, postings
 from factloom.operators import compare as cmp
 from factloom.plans.pairs import _ID, _PAIRS, _REL, REL_COLUMNS, _vectors, facts
+from factloom.plans.values import _SAID
+from factloom.plans.values import ORACLES as VALUES_SQL
 from factloom.sources import buckets, extractor
-from factloom.sources.views import FACTS, duck, read, view
+from factloom.sources.views import DEFINITIONS, FACTS, duck, read, view
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -43,6 +45,13 @@ def scratch(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows from a table in the shared folder, so that what is used several times is made once."""
+    path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 # --- nearest neighbours ----------------------------------------------------------------------------------------
 
 
@@ -84,6 +93,24 @@ def fact_changes(spark, sf_dir):
     return delta.difference(delta.state(now), delta.state(earlier(now))).groupBy("change").agg(F.count("*").alias("n"))
 
 
+@query(VALUES_SQL["normalize_names"])
+def names_delta(spark, sf_dir):
+    """Names as an earlier state of the documents gave them, then rewritten where the documents that have changed since reach them: as one run over all."""
+    now, said = view(spark, sf_dir, DEFINITIONS), view(spark, sf_dir, _SAID)
+    changed = F.col("document_id").isin("doc-3", "doc-7", "doc-11")
+    before = now.where("document_id <> 'doc-11'").withColumn("text", F.when(changed, F.regexp_replace("text", "Gross Fixed|Alpha", "Great Former")).otherwise(F.col("text")))
+    stored, new = written(glossary.definitions(before)), written(glossary.definitions(now.where(changed)))
+    pairs = stored.where("kind = 'GENERAL'").groupBy(glossary.FORM).agg(F.sum("n").alias("n"))
+    moved = written(glossary.shifts(stored.where(changed), new))
+    totals = pairs.join(moved.select("abbreviation").distinct(), "abbreviation", "left_anti").select(*glossary.FORM, "n").unionByName(glossary.totals(pairs, moved))
+    maps = written(canonical.alias_map(pairs)), written(canonical.alias_map(totals))
+    own = written(glossary.issuers(stored)), written(glossary.issuers(stored.where(~changed).unionByName(new)))
+    old = canonical.renamed(said, maps[0], own[0])
+    spoken = said.select("fact_id", "document_id", F.col("canonical_subject").alias("subject"), F.col("canonical_predicate").alias("predicate"))
+    ids = written(glossary.reached(spoken, glossary.changed(maps[1], maps[0], "abbreviation", "long_form"), glossary.changed(own[1], own[0], "document_id", "issuer")))
+    return old.join(ids, "fact_id", "left_anti").select(said.columns).unionByName(canonical.renamed(said.join(ids, "fact_id", "left_semi").select(said.columns), maps[1], own[1]))
+
+
 # --- posting lists ---------------------------------------------------------------------------------------------
 
 #: Parts as facts, and every fiftieth part's name, cut, as a query with its brand.

@@ -82,6 +82,12 @@ def look_up(spark: SparkSession, path: str, table: dict, keys: list) -> DataFram
     return found.where(F.col(by).isin(list(keys))) if len(keys) <= NAMED else found.join(asked.distinct(), by, "left_semi")
 
 
+def semi(path: str, table: dict, keys: DataFrame) -> DataFrame:
+    """Rows whose keys (the columns that the table is dealt by) are among `keys`. Reads their buckets alone."""
+    touched = [r[0] for r in keys.select(bucket(table["by"], table["n"]).alias("b")).distinct().collect()]  # n at most
+    return read(keys.sparkSession, path, table, touched).join(keys.select(table["by"]).distinct(), table["by"], "left_semi")
+
+
 def unread(spark: SparkSession, path: str, tables: list[dict | str | None], hours: float) -> list[str]:
     """Folders under path that none of these descriptions names and that are older than so many hours."""
     used = {name for t in tables if t is not None for name in (t["at"].values() if isinstance(t, dict) else [t])}
