@@ -31,8 +31,9 @@ LAYOUT = {"documents": ["document_id"], "pages": ["document_id"], "evidence": ["
 class Workspace:
     """With compare_with, include_same_document and recompute as switches of match()."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, lanes: providers.Lanes | None = None):
+        """lanes: how calls of drafting, judging, reading and embedding providers are spaced over a whole job, and tried again."""
+        self.spark, self.path, self.lanes = spark, path.rstrip("/"), lanes
 
     def _file(self, name: str):
         """(file system, path) of a file of the workspace."""
@@ -143,7 +144,7 @@ class Workspace:
         """Stores what was read of the documents `ids` in place of what is stored of them."""
         if ocr is not None:
             def asked_once(*given):
-                self.put(ocr_answers=providers.apply(*given))
+                self.put(ocr_answers=providers.apply(*given, lanes=self.lanes))
                 return self.table("ocr_answers")
 
             units, pages = evidence.ocr_fallback(pages, units, ocr, asked_once)
@@ -211,7 +212,7 @@ class Workspace:
 
     def _extracted(self, asked: DataFrame, every: DataFrame, provider: providers.Provider) -> tuple[DataFrame, DataFrame]:
         """Asks for some chunks, and stores their facts and progress together. Returns the chunks' status and what became of the drafts."""
-        answered = providers.apply(asked.select("chunk_id", "prompt"), provider, ["prompt"], "raw string").withColumn("d", extract.parsed_drafts(extract.repaired(F.col("raw"))))
+        answered = providers.apply(asked.select("chunk_id", "prompt"), provider, ["prompt"], "raw string", lanes=self.lanes).withColumn("d", extract.parsed_drafts(extract.repaired(F.col("raw"))))
         self.put(answers=answered.select("chunk_id", "d.drafts", F.coalesce("error", "d.error").alias("error")))  # a provider is asked once
         answered = self.table("answers")
         drafts = answered.where("error is null").select("chunk_id", F.posexplode("drafts").alias("i", "x")).join(every.select("chunk_id", "document_id", "evidence_hash"), "chunk_id")
@@ -315,7 +316,7 @@ class Workspace:
         """Vectors for facts that have none."""
         old = self.table("fact_embeddings") if self._has("fact_embeddings") else self.spark.createDataFrame([], VECTORS)
         texts = store.missing_vectors(self.table("facts"), old).withColumn("t", extract.embedding_text())
-        self.put(run_vectors=providers.embedded(texts, "t", provider))  # a provider is asked once
+        self.put(run_vectors=providers.embedded(texts, "t", provider, self.lanes))  # a provider is asked once
         new = self.table("run_vectors")
         self.merge(fact_embeddings=(new, new.select("fact_id")))
 
@@ -343,7 +344,7 @@ class Workspace:
         found = match.verdict_columns(typed)
         if judge is not None:
             asked = prompts.judgment(match.with_excerpts(typed.where("needs_llm"), facts, self.table("evidence")))
-            raw = providers.apply(asked.select(F.col("a_fact_id").alias("fact_a_id"), F.col("b_fact_id").alias("fact_b_id"), "prompt"), judge, ["prompt"], "raw string")
+            raw = providers.apply(asked.select(F.col("a_fact_id").alias("fact_a_id"), F.col("b_fact_id").alias("fact_b_id"), "prompt"), judge, ["prompt"], "raw string", lanes=self.lanes)
             found = match.judged(found, raw.select("fact_a_id", "fact_b_id", "raw", "error"))
         self.put(run_pairs=found.select([c.split()[0] for c in RELATIONSHIPS.split(", ")]))
         return self.table("run_pairs")

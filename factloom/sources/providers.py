@@ -13,6 +13,7 @@ import time
 from collections.abc import Callable
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -140,13 +141,61 @@ class Retrying:
         raise AssertionError
 
 
+#: A start may come this share of the interval after its slot has begun; slots are longer by as much.
+SLACK = 0.25
+
+
+class Lanes:
+    """Spaces the starts of all calls of a job by `interval` seconds at least, whatever the number of workers.
+
+    Time is cut into slots, dealt to `n` lanes in turn; a lane's rows lie in one task, and each call, a second try too, starts at
+    the beginning of one of its lane's slots. Starts in different slots are an interval apart, so workers needn't talk. Their
+    clocks may differ by a quarter of the interval less what a start is late; speculative copies of tasks must be off, and jobs
+    that ask the same service run one at a time. More lanes than tasks at a time leave slots unused, but none is used twice."""
+
+    def __init__(self, interval: float = 2.5, n: int = 8, batch: int = 1, retries: int = 5, base: float = 1.0, longest: float = 60.0, clock: Callable[[], float] = time.time, sleep: Callable[[float], None] = time.sleep):
+        if n < 1 or batch < 1:
+            raise ValueError("there is one lane, and one row to a call, at least")
+        self.interval, self.n, self.batch, self.retries, self.base, self.longest, self.clock, self.sleep = interval, n, batch, retries, base, longest, clock, sleep
+        self.used: dict[int, int] = {}
+
+    def hold(self, lane: int) -> None:
+        """Waits for the next slot of the lane. The slot in which a task first asks may have been used by the one before it, so it isn't taken."""
+        if self.interval <= 0:
+            return
+        slot = self.interval * (1 + SLACK)
+        while True:
+            now = self.clock()
+            s = int(now // slot)
+            if s % self.n == lane and s > self.used.setdefault(lane, s) and now - s * slot <= self.interval * SLACK:
+                self.used[lane] = s
+                return
+            self.used.setdefault(lane, s)
+            self.sleep((s + ((lane - s) % self.n or self.n)) * slot - now)
+
+    def held(self, provider: Provider, lane: int) -> Provider:
+        """The provider, each of whose calls waits for the lane; errors that may pass are tried again in the same lane."""
+        return Retrying(_Held(provider, self, lane), self.retries, self.base, self.longest, sleep=self.sleep)
+
+
+class _Held:
+    def __init__(self, provider: Provider, lanes: Lanes, lane: int):
+        self.provider, self.lanes, self.lane = provider, lanes, lane
+
+    def run(self, rows: list[dict]) -> list[dict]:
+        self.lanes.hold(self.lane)
+        return self.provider.run(rows)
+
+
 def vectors_fit(size: int = VECTOR_SIZE) -> Callable[[list[dict]], bool]:
     """Whether an embedding answer has a vector of finite numbers of this size for each text."""
     return lambda rows: all(isinstance(r.get("vector"), list) and len(r["vector"]) == size and all(isinstance(x, (int, float)) and abs(x) < float("inf") for x in r["vector"]) for r in rows)
 
 
-def apply(df: DataFrame, provider: Provider, columns: list[str], result: str, batch: int = MOST_TEXTS) -> DataFrame:
-    """df with the provider's result columns (a DDL string) and `error`, filled for each batch that the provider couldn't do."""
+def apply(df: DataFrame, provider: Provider, columns: list[str], result: str, batch: int = MOST_TEXTS, lanes: Lanes | None = None) -> DataFrame:
+    """df with the provider's result columns (a DDL string) and `error`, filled for each batch that the provider couldn't do.
+
+    lanes: calls are paced over the whole job, with so many rows each as the lanes say, and tried again."""
     names = [part.split()[0] for part in result.split(", ")]
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, {result}, error string"
     kinds = {f.name: f.dataType for f in df.sparkSession.createDataFrame([], result).schema}
@@ -154,19 +203,33 @@ def apply(df: DataFrame, provider: Provider, columns: list[str], result: str, ba
 
     arrow = {n: to_arrow_type(t) for n, t in kinds.items()}
 
+    def done(part: pa.RecordBatch, asked: Provider) -> pa.RecordBatch:
+        try:
+            got, error = asked.run(part.select(columns).to_pylist()), None
+        except Exception as e:  # the rows keep what went wrong; other batches go on
+            got, error = [dict.fromkeys(names)] * part.num_rows, f"{type(e).__name__}: {e}"
+        return pa.RecordBatch.from_arrays([*part.columns, *(pa.array([g[n] for g in got], arrow[n]) for n in names), pa.array([error] * part.num_rows, pa.string())], [*part.schema.names, *names, "error"])
+
     def work(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, batch):
-                part = whole.slice(at, batch)
-                try:
-                    got, error = provider.run(part.select(columns).to_pylist()), None
-                except Exception as e:  # the rows keep what went wrong; other batches go on
-                    got, error = [dict.fromkeys(names)] * part.num_rows, f"{type(e).__name__}: {e}"
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([g[n] for g in got], arrow[n]) for n in names), pa.array([error] * part.num_rows, pa.string())], [*part.schema.names, *names, "error"])
+                yield done(whole.slice(at, batch), provider)
+
+    def paced(batches):
+        for whole in batches:
+            lane, rows = whole.column(whole.num_columns - 1).to_numpy(), whole.select(whole.schema.names[:-1])
+            ends = [*(np.flatnonzero(np.diff(lane)) + 1), len(lane)]
+            for begin, end in zip([0, *ends], ends):  # rows of one lane
+                for at in range(begin, end, lanes.batch):
+                    yield done(rows.slice(at, min(lanes.batch, end - at)), lanes.held(provider, int(lane[at])))
 
-    return df.mapInArrow(work, schema)
+    if lanes is None:
+        return df.mapInArrow(work, schema)
+    lane = F.pmod(F.xxhash64(*columns), F.lit(lanes.n)).cast("int")
+    dealt = df.withColumn("__lane", lane).repartition(lanes.n, "__lane")
+    return (dealt.sortWithinPartitions("__lane") if lanes.batch > 1 else dealt).mapInArrow(paced, schema)
 
 
-def embedded(facts: DataFrame, text: str, provider: Provider) -> DataFrame:
+def embedded(facts: DataFrame, text: str, provider: Provider, lanes: Lanes | None = None) -> DataFrame:
     """fact_id, v: vectors of the facts' texts; facts whose batch failed are left out."""
-    return apply(facts.select("fact_id", F.col(text).alias("text")), provider, ["text"], "vector array<double>").where("error is null").select("fact_id", F.col("vector").alias("v"))
+    return apply(facts.select("fact_id", F.col(text).alias("text")), provider, ["text"], "vector array<double>", lanes=lanes).where("error is null").select("fact_id", F.col("vector").alias("v"))
