@@ -183,7 +183,7 @@ def shown(c: Column) -> Column:
 
 
 def explanation() -> Column:
-    """What led to a classified pair's verdict, in words."""
+    """What led to a classified pair's verdict, in words: what each outcome rests on."""
     def listed(c: Column) -> Column:
         return F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise("none")
 
@@ -193,6 +193,14 @@ def explanation() -> Column:
     dims = F.concat(F.lit("compatible: "), listed(F.array_sort(of_verdict("COMPATIBLE"))), F.lit("; incompatible: "), listed(F.col("incompatible")), F.lit("; unknown: "), listed(F.col("unknown")))
     sides = {"entity": "entity", "predicate": "claim", "unit": "eff_unit", "time": "time_text", "estimate_status": "estimate_status", "geography": "geography", "scope": "scope_text"}
     differs = F.array_join(F.array_compact(F.array(*(F.when(F.col(f"d_{d}") == "INCOMPATIBLE", F.concat(F.lit(f"{d} ("), shown(F.col(f"a_{c}")), F.lit(" vs "), shown(F.col(f"b_{c}")), F.lit(")"))) for d, c in sides.items()))), ", ")
-    t = F.col("relationship_type")
-    lead = F.when(t == "CORROBORATES", "agree").when(t == "CONTRADICTS", "differ materially").when(t == "CONTEXTUAL_DIFFERENCE", F.concat(F.lit("differ in context on "), differs)).when(t == "RELATED", "share part of their meaning").otherwise("aren't aligned")
-    return F.concat(t, F.lit(": "), values, F.lit(" "), lead, F.lit(" ("), numbers, F.lit("); "), dims, F.when(F.col("needs_llm"), "; to be reviewed").otherwise(""))
+    t, said = F.col("relationship_type"), F.concat(F.lit(" ("), numbers, F.lit(")"))
+    yes = lambda c: F.when(F.col(c), "yes").otherwise("no")
+    aligned = F.when(F.col("strong_match"), "; entity, claim and unit are aligned").otherwise("; entity and unit are aligned, claims are alike")
+    story = (
+        F.when(t == "CORROBORATES", F.concat(F.lit(" agree"), said, F.lit("; "), dims, aligned, F.lit(" and no context stands against it")))
+        .when(t == "CONTRADICTS", F.concat(F.lit(" differ materially"), said, F.lit(" in a context that nothing sets apart; "), dims, aligned, F.when(F.size("unknown") > 0, "; confidence is held down by what is unknown").otherwise("")))
+        .when(t == "CONTEXTUAL_DIFFERENCE", F.concat(F.lit(" aren't to be equated"), said, F.lit("; their context differs on "), differs, F.lit("; they mean the same (strong match: "), yes("strong_match"), F.lit(", words in common: "), yes("semantic_overlap"), F.lit("), so the gap is put down to context")))
+        .when(t == "RELATED", F.concat(F.lit(" share part of their meaning, but neither agree nor contradict"), said, F.lit("; "), dims, F.when(F.col("needs_llm"), "; to be reviewed").otherwise("")))
+        .otherwise(F.concat(F.lit(" aren't aligned"), said, F.lit("; "), dims, F.lit("; no entity or claim in common")))
+    )
+    return F.concat(t, F.lit(": "), values, story)

@@ -160,9 +160,16 @@ def _explained() -> str:
 
     sides = {"entity": "ent", "predicate": "claim", "unit": "eu", "time": "time_text", "estimate_status": "estimate_status", "geography": "geography", "scope": "scope_text"}
     differs = "concat_ws(', ', " + ", ".join(f"CASE WHEN d_{d} = 'INCOMPATIBLE' THEN '{d} (' || {shown('a.' + c)} || ' vs ' || {shown('b.' + c)} || ')' END" for d, c in sides.items()) + ")"
-    lead = f"CASE kind WHEN 'CORROBORATES' THEN 'agree' WHEN 'CONTRADICTS' THEN 'differ materially' WHEN 'CONTEXTUAL_DIFFERENCE' THEN 'differ in context on ' || {differs} WHEN 'RELATED' THEN 'share part of their meaning' ELSE 'aren' || chr(39) || 't aligned' END"
     numbers = "CASE WHEN v = 'INCOMPARABLE' THEN 'no shared normalized number and unit' ELSE format('normalized {:.4f} vs {:.4f} {}, {}, relative difference {:.4f}', a.normalized_number, b.normalized_number, a.normalized_unit, v, diff) END"
-    return f"kind || ': value ' || chr(39) || a.value_text || chr(39) || ' and value ' || chr(39) || b.value_text || chr(39) || ' ' || {lead} || ' (' || {numbers} || '); compatible: ' || {listed('comp_dims')} || '; incompatible: ' || {listed('inc')} || '; unknown: ' || {listed('unk')} || CASE WHEN ask THEN '; to be reviewed' ELSE '' END"
+    dims = f"'; compatible: ' || {listed('comp_dims')} || '; incompatible: ' || {listed('inc')} || '; unknown: ' || {listed('unk')}"
+    aligned = "CASE WHEN strong THEN '; entity, claim and unit are aligned' ELSE '; entity and unit are aligned, claims are alike' END"
+    not_ = "'aren' || chr(39) || 't"
+    told = f"""CASE kind WHEN 'CORROBORATES' THEN 'agree (' || {numbers} || ')' || {dims} || {aligned} || ' and no context stands against it'
+WHEN 'CONTRADICTS' THEN 'differ materially (' || {numbers} || ') in a context that nothing sets apart' || {dims} || {aligned} || CASE WHEN unk <> '' THEN '; confidence is held down by what is unknown' ELSE '' END
+WHEN 'CONTEXTUAL_DIFFERENCE' THEN {not_} to be equated (' || {numbers} || '); their context differs on ' || {differs} || '; they mean the same (strong match: ' || CASE WHEN strong THEN 'yes' ELSE 'no' END || ', words in common: ' || CASE WHEN overlap THEN 'yes' ELSE 'no' END || '), so the gap is put down to context'
+WHEN 'RELATED' THEN 'share part of their meaning, but neither agree nor contradict (' || {numbers} || ')' || {dims} || CASE WHEN ask THEN '; to be reviewed' ELSE '' END
+ELSE {not_} aligned (' || {numbers} || ')' || {dims} || '; no entity or claim in common' END"""
+    return f"kind || ': value ' || chr(39) || a.value_text || chr(39) || ' and value ' || chr(39) || b.value_text || chr(39) || ' ' || {told}"
 
 
 @query(_PAIRS + f"SELECT {_ID}, kind AS relationship_type, {_explained()} AS explanation FROM t WHERE rule <> 'R9'")
