@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from factloom.functions.text import digits, estimate_tokens
 from .evidence import header_line
 
 MAX_CHARS, MOST_DIGITS, CHUNK_LIMIT = 2500, 50, 60
+#: Units of a page that one row may hold; with more, pages are packed by stretches.
+FOLD_UP_TO = 50_000
 
 
 def rendered(unit_id: Column, kind: Column, text: Column, table: Column, row: Column, col: Column, row_header: Column, column_header: Column) -> Column:
@@ -25,10 +29,11 @@ def packed(units: DataFrame, max_chars: int = MAX_CHARS, max_tokens: int | None
     """units: document_id, page, item (place on the page), chars, tokens, and maybe room and token_room (instead of max_chars and max_tokens) and opens (a new chunk begins here). Adds chunk, from 0 on each page.
 
     Items are taken in order; one that would overflow starts a new chunk, and one that is too large by itself stands
-    alone. The running sum starts anew with each chunk, so this is a fold over a page's items."""
+    alone. The running sum starts anew with each chunk, so this is a fold over a page's items, for pages that fit into a row
+    (stretches.packed takes pages of any length). Null sizes count as 0."""
     given = lambda name, otherwise: (F.col(name) if name in units.columns else F.lit(otherwise)).alias(name)
     room, limit = given("room", max_chars).cast("long").alias("room"), given("token_room", max_tokens if max_tokens is not None else 1 << 40).cast("long").alias("limit")
-    items = F.array_sort(F.collect_list(F.struct("item", F.col("chars").cast("long").alias("chars"), F.col("tokens").cast("long").alias("tokens"), room, limit, given("opens", False))))
+    items = F.array_sort(F.collect_list(F.struct("item", F.coalesce(F.col("chars").cast("long"), F.lit(0).cast("long")).alias("chars"), F.coalesce(F.col("tokens").cast("long"), F.lit(0).cast("long")).alias("tokens"), room, limit, given("opens", False))))
     pages = units.groupBy("document_id", "page").agg(items.alias("items"))
     long = lambda c: c.cast("long")
     start = F.struct(long(F.lit(0)).alias("i"), long(F.lit(0)).alias("chars"), long(F.lit(0)).alias("tokens"), F.lit(False).alias("some"), F.array().cast("array<bigint>").alias("breaks"))
@@ -86,13 +91,13 @@ def projected(units: DataFrame) -> DataFrame:
 KEY = ["document_id", "page", "item_seq"]
 
 
-def placed(units: DataFrame, max_chars: int = MAX_CHARS, max_tokens: int | None = None) -> DataFrame:
+def placed(units: DataFrame, max_chars: int = MAX_CHARS, max_tokens: int | None = None, pack: Callable[..., DataFrame] = packed) -> DataFrame:
     """units: document_id, page, seq, evidence_id, type, text, table_index, headers, row, col, row_header, column_header. The units of each chunk as
     it shows them: these columns with chunk and item (the order inside it).
 
     A table over the budget is split between rows: each part has the table's id, its header line and its own rows' lines,
     then their cells; the first part opens a chunk. A row that is too large by itself stands alone, and so does a table without
-    cells. Every unit is in one chunk, but for split tables themselves, which are in one for each part."""
+    cells. Every unit is in one chunk, but for split tables themselves, which are in one for each part. pack: packed, or another with its columns."""
     kept = units.where(~((F.col("type") == "IMAGE") & (F.trim("text") == "")))
     table, cell = F.col("type") == "TABLE", F.col("type") == "TABLE_CELL"
     head = header_line(F.col("table_index"), F.col("headers"))
@@ -110,13 +115,13 @@ def placed(units: DataFrame, max_chars: int = MAX_CHARS, max_tokens: int | None
     # The tokens of a part are those of its text (half its bytes, rounded up) and of its cells: bytes and twice the cells' add up.
     lines = large.where(cell).groupBy(*KEY, "row_key").agg(F.first("head").alias("head"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "seq", "text"))), lambda x: x["text"]), " | ").alias("line"), F.sum(F.length("text")).alias("chars"), F.sum("cost").alias("tokens"))
     sized = lines.select(F.struct(*KEY).alias("document_id"), F.lit(0).alias("page"), F.col("row_key").alias("item"), (F.length("line") + 1 + F.col("chars")).alias("chars"), (F.octet_length("line") + 1 + 2 * F.col("tokens")).alias("tokens"), (max_chars - F.length("head")).alias("room"), (2 * limit - F.octet_length("head")).alias("token_room"))
-    parts = packed(sized).select("document_id.*", F.col("item").alias("row_key"), F.col("chunk").alias("part"))
+    parts = pack(sized, max_chars).select("document_id.*", F.col("item").alias("row_key"), F.col("chunk").alias("part"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_key", "line"))), lambda x: x["line"]), "\n")
     texts = lines.join(parts, [*KEY, "row_key"]).groupBy(*KEY, "part").agg(F.concat(F.first("head"), F.lit("\n"), body).alias("body"), F.sum("chars").alias("chars"), F.sum("tokens").alias("tokens"))
 
     whole = small.groupBy(KEY).agg(F.first("chars").alias("chars"), F.first("tokens").alias("tokens")).select("document_id", "page", F.struct("item_seq", F.lit(0).cast("long").alias("part")).alias("item"), "chars", "tokens", F.lit(False).alias("opens"))
     split = texts.select("document_id", "page", F.struct("item_seq", "part").alias("item"), F.length("body") + F.col("chars"), estimate_tokens(F.col("body")) + F.col("tokens"), F.col("part") == 0)
-    chunks = packed(whole.union(split), max_chars, max_tokens).select("document_id", "page", "item.item_seq", "item.part", "chunk")
+    chunks = pack(whole.union(split), max_chars, max_tokens).select("document_id", "page", "item.item_seq", "item.part", "chunk")
 
     columns = [c for c in units.columns if c != "text"]
     rest = small.select(*columns, "text", "item_seq", F.lit(0).cast("long").alias("part"))

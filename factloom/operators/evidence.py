@@ -35,10 +35,11 @@ def page_stats(units: DataFrame) -> DataFrame:
     return out.select("document_id", "page", "char_count", "word_count", F.coalesce(F.try_divide("odd", "char_count"), F.lit(0.0)).alias("suspicious_ratio"))
 
 
-def page_quality(units: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    """pages: document_id, page, has_images and what else is known of them; those without text count as empty. Without it, the pages that have text."""
+def page_quality(units: DataFrame, pages: DataFrame | None = None, pictured: Column | None = None) -> DataFrame:
+    """pages: document_id, page, has_images and what else is known of them; those without text count as empty. Without it, the pages that have
+    text, with pictures where `pictured` is true (by default nowhere, as text alone shows none)."""
     if pages is None:
-        stats = page_stats(units).withColumn("has_images", has_images(F.col("document_id"), F.col("page")))
+        stats = page_stats(units).withColumn("has_images", F.lit(False) if pictured is None else pictured)
     else:
         stats = pages.withColumn("has_images", F.coalesce("has_images", F.lit(False))).join(page_stats(units), ["document_id", "page"], "left").fillna(0, ["char_count", "word_count", "suspicious_ratio"])
     score = quality(F.col("char_count"), F.col("word_count"), F.col("suspicious_ratio"), F.col("has_images"))

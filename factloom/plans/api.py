@@ -7,13 +7,14 @@ old ones; what belongs together counts from the same moment on. Reading calls re
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import candidates, canonical, chunking, delta, evidence, extract, glossary, match, postings, prompts, search
+from factloom.operators import candidates, canonical, chunking, delta, evidence, extract, glossary, match, postings, prompts, search, stretches
 from factloom.operators.compare import comparability, missing
 from factloom.sources import buckets, extractor, providers, store
 
@@ -170,9 +171,13 @@ class Workspace:
         """Units of evidence with their chunk_id, and whether the chunk is `selected`: of `limit` chunks that represent each document (None: all).
 
         Text is as a chunk shows it. A table's cells go with their table; one over the budget is split between rows, its header line
-        in every part. Chunks are numbered before the window of pages is taken, so they are the same in every run."""
+        in every part. Chunks are numbered before the window of pages is taken, so they are the same in every run. Where a page has over
+        chunking.FOLD_UP_TO units, pages are packed by stretches, with the same result; what that writes goes with vacuum()."""
         units = self.table("evidence").withColumn("seq", F.col("block_index"))
-        placed = chunking.placed(units, max_chars, max_tokens)
+        longest = units.groupBy("document_id", "page").count().agg(F.max("count")).first()[0]
+        long = longest is not None and longest > chunking.FOLD_UP_TO
+        pack = functools.partial(stretches.packed, path=f"{self.path}/stretches") if long else chunking.packed
+        placed = chunking.placed(units, max_chars, max_tokens, pack)
         placed = placed if start_page is None else placed.where(F.col("page") >= start_page)
         placed = placed if end_page is None else placed.where(F.col("page") <= end_page)
         if limit is not None:

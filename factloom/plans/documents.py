@@ -46,7 +46,7 @@ def page_stats(spark, sf_dir):
 
 @query(f"WITH {_QUALITY} SELECT document_id, page, has_images, round(score, 9) AS extraction_quality, CASE WHEN score >= 0.35e0 THEN 'GOOD' ELSE 'BAD' END AS quality_verdict FROM quality")
 def page_quality(spark, sf_dir):
-    return evidence.page_quality(units(spark, sf_dir)).select("document_id", "page", "has_images", F.round("extraction_quality", 9).alias("extraction_quality"), "quality_verdict")
+    return evidence.page_quality(units(spark, sf_dir), pictured=evidence.has_images(F.col("document_id"), F.col("page"))).select("document_id", "page", "has_images", F.round("extraction_quality", 9).alias("extraction_quality"), "quality_verdict")
 
 
 _ERROR = "CASE WHEN (CAST(document_id AS BIGINT) * 5 + page) % 11 = 0 THEN 'unreadable' END"
@@ -282,7 +282,7 @@ def ocr_union(spark, sf_dir):
     from factloom.sources import providers
 
     u = units(spark, sf_dir)
-    pages = evidence.page_quality(u).withColumn("error", F.lit(None).cast("string"))
+    pages = evidence.page_quality(u, pictured=evidence.has_images(F.col("document_id"), F.col("page"))).withColumn("error", F.lit(None).cast("string"))
     read_again, _ = evidence.ocr_fallback(pages, u.withColumn("type", F.lit("TEXT")), PageReader(), providers.apply)
     return read_again.select("document_id", "page", "block_index", "type", "text")
 

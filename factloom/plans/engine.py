@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import candidates as cand
-from factloom.operators import canonical, chunking, delta, evidence, glossary, match, nearest, postings
+from factloom.operators import canonical, chunking, delta, evidence, glossary, match, nearest, postings, stretches
 from factloom.operators import compare as cmp
 from factloom.plans.pairs import _ID, _PAIRS, _REL, REL_COLUMNS, _vectors, facts
 from factloom.plans.values import _SAID
@@ -193,6 +193,20 @@ def workspace_chunks(spark, sf_dir):
     return cells.join(per, ["document_id", "page"]).select("page", "n_rows", "n_cells", (F.col("fits") & (F.col("odd") == 0)).alias("within"), "split")
 
 
+@query("""WITH RECURSIVE i AS (SELECT supplier, row_number() OVER (PARTITION BY supplier ORDER BY k, n) AS i, k, n, quantity AS c, part % 7 AS t, k % 97 = 0 AS opens
+  FROM (SELECT l_orderkey AS k, l_linenumber AS n, min(l_suppkey) AS supplier, min(l_quantity)::BIGINT AS quantity, min(l_partkey) AS part FROM lineitem GROUP BY ALL) l),
+r AS (SELECT *, 0::BIGINT AS chunk, c AS sc, t AS st FROM i WHERE i = 1 UNION ALL
+  SELECT i.*, CASE WHEN i.opens OR sc + i.c > 180 OR st + i.t > 25 OR r.c > 180 OR r.t > 25 THEN chunk + 1 ELSE chunk END, CASE WHEN i.opens OR sc + i.c > 180 OR st + i.t > 25 OR r.c > 180 OR r.t > 25 THEN i.c ELSE sc + i.c END, CASE WHEN i.opens OR sc + i.c > 180 OR st + i.t > 25 OR r.c > 180 OR r.t > 25 THEN i.t ELSE st + i.t END
+  FROM r JOIN i ON i.supplier = r.supplier AND i.i = r.i + 1)
+SELECT supplier, k AS order_id, n::INTEGER AS line, chunk FROM r""")
+def long_pages(spark, sf_dir):
+    """A supplier's lines as one page, packed by stretches of 64 lines; some lines begin a chunk."""
+    l = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("page"), F.min("l_quantity").cast("long").alias("chars"), (F.min("l_partkey") % 7).alias("tokens"))
+    units = l.select(F.lit("lines").alias("document_id"), "page", F.struct("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber")).alias("item"), "chars", "tokens", (F.col("l_orderkey") % 97 == 0).alias("opens"))
+    packed = stretches.packed(units, 180, 25, path=scratch(spark), stretch=64)
+    return packed.select(F.col("page").alias("supplier"), F.col("item.l_orderkey").alias("order_id"), F.col("item.l_linenumber").alias("line"), "chunk")
+
+
 # --- pairs of many facts ---------------------------------------------------------------------------------------
 
 #: Claims of two catalogues on each part's price. They grow with the parts; a part's own words outweigh those that many names share.
