@@ -89,6 +89,39 @@ def projected(units: DataFrame) -> DataFrame:
 
 #: Where a unit stands in its chunk: its item on the page, the part of a split table, the table before its cells.
 KEY = ["document_id", "page", "item_seq"]
+#: Tasks that a table's cells are dealt to.
+DEALT = 16
+
+
+def dealt(many: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """many, with the columns of the one row of `few` that has the same keys, if any; a table's cells are dealt to several tasks, so that none meets all of them."""
+    others = [c for c in few.columns if c not in keys]
+    copies = few.select(*(F.col(k).alias(f"{k}_of") for k in keys), *others, F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("hand"))
+    held = many.withColumn("dealt_to", F.pmod(F.xxhash64("seq", "evidence_id"), F.lit(DEALT)).cast("int"))
+    same = F.col("dealt_to") == F.col("hand")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"{k}_of"))
+    return held.join(copies, same, "left").select(*many.columns, *others)
+
+
+def _by_windows(units: DataFrame) -> DataFrame:
+    """With the item of each unit (a page's first table of an index takes that index's cells along), and the item's sums, header line and number of cells."""
+    cell = F.col("type") == "TABLE_CELL"
+    first = F.min(F.when(F.col("type") == "TABLE", F.col("seq"))).over(Window.partitionBy("document_id", "page", "index"))
+    item = Window.partitionBy(*KEY)
+    keyed = units.withColumn("item_seq", F.coalesce(F.when(cell, first), "seq"))
+    return keyed.withColumns({"chars": F.sum(F.length("text")).over(item), "tokens": F.sum("cost").over(item), "head": F.max("head").over(item), "cells": F.count_if(cell).over(item)})
+
+
+def _by_sums(units: DataFrame) -> DataFrame:
+    """The same for pages of any length: sums are combined before they move, and come back to a table's cells in several tasks."""
+    table, cell = F.col("type") == "TABLE", F.col("type") == "TABLE_CELL"
+    firsts = units.where(table).groupBy("document_id", "page", "index").agg(F.min("seq").alias("item_seq"))
+    cells = dealt(units.where(cell), firsts, ["document_id", "page", "index"]).withColumn("item_seq", F.coalesce("item_seq", "seq"))
+    grouped = units.where(table).withColumn("item_seq", F.col("seq")).unionByName(cells)
+    sums = grouped.groupBy(*KEY).agg(F.sum(F.length("text")).alias("chars"), F.sum("cost").alias("tokens"), F.max("head").alias("item_head"), F.count_if(cell).alias("cells"))
+    alone = units.where(~(table | cell)).select("*", F.col("seq").alias("item_seq"), F.length("text").cast("long").alias("chars"), F.col("cost").cast("long").alias("tokens"), F.lit(None).cast("string").alias("item_head"), F.lit(0).cast("long").alias("cells"))
+    return dealt(grouped, sums, KEY).unionByName(alone).withColumn("head", F.col("item_head")).drop("item_head")
 
 
 def placed(units: DataFrame, max_chars: int = MAX_CHARS, max_tokens: int | None = None, pack: Callable[..., DataFrame] = packed) -> DataFrame:
@@ -97,17 +130,15 @@ def placed(units: DataFrame, max_chars: int = MAX_CHARS, max_tokens: int | None
 
     A table over the budget is split between rows: each part has the table's id, its header line and its own rows' lines,
     then their cells; the first part opens a chunk. A row that is too large by itself stands alone, and so does a table without
-    cells. Every unit is in one chunk, but for split tables themselves, which are in one for each part. pack: packed, or another with its columns."""
+    cells. Every unit is in one chunk, but for split tables themselves, which are in one for each part. pack: packed, or another with its
+    columns for pages of any length, for which nothing else here holds a whole page or table in one task either."""
     kept = units.where(~((F.col("type") == "IMAGE") & (F.trim("text") == "")))
     table, cell = F.col("type") == "TABLE", F.col("type") == "TABLE_CELL"
     head = header_line(F.col("table_index"), F.col("headers"))
     shown = F.when(table, F.when(F.coalesce(F.col("text"), F.lit("")) == "", head).otherwise(F.concat(head, F.lit("\n"), "text"))).otherwise(F.col("text"))
-    same_index = Window.partitionBy("document_id", "page", F.when(table | cell, F.coalesce("table_index", F.lit(-1))))
-    keyed = kept.withColumn("item_seq", F.when(cell, F.min(F.when(table, F.col("seq"))).over(same_index)))
-    keyed = keyed.withColumns({"item_seq": F.coalesce("item_seq", "seq"), "head": F.when(table, head), "text": shown, "row_key": F.coalesce("row", F.lit((1 << 31) - 1))})
     told = estimate_tokens(rendered(*(F.col(c) for c in ("evidence_id", "type", "text", "table_index", "row", "col", "row_header", "column_header"))))
-    item = Window.partitionBy(*KEY)
-    keyed = keyed.withColumn("cost", told).withColumns({"chars": F.sum(F.length("text")).over(item), "tokens": F.sum("cost").over(item), "head": F.max("head").over(item), "cells": F.count_if(cell).over(item)})
+    shaped = kept.withColumns({"head": F.when(table, head), "text": shown, "row_key": F.coalesce("row", F.lit((1 << 31) - 1)), "index": F.when(table | cell, F.coalesce("table_index", F.lit(-1)))}).withColumn("cost", told)
+    keyed = (_by_windows if pack is packed else _by_sums)(shaped)
     limit = max_tokens if max_tokens is not None else 1 << 40
     keyed = keyed.withColumn("large", ((F.col("chars") > max_chars) | (F.col("tokens") > limit)) & F.col("head").isNotNull() & (F.col("cells") > 0))
     small, large = keyed.where(~F.col("large")), keyed.where("large")
@@ -119,7 +150,7 @@ def placed(units: DataFrame, max_chars: int = MAX_CHARS, max_tokens: int | None
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_key", "line"))), lambda x: x["line"]), "\n")
     texts = lines.join(parts, [*KEY, "row_key"]).groupBy(*KEY, "part").agg(F.concat(F.first("head"), F.lit("\n"), body).alias("body"), F.sum("chars").alias("chars"), F.sum("tokens").alias("tokens"))
 
-    whole = small.groupBy(KEY).agg(F.first("chars").alias("chars"), F.first("tokens").alias("tokens")).select("document_id", "page", F.struct("item_seq", F.lit(0).cast("long").alias("part")).alias("item"), "chars", "tokens", F.lit(False).alias("opens"))
+    whole = small.groupBy(KEY).agg(F.sum(F.length("text")).alias("chars"), F.sum("cost").alias("tokens")).select("document_id", "page", F.struct("item_seq", F.lit(0).cast("long").alias("part")).alias("item"), "chars", "tokens", F.lit(False).alias("opens"))
     split = texts.select("document_id", "page", F.struct("item_seq", "part").alias("item"), F.length("body") + F.col("chars"), estimate_tokens(F.col("body")) + F.col("tokens"), F.col("part") == 0)
     chunks = pack(whole.union(split), max_chars, max_tokens).select("document_id", "page", "item.item_seq", "item.part", "chunk")
 
