@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,14 +54,16 @@ def blocked(facts: DataFrame, include_same_document: bool = False, only: Column
     return met(own, each).unionByName(met(others, own))
 
 
-def related(facts: DataFrame, include_same_document: bool = False, document_id: str | None = None, touched: DataFrame | None = None) -> DataFrame:
+def related(facts: DataFrame, include_same_document: bool = False, document_id: str | None = None, touched: DataFrame | None = None, store: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Pairs (a_*, b_*) of prepared facts: all that can have another verdict than 'unrelated', and few others.
 
     What a verdict needs, rule by rule: content words of the raw forms that are similar enough; or the same canonical claim; or the same
     entity and claim; or similar subjects and claims. Sets of words that are similar enough share one of their rarest, so a
     word that all facts hold brings no pairs together, unlike in blocked(). Facts that lack an entity or a claim, which then say nothing
-    against a pair, meet by any word or name that they share. document_id, touched: as in blocked()."""
-    p = prepared(facts).select("fact_id", "document_id", "entity", "claim", "canonical_subject", "canonical_predicate", "value_kind", "raw_tokens", "raw_content", "claim_content", "subject_content")
+    against a pair, meet by any word or name that they share. document_id, touched: as in blocked(). store: writes a table and reads it
+    again; with it each step is a small plan of its own, where one plan of all of them fills a small driver."""
+    whole = store(prepared(facts))
+    p = whole.select("fact_id", "document_id", "entity", "claim", "canonical_subject", "canonical_predicate", "value_kind", "raw_tokens", "raw_content", "claim_content", "subject_content")
     bare = ~present(F.col("entity")) | ~present(F.col("claim"))
     if touched is not None:
         own = p.join(touched.select("fact_id"), "fact_id", "left_semi")
@@ -76,30 +80,34 @@ def related(facts: DataFrame, include_same_document: bool = False, document_id:
 
     def similar(words: str, floor: float, also: str | None = None, least: float = 0.0) -> DataFrame:
         sets, asking = (df.select("fact_id", "document_id", F.col(words).alias("words")) for df in (p, own))
-        met = meeting(rarest_first(asking, sets), rarest_first(sets, sets), floor)
+        every = store(rarest_first(sets, sets))
+        met = meeting(every if own is p else store(rarest_first(asking, sets)), every, floor, not include_same_document)
         met = met.where(jaccard(F.col("qw"), F.col("cw")) >= floor)
         if also is not None:
             met = met.join(named(p, True, qs=also).drop("qd"), "query_id").join(named(p, False, cs=also).drop("cd"), "candidate_id").where(jaccard(F.col("qs"), F.col("cs")) >= least)
-        return pairs(met)
+        return store(pairs(met))
 
     def equal(*columns: str) -> DataFrame:
         keys = {f"k{i}": folded(F.col(c)) for i, c in enumerate(columns)}
         left, right = (df.withColumns(keys).where(F.concat(*keys).isNotNull()) for df in (own, p))
-        return pairs(named(left, True, **{k: k for k in keys}).join(named(right, False, **{k: k for k in keys}), list(keys)))
+        return store(pairs(named(left, True, **{k: k for k in keys}).join(named(right, False, **{k: k for k in keys}), list(keys))))
 
     ids = similar("raw_content", OVERLAP_FROM).union(similar("claim_content", CLAIM_FROM, "subject_content", SUBJECT_FROM)).union(equal("canonical_subject", "canonical_predicate", "value_kind")).union(equal("entity", "claim"))
     tagged = lambda tag, c: F.when(present(F.col(c)), F.concat(F.lit(tag), folded(F.col(c))))
     any_word = F.transform(F.array_union("raw_tokens", "claim_content"), lambda w: F.concat(F.lit("w:"), w))
     keys = F.explode(F.array_compact(F.concat(any_word, F.array(tagged("e:", "entity"), tagged("s:", "canonical_subject"), tagged("p:", "canonical_predicate"))))).alias("key")
     asking, every = (df.select("fact_id", "document_id", keys, bare.alias("bare")) for df in (own, p))
-    lacking = [pairs(named(left, True, key="key").join(named(right, False, key="key"), "key")) for left, right in ((asking.where("bare"), every), (asking, every.where("bare")))]
+    lacking = [store(pairs(named(left, True, key="key").join(named(right, False, key="key"), "key"))) for left, right in ((asking.where("bare"), every), (asking, every.where("bare")))]
     ids = ids.union(lacking[0]).union(lacking[1])
-    return paired(facts, ids.distinct())
+    return beside(whole, store(ids.distinct()))
 
 
 def paired(facts: DataFrame, ids: DataFrame) -> DataFrame:
     """Pairs (a_*, b_*) of prepared facts for given ids (a, b)."""
-    p = prepared(facts)
+    return beside(prepared(facts), ids)
+
+
+def beside(p: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.select("a", "b").join(side(p, "a"), F.col("a") == F.col("a_fact_id")).join(side(p, "b"), F.col("b") == F.col("b_fact_id")).drop("a", "b")
 
 
@@ -163,11 +171,12 @@ def needed(n: Column, m: Column, floor: float) -> Column:
     return F.greatest(F.lit(1), F.ceil((n + m) * (floor / (1 + floor)) - 1e-9)).cast("int")
 
 
-def meeting(q: DataFrame, sets: DataFrame, floor: float) -> DataFrame:
+def meeting(q: DataFrame, sets: DataFrame, floor: float, apart: bool = False) -> DataFrame:
     """q and sets: fact_id, document_id, words, the rarest first. query_id, candidate_id, qd, cd, qw, cw, n, m of pairs that may be similar enough.
 
     Sets of n and m words that share `needed` words share one of their rarest, all but needed - 1 of each: only these meet, size by
-    size, so that the words which most facts have bring few together. A pair is made for the first rare word that it shares."""
+    size, so that the words which most facts have bring few together. A pair is made for the first rare word that it shares.
+    apart: only pairs of different documents; those of one document, however many share a word, are then never put together."""
     sizes = [F.lit(r[0]) for r in sets.select(F.size("words")).union(q.select(F.size("words"))).distinct().collect()]  # as many as the longest name has words, at most
 
     def rare(df: DataFrame) -> DataFrame:
@@ -178,7 +187,11 @@ def meeting(q: DataFrame, sets: DataFrame, floor: float) -> DataFrame:
     left = rare(q).select(F.col("fact_id").alias("query_id"), F.col("document_id").alias("qd"), F.col("words").alias("qw"), "n", "m", "w")
     right = rare(sets).select(F.col("fact_id").alias("candidate_id"), F.col("document_id").alias("cd"), F.col("words").alias("cw"), F.col("m").alias("n"), F.col("n").alias("m"), "w")
     first = F.get(F.array_intersect(*(F.slice(c, F.lit(1), F.size(c) - needed(F.col("n"), F.col("m"), floor) + 1) for c in ("qw", "cw"))), F.lit(0))
-    return left.join(right, ["w", "n", "m"]).where(first == F.col("w"))
+    key = ["w", "n", "m"]
+    if apart:
+        documents = right.select(*key, "cd").distinct()
+        left, key = left.join(documents, key).where("qd <> cd"), [*key, "cd"]
+    return left.join(right, key).where(first == F.col("w"))
 
 
 def by_words(facts: DataFrame, queries: DataFrame | None = None, k: int = TOP_K, floor: float = FLOOR, include_same_document: bool = False) -> DataFrame:
@@ -186,7 +199,7 @@ def by_words(facts: DataFrame, queries: DataFrame | None = None, k: int = TOP_K,
     other = "qd <> cd or candidate_id > query_id" if include_same_document else "qd <> cd"
     plain = word_sets(facts)
     sets = rarest_first(plain, plain)
-    met = meeting(sets if queries is None else rarest_first(word_sets(queries), plain), sets, floor).where(other)
+    met = meeting(sets if queries is None else rarest_first(word_sets(queries), plain), sets, floor, not include_same_document).where(other)
     scored = met.select("query_id", "candidate_id", F.size(F.array_intersect("qw", "cw")).alias("both"), (F.col("n") + F.col("m")).alias("all"))
     return top(scored.select("query_id", "candidate_id", (F.col("both") / (F.col("all") - F.col("both"))).alias("score")).where(F.col("score") >= floor), k)
 

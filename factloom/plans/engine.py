@@ -234,7 +234,7 @@ PRICES_SQL = _PAIRS.replace(duck(FACTS), duck(PRICES)) + f"SELECT {_ID}, rule AS
 @query()
 def classify_prices(spark, sf_dir):
     """Pairs of facts that grow with the parts, by rule: each verdict needs words, names or a claim in common."""
-    return cmp.classified(cand.related(prices(spark, sf_dir))).where("rule_id <> 'R9'").select("a_fact_id", "b_fact_id", "rule_id", "relationship_type", "confidence", "needs_llm")
+    return cmp.classified(cand.related(prices(spark, sf_dir), store=written)).where("rule_id <> 'R9'").select("a_fact_id", "b_fact_id", "rule_id", "relationship_type", "confidence", "needs_llm")
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 40 = 3 THEN 'changed' ELSE c_mktsegment END AS segment FROM customer WHERE c_custkey % 40 <> 5 UNION ALL SELECT -c_custkey, 'new' FROM customer WHERE c_custkey % 100 = 9""")

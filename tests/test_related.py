@@ -64,3 +64,20 @@ def test_prices_against_every_pair(spark, sf):
     columns = ["a_fact_id", "b_fact_id", "rule_id", "relationship_type", "confidence", "needs_llm"]
     want = sorted(c.execute(f"SELECT {', '.join(columns)} FROM ({PRICES_SQL})").fetchall())
     assert sorted(map(tuple, classify_prices(spark, sf).select(columns).collect())) == want and len({w[2] for w in want}) >= 5
+
+
+def test_facts_of_one_document_are_not_put_together(spark):
+    """Words that a large document repeats make no pairs inside it, and none between documents are lost."""
+    rows = [fact(f"b{i:03d}", "b", subject=f"paid ring x{i}", predicate="price") for i in range(60)] + [fact(f"a{i}", "a", subject=f"ring x{i}", predicate="price paid") for i in range(3)]
+    sets = candidates.word_sets(table(spark, rows))
+    sets = candidates.rarest_first(sets, sets)
+    pair = lambda df: sorted(map(tuple, df.select("query_id", "candidate_id").collect()))
+    want = pair(candidates.meeting(sets, sets, 0.2).where("qd <> cd"))
+    found = candidates.meeting(sets, sets, 0.2, True)
+    assert pair(found) == want and len(want) >= 6 and found.where("qd = cd").isEmpty()
+
+
+def test_related_with_stored_steps(spark):
+    facts, stored = made(spark, random.Random(5), 60), []
+    store = lambda df: stored.append(df.localCheckpoint()) or stored[-1]
+    assert verdicts(candidates.related(facts, store=store)) == verdicts(candidates.related(facts)) and len(stored) >= 8
