@@ -78,15 +78,24 @@ def found(keys: DataFrame, postings: DataFrame, facts: DataFrame, fields=FIELDS,
     return sure.union(long.where(F.exists("texts", lambda t: F.contains(t, F.col("token")))).select("query_id", "fact_id")).distinct()
 
 
+def first_of(hits: DataFrame, most: int) -> DataFrame:
+    """The first `most` of each query by id."""
+    first = Window.partitionBy("query_id").orderBy("fact_id")
+    return hits.withColumn("place", F.row_number().over(first)).where(F.col("place") <= most).drop("place")
+
+
 def lexical_pools(queries: DataFrame, postings: DataFrame, often: DataFrame, facts: DataFrame, limit: int = LIMIT, fields=FIELDS) -> DataFrame:
     """queries: query_id, text, and maybe document_id (null: any). For each query its first hits by id, scored by shared words: query_id, fact_id, lexical.
 
     The same pools as one scan of the facts for each query gives. Queries without a token, and null ones, have no hits."""
-    keys = asked(queries, often)
+    keys, own = asked(queries, often), ["token"]
     if "document_id" in queries.columns:
-        keys = keys.join(queries.select("query_id", "document_id"), "query_id")
-    first = Window.partitionBy("query_id").orderBy("fact_id")
-    pool = found(keys, postings, facts, fields).withColumn("place", F.row_number().over(first)).where(F.col("place") <= pool_size(limit))
+        keys, own = keys.join(queries.select("query_id", "document_id"), "query_id"), ["token", "document_id"]
+    # A token is looked up once, however many queries hold it. The first of a query's hits are among the first of each of its tokens.
+    keys = keys.withColumn("ask", F.concat_ws("\n", *own))
+    each = found(keys.select(F.col("ask").alias("query_id"), "gram", *own).distinct(), postings, facts, fields)
+    of_token = first_of(each, pool_size(limit)).withColumnRenamed("query_id", "ask")
+    pool = first_of(keys.select("query_id", "ask").join(of_token, "ask").select("query_id", "fact_id").distinct(), pool_size(limit))
     words = facts.select("fact_id", tokens(F.concat_ws(" ", *(F.coalesce(F.col(f), F.lit("")) for f in fields))).alias("words"))
     q = queries.select("query_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(RUN), F.lit(0))).alias("q"))
     return pool.join(words, "fact_id").join(q, "query_id").select("query_id", "fact_id", jaccard(F.col("words"), F.col("q")).alias("lexical"))

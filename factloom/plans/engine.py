@@ -128,11 +128,11 @@ s AS (SELECT query_id, fact_id, len(list_intersect(f.words, q.words))::DOUBLE /
 SELECT query_id, fact_id, round(score, 9) AS score, row_number() OVER w AS rank FROM s WHERE score > 0 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, fact_id) QUALIFY rank <= 20""")
 def search_postings(spark, sf_dir):
     """A batch of searches over parts by their posting lists."""
-    f = part_facts(spark, sf_dir)
+    f = part_facts(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fact_id")  # a small file with much to do for each row
     p = read(spark, sf_dir, "part")
     queries = p.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", F.substring("p_name", 2, 4), F.substring("p_brand", 4, 99), F.col("p_size").cast("string")).alias("text"))
-    lists = postings.index(f)
-    pools = postings.lexical_pools(queries, lists, postings.frequencies(lists), f)
+    lists = written(postings.index(f))
+    pools = postings.lexical_pools(queries, lists, written(postings.frequencies(lists)), f)
     return postings.hits_of_each(pools).select("query_id", "fact_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 

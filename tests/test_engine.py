@@ -303,3 +303,17 @@ def test_search_reads_postings(spark, tmp_path):
         w.search("  ")
     with pytest.raises(ValueError):
         w.search_many(spark.createDataFrame([(1, "a")], "query_id int, text string"), limit=101)
+
+
+def test_a_token_is_looked_up_once(spark, monkeypatch):
+    """However many queries hold it; the pools are those of all hits."""
+    facts = made_facts(spark, random.Random(33), 150)
+    queries = spark.createDataFrame([(i, f"alpha gross q{i}", None) for i in range(30)], "query_id int, text string, document_id string")
+    lists, seen, plain = postings.index(facts), [], postings.found
+    monkeypatch.setattr(postings, "found", lambda keys, *a: seen.append(keys.count()) or plain(keys, *a))
+    got = {}
+    for r in postings.lexical_pools(queries, lists, postings.frequencies(lists), facts, limit=2).collect():
+        got.setdefault(r.query_id, set()).add(r.fact_id)
+    assert sum(seen) <= 2 + 30
+    want = {r.fact_id for r in search.lexical_pool(facts, "alpha gross", 2).collect()}
+    assert want and all(got[i] == want for i in (10, 20, 29) if i in got)
