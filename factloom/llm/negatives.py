@@ -185,6 +185,14 @@ def met(file: DataFrame, anchors: DataFrame, edges: dict, n: int, n_anchors: int
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most)
 
 
+def smallest(rows: DataFrame, key: Column, most: int) -> DataFrame:
+    """The `most` rows of the smallest hashes `key`. Each task offers as many to the driver, so rows of hashes too large for the first places stay out."""
+    n = rows.count()
+    if n > 4 * most:
+        rows = rows.where(key < F.lit(-(1 << 63) + (4 * most << 64) // n))
+    return rows.orderBy(key).limit(most)
+
+
 def hard_negatives(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", anchor: Column | None = None) -> DataFrame:
     """One row per anchor, positive and negative: anchor_id, positive_id, rank, negative_id, positive_score, negative_score.
 
@@ -198,7 +206,7 @@ def hard_negatives(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     rows = rows.select("id", F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"), whole("v").alias("q"))
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "whole")
     sample: dict[int, list] = {}
-    for r in rows.orderBy(F.xxhash64(F.lit(13), "row")).limit(SAMPLE).select("q").collect():
+    for r in smallest(rows, F.xxhash64(F.lit(13), "row"), SAMPLE).select("q").collect():
         sample.setdefault(len(r.q), []).append(r.q)
     edges = {d: edges_of(np.array(q, "f8")) for d, q in sample.items() if d}
     file = cut(approximated(rows, edges), "file")

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.llm import licenses, negatives, prefixes
 
@@ -245,3 +246,13 @@ def test_bounds_hold_and_prune():
     for i in range(20):
         same = [r for r in range(3000) if r % 4 == i % 4 and r != i]
         assert [r[2] for r in found if r[0] == i] == sorted(same, key=lambda r: (-exact[i, r], r))[:5]
+
+
+def test_a_sample_brings_few_rows_to_the_driver(spark, monkeypatch):
+    """The rows of smallest hashes, of which each task offers its share, not as many as the whole sample."""
+    rows, key = spark.range(0, 40_000, 1, 32).withColumnRenamed("id", "row"), F.xxhash64(F.lit(13), "row")
+    want = [r.row for r in rows.orderBy(key).limit(200).collect()]
+    offered, plain = [], type(rows).orderBy
+    monkeypatch.setattr(type(rows), "orderBy", lambda self, *c: offered.append(self.count()) or plain(self, *c))
+    assert [r.row for r in negatives.smallest(rows, key, 200).collect()] == want and 200 <= offered[0] < 1200
+    assert negatives.smallest(rows.limit(50), key, 200).count() == 50
