@@ -13,6 +13,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -175,7 +176,7 @@ def met(file: DataFrame, anchors: DataFrame, edges: dict, n: int, n_anchors: int
 
     def work(key, part):
         d = key[2].as_py()
-        side = lambda yes: part.filter(pa.compute.equal(part["anchor"], yes)).select(["row", "id", "label", "q", "code", "wins"]).to_pydict()
+        side = lambda yes: part.filter(pc.equal(part["anchor"], yes)).select(["row", "id", "label", "q", "code", "wins"]).to_pydict()
         rows, asked = side(False), side(True)
         found = block(rows, asked, d, shared.value.get(d), most, windows)[0] if rows["row"] and asked["row"] else []
         return pa.Table.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(5)], ["anchor_row", "win", "row", "id", "score"])

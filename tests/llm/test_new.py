@@ -7,8 +7,10 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin as GroupedData
 
 from factloom.llm import licenses, negatives, prefixes
 
@@ -256,3 +258,15 @@ def test_a_sample_brings_few_rows_to_the_driver(spark, monkeypatch):
     monkeypatch.setattr(type(rows), "orderBy", lambda self, *c: offered.append(self.count()) or plain(self, *c))
     assert [r.row for r in negatives.smallest(rows, key, 200).collect()] == want and 200 <= offered[0] < 1200
     assert negatives.smallest(rows.limit(50), key, 200).count() == 50
+
+
+def test_negatives_in_a_worker_that_has_imported_pyarrow_alone(spark, monkeypatch):
+    """A fresh worker holds what the pickled function names: pyarrow's own attribute `compute` isn't there until someone imports it."""
+    rows = spark.createDataFrame([(i, i, 0, 1, b"\1\0", None, [0]) for i in range(2)], "row long, id long, label long, dim int, q binary, code binary, wins array<long>")
+    works = []
+    meant = GroupedData.applyInArrow
+    monkeypatch.setattr(GroupedData, "applyInArrow", lambda self, work, schema: works.append(work) or meant(self, work, schema))
+    negatives.met(rows.drop("wins"), rows, {}, 2, 2, False)
+    part = pa.table({"anchor": [False, True], "row": [0, 1], "id": [0, 1], "label": [0, 0], "q": [b"\1\0", b"\1\0"], "code": pa.nulls(2, pa.binary()), "wins": [None, [0]]})
+    monkeypatch.delattr(pa, "compute", raising=False)
+    assert works[0]((None, None, pa.scalar(1)), part).to_pylist() == [{"anchor_row": 1, "win": 0, "row": 0, "id": 0, "score": 1}]
