@@ -4,7 +4,9 @@ A document's five-word k-mers are labelled with their occurrence (the second of
 Each sketch takes the two k-mers of smallest hash and keeps them in text order, so that sharing a sketch tells of
 edit similarity, not of shared words alone. Documents meet their group's leaders (its first and its last row) for every
 sketch and for every two neighbouring sketches; the latter tell apart what one common passage has brought together.
-Candidates are verified by alignment of words inside a band of 1 - SIMILARITY of the longer text.
+Candidates are verified by alignment of words inside a band of 1 - SIMILARITY of the longer text. Of what leaders leave in
+several classes, all other pairs of a group meet, in a grid of blocks: counts of words by hash say which pairs can't be
+similar, and the others are verified too, unless links have put them in one class before.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from .common import arrow_rows, components, cut, drop, row_key, slices, table, t
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, MINIMA = 16, 2
+#: Hashes that a block counts a text's words by; rows and words of a group that one side of a block holds.
+COUNTS, BLOCK, WORDS_OF_BLOCK = 4096, 1024, 1_000_000
 _rng = np.random.default_rng(20_240_607)
 FACTORS = _rng.integers(1, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _rng.integers(1, 2**63, SKETCHES, dtype=np.uint64)
@@ -182,6 +186,66 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY) -> bool
     return distance(a, b, most) is not None
 
 
+def counts(codes: np.ndarray) -> np.ndarray:
+    """How often each hash stands; what two texts have in common is no more than by hash."""
+    return np.bincount((mixed(codes) & np.uint64(COUNTS - 1)).astype(np.int64), minlength=COUNTS).astype(np.int32)
+
+
+def met(part: pa.Table, number: int, across: bool, threshold: float = SIMILARITY) -> pa.Table:
+    """part: one, n, class, own, s, t of a block's rows. Classes that similar texts of the block join; what they join isn't compared again.
+
+    across: pairs of different `own` alone. A pair that shares several sketches is compared where the first of these, `number`, is."""
+    n, group, own, texts = (part[c].to_numpy() for c in ("n", "class", "own", "t"))
+    kept: dict[str, int] = {}
+    codes = [word_codes(t, kept) for t in texts]
+    bags = [(np.array([counts(c) for c in codes]), 0, 1), (np.array([counts(pairs(c)) for c in codes]), 1, 2)]
+    sketches = np.array(part["s"].to_pylist(), np.int64)
+    order = np.argsort(n, kind="stable")
+    most = np.floor(n * (1 - threshold) + 1e-9)
+    now, links = group.copy(), []
+    for place, i in enumerate(order):
+        # texts that are longer, up to the longest that may be similar
+        j = order[place + 1 :]
+        j = j[n[j] - most[j] <= n[i]]
+        if across:
+            j = j[own[j] != own[i]]
+        j = j[now[j] != now[i]]
+        j = j[(sketches[j] == sketches[i]).argmax(1) == number]
+        for bag, fewer, edits in bags:  # as in similar()
+            at = np.flatnonzero(bag[i])
+            j = j[n[j] - fewer - np.minimum(bag[np.ix_(j, at)], bag[i, at]).sum(1) <= edits * most[j]]
+        for k in j:
+            if now[k] != now[i] and similar(codes[i], codes[k], threshold):
+                links.append((group[i], group[k]))
+                now[now == now[k]] = now[i]
+    return pa.table({"class_a": pa.array([a for a, _ in links], pa.int64()), "class_b": pa.array([b for _, b in links], pa.int64())})
+
+
+def rest(ones: DataFrame, texts: DataFrame, found: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """Links (class_a, class_b) of similar texts that share a sketch and stand in different classes. Two neighbouring sketches bring no pair that one doesn't.
+
+    A group is dealt into parts of about BLOCK rows, and each two parts meet in a block of their own; the first three rows of a group have met."""
+    keyed = ones.join(found.hint("merge"), F.col("one") == F.col("node"), "left").select("one", "m", "n", F.coalesce("component", "one").alias("class"), "s")
+    keyed = cut(keyed, "members")
+    rows = keyed.select("one", "n", "class", F.posexplode("s").alias("number", "k"))
+    sums = rows.groupBy("k").agg(F.count("*").alias("c"), F.sum("n").alias("words"), F.min("class").alias("x"), F.max("class").alias("y"), F.min("one").alias("first"), F.max("one").alias("last"))
+    groups = cut(sums.where("c > 3 and x <> y").select("k", F.ceil(F.greatest(F.col("c") / BLOCK, F.col("words") / WORDS_OF_BLOCK)).alias("parts"), "first", "last"), "groups")
+    many = cut(rows.join(groups.hint("merge"), "k").select("one", "k", "number", "parts", "first", "last").where("one not in (first, last)").drop("first", "last"), "many")  # these two have met all
+    # A text is found again by its 128-bit hash, whatever row it stands in.
+    wanted = cut(keyed.join(many.select("one").distinct().hint("merge"), "one"), "asked")
+    full = cut(texts.select("m", "t").join(wanted.hint("merge"), "m").dropDuplicates(["one"]).drop("m"), "texts")
+    dealt = many.join(full.hint("merge"), "one").withColumn("own", F.pmod(F.xxhash64("one"), F.col("parts")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.select("n", "class", "s", "t", "own", "k", "number", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def work(key, part):
+        return met(part, key[1].as_py(), key[2].as_py() != key[3].as_py(), threshold)
+
+    out = cut(dealt.groupBy("k", "number", "i", "j").applyInArrow(work, "class_a long, class_b long").distinct(), "rest")
+    drop(keyed, groups, many, wanted, full)
+    return out
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, row: str | None = None) -> DataFrame:
     """One row per row of docs: id, class_id (smallest id of its near-duplicates), class_size, kept; with row (a column that numbers the rows), it too.
 
@@ -219,11 +283,6 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     near = keyed.join(leaders.hint("merge"), "k").select("one", "n", F.explode("l").alias("l")).select("one", "n", "l.*")
     near = near.where(f"one <> leader and abs(n - leader_n) <= {1 - threshold + 1e-9} * greatest(n, leader_n)")
     edges = cut(near.select(F.least("one", "leader").alias("a"), F.greatest("one", "leader").alias("b")).distinct(), "candidates")
-    asked = edges.select(F.col("a").alias("one")).union(edges.select("b")).distinct()
-    # A text is found again by its 128-bit hash, whatever row it stands in.
-    wanted = cut(ones.select("one", "m").join(asked.hint("merge"), "one"), "asked")
-    words = cut(texts.select("m", "t").join(wanted.hint("merge"), "m").select("one", "t").dropDuplicates(["one"]), "texts")
-    both = edges.join(words.select(F.col("one").alias("a"), F.col("t").alias("x")).hint("merge"), "a").join(words.select(F.col("one").alias("b"), F.col("t").alias("y")).hint("merge"), "b")
 
     def verified(batches):
         kept: dict[str, int] = {}
@@ -234,12 +293,27 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         del kept
         trim()
 
+    asked = edges.select(F.col("a").alias("one")).union(edges.select("b")).distinct()
+    # A text is found again by its 128-bit hash, whatever row it stands in.
+    wanted = cut(ones.select("one", "m").join(asked.hint("merge"), "one"), "asked")
+    words = cut(texts.select("m", "t").join(wanted.hint("merge"), "m").select("one", "t").dropDuplicates(["one"]), "texts")
+    both = edges.join(words.select(F.col("one").alias("a"), F.col("t").alias("x")).hint("merge"), "a").join(words.select(F.col("one").alias("b"), F.col("t").alias("y")).hint("merge"), "b")
     with arrow_rows(docs.sparkSession, 128):  # a leader's text comes with each of its rows
         links = cut(both.select("a", "b", "x", "y").mapInArrow(verified, "a long, b long"), "links")
-    drop(ones, edges, wanted, words)
-    of_one = same.join(components(links).hint("merge"), F.col("one") == F.col("node"), "left").select("h", F.coalesce("component", "one").alias("class"))
+    found = cut(components(links), "found")
+    drop(edges, wanted, words, links)
+    links = rest(ones, texts, found, threshold)
+    drop(ones)
+    if not links.isEmpty():
+        joined = cut(components(links, "class_a", "class_b").select(F.col("node").alias("class"), F.col("component").alias("whole")), "joined")
+        own = links.select(F.col("class_a").alias("node")).union(links.select("class_b")).distinct()  # also classes of one text
+        singles = own.join(found.hint("merge"), "node", "left_anti").select("node", F.col("node").alias("component"))
+        both, before = found.union(singles), found
+        found = cut(both.join(joined.hint("merge"), F.col("component") == F.col("class"), "left").select("node", F.coalesce("whole", "component").alias("component")), "found")
+        drop(before, joined)
+    of_one = same.join(found.hint("merge"), F.col("one") == F.col("node"), "left").select("h", F.coalesce("component", "one").alias("class"))
     out = cut(light.select("id", "row", "h").join(of_one.hint("merge"), "h"), "classes")
-    drop(light, same, links)
+    drop(light, same, links, found)
     # Written out, so that the join after it stands alone and a large class's rows can be split.
     first = F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")
     sizes = cut(out.groupBy("class").agg(F.min("id").alias("class_id"), first, F.count("*").alias("class_size")), "sizes")

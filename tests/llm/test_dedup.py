@@ -399,3 +399,21 @@ def test_words_of_scripts_without_spaces(spark):
     left = [r.text for r in suffixes.without_repeats(docs(spark, texts), length=200, min_words=51).orderBy("doc_id").collect()]
     assert han[5:-5] not in left[0] and han[5:-5] not in left[1] and left[2:] == texts[2:]
     assert suffixes.n_words("a b c".encode()) == 3 and suffixes.n_words(("x " + han).encode()) == 102 and suffixes.n_words("ein Wört".encode()) == 2
+
+
+def test_near_beyond_a_groups_leaders(spark, monkeypatch):
+    """Texts that share a passage share its sketches; two similar ones among them may both be unlike the first and the last of the group."""
+    monkeypatch.setattr(near, "BLOCK", 4)  # several blocks
+    rng = random.Random(11)
+    passage = words(rng, 40).split()
+    texts = []
+    for i in range(24):
+        own = [f"w{i % 12 if 4 <= i < 20 else i + 100}x{j}" for j in range(60)]
+        if i >= 12:
+            own[5] = "changed"
+        texts.append(" ".join(passage + own))
+    monkeypatch.setattr(near, "sketch", lambda codes: np.arange(near.SKETCHES, dtype=np.uint64))  # one group for each sketch
+    codes = [near.word_codes(t, {}) for t in texts]
+    want = {i: min(j for j in range(24) if j == i or near.similar(codes[i], codes[j])) for i in range(24)}
+    assert want[16] == 4 and want[19] == 7 and want[23] == 23
+    assert {r.doc_id: r.class_id for r in near.classes(docs(spark, texts)).collect()} == want
