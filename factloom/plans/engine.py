@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from factloom.operators import candidates as cand
 from factloom.operators import canonical, chunking, delta, evidence, glossary, match, nearest, postings, stretches
 from factloom.operators import compare as cmp
-from factloom.plans.pairs import _ID, _PAIRS, _REL, REL_COLUMNS, _vectors, facts
+from factloom.plans.pairs import _ID, _PAIRS, _REL, REL_COLUMNS, facts
 from factloom.plans.values import _SAID
 from factloom.plans.values import ORACLES as VALUES_SQL
 from factloom.sources import buckets, extractor
@@ -49,7 +49,17 @@ def written(df: DataFrame) -> DataFrame:
     """The rows from a table in the shared folder, so that what is used several times is made once."""
     path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def deleted(df: DataFrame) -> None:
+    """Deletes what written() wrote, once nothing reads it any more, and lets go of shuffles that nothing uses."""
+    spark = df.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    spark.sparkContext._jvm.System.gc()  # files of unreachable shuffles are cleaned after a collection
 
 
 # --- nearest neighbours ----------------------------------------------------------------------------------------
@@ -59,8 +69,9 @@ def written(df: DataFrame) -> DataFrame:
 SELECT query_id, candidate_id, row_number() OVER w AS rank, round(score, 6) AS score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, candidate_id) QUALIFY rank <= 5""")
 def nearest_join(spark, sf_dir):
     """Every vector asks for the five nearest of other labels, however far."""
-    v = _vectors(spark, sf_dir)
-    return nearest.neighbours(v, v, 5).select("query_id", "candidate_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    e = read(spark, sf_dir, "embeddings")
+    v = e.select(F.col("vec_id").alias("id"), F.col("label").alias("document_id"), F.col("embedding").alias("v"))  # as given: half of what doubles take
+    return nearest.neighbours(v, v, 5, store=written, drop=deleted).select("query_id", "candidate_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 # --- changes ---------------------------------------------------------------------------------------------------

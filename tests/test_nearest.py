@@ -89,3 +89,24 @@ def test_one_scan_whatever_the_queries(spark, tmp_path, monkeypatch):
     v = spark.read.parquet(str(tmp_path / "v"))
     scans = [nearest.neighbours(v, q, 3, 0.25)._jdf.queryExecution().executedPlan().toString().count("Scan parquet") for q in (v.where("id < 5"), v)]
     assert scans[0] == scans[1]
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_rounds_make_no_more_rows_than_there_are(spark, monkeypatch, same):
+    """Where visits are too many for one pass, cells are met in rounds, which are stored one by one; the result is that of every pair."""
+    from factloom.plans import engine
+
+    for name, n in (("PER_PIVOT", 40), ("BLOCK", 40), ("ASKED", 15), ("ONCE", 100), ("BUNDLE", 50), ("BUNDLE_ASKED", 60)):
+        monkeypatch.setattr(nearest, name, n)
+    rng = np.random.default_rng(8)
+    rows = clustered(rng, 300) + [(1000 + i, "e", [1.0, 2.0, 3.0]) for i in range(3)] + [(2000, "f", [2.0, 4.0, 6.0]), (2001, None, [math.nan] * 12)]
+    stored = []
+
+    def store(df):
+        stored.append(engine.written(df))
+        return stored[-1]
+
+    v, asked = spark.createDataFrame(rows, KINDS), spark.createDataFrame(rows[::2], KINDS)
+    got = {(r.query_id, r.candidate_id, r["rank"]) for r in nearest.neighbours(v, asked, 6, 0.25, same, store, engine.deleted).collect()}
+    assert got == brute(rows, rows[::2], 6, 0.25, same)
+    assert len(stored) > 3
