@@ -12,7 +12,6 @@ similar, and the others are verified too, unless links have put them in one clas
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +27,13 @@ COUNTS, BLOCK, WORDS_OF_BLOCK = 4096, 1024, 1_000_000
 _rng = np.random.default_rng(20_240_607)
 FACTORS = _rng.integers(1, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _rng.integers(1, 2**63, SKETCHES, dtype=np.uint64)
+LETTERS = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 STEP, LABEL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
+#: Bytes whose words are hashed at once; powers of the hash of a word's bytes, longer words have their own.
+STRETCH = 1 << 18
+POWERS = np.cumprod(np.full(64, STEP, np.uint64))
+
 
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * LABEL
@@ -37,16 +41,28 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_codes(text: str, kept: dict[str, int]) -> np.ndarray:
-    found = text.lower().split()
-    if new := set(found).difference(kept):
-        if len(kept) > 250_000:
-            kept.clear()
-            new = set(found)
-        for word in new:
-            raw = word.encode()
-            kept[word] = zlib.crc32(raw) << 32 | zlib.adler32(raw[::-1] + b"#")
-    return np.fromiter(map(kept.__getitem__, found), np.uint64, len(found))
+def codes_of(joined: bytes) -> np.ndarray:
+    """Hashes of words that single spaces part."""
+    if not joined:
+        return np.zeros(0, np.uint64)
+    data = np.frombuffer(joined + b" ", np.uint8)
+    ends = np.flatnonzero(data == 32) + 1
+    starts = np.r_[0, ends[:-1]]
+    sizes = ends - starts
+    longest = int(sizes.max())
+    powers = POWERS if longest <= len(POWERS) else np.cumprod(np.full(longest, STEP, np.uint64))
+    out = []
+    # a stretch of words at a time
+    edges = np.unique(np.r_[np.searchsorted(starts, np.arange(0, len(data), STRETCH)), len(starts)])
+    for x, y in zip(edges, edges[1:]):
+        own = data[starts[x] : ends[y - 1]]
+        place = np.arange(len(own)) - np.repeat(starts[x:y] - starts[x], sizes[x:y])
+        out.append(np.add.reduceat(LETTERS[own] * powers[place], starts[x:y] - starts[x]))
+    return mixed(np.concatenate(out))
+
+
+def word_codes(text: str, _kept: dict | None = None) -> np.ndarray:
+    return codes_of(" ".join(text.lower().split()).encode())
 
 
 def labelled(codes: np.ndarray, words: int = WORDS) -> np.ndarray:
@@ -69,22 +85,31 @@ def labelled(codes: np.ndarray, words: int = WORDS) -> np.ndarray:
     return h
 
 
+def sketch_places(h: np.ndarray) -> np.ndarray:
+    """For each sketch, the places of the k-mers of smallest hash, in text order."""
+    keys = h[None, :] * FACTORS[:, None] + SHIFTS[:, None]
+    keys = (keys ^ (keys >> np.uint64(31))) * STEP
+    m, row = min(MINIMA, len(h)), np.arange(SKETCHES)
+    least = np.empty((SKETCHES, m), np.int64)
+    for j in range(m):
+        least[:, j] = keys.argmin(axis=1)
+        keys[row, least[:, j]] = np.iinfo(np.uint64).max
+    return np.sort(least, axis=1)
+
+
 def sketch(codes: np.ndarray) -> np.ndarray:
     h = labelled(codes)
     if not len(h):
         return np.zeros(0, np.uint64)
-    keys = h[None, :] * FACTORS[:, None] + SHIFTS[:, None]
-    keys = (keys ^ (keys >> np.uint64(31))) * STEP
-    m = min(MINIMA, len(h))
-    least = np.sort(np.argpartition(keys, m - 1, axis=1)[:, :m] if m < len(h) else np.tile(np.arange(len(h)), (SKETCHES, 1)), axis=1)
+    least = sketch_places(h)
     out = np.arange(SKETCHES, dtype=np.uint64) * LABEL
-    for j in range(m):
+    for j in range(least.shape[1]):
         out = mixed(out * STEP + h[least[:, j]])
     return out
 
 
 #: Cells of a band that are held at once; wider bands are filled row by row.
-CELLS = 6_000_000
+CELLS = 12_000_000
 
 
 def _diagonals(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
@@ -196,8 +221,7 @@ def met(part: pa.Table, number: int, across: bool, threshold: float = SIMILARITY
 
     across: pairs of different `own` alone. A pair that shares several sketches is compared where the first of these, `number`, is."""
     n, group, own, texts = (part[c].to_numpy() for c in ("n", "class", "own", "t"))
-    kept: dict[str, int] = {}
-    codes = [word_codes(t, kept) for t in texts]
+    codes = [word_codes(t) for t in texts]
     bags = [(np.array([counts(c) for c in codes]), 0, 1), (np.array([counts(pairs(c)) for c in codes]), 1, 2)]
     sketches = np.array(part["s"].to_pylist(), np.int64)
     order = np.argsort(n, kind="stable")
@@ -256,16 +280,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     """
 
     def sketched(batches):
-        kept: dict[str, int] = {}
         for batch in slices(batches):
             hashes, sizes, values = [], [], []
             for text in batch.column(3).to_pylist():
-                codes = word_codes(text, kept)
-                hashes.append(hashlib.md5(" ".join(text.lower().split()).encode()).digest())
+                words = " ".join(text.lower().split()).encode()
+                codes = codes_of(words)
+                hashes.append(hashlib.md5(words).digest())
                 sizes.append(len(codes))
                 values.append(sketch(codes).view(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(hashes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(values, pa.list_(pa.int64()))], ["id", "row", "m", "h", "n", "s"])
-        del kept
         trim()
 
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -285,12 +308,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     edges = cut(near.select(F.least("one", "leader").alias("a"), F.greatest("one", "leader").alias("b")).distinct(), "candidates")
 
     def verified(batches):
-        kept: dict[str, int] = {}
         for batch in slices(batches, 64):
             xs, ys = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-            yield batch.select(["a", "b"]).filter(pa.array([similar(word_codes(x, kept), word_codes(y, kept), threshold) for x, y in zip(xs, ys)], pa.bool_()))
+            yield batch.select(["a", "b"]).filter(pa.array([similar(word_codes(x), word_codes(y), threshold) for x, y in zip(xs, ys)], pa.bool_()))
             del xs, ys
-        del kept
         trim()
 
     asked = edges.select(F.col("a").alias("one")).union(edges.select("b")).distinct()

@@ -417,3 +417,20 @@ def test_near_beyond_a_groups_leaders(spark, monkeypatch):
     want = {i: min(j for j in range(24) if j == i or near.similar(codes[i], codes[j])) for i in range(24)}
     assert want[16] == 4 and want[19] == 7 and want[23] == 23
     assert {r.doc_id: r.class_id for r in near.classes(docs(spark, texts)).collect()} == want
+
+
+def test_words_have_one_hash_wherever_they_stand(monkeypatch):
+    """Words are hashed by their bytes, some at a time, whatever parts them and whatever their length."""
+    words = ["the", "The", "éa", "\u4e2d\u6587", "x" * 300, "a\u0301", "the", "b"]
+    text = "\u3000" + "\t\n".join(words) + "\u2003 "
+    whole = near.word_codes(text)
+    assert near.word_codes(" \n").size == 0
+    assert [int(near.word_codes(w)[0]) for w in words] == whole.tolist() and len(set(whole.tolist())) == len({w.lower() for w in words})
+    monkeypatch.setattr(near, "STRETCH", 5)
+    assert near.word_codes(text).tolist() == whole.tolist()
+    rng = np.random.default_rng(5)
+    h = near.labelled(rng.integers(0, 1 << 40, 60, dtype=np.uint64))
+    keys = h[None, :] * near.FACTORS[:, None] + near.SHIFTS[:, None]
+    keys = (keys ^ (keys >> np.uint64(31))) * near.STEP
+    for i, found in enumerate(near.sketch_places(h)):
+        assert found.tolist() == sorted(np.argsort(keys[i])[: near.MINIMA].tolist())
