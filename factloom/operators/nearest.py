@@ -258,8 +258,8 @@ def _in_rounds(own: DataFrame, asked: DataFrame, home: DataFrame, pivots: dict[i
             room = sum(sizes.values()) + n_asked
         rounds[-1].append(b)
         room -= made[b]
-    found = store(best(home.select("query_id", "candidate_id", "score"), k).drop("rank"))
-    for wanted in rounds:
+
+    def met_in(wanted: list[int], found: DataFrame) -> DataFrame:
         dims = {d for d, c in of if of[d, c][0] in wanted}
         reached = {b: np.array([c for d, c in of if of[d, c][0] == b]) for b in wanted}
         dim_of = {of[d, c][0]: d for d, c in of}
@@ -284,8 +284,12 @@ def _in_rounds(own: DataFrame, asked: DataFrame, home: DataFrame, pivots: dict[i
         right = bound.mapInArrow(going, f"{kinds}, bundle int").join(n_x, "bundle").withColumn("y", F.pmod(F.xxhash64("id"), F.lit(n_y)).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_x") - 1))).drop("n_x")
         right = right.select(*(F.col(c).alias(c) for c in right.columns))  # queries may be rows of the vectors
         key = ["bundle", "x", "y"]
-        met = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_bundle(k, floor, same, shared), f"query_id {id_kind}, candidate_id {id_kind}, score double")
-        before, found = found, store(best(found.unionByName(met), k).drop("rank"))
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_bundle(k, floor, same, shared), f"query_id {id_kind}, candidate_id {id_kind}, score double")
+
+    found = store(best(home.select("query_id", "candidate_id", "score"), k).drop("rank"))
+    for wanted in rounds:
+        # nothing here holds on to a round's plan, so that what it has shuffled can go
+        before, found = found, store(best(found.unionByName(met_in(wanted, found)), k).drop("rank"))
         drop(before)
     return found
 
