@@ -12,8 +12,8 @@ from factloom.functions.text import digits, estimate_tokens
 from .evidence import header_line
 
 MAX_CHARS, MOST_DIGITS, CHUNK_LIMIT = 2500, 50, 60
-#: Units of a page that one row may hold; with more, pages are packed by stretches.
-FOLD_UP_TO = 50_000
+#: Units of a page, and characters of theirs, that one row may hold; with more, pages are packed by stretches.
+FOLD_UP_TO, FOLD_CHARS = 50_000, 1 << 24
 
 
 def rendered(unit_id: Column, kind: Column, text: Column, table: Column, row: Column, col: Column, row_header: Column, column_header: Column) -> Column:
@@ -25,16 +25,8 @@ def rendered(unit_id: Column, kind: Column, text: Column, table: Column, row: Co
     return F.concat(F.lit("["), unit_id, F.lit("] ("), kind, F.lit(")"), F.when(kind == "TABLE_CELL", cell).otherwise(""), F.lit(" "), text)
 
 
-def packed(units: DataFrame, max_chars: int = MAX_CHARS, max_tokens: int | None = None) -> DataFrame:
-    """units: document_id, page, item (place on the page), chars, tokens, and maybe room and token_room (instead of max_chars and max_tokens) and opens (a new chunk begins here). Adds chunk, from 0 on each page.
-
-    Items are taken in order; one that would overflow starts a new chunk, and one that is too large by itself stands
-    alone. The running sum starts anew with each chunk, so this is a fold over a page's items, for pages that fit into a row
-    (stretches.packed takes pages of any length). Null sizes count as 0."""
-    given = lambda name, otherwise: (F.col(name) if name in units.columns else F.lit(otherwise)).alias(name)
-    room, limit = given("room", max_chars).cast("long").alias("room"), given("token_room", max_tokens if max_tokens is not None else 1 << 40).cast("long").alias("limit")
-    items = F.array_sort(F.collect_list(F.struct("item", F.coalesce(F.col("chars").cast("long"), F.lit(0).cast("long")).alias("chars"), F.coalesce(F.col("tokens").cast("long"), F.lit(0).cast("long")).alias("tokens"), room, limit, given("opens", False))))
-    pages = units.groupBy("document_id", "page").agg(items.alias("items"))
+def breaks(items: Column) -> Column:
+    """Where chunks begin in an array of sized items (structs with chars, tokens, room, limit and opens), in order."""
     long = lambda c: c.cast("long")
     start = F.struct(long(F.lit(0)).alias("i"), long(F.lit(0)).alias("chars"), long(F.lit(0)).alias("tokens"), F.lit(False).alias("some"), F.array().cast("array<bigint>").alias("breaks"))
 
@@ -45,11 +37,29 @@ def packed(units: DataFrame, max_chars: int = MAX_CHARS, max_tokens: int | None
         chars, tokens = (F.when(opens, long(F.lit(0))).otherwise(acc[n]) + x[n] for n in ("chars", "tokens"))
         return F.struct((acc["i"] + 1).alias("i"), chars.alias("chars"), tokens.alias("tokens"), (~large).alias("some"), F.when(opens, F.concat(acc["breaks"], F.array(acc["i"]))).otherwise(acc["breaks"]).alias("breaks"))
 
-    # Only where chunks begin is collected; each chunk is then a slice of the page.
-    done = pages.select("document_id", "page", "items", F.aggregate("items", start, place, lambda acc: acc["breaks"]).alias("breaks"))
-    chunks = done.select("document_id", "page", "items", "breaks", F.posexplode("breaks").alias("chunk", "begin"))
-    end = F.coalesce(F.get("breaks", F.col("chunk") + 1), F.size("items").cast("long"))
-    each = chunks.select("document_id", "page", F.col("chunk").cast("long").alias("chunk"), F.explode(F.slice("items", (F.col("begin") + 1).cast("int"), (end - F.col("begin")).cast("int"))).alias("x"))
+    return F.aggregate(items, start, place, lambda acc: acc["breaks"])
+
+
+def _slices(df: DataFrame, arrays: list[str], number: str, others: list[str]) -> DataFrame:
+    """A row for each of `breaks`, with what the arrays hold from there to the next. Only where chunks begin is collected; each is then a slice."""
+    # Not one of the arrays that are exploded here is empty. The outer forms don't filter for that, which would compute an array once more.
+    each = df.select(*others, *arrays, "breaks", F.posexplode_outer("breaks").alias(number, "begin"))
+    end = F.coalesce(F.get("breaks", F.col(number) + 1), F.size(arrays[0]).cast("long"))
+    return each.select(*others, F.col(number).cast("long").alias(number), *(F.slice(a, (F.col("begin") + 1).cast("int"), (end - F.col("begin")).cast("int")).alias(a) for a in arrays))
+
+
+def packed(units: DataFrame, max_chars: int = MAX_CHARS, max_tokens: int | None = None) -> DataFrame:
+    """units: document_id, page, item (place on the page), chars, tokens, and maybe room and token_room (instead of max_chars and max_tokens) and opens (a new chunk begins here). Adds chunk, from 0 on each page.
+
+    Items are taken in order; one that would overflow starts a new chunk, and one that is too large by itself stands
+    alone. The running sum starts anew with each chunk, so this is a fold over a page's items, for pages that fit into a row
+    (stretches.packed takes pages of any length). Null sizes count as 0."""
+    given = lambda name, otherwise: (F.col(name) if name in units.columns else F.lit(otherwise)).alias(name)
+    room, limit = given("room", max_chars).cast("long").alias("room"), given("token_room", max_tokens if max_tokens is not None else 1 << 40).cast("long").alias("limit")
+    items = F.array_sort(F.collect_list(F.struct("item", F.coalesce(F.col("chars").cast("long"), F.lit(0).cast("long")).alias("chars"), F.coalesce(F.col("tokens").cast("long"), F.lit(0).cast("long")).alias("tokens"), room, limit, given("opens", False))))
+    pages = units.groupBy("document_id", "page").agg(items.alias("items"))
+    done = pages.withColumn("breaks", breaks(F.col("items")))
+    each = _slices(done, ["items"], "chunk", ["document_id", "page"]).select("document_id", "page", "chunk", F.explode_outer("items").alias("x"))
     return each.select("document_id", "page", F.col("x.item").alias("item"), "chunk")
 
 
@@ -104,17 +114,9 @@ def dealt(many: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
     return held.join(copies, same, "left").select(*many.columns, *others)
 
 
-def _by_windows(units: DataFrame) -> DataFrame:
-    """With the item of each unit (a page's first table of an index takes that index's cells along), and the item's sums, header line and number of cells."""
-    cell = F.col("type") == "TABLE_CELL"
-    first = F.min(F.when(F.col("type") == "TABLE", F.col("seq"))).over(Window.partitionBy("document_id", "page", "index"))
-    item = Window.partitionBy(*KEY)
-    keyed = units.withColumn("item_seq", F.coalesce(F.when(cell, first), "seq"))
-    return keyed.withColumns({"chars": F.sum(F.length("text")).over(item), "tokens": F.sum("cost").over(item), "head": F.max("head").over(item), "cells": F.count_if(cell).over(item)})
-
-
 def _by_sums(units: DataFrame) -> DataFrame:
-    """The same for pages of any length: sums are combined before they move, and come back to a table's cells in several tasks."""
+    """With the item of each unit (a page's first table of an index takes that index's cells along), and the item's sums, header line and
+    number of cells, for pages of any length: sums are combined before they move, and come back to a table's cells in several tasks."""
     table, cell = F.col("type") == "TABLE", F.col("type") == "TABLE_CELL"
     firsts = units.where(table).groupBy("document_id", "page", "index").agg(F.min("seq").alias("item_seq"))
     cells = dealt(units.where(cell), firsts, ["document_id", "page", "index"]).withColumn("item_seq", F.coalesce("item_seq", "seq"))
@@ -124,23 +126,74 @@ def _by_sums(units: DataFrame) -> DataFrame:
     return dealt(grouped, sums, KEY).unionByName(alone).withColumn("head", F.col("item_head")).drop("item_head")
 
 
+def _in_rows(units: DataFrame, columns: list[str], max_chars: int, limit: int) -> DataFrame:
+    """placed() for pages that fit into a row: units move once, to their page, and are put together to rows of tables, items and pages there."""
+    page, key = ["document_id", "page"], ["document_id", "page", "item_seq"]
+    cell = F.col("type") == "TABLE_CELL"
+    long = lambda c: c.cast("long")
+    sums = lambda: (long(F.sum("chars")).alias("chars"), long(F.sum("tokens")).alias("tokens"))
+    at = ["col", "seq", "text"]
+    member = F.struct(F.struct(*at).alias("at"), *(c for c in columns if c not in [*page, *at]), "cost")
+    sized = units.repartition(*page).withColumns({"chars": long(F.length("text")), "tokens": F.col("cost"), "alone": F.when(~cell, F.col("seq")), "of_row": F.when(cell, F.col("row_key")), "member": member})
+    lines = sized.groupBy(*page, "index", "alone", "of_row").agg(F.collect_list("member").alias("members"), *sums(), F.max("head").alias("head"))
+
+    # A page's first table of an index takes that index's cells along; cells without a table stand for themselves.
+    first = F.min(F.when(F.col("head").isNotNull(), F.col("alone"))).over(Window.partitionBy(*page, "index"))
+    item = lambda seq, chars, tokens, members: F.struct(seq.alias("item_seq"), long(chars).alias("chars"), long(tokens).alias("tokens"), members.alias("members"))
+    own = F.transform("members", lambda m: item(m["at"]["seq"], F.length(m["at"]["text"]), m["cost"], F.array(m)))
+    seq = F.coalesce("alone", "first")
+    each = F.when(seq.isNull(), own).otherwise(F.array(item(seq, F.col("chars"), F.col("tokens"), F.col("members"))))
+    lines = lines.withColumn("first", first).select(*page, "of_row", "head", each.alias("each")).select(*page, "of_row", "head", F.explode_outer("each").alias("x")).select(*page, "of_row", "head", "x.*")
+    whole, line = F.col("head").isNotNull(), F.struct("of_row", "chars", "tokens", "members")
+    lines = lines.withColumns({"table": F.when(whole, F.col("members")), "line": F.when(~whole, line)})
+    items = lines.groupBy(*key).agg(F.flatten(F.collect_list("table")).alias("tables"), F.array_sort(F.collect_list("line")).alias("lines"), *sums(), F.max("head").alias("head"), F.count_if(F.col("of_row").isNotNull()).alias("cells"))
+    large = F.coalesce(((F.col("chars") > max_chars) | (F.col("tokens") > limit)) & F.col("head").isNotNull() & (F.col("cells") > 0), F.lit(False))
+    items = items.withColumn("large", large)
+
+    # A large table is packed row by row. The tokens of a part are those of its text (half its bytes, rounded up) and of its cells: bytes and twice the cells' add up.
+    told = F.transform("lines", lambda x: F.array_join(F.array_sort(x["members"]["at"])["text"], " | "))
+    items = items.withColumn("told", F.when(F.col("large"), told))
+    room, token_room = long(F.lit(max_chars) - F.length("head")), long(F.lit(2 * limit) - F.octet_length("head"))
+
+    def cost(x: Column, i: Column) -> Column:
+        line = F.get("told", i)
+        return F.struct(long(F.length(line) + 1 + x["chars"]).alias("chars"), long(F.octet_length(line) + 1 + 2 * x["tokens"]).alias("tokens"), room.alias("room"), token_room.alias("limit"), F.lit(False).alias("opens"))
+
+    items = items.withColumn("breaks", F.when(F.col("large"), breaks(F.transform("lines", cost))).otherwise(F.array(long(F.lit(0)))))
+    parts = _slices(items, ["lines", "told"], "part", [*key, "tables", "chars", "tokens", "head", "large"])
+    parts = parts.withColumn("body", F.when(F.col("large"), F.concat("head", F.lit("\n"), F.array_join("told", "\n"))))
+    total = lambda name: F.aggregate(F.col(f"lines.{name}"), long(F.lit(0)), lambda a, x: a + x)
+    chars = F.when(F.col("large"), F.length("body") + total("chars")).otherwise(F.col("chars"))
+    tokens = F.when(F.col("large"), estimate_tokens(F.col("body")) + total("tokens")).otherwise(F.col("tokens"))
+    tables = F.when(F.col("large"), F.transform("tables", lambda t: t.withField("at.text", F.col("body")))).otherwise(F.col("tables"))
+    sizes = [F.coalesce(long(chars), long(F.lit(0))).alias("chars"), F.coalesce(long(tokens), long(F.lit(0))).alias("tokens"), long(F.lit(max_chars)).alias("room"), long(F.lit(limit)).alias("limit"), (F.col("large") & (F.col("part") == 0)).alias("opens")]
+    packable = parts.select(*page, F.struct("item_seq", "part", *sizes, F.concat(tables, F.flatten("lines.members")).alias("members")).alias("x"))
+
+    pages = packable.groupBy(*page).agg(F.array_sort(F.collect_list("x")).alias("items"))
+    chunks = _slices(pages.withColumn("breaks", breaks(F.col("items"))), ["items"], "chunk", page)
+    each = chunks.select(*page, "chunk", F.explode_outer("items").alias("x")).select(*page, "chunk", "x.item_seq", "x.part", F.explode_outer("x.members").alias("m"))
+    names = [F.col(c) if c in page else F.col(f"m.at.{c}" if c in at else f"m.{c}").alias(c) for c in columns]
+    return each.select(*names, "chunk", F.struct("item_seq", "part", (F.col("m.type") != "TABLE").alias("rest"), F.col("m.at.seq").alias("seq")).alias("item"))
+
+
 def placed(units: DataFrame, max_chars: int = MAX_CHARS, max_tokens: int | None = None, pack: Callable[..., DataFrame] = packed) -> DataFrame:
     """units: document_id, page, seq, evidence_id, type, text, table_index, headers, row, col, row_header, column_header. The units of each chunk as
     it shows them: these columns with chunk and item (the order inside it).
 
     A table over the budget is split between rows: each part has the table's id, its header line and its own rows' lines,
     then their cells; the first part opens a chunk. A row that is too large by itself stands alone, and so does a table without
-    cells. Every unit is in one chunk, but for split tables themselves, which are in one for each part. pack: packed, or another with its
+    cells. Without max_tokens nothing is rendered, and packed needs no evidence_id, row_header or column_header. Every unit is in one chunk, but for split tables themselves, which are in one for each part. pack: packed, or another with its
     columns for pages of any length, for which nothing else here holds a whole page or table in one task either."""
     kept = units.where(~((F.col("type") == "IMAGE") & (F.trim("text") == "")))
     table, cell = F.col("type") == "TABLE", F.col("type") == "TABLE_CELL"
     head = header_line(F.col("table_index"), F.col("headers"))
     shown = F.when(table, F.when(F.coalesce(F.col("text"), F.lit("")) == "", head).otherwise(F.concat(head, F.lit("\n"), "text"))).otherwise(F.col("text"))
-    told = estimate_tokens(rendered(*(F.col(c) for c in ("evidence_id", "type", "text", "table_index", "row", "col", "row_header", "column_header"))))
+    told = F.lit(0).cast("long") if max_tokens is None else estimate_tokens(rendered(*(F.col(c) for c in ("evidence_id", "type", "text", "table_index", "row", "col", "row_header", "column_header"))))
     shaped = kept.withColumns({"head": F.when(table, head), "text": shown, "row_key": F.coalesce("row", F.lit((1 << 31) - 1)), "index": F.when(table | cell, F.coalesce("table_index", F.lit(-1)))}).withColumn("cost", told)
-    keyed = (_by_windows if pack is packed else _by_sums)(shaped)
     limit = max_tokens if max_tokens is not None else 1 << 40
-    keyed = keyed.withColumn("large", ((F.col("chars") > max_chars) | (F.col("tokens") > limit)) & F.col("head").isNotNull() & (F.col("cells") > 0))
+    if pack is packed:
+        return _in_rows(shaped, units.columns, max_chars, limit)
+    keyed = _by_sums(shaped).withColumn("large", ((F.col("chars") > max_chars) | (F.col("tokens") > limit)) & F.col("head").isNotNull() & (F.col("cells") > 0))
     small, large = keyed.where(~F.col("large")), keyed.where("large")
 
     # The tokens of a part are those of its text (half its bytes, rounded up) and of its cells: bytes and twice the cells' add up.

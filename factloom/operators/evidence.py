@@ -94,17 +94,33 @@ def grid_text(grid: DataFrame) -> DataFrame:
 def table_units(cells: DataFrame) -> DataFrame:
     """Evidence of tables: a TABLE unit with the whole grid, and a TABLE_CELL unit for each filled cell below the header.
 
-    cells: document_id, page, table_index, row, col, text. Indices of units on a page follow its table, row and column."""
-    named = cells.withColumn("table_id", F.struct("document_id", "page", "table_index"))
-    grid = cleaned_grid(named.select("table_id", "row", "col", "text"))
-    names = F.map_from_entries(F.collect_list(F.when(F.col("is_header"), F.struct("col", "text"))))
-    sizes = grid.groupBy("table_id").agg(F.max("n_rows").alias("n_rows"), F.max("n_cols").alias("n_cols"), names.alias("names"))
-    sizes = sizes.withColumn("headers", F.transform(F.sequence(F.lit(0), F.col("n_cols") - 1), lambda i: F.coalesce(F.try_element_at("names", i), F.lit("")))).drop("names")
-    whole = grid_text(grid).join(sizes, "table_id").select("table_id.*", F.lit("TABLE").alias("type"), "text", "n_rows", "n_cols", "headers")
-    each = grid.where("not is_header").select("table_id.*", F.lit("TABLE_CELL").alias("type"), "row", "col", "text", "column_header", "row_header")
-    out = union(whole, each)
-    w = Window.partitionBy("document_id", "page").orderBy("table_index", F.col("type") != "TABLE", "row", "col")
-    return out.withColumn("place", F.row_number().over(w) - 1)
+    cells: document_id, page, table_index, row, col, text. Grids are cleaned as by cleaned_grid; indices of units on a page follow its
+    table, row and column. A page's cells move once and are put together row by row, then table by table, as a TABLE unit is one row anyway."""
+    table = ["document_id", "page", "table_index"]
+    filled = cells.withColumns({"text": F.trim(F.coalesce("text", F.lit(""))), "col": F.coalesce("col", F.lit(-(1 << 31)))}).where("text <> ''").repartition("document_id", "page")
+    rows = filled.withColumn("x", F.struct("col", "text")).groupBy(*table, "row").agg(F.array_sort(F.collect_list("x")).alias("cells"))
+    tables = rows.withColumn("x", F.struct("row", "cells")).groupBy(*table).agg(F.array_sort(F.collect_list("x")).alias("rows"))
+    tables = tables.select(*table, "rows", F.array_sort(F.array_distinct(F.flatten(F.transform("rows", lambda x: x["cells"]["col"])))).alias("cols"))
+
+    def joined(row: Column) -> Column:
+        return F.array_join(row["cells"]["text"], "\t")
+
+    def name(col: Column) -> Column:
+        return F.coalesce(F.array_max(F.filter(F.get("rows", F.lit(0))["cells"], lambda x: x["col"] == col)["text"]), F.lit(""))
+
+    # The whole grid stays with its first row, so that it isn't copied to all others.
+    tables = tables.select(*table, "rows", "cols", F.transform("cols", name).alias("headers"), F.array_join(F.transform("rows", joined), "\n").alias("grid"))
+    tables = tables.select(*table, "cols", "headers", F.transform("rows", lambda x, i: F.struct(x["cells"].alias("cells"), F.when(i == 0, F.col("grid")).alias("grid"), F.when(i == 0, F.size("rows") - 1).alias("n_rows"))).alias("rows"))
+    # No array here is empty; the outer form of explode doesn't filter for that, which would compute the array once more.
+    lines = tables.select(*table, "cols", "headers", F.posexplode_outer("rows").alias("r", "line")).select(*table, "cols", "headers", "r", "line.*")
+    before = Window.partitionBy("document_id", "page").orderBy("table_index", "r").rowsBetween(Window.unboundedPreceding, -1)
+    head = F.col("r") == 0
+    leads = F.array_max(F.filter("cells", lambda x: x["col"] == F.get("cols", F.lit(0)))["text"])
+    lines = lines.withColumns({"before": F.coalesce(F.sum(F.when(head, 1).otherwise(F.size("cells"))).over(before), F.lit(0)), "leads": leads}).withColumn("cells", F.when(head, F.slice("cells", 1, 1)).otherwise(F.col("cells")))
+    each = lines.select(*table, "cols", "headers", "r", "grid", "n_rows", "before", "leads", F.posexplode_outer("cells").alias("i", "x"))
+    each = each.withColumn("c", (F.array_position("cols", F.col("x.col")) - 1).cast("int"))
+    of_cell = {"row": F.col("r") - 1, "col": F.col("c"), "column_header": F.nullif(F.get("headers", F.col("c")), F.lit("")), "row_header": F.when(F.col("c") > 0, F.col("leads"))}
+    return each.select(*table, F.when(head, "TABLE").otherwise("TABLE_CELL").alias("type"), F.when(head, F.col("grid")).otherwise(F.col("x.text")).alias("text"), "n_rows", F.when(head, F.size("cols")).alias("n_cols"), F.when(head, F.col("headers")).alias("headers"), *(F.when(~head, v).alias(k) for k, v in of_cell.items()), (F.col("before") + F.col("i")).cast("int").alias("place"))
 
 
 def header_line(index: Column, headers: Column) -> Column:

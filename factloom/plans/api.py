@@ -172,10 +172,10 @@ class Workspace:
 
         Text is as a chunk shows it. A table's cells go with their table; one over the budget is split between rows, its header line
         in every part. Chunks are numbered before the window of pages is taken, so they are the same in every run. Where a page has over
-        chunking.FOLD_UP_TO units, pages are packed by stretches, with the same result; what that writes goes with vacuum()."""
+        chunking.FOLD_UP_TO units or FOLD_CHARS characters, pages are packed by stretches, with the same result; what that writes goes with vacuum()."""
         units = self.table("evidence").withColumn("seq", F.col("block_index"))
-        longest = units.groupBy("document_id", "page").count().agg(F.max("count")).first()[0]
-        long = longest is not None and longest > chunking.FOLD_UP_TO
+        most = units.groupBy("document_id", "page").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).agg(F.max("n"), F.max("chars")).first()
+        long = (most[0] or 0) > chunking.FOLD_UP_TO or (most[1] or 0) > chunking.FOLD_CHARS
         pack = functools.partial(stretches.packed, path=f"{self.path}/stretches") if long else chunking.packed
         placed = chunking.placed(units, max_chars, max_tokens, pack)
         placed = placed if start_page is None else placed.where(F.col("page") >= start_page)

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.operators import candidates as cand
@@ -180,12 +180,17 @@ def ingest_files(spark, sf_dir):
 
 def order_tables(spark, sf_dir) -> DataFrame:
     """Lines of orders as tables, one page for each 40 orders: cells (document_id, page, table_index, row, col, text)."""
-    l = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.min("l_quantity").cast("int").alias("quantity"), F.min("l_partkey").alias("part"))
     k = F.col("l_orderkey")
-    place = F.struct((F.floor(k / 4000)).cast("string").alias("document_id"), F.floor(k / 40).cast("int").alias("page"))
-    body = l.select(place.alias("p"), (k % 40 * 8 + F.col("l_linenumber")).cast("int").alias("row"), F.array(F.col("flag"), F.col("quantity").cast("string"), F.concat(F.lit("part number "), F.col("part").cast("string"))).alias("cells"))
-    head = body.select("p").distinct().select("p", F.lit(-1).alias("row"), F.array(F.lit("Flag"), F.lit("Quantity"), F.lit("Part")).alias("cells"))
-    each = body.union(head).select("p.*", "row", F.posexplode("cells").alias("col", "text"))
+    place = [F.floor(k / 4000).cast("string").alias("document_id"), F.floor(k / 40).cast("int").alias("page")]
+    found = read(spark, sf_dir, "lineitem").select(*place, "l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_partkey").repartition("document_id", "page")
+    l = found.groupBy("document_id", "page", "l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.min("l_quantity").cast("int").alias("quantity"), F.min("l_partkey").alias("part"))
+    body = F.array(F.col("flag"), F.col("quantity").cast("string"), F.concat(F.lit("part number "), F.col("part").cast("string")))
+    head = F.array(F.lit("Flag"), F.lit("Quantity"), F.lit("Part"))
+    row = lambda at, cells: F.struct(at.cast("int").alias("row"), cells.alias("cells"))
+    own, first = row(k % 40 * 8 + F.col("l_linenumber"), body), F.row_number().over(Window.partitionBy("document_id", "page").orderBy("l_orderkey", "l_linenumber")) == 1
+    # A page's first line brings the header along.
+    rows = l.withColumn("rows", F.when(first, F.array(row(F.lit(-1), head), own)).otherwise(F.array(own))).select("document_id", "page", F.explode_outer("rows").alias("x"))
+    each = rows.select("document_id", "page", "x.row", F.posexplode_outer("x.cells").alias("col", "text"))
     return each.select("document_id", "page", F.lit(0).alias("table_index"), "row", "col", "text")
 
 
@@ -195,13 +200,14 @@ t AS (SELECT page, count(*) AS rows, sum(cells) AS cells, sum(cells + 7) + 18 AS
 SELECT page::INTEGER AS page, rows::BIGINT AS n_rows, (3 * rows)::BIGINT AS n_cells, true AS within, (cells + whole + 38 > 2500) AS split FROM t""")
 def workspace_chunks(spark, sf_dir):
     """Tables cut between rows under their budget: every row and cell once, the header line in every part, no part over the budget."""
-    units = evidence.table_units(order_tables(spark, sf_dir))
-    units = units.withColumn("evidence_id", evidence.evidence_id(F.col("document_id"), F.col("page"), F.col("place"), F.col("type"))).withColumn("seq", F.col("place"))
+    units = evidence.table_units(order_tables(spark, sf_dir)).select("document_id", "page", F.col("place").alias("seq"), "type", "text", "table_index", "headers", "row", "col")
     placed = chunking.placed(units)
-    chars = placed.groupBy("page", "document_id", "chunk").agg(F.sum(F.length("text")).alias("chars"), F.count_if(F.col("type") == "TABLE").alias("tables"), F.count_if(F.col("text").startswith("Table 0 (columns: Flag | Quantity | Part):")).alias("heads"))
-    per = chars.groupBy("document_id", "page").agg((F.max("chars") <= chunking.MAX_CHARS).alias("fits"), F.count_if((F.col("tables") != 1) | (F.col("heads") != 1)).alias("odd"), (F.count("*") > 1).alias("split"))
-    cells = placed.where("type = 'TABLE_CELL'").groupBy("document_id", "page").agg(F.count_distinct("row").alias("n_rows"), F.count("*").alias("n_cells"))
-    return cells.join(per, ["document_id", "page"]).select("page", "n_rows", "n_cells", (F.col("fits") & (F.col("odd") == 0)).alias("within"), "split")
+    cell = F.col("type") == "TABLE_CELL"
+    page, sums = ["document_id", "page"], ("chars", "tables", "heads", "n_cells")
+    lines = placed.groupBy(*page, "chunk", F.when(cell, F.col("row")).alias("row")).agg(F.sum(F.length("text")).alias("chars"), F.count_if(F.col("type") == "TABLE").alias("tables"), F.count_if(F.col("text").startswith("Table 0 (columns: Flag | Quantity | Part):")).alias("heads"), F.count_if(cell).alias("n_cells"))
+    chunks = lines.groupBy(*page, "chunk").agg(*(F.sum(n).alias(n) for n in sums), F.collect_list("row").alias("rows"))
+    pages = chunks.groupBy(*page).agg((F.max("chars") <= chunking.MAX_CHARS).alias("fits"), F.count_if((F.col("tables") != 1) | (F.col("heads") != 1)).alias("odd"), (F.count("*") > 1).alias("split"), F.size(F.array_distinct(F.flatten(F.collect_list("rows")))).cast("long").alias("n_rows"), F.sum("n_cells").alias("n_cells"))
+    return pages.where("n_cells > 0").select("page", "n_rows", "n_cells", (F.col("fits") & (F.col("odd") == 0)).alias("within"), "split")
 
 
 @query("""WITH RECURSIVE i AS (SELECT supplier, row_number() OVER (PARTITION BY supplier ORDER BY k, n) AS i, k, n, quantity AS c, part % 7 AS t, k % 97 = 0 AS opens
